@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.llm import exact_dedup as grace
-from folio.llm import sharding
+from folio.llm import sharding, token_files
 from folio.tables import table
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark, sf_dir):
+    return token_files.read_token_files(*token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+
+
 def op5_exact_dedup(spark, sf_dir):
     found = grace.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -27,5 +38,5 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_token_files": op1_token_files, "op5_exact_dedup": op5_exact_dedup, "op10_sharding": op10_sharding}
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op10_sharding": sharding.ORACLE}
