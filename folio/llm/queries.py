@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.llm import exact_dedup as grace
-from folio.llm import sharding, token_files
+from folio.llm import decontaminate, quality, sharding, token_files
 from folio.tables import table
 
 
@@ -20,6 +20,16 @@ def op1_token_files(spark, sf_dir):
     return token_files.read_token_files(*token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def site_of(docs):
+    """Where a document comes from, host and path: the testbed has a source for a site and a language for its section."""
+    return {"host": docs["source"], "path": F.concat_ws("/", docs["source"], docs["lang"])}
+
+
+def op3_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), **site_of(docs))
+
+
 def op5_exact_dedup(spark, sf_dir):
     found = grace.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -34,9 +44,13 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM t WINDOW w AS (PARTITION BY norm ORDER BY n DESC, doc_id)"""
 
 
+def op9_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op5_exact_dedup": op5_exact_dedup, "op10_sharding": op10_sharding}
+QUERIES = {"op1_token_files": op1_token_files, "op3_quality_classifier": op3_quality_classifier, "op5_exact_dedup": op5_exact_dedup, "op9_decontaminate": op9_decontaminate, "op10_sharding": op10_sharding}
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op10_sharding": sharding.ORACLE}
