@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from folio.llm.shared import partitions, written
 
@@ -203,7 +204,7 @@ def exact_dedup(docs: DataFrame, *, digest: Callable[[bytes], bytes] = _sha256,
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns; of each group of equal texts one row, also where rows repeat."""
-    schema = docs.schema.add("_digest", "binary")
+    schema = StructType([*docs.schema.fields, StructField("_digest", BinaryType())])
 
     def f(batches):
         for b in batches:

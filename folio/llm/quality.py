@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from folio.llm.shared import Texts, steps, words, written
 
@@ -126,7 +127,7 @@ def _append(docs: DataFrame, model: Model | None) -> DataFrame:
             p = model.probability(features(part)) if model else np.ones(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "_p"])
 
-    return docs.mapInArrow(f, docs.schema.add("_p", "double"))
+    return docs.mapInArrow(f, StructType([*docs.schema.fields, StructField("_p", DoubleType())]))
 
 
 def _strength(groups: DataFrame, parent_mean: Column) -> float:
