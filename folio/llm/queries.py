@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.llm import exact_dedup as grace
-from folio.llm import decontaminate, licenses, quality, sharding, token_files
+from folio.llm import decontaminate, jaccard_join, licenses, quality, sharding, token_files
 from folio.tables import table
 
 
@@ -48,6 +48,10 @@ def op6_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    return jaccard_join.joined(table(spark, sf_dir, "documents")).drop("n_links")
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,5 +60,13 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_token_files": op1_token_files, "op3_quality_classifier": op3_quality_classifier, "op5_exact_dedup": op5_exact_dedup, "op6_license_scan": op6_license_scan, "op9_decontaminate": op9_decontaminate, "op10_sharding": op10_sharding}
+QUERIES = {
+    "op1_token_files": op1_token_files,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op9_decontaminate": op9_decontaminate,
+    "op10_sharding": op10_sharding,
+}
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_license_scan": licenses.oracle(), "op10_sharding": sharding.ORACLE}
