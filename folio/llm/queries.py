@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.llm import exact_dedup as grace
-from folio.llm import decontaminate, jaccard_join, licenses, quality, sharding, token_files
+from folio.llm import decontaminate, jaccard_join, licenses, quality, repeats, sharding, token_files
 from folio.tables import table
 
 
@@ -20,6 +20,10 @@ def op1_token_files(spark, sf_dir):
     return token_files.read_token_files(*token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
+def op2_suffix_dedup(spark, sf_dir):
+    return repeats.removed_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def site_of(docs):
     """Where a document comes from, host and path: the testbed has a source for a site and a language for its section."""
     return {"host": docs["source"], "path": F.concat_ws("/", docs["source"], docs["lang"])}
@@ -62,6 +66,7 @@ def op10_sharding(spark, sf_dir):
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_license_scan": op6_license_scan,
