@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.llm import exact_dedup as grace
-from folio.llm import decontaminate, jaccard_join, licenses, quality, repeats, sharding, token_files
+from folio.llm import decontaminate, jaccard_join, language, licenses, piece_transducer, quality, repeats, sharding, token_files
 from folio.tables import table
 
 
@@ -34,6 +34,13 @@ def op3_quality_classifier(spark, sf_dir):
     return quality.classify(docs, table(spark, sf_dir, "labels"), **site_of(docs))
 
 
+def op4_piece_transducer(spark, sf_dir):
+    model = vocabulary("piece_bpe_32k.model")
+    found = piece_transducer.decode(piece_transducer.encode(table(spark, sf_dir, "documents"), model), model)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
+    return found.select("doc_id", "n_pieces", F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     found = grace.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -56,6 +63,13 @@ def op7_ngram_jaccard(spark, sf_dir):
     return jaccard_join.joined(table(spark, sf_dir, "documents")).drop("n_links")
 
 
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
+    model = language.train(docs.filter("not held_out"), vocabulary("piece_bpe_32k.model"))
+    found = language.identify(docs, model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -68,9 +82,11 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_piece_transducer": op4_piece_transducer,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_sharding": op10_sharding,
 }
