@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from folio.llm.queries import ORACLES, QUERIES
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLES)
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
