@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text",)
+MODULES = ("text", "relational", "reading")
 
 
 def _merged(what: str) -> dict:
