@@ -32,6 +32,8 @@ from folio.llm.shared import Texts, hashes_between, mixed, partitions, prefix_su
 SPAN = 50
 GRAM = 32
 SIDE = SPAN - GRAM
+#: Entries of a bucket that are compared at a time, about; a group of equal anchors is never parted.
+STEP_ENTRIES = 1 << 15
 _LAST = (1 << 63) - 1
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -157,25 +159,36 @@ def _masks(gram: np.ndarray, sides: np.ndarray, valid: np.ndarray, doc: np.ndarr
     low, high = np.minimum.reduceat(doc[order], edges), np.maximum.reduceat(doc[order], edges)
     several = np.empty(len(gram), bool)
     several[order] = np.repeat(low != high, np.diff(np.append(edges, len(order))))
-    open_ = np.flatnonzero(several)
-    if not len(open_):
-        return out
-    gram, sides, valid, doc = gram[open_], sides[open_].astype(np.uint64) + np.uint64(1), valid[open_], doc[open_]
-    factors = np.array([pow(0x9E3779B97F4A7C15, j + 1, 1 << 64) for j in range(SIDE)], np.uint64)
-    before, after = sides[:, :SIDE] * factors, sides[:, SIDE:] * factors
-    zero = np.zeros(len(gram), np.uint64)
+    order = order[several[order]]
+    # groups of equal anchors, some thousand entries at a time
+    edges = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1])) if len(order) else order
+    first = 0
+    while first < len(order):
+        k = np.searchsorted(edges, first + STEP_ENTRIES)
+        last = edges[k] if k < len(edges) else len(order)
+        own = order[first:last]
+        out[own] = _open_masks(gram[own], sides[own], valid[own], doc[own])
+        first = last
+    return out
+
+
+def _open_masks(gram: np.ndarray, sides: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(gram), np.uint32)
+    sums = [np.zeros((len(gram), SIDE + 1), np.uint64), np.zeros((len(gram), SIDE + 1), np.uint64)]  # of the nearest bytes on each side
+    for j in range(SIDE):
+        factor = np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
+        for side, total in enumerate(sums):
+            total[:, j + 1] = total[:, j] + (sides[:, side * SIDE + j].astype(np.uint64) + np.uint64(1)) * factor
     for o in range(SIDE + 1):
         some = np.flatnonzero((valid >> np.uint32(o)) & np.uint32(1))
         if not len(some):
             continue
-        l = before[some, :o].sum(axis=1, dtype=np.uint64) if o else zero[some]
-        r = after[some, : SIDE - o].sum(axis=1, dtype=np.uint64) if o < SIDE else zero[some]
-        key = mixed(mixed(gram[some] + mixed(l)) + r)
+        key = mixed(mixed(gram[some] + mixed(sums[0][some, o])) + sums[1][some, SIDE - o])
         order = np.argsort(key)
         edges = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         least = np.repeat(np.minimum.reduceat(doc[some[order]], edges), np.diff(np.append(edges, len(order))))
         hit = some[order][least < doc[some[order]]]
-        out[open_[hit]] |= np.uint32(1 << o)
+        out[hit] |= np.uint32(1 << o)
     return out
 
 
