@@ -70,7 +70,7 @@ def anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     # an anchor is the least of some string that holds it: the largest of those leasts
     back = _slid(least[::-1], SIDE + 1, np.maximum)[::-1]
     places = np.flatnonzero((back == gram) & (gram != _TOP))
-    return places, gram[places]
+    return places, mixed(gram[places])  # the smallest hashes, spread over all buckets again
 
 
 _KEPT = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary()), ("places", pa.binary()), ("free_ids", pa.list_(pa.int64())), ("free_sizes", pa.list_(pa.int64())), ("free_sha", pa.list_(pa.string()))])
@@ -127,7 +127,7 @@ def _around(b: pa.RecordBatch, i: int, buckets: int) -> tuple[list, Texts, Aroun
     fits = (offsets <= left[:, None]) & (SIDE - offsets <= right[:, None])
     valid = (fits << offsets).sum(axis=1).astype(np.uint32)
     sums = prefix_sums(texts.data)
-    gram = hashes_between(sums, places, places + GRAM)
+    gram = mixed(hashes_between(sums, places, places + GRAM))
     whole = mixed(hashes_between(sums, places - left, places + GRAM + right) + (left * 64 + right).astype(np.uint64))
     bucket = (spots(gram, buckets) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((doc, whole, gram, bucket))
