@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
 The normaliser maps a space to the mark, puts a mark before a text that is not empty, and copies all else.
-Pieces are arcs over their characters, weighted with minus their score; a character without a piece has
+Pieces are arcs over their characters; a character without a piece has
 an arc of its UTF-8 bytes. The vocabulary is a BPE one: a sequence of pieces is the encoding of
 its text just when each two neighbours are the encoding of theirs. So a state of the transducer is the piece
-that led to it, and it has arcs for those pieces alone that may follow. The composition with an input is
-searched for the path of the least weight in the tropical semiring.
+that led to it, and it has arcs for those pieces alone that may follow. The composition with an input then has
+one accepting path, whatever the pieces' weights: the shortest in the tropical semiring. It is searched depth
+first, longer pieces first.
 
 No piece has a mark behind another character, so paths part before marks, and at characters without a
 piece; the parts of a text (words) are composed once and remembered.
@@ -29,6 +30,9 @@ MARK = "▁"
 #: Parts of texts, and pairs of pieces, that a worker remembers.
 REMEMBERED = 400_000
 
+#: Ranks above this are shared by pieces.
+SHARED = 1e8
+
 _machines: dict = {}
 
 
@@ -51,6 +55,7 @@ class Transducer:
         alone = "".join(c for c in "\t\n\v\f" if not any(c in p for p in self.pieces))
         self.parts = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+|[{alone}]+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.follows: dict[tuple[str, str], bool] = {}
+        self.edges: dict[tuple[str, int], list | None] = {}
         self.known: dict[str, bytes] = {}
         out = [b""] * model.get_piece_size()
         for p, i in self.pieces.items():
@@ -84,43 +89,113 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def halves(self, piece: str) -> tuple[str, str] | None:
+        """The two parts whose joining makes the piece; None if its characters do not end up as the piece."""
+        parts, score = list(piece), self.score
+        while len(parts) > 2:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                s = score.get(parts[i] + parts[i + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if at < 0:
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return tuple(parts)
+
+    def edge(self, piece: str, side: int) -> list[tuple[str, float]] | None:
+        """What stood at the piece's left (0) or right (1) edge, latest first, and the rank of the joining that made it.
+
+        None where ranks do not rise with time, as for runs of marks that share one score.
+        """
+        key = (piece, side)
+        if key not in self.edges:
+            out: list | None = []
+            now, last = piece, float("inf")
+            while len(now) > 1:
+                parts, rank = self.halves(now), -self.score[now]
+                if parts is None or rank >= last or rank > SHARED:
+                    out = None
+                    break
+                out.append((now, rank))
+                now, last = parts[side], rank
+            if out is not None:
+                out.append((now, -1.0))
+            self.edges[key] = out
+        return self.edges[key]
+
     def may_follow(self, first: str, second: str) -> bool:
+        """Whether the characters of both, joined by score, end up as the two; first may be empty."""
         key = (first, second)
         found = self.follows.get(key)
         if found is None:
             if len(self.follows) >= REMEMBERED * 4:
                 self.follows.clear()
-            found = self.follows[key] = self.merged(first + second) == ([first, second] if first else [second])
+            found = self.follows[key] = self._apart(first, second)
         return found
 
+    def _apart(self, first: str, second: str) -> bool:
+        if not first:
+            return len(second) == 1 or self.merged(second) == [second]
+        left, right = self.edge(first, 1), self.edge(second, 0)
+        if left is None or right is None:
+            return self.merged(first + second) == [first, second]
+        # back in time: what meets at the border must not have joined before either side changed
+        score, i, j, limit = self.score, 0, 0, float("inf")
+        while True:
+            (a, made_a), (b, made_b) = left[i], right[j]
+            s = score.get(a + b)
+            if s is not None and -s < limit:
+                return False
+            if made_a > made_b:
+                limit, i = made_a, i + 1
+            elif made_b < 0:
+                return True
+            else:  # of equal scores the leftmost joins first
+                limit, j = made_b + 1, j + 1
+
+    def arcs(self, part: str, a: int) -> list[str]:
+        """Pieces that start at a, the longest first."""
+        out = []
+        for b in range(a + 1, min(len(part), a + self.longest) + 1):
+            piece = part[a:b]
+            if piece not in self.starts:
+                break
+            if piece in self.pieces:
+                out.append(piece)
+        return out[::-1]
+
     def shortest(self, part: str) -> list[str]:
-        """The pieces on the least-weight path over a part, all of whose characters have pieces."""
-        n = len(part)
-        reached: list[dict] = [{} for _ in range(n + 1)]  # place -> last piece -> weight and the piece before it
-        reached[0][""] = (0.0, "")
-        for a in range(n):
-            if not reached[a]:
-                continue
-            for b in range(a + 1, min(n, a + self.longest) + 1):
-                piece = part[a:b]
-                if piece not in self.starts:
+        """The pieces on the least-weight path over a part, all of whose characters have pieces.
+
+        A composition has one accepting path at most, so the first one found is the shortest. States are a place
+        and the piece that led there; those that lead nowhere are remembered, so each is left once.
+        """
+        n, at, path, tried = len(part), 0, [], [0]
+        arcs: list = [None] * n
+        lost: set = set()
+        follows = self.follows
+        while at < n:
+            if arcs[at] is None:
+                arcs[at] = self.arcs(part, at)
+            options, before, k = arcs[at], path[-1] if path else "", tried[-1]
+            while k < len(options):
+                piece = options[k]
+                k += 1
+                fits = follows.get((before, piece))
+                if (self.may_follow(before, piece) if fits is None else fits) and (at + len(piece), piece) not in lost:
+                    tried[-1] = k
+                    tried.append(0)
+                    path.append(piece)
+                    at += len(piece)
                     break
-                if piece not in self.pieces:
-                    continue
-                weight = -self.score[piece]
-                for before, (w, _) in reached[a].items():
-                    old = reached[b].get(piece)
-                    if (old is None or w + weight < old[0]) and self.may_follow(before, piece):
-                        reached[b][piece] = (w + weight, before)
-        if not reached[n]:
-            return self.merged(part)  # no path of pairs: not for a vocabulary made by merging
-        piece, at, out = min(reached[n], key=lambda p: reached[n][p][0]), n, []
-        while piece:
-            out.append(piece)
-            before = reached[at][piece][1]
-            at -= len(piece)
-            piece = before
-        return out[::-1]
+            else:
+                if not path:
+                    return self.merged(part)  # no path of pairs: not for a vocabulary made by merging
+                lost.add((at, before))
+                tried.pop()
+                at -= len(path.pop())
+        return path
 
     def ids_of(self, part: str) -> bytes:
         """Ids of a part, 4 bytes each; byte fallback where a character has no piece."""
