@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 # Numerals of the texts.
 DIGITS = "〇一二三四五六七八九"
@@ -15,7 +16,7 @@ TENS = {"十": 10, "百": 100, "千": 1000}
 MYRIADS = {"万": 10**4, "億": 10**8}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility composition."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
@@ -84,7 +85,7 @@ def kanji_value(text: str | None) -> int | None:
     return total + group + (digit or 0)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def kanji_number(s: pd.Series) -> pd.Series:
     return s.map(kanji_value).astype("Int64")
 
@@ -103,7 +104,7 @@ def to_kanji(n: Column) -> Column:
 _NUMERAL = re.compile(r"[〇一二三四五六七八九十百千万億0-9０-９]+")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def article_key(s: pd.Series) -> pd.Series:
     """A numbered heading with branches as digits joined by underscores."""
     return s.map(lambda x: None if x is None else "_".join(str(kanji_value(m)) for m in _NUMERAL.findall(x)) or None)
