@@ -32,6 +32,8 @@ from folio.llm.shared import hashes_between, prefix_sums, steps, written
 FOLDS = 5
 #: Rows of each language that a model is fitted to, about, at most.
 TRAIN_ROWS = 2_000
+#: Languages that a model can have: the piece table has a column for each.
+MAX_LANGS = 200
 ROUNDS = 2
 SMOOTHING = 0.1
 UNKNOWN = "und"
@@ -194,8 +196,13 @@ def held_out(key: Column, folds: int = FOLDS) -> Column:
 def training_rows(docs: DataFrame, rows: int) -> DataFrame:
     """lang and text of about rows rows of each language at most, chosen by a hash of id and text."""
     some = docs.filter("lang is not null and text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.col("lang").cast("string").alias("lang"), "text")
-    share = some.groupBy("lang").agg((F.lit(float(rows)) / F.count(F.lit(1))).alias("share"))
-    return some.join(share, "lang").filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < F.col("share")).drop("h", "share")
+    counts = some.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: each needs a column of every worker's piece table")
+    share = F.lit(0.0)
+    for r in counts:
+        share = F.when(F.col("lang") == r.lang, rows / r["count"]).otherwise(share)
+    return some.filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < share).drop("h")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
