@@ -54,3 +54,25 @@ def overlaps(df: DataFrame, keys: list[str], start: str, end: str, tie: str) ->
 def calendar_date(c: Column) -> Column:
     """The date of a YYYY-MM-DD text; null unless it is a day of the calendar."""
     return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).cast("date"))
+
+
+def validity(start: Column) -> dict[str, Column]:
+    """valid_from and state of a revision: fixed with an enforcement date, else open and undetermined."""
+    return {"valid_from": start, "state": F.when(start.isNotNull(), "FIXED").otherwise("UNDETERMINED")}
+
+
+def first_applicable(**candidates: Column) -> tuple[Column, Column]:
+    """The first candidate that is not null, and its name; none for no candidate."""
+    name = F.lit("none")
+    for k, c in reversed(candidates.items()):
+        name = F.when(c.isNotNull(), k).otherwise(name)
+    return F.coalesce(*candidates.values()), name
+
+
+def snapshot_error(anchor: Column, day: Column, revision: Column, current: Column, anchors: list[str]) -> Column:
+    """Why a snapshot of anchor, day and revision is invalid; null for a valid one and for none at all."""
+    given = sum((c.isNotNull().cast("int") for c in (anchor, day, revision)), F.lit(0))
+    return (
+        F.when(given == 0, None).when(given < 3, "INCOMPLETE").when(~anchor.isin(anchors), "ANCHOR")
+        .when(calendar_date(day).isNull(), "DATE").when(revision != current, "REVISION")
+    )

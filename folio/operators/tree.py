@@ -80,3 +80,49 @@ def chains(mapping: DataFrame, *, most: int = MAX_DEPTH) -> DataFrame:
 def carried(flag: Column, value: Column, keys: list[str], order: list[Column]) -> Column:
     """value of the latest row so far where flag holds."""
     return F.last(F.when(flag, value), ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def nearest_scope(tree: DataFrame, level: Column, priority: list[str]) -> DataFrame:
+    """id and scope: of a node and its ancestors the one whose level comes first in priority, the deepest of several; else the root."""
+    chain = tree.select("id", "root", F.posexplode(F.concat("ancestors", F.array("id"))).alias("step", "scope"))
+    listed = F.array_position(F.array(*[F.lit(p) for p in priority]), level)
+    levels = tree.select(F.col("id").alias("scope"), listed.alias("rank")).filter("rank > 0")
+    ranked = chain.join(levels, "scope", "left")
+    order = F.when(F.col("rank").isNotNull(), F.struct("rank", -F.col("step")))
+    return ranked.groupBy("id").agg(F.coalesce(F.min_by("scope", order), F.min("root")).alias("scope"))
+
+
+def numbered(tree: DataFrame, level: int) -> DataFrame:
+    """head, number and total: nodes at level in document order within their root."""
+    of_root = Window.partitionBy("root")
+    heads = tree.filter(F.col("depth") == level)
+    return heads.select("root", F.col("id").alias("head"), F.row_number().over(of_root.orderBy("path", "id")).alias("number"), F.count(F.lit(1)).over(of_root).alias("total"))
+
+
+def around(heads: DataFrame, number: int, half: int) -> DataFrame:
+    """Numbered heads at most half away from number, with the cursors before and after them (null at an end)."""
+    first, last = number - half, number + half
+    found = heads.filter(F.col("number").between(first, last))
+    before = F.lit(first - 1 if first > 1 else None).cast("int")
+    return found.withColumn("before", before).withColumn("after", F.when(F.col("total") > last, F.lit(last + 1)))
+
+
+def pruned(tree: DataFrame, level: Column, levels: list[str], level_of) -> DataFrame:
+    """Nodes of listed levels reached through nodes of listed levels alone; level_of gives an ancestor's level."""
+    return tree.filter(level.isin(levels) & F.forall("ancestors", lambda a: level_of(a).isin(levels)))
+
+
+def regrouped(tree: DataFrame, member: Column, prefix: str, place: int) -> DataFrame:
+    """id, parent and path after leaves where member holds move below one new node of their parent, at place."""
+    flagged = tree.withColumn("_m", F.coalesce(member, F.lit(False)))
+    above = F.slice("path", 1, F.size("path") - 1)
+    moved, order = flagged.filter("_m"), Window.partitionBy("parent").orderBy("path", "id")
+    group = F.concat(F.lit(prefix), "parent")
+    below = moved.select("id", group.alias("parent"), F.concat(above, F.array(F.lit(place), F.row_number().over(order))).alias("path"))
+    heads = moved.select(group.alias("id"), "parent", F.concat(above, F.array(F.lit(place))).alias("path")).dropDuplicates(["id"])
+    return flagged.filter("not _m").select("id", "parent", "path").unionByName(heads).unionByName(below)
+
+
+def breadth_first(tree: DataFrame) -> DataFrame:
+    """number of each node of a root, level by level."""
+    return tree.withColumn("number", F.row_number().over(Window.partitionBy("root").orderBy("depth", "place", "id")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "relational", "reading")
+MODULES = ("text", "relational", "reading", "outline", "pairing")
 
 
 def _merged(what: str) -> dict:
