@@ -2,9 +2,10 @@
 
 Each benchmark item has a weighted set of 5-word shingles (weight: how often it occurs) and a 64-bit
 SimHash of them. Windows of a document with as many words as an item are fingerprinted in the same
-way, at every word; multi-index Hamming search over RADIUS + 1 blocks of bits (two fingerprints within
-RADIUS agree in one block at least) retrieves the items within RADIUS; the weighted Jaccard similarity
-of the shingles, sum of minima over sum of maxima, then decides exactly.
+way, at every word; a document with fewer words than the item is one window as a whole. Multi-index
+Hamming search over RADIUS + 1 blocks of bits (two fingerprints within RADIUS agree in one block at
+least) retrieves the items within RADIUS; the weighted Jaccard similarity of the shingles, sum of
+minima over sum of maxima, then decides exactly.
 
 Only windows that share a shingle with an item are fingerprinted: any other has similarity 0 with all
 items. SimHash is a retrieval by chance: a passage at the threshold may lie outside the radius. Since
@@ -130,6 +131,10 @@ def matches(w_hash: np.ndarray, items: Items) -> list[tuple[int, int, float]]:
         item = owners[np.concatenate([np.arange(a, b) for a, b in zip(at[hit], last)])]
         for size in np.unique(items.words[item]):
             span = int(size) - k + 1
+            if len(runs) < span:  # a document shorter than the item is one window, unless too short to reach the threshold
+                if len(runs) / span < items.threshold:
+                    continue
+                span = len(runs)
             places = np.unique(spread[items.words[item] == size])
             low, high = np.maximum(0, places - span + 1), np.minimum(len(runs) - span, places)
             flag = np.zeros(len(runs) + 1, np.int64)
@@ -221,7 +226,7 @@ def _finder(items: Items):
                 a, b = int(w.first[r]), int(w.first[r + 1])
                 doc, base = batch.column("doc_id")[r].as_py(), texts.starts[r]
                 for i, start, s in matches(w.hash[a:b], items):
-                    n = int(items.words[i])
+                    n = min(int(items.words[i]), b - a - start)
                     rows.append((doc, items.ids[i], start, n, int(w.start[a + start] - base), int(w.end[a + start + n - 1] - base), s))
             if rows:
                 names = ["doc_id", "item_id", "start_word", "n_words", "start_byte", "end_byte", "similarity"]

@@ -191,6 +191,24 @@ def test_decontamination_recall(spark):
     assert decontaminate.clean_documents(docs, bench).count() == len(rows) - len({d for d, _ in found})
 
 
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    r = random.Random(10)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.randint(30, 60)))) for i in range(40)] + [(90, "p q r s t u v w")]
+    rows = []
+    for i, t in items[:40]:
+        w = t.split()
+        rows.append((i, " ".join([w[:-1], w[1:], w[:-2], w[1:-1]][i % 4])))
+    rows += [(90, "p q r s t u v"), (91, "p q r s")]  # 3 of 4 shingles; no shingle
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    found = got(decontaminate.contaminated(docs, bench), "doc_id", "item_id", "start_word", "n_words", "start_byte", "end_byte")
+    texts = dict(rows)
+    assert all(f == (f[0], f[0], 0, len(texts[f[0]].split()), 0, len(texts[f[0]])) and f[0] < 40 for f in found)
+    assert len(found) >= 0.97 * 40
+    assert decontaminate.clean_documents(docs, bench).count() == len(rows) - len(found)
+    assert [f[0] for f in got(decontaminate.contaminated(docs, bench, threshold=0.75, radius=63), "doc_id", "item_id") if f[0] >= 40] == [90]
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["mit"]
     rows = [(1, "x y " + mit + " z"), (2, "words " * 50), (3, None), (4, mit.upper()), (5, mit[:200])]
