@@ -261,7 +261,10 @@ SELECT conv_id, round(len(list_intersect(['system', 'user', 'assistant'], seen))
 
 
 def n12_fingerprints(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("not text rlike '[^\\\\x00-\\\\x7F]'")
+    return _fingerprints(table(spark, sf_dir, "documents").filter("not text rlike '[^\\\\x00-\\\\x7F]'"))
+
+
+def _fingerprints(d):
     return d.select("doc_id", text.fingerprint(text.collapsed(F.col("text"))).alias("fingerprint"), *[c.alias(k) for k, c in text.quote_selector(F.col("text")).items()])
 
 
@@ -269,6 +272,15 @@ N12 = r"""SELECT doc_id, left(sha256(trim(regexp_replace(text, '[ \t\n\v\f\r]+',
  CASE WHEN length(text) > 32 THEN right(text, 32) ELSE '' END AS suffix FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')"""
 
 
+def n12_all_fingerprints(spark, sf_dir):
+    """Every document in any script; a null text has no fingerprint or prefix and an empty suffix."""
+    return _fingerprints(table(spark, sf_dir, "documents"))
+
+
+N12_ALL = r"""SELECT doc_id, left(sha256(trim(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g'), ' ')), 16) AS fingerprint, left(text, 32) AS prefix,
+ CASE WHEN length(text) > 32 THEN right(text, 32) ELSE '' END AS suffix FROM documents"""
+
+
 def s15_links(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.explode(references.hrefs(F.col("html"))).alias("href"))
     return p.groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
@@ -333,11 +345,11 @@ QUERIES = {
     "t3_as_of": t3_as_of, "t13_overlaps": t13_overlaps, "t9_local_day": t9_local_day, "h1_subtree": h1_subtree, "h2_breadcrumbs": h2_breadcrumbs, "h6_page": h6_page, "h8_next": h8_next,
     "h16_chains": h16_chains, "w10_carry_forward": w10_carry_forward, "p8_scope": p8_scope, "v1_diff": v1_diff, "v2_tally": v2_tally, "v10_checks": v10_checks,
     "r1_cooccurrence": r1_cooccurrence, "r3_recommendations": r3_recommendations, "r4_cold_start": r4_cold_start, "r12_highlights": r12_highlights, "e2_evaluation": e2_evaluation,
-    "e6_coverage": e6_coverage, "n12_fingerprints": n12_fingerprints, "s15_links": s15_links, "l10_resolution": l10_resolution, "k5_bigrams": k5_bigrams, "k6_suggest": k6_suggest,
+    "e6_coverage": e6_coverage, "n12_fingerprints": n12_fingerprints, "n12_all_fingerprints": n12_all_fingerprints, "s15_links": s15_links, "l10_resolution": l10_resolution, "k5_bigrams": k5_bigrams, "k6_suggest": k6_suggest,
     "m1_upsert": m1_upsert, "m2_insert_absent": m2_insert_absent,
 }
 ORACLES = {
     "t3_as_of": T3, "t13_overlaps": T13, "t9_local_day": T9, "h1_subtree": H1, "h2_breadcrumbs": H2, "h6_page": H6, "h8_next": H8, "h16_chains": H16, "w10_carry_forward": W10, "p8_scope": P8,
     "v1_diff": V1, "v2_tally": V2, "v10_checks": V10, "r1_cooccurrence": R1, "r3_recommendations": R3, "r4_cold_start": R4, "r12_highlights": R12, "e2_evaluation": E2, "e6_coverage": E6,
-    "n12_fingerprints": N12, "s15_links": S15, "l10_resolution": L10, "k5_bigrams": K5, "k6_suggest": K6, "m1_upsert": M1, "m2_insert_absent": M2,
+    "n12_fingerprints": N12, "n12_all_fingerprints": N12_ALL, "s15_links": S15, "l10_resolution": L10, "k5_bigrams": K5, "k6_suggest": K6, "m1_upsert": M1, "m2_insert_absent": M2,
 }

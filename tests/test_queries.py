@@ -1,6 +1,8 @@
 """Each registered core query against its SQL on the same tables."""
 
 import decimal
+import hashlib
+import re
 
 import duckdb
 import pytest
@@ -44,3 +46,14 @@ def test_same_rows(spark, sql, name):
 
 def test_every_query_has_sql():
     assert registry.queries().keys() == registry.oracle_sql().keys()
+
+
+def test_fingerprints_of_every_script(spark, tmp_path):
+    rows = [(1, " Déjà \t vu "), (2, "\u201cquoted\u201d text"), (3, "日本語の文書 " * 8), (4, "plain"), (5, None), (6, ""), (7, "\u00a0a\u3000")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for d, t in rows:
+        own = None if t is None else hashlib.sha256(re.sub("[ \t\n\v\f\r]+", " ", t).strip(" ").encode()).hexdigest()[:16]
+        want.add((d, own, None if t is None else t[:32], t[-32:] if t and len(t) > 32 else ""))
+    found = registry.queries()["n12_all_fingerprints"](spark, str(tmp_path))
+    assert {(r.doc_id, r.fingerprint, r.prefix, r.suffix) for r in found.collect()} == want and found.count() == len(rows)
