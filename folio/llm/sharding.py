@@ -31,11 +31,11 @@ def hash_bits(c: Column) -> Column:
     return F.lpad(F.conv(F.substring(F.md5(F.coalesce(c.cast("string"), F.lit(""))), 1, 15), 16, 2), 60, "0")
 
 
-def assign_shards(docs: DataFrame, *, limit: int = LIMIT, id_bits: int = ID_BITS, text_bits: int = TEXT_BITS, step: int = STEP) -> DataFrame:
-    """doc_id, shard (its hash prefix; root is an empty string), page, depth, n_bytes and the shard's bytes and rows."""
+def assign_shards(docs: DataFrame, *, limit: int = LIMIT, id_bits: int = ID_BITS, text_bits: int = TEXT_BITS, step: int = STEP, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, shard (its hash prefix; root is an empty string), page, depth, n_bytes and the shard's bytes and rows; behind them the carried columns of docs."""
     bits = F.substring(hash_bits(F.col("doc_id")), 1, id_bits)
-    rows = docs.select("doc_id", "text").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), bits.alias("bits"), F.substring(hash_bits(F.col("text")), 1, text_bits).alias("more"))
-    rows = written(rows.select("doc_id", "n_bytes", F.concat("bits", "more").alias("bits")), "shard-rows")
+    rows = docs.select("doc_id", "text", *carried).select("doc_id", *carried, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), bits.alias("bits"), F.substring(hash_bits(F.col("text")), 1, text_bits).alias("more"))
+    rows = written(rows.select("doc_id", *carried, "n_bytes", F.concat("bits", "more").alias("bits")), "shard-rows")
     total, depth, open_rows, leaves = id_bits + text_bits, 0, rows, []
     while True:
         upto = min(depth + step, total)
@@ -49,10 +49,10 @@ def assign_shards(docs: DataFrame, *, limit: int = LIMIT, id_bits: int = ID_BITS
         found = ways.join(ranked, ["depth", "shard"], "left").groupBy("cell").agg(F.min(F.when(F.col("shard_bytes").isNotNull(), F.struct("depth", "shard", "shard_bytes", "shard_rows"))).alias("leaf"))
         directory = written(found, "shard-directory")
         here = open_rows.withColumn("cell", F.substring("bits", 1, upto)).join(directory, "cell").drop("cell")
-        leaves.append(here.filter("leaf is not null").select("doc_id", "n_bytes", "bits", "leaf.*"))
+        leaves.append(here.filter("leaf is not null").select("doc_id", *carried, "n_bytes", "bits", "leaf.*"))
         if upto == total or not directory.filter("leaf is null").head(1):
             break
-        open_rows = here.filter("leaf is null").select("doc_id", "n_bytes", "bits")
+        open_rows = here.filter("leaf is null").select("doc_id", *carried, "n_bytes", "bits")
         depth = upto
     placed = leaves[0]
     for more in leaves[1:]:
@@ -60,13 +60,13 @@ def assign_shards(docs: DataFrame, *, limit: int = LIMIT, id_bits: int = ID_BITS
     paged = F.col("depth") == total
     if upto == total and directory.filter((F.col("leaf.depth") == total) & (F.col("leaf.shard_bytes") > limit) & (F.col("leaf.shard_rows") > 1)).head(1):
         over = paged & (F.col("shard_bytes") > limit) & (F.col("shard_rows") > 1)
-        placed = placed.filter(~over).withColumn("page", F.lit(0).cast("long")).unionByName(_pages(placed.filter(over), limit))
+        placed = placed.filter(~over).withColumn("page", F.lit(0).cast("long")).unionByName(_pages(placed.filter(over), limit, carried))
     else:
         placed = placed.withColumn("page", F.lit(0).cast("long"))
-    return placed.select("doc_id", "shard", "page", F.col("depth").cast("int").alias("depth"), "n_bytes", "shard_bytes", "shard_rows")
+    return placed.select("doc_id", "shard", "page", F.col("depth").cast("int").alias("depth"), "n_bytes", "shard_bytes", "shard_rows", *carried)
 
 
-def _pages(rows: DataFrame, limit: int) -> DataFrame:
+def _pages(rows: DataFrame, limit: int, carried: tuple[str, ...]) -> DataFrame:
     """Rows alike in all bits, dealt over pages that fit the limit; rows of one size, so a count decides.
 
     Ordinals come in two steps, within salted parts and then by the parts' counts, so no task holds a whole bucket.
@@ -77,20 +77,24 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     parts = rows.groupBy(*keys, "salt").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy(*keys).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy(*keys, "salt").orderBy("doc_id"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "salt").orderBy("doc_id", *carried))
     per_page = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1))))
     out = rows.withColumn("inside", inside).join(parts, [*keys, "salt"])
     page = F.floor((F.col("before") + F.col("inside") - 1) / per_page)
     # sizes differ only where texts with equal bits differ; each size has pages of its own
     out = out.withColumn("page", F.col("n_bytes") * F.lit(1 << 32) + page)
     whole = out.groupBy("shard", "page").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_rows"))
-    return out.drop("shard_bytes", "shard_rows").join(whole, ["shard", "page"]).select("doc_id", "n_bytes", "bits", "depth", "shard", "shard_bytes", "shard_rows", "page")
+    return out.drop("shard_bytes", "shard_rows").join(whole, ["shard", "page"]).select("doc_id", *carried, "n_bytes", "bits", "depth", "shard", "shard_bytes", "shard_rows", "page")
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Writes docs under path, a folder for each shard and page; the folder's name has the prefix behind a letter."""
-    places = assign_shards(docs, **options).select("doc_id", F.concat(F.lit("s"), "shard", F.lit("_"), "page").alias("_shard")).distinct()
-    docs.join(places, "doc_id").repartition("_shard").write.partitionBy("_shard").parquet(path)
+    """Writes docs under path, a folder for each shard and page; the folder's name has the prefix behind a letter.
+
+    Each row is written once, whatever its doc_id: rows get numbers, written first so that they stay what they are.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-docs")
+    places = assign_shards(rows, **options, carried=("_row",)).select("_row", F.concat(F.lit("s"), "shard", F.lit("_"), "page").alias("_shard"))
+    rows.join(places, "_row").drop("_row").repartition("_shard").write.partitionBy("_shard").parquet(path)
 
 
 ORACLE = f"""

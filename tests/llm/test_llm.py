@@ -226,3 +226,14 @@ def test_shards_fit(spark):
     assert not any(a != b and b.startswith(a) for a in shards for b in shards)
     same = sharding.assign_shards(frame(spark, [(1, "abcd")] * 50), limit=20).toPandas()
     assert len(same) == 50 and (same.groupby(["shard", "page"]).n_bytes.sum() <= 20).all()
+
+
+def test_written_shards_hold_each_row_once(spark, tmp_path):
+    rows = corpus(7)
+    rows += [(None, t) for _, t in rows[:20]] + [(5, t) for _, t in rows[20:60]] + [(None, None)] * 3 + [(9, "abcd" * 50)] * 30
+    docs = frame(spark, [(d, t, f"m{i}") for i, (d, t) in enumerate(rows)], ", more string")
+    sharding.write_shards(docs, f"{tmp_path}/shards", limit=2000)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert got(back, "doc_id", "text", "more") == got(docs, "doc_id", "text", "more")
+    sums = back.groupBy("_shard").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"), F.count("*").alias("n")).collect()
+    assert len(sums) > 1 and all(r.b <= 2000 or r.n == 1 for r in sums)
