@@ -11,7 +11,8 @@ size are skipped by size, and members within a block by position. For two sets w
 leader, its answers bound their intersection: n(x) and n(y) and their distances from the leader decide
 many pairs without their shingles. The rest are compared exactly. (4) Links make components.
 
-No pair within a group of copies is listed: after (2) its lists are skipped. Kept shingles are cut to 48
+No pair within a group of copies is listed for that: after (2) its lists are skipped. n_links is counted
+apart, over all lists: sets of one leader in aggregate where its answers decide, all other pairs by comparison. Kept shingles are cut to 48
 bits for comparison.
 
 Defined cases: lower case of A-Z only; words are [^\\x20\\x09-\\x0D]+; fewer than 5 words make one
@@ -22,6 +23,7 @@ a null doc_id takes part in no link (its component is null); repeated rows are e
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,7 @@ from folio.llm.shared import Texts, mixed, partitions, shingles, words, written
 K = 5
 PERCENT = 80
 _SEEDS = (np.uint64(0x1234567), np.uint64(0x89ABCDEF1))
+_PAIRS = 200_000
 
 
 def sets_of(texts: Texts, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -154,15 +157,15 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("rep", "n", "hashes", "codes", "comp", "lead", "d").mapInArrow(f, _POSTING)
 
 
-def _of_list(members: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of a list that may link, and whether they are known to, by size, position, component and leader."""
+def _of_list(members: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a list that may link, and whether they are known to, by size, position, component and leader; some at a time."""
     order = np.lexsort((members["place"], members["n"]))
     rep, n, place, comp, lead, d = (members[k][order] for k in ("rep", "n", "place", "comp", "lead", "d"))
     sizes, first = np.unique(n, return_index=True)  # blocks of one size, by place
     last = np.append(first[1:], len(n))
     kinds, counts = np.unique(comp, return_counts=True)
     most = kinds[np.argmax(counts)]
-    xs, ys, sure = [], [], []
+    xs, ys, sure, size = [], [], [], 0
     for i in np.flatnonzero(comp != most):
         low, high = np.searchsorted(sizes, needed(n[i], percent)), np.searchsorted(sizes, 100 * n[i] // percent, "right")
         for block in range(low, high):
@@ -183,13 +186,16 @@ def _of_list(members: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray,
             xs.append(np.full(len(j), rep[i]))
             ys.append(rep[j])
             sure.append(same & (d[i] + d[j] <= apart))
-    if not xs:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate(xs), np.concatenate(ys), np.concatenate(sure)
+            size += len(j)
+            if size > _PAIRS:
+                yield np.concatenate(xs), np.concatenate(ys), np.concatenate(sure)
+                xs, ys, sure, size = [], [], [], 0
+    if xs:
+        yield np.concatenate(xs), np.concatenate(ys), np.concatenate(sure)
 
 
-def _candidates(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs x > y of sets in different components that may link; known: a leader's answers say that they do."""
+def _candidates(postings: DataFrame, percent: int, decided: bool = True) -> DataFrame:
+    """Pairs x > y of sets in different components that may link; known: a leader's answers say that they do (left out unless decided)."""
     open_lists = postings.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("token")
     left = postings.join(open_lists, "token")
     names = ["rep", "n", "place", "comp", "lead", "d"]
@@ -200,13 +206,15 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
         seen: set = set()
 
         def pairs():
-            a, b, known = _of_list({k: np.concatenate(v) for k, v in held.items()}, percent)
-            high, low = np.maximum(a, b), np.minimum(a, b)
-            new = [i for i, p in enumerate(zip(high.tolist(), low.tolist())) if p not in seen]
-            if len(seen) > 1_000_000:  # a memory of what this task has named already; repeats are removed later
-                seen.clear()
-            seen.update((int(high[i]), int(low[i])) for i in new)
-            return pa.RecordBatch.from_arrays([pa.array(high[new]), pa.array(low[new]), pa.array(known[new])], schema=schema)
+            for a, b, known in _of_list({k: np.concatenate(v) for k, v in held.items()}, percent):
+                if not decided:
+                    a, b, known = a[~known], b[~known], known[~known]
+                high, low = np.maximum(a, b), np.minimum(a, b)
+                new = [i for i, p in enumerate(zip(high.tolist(), low.tolist())) if p not in seen]
+                if len(seen) > 1_000_000:  # a memory of what this task has named already; repeats are removed later
+                    seen.clear()
+                seen.update((int(high[i]), int(low[i])) for i in new)
+                yield pa.RecordBatch.from_arrays([pa.array(high[new], pa.int64()), pa.array(low[new], pa.int64()), pa.array(known[new], pa.bool_())], schema=schema)
 
         for b in rows:
             tokens = b.column("token").to_numpy()
@@ -214,20 +222,43 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
             edges = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]]) if len(tokens) else [0]
             for x, y in zip(edges, edges[1:]):
                 if held and tokens[x] != token:
-                    yield pairs()
+                    yield from pairs()
                     held.clear()
                 token = tokens[x]
                 for k in names:
                     held[k].append(columns[k][x:y])
         if held:
-            yield pairs()
+            yield from pairs()
 
     dealt = left.repartition(partitions(postings.sparkSession), "token").sortWithinPartitions("token")
     return dealt.mapInArrow(f, "x long, y long, known boolean").groupBy("x", "y").agg(F.max("known").alias("known"))
 
 
-def joined(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (links found with other sets, by which components were made) of each document."""
+def _link_counts(sets: DataFrame, percent: int) -> DataFrame:
+    """rep and n_links, the number of other sets that it links with, of the sets that have any.
+
+    Sets of one leader count by size and distance from it where these decide; all other pairs of the lists are compared.
+    """
+    keys = ["lead", "n", "d"]
+    close = sets.filter(F.col("d") * percent <= F.col("n") * (100 - percent))  # others are decided with no set
+    kinds = close.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    other = kinds.select("lead", F.col("n").alias("n2"), F.col("d").alias("d2"), "c")
+    total = F.col("n") + F.col("n2")
+    apart = total - 2 * F.ceil(total * percent / (100 + percent))
+    sure = kinds.drop("c").join(other, "lead").filter(F.col("d") + F.col("d2") <= apart).groupBy(*keys).agg(F.sum("c").alias("l"))
+    own = close.select("rep", *keys).join(sure, keys)
+    itself = 2 * F.col("d") <= 2 * F.col("n") - 2 * F.ceil(2 * F.col("n") * percent / (100 + percent))
+    own = own.select("rep", (F.col("l") - itself.cast("long")).alias("l"))
+    pairs = written(_candidates(_postings(sets.withColumn("comp", F.col("rep")), percent), percent, decided=False).select("x", "y"), "jaccard-undecided")
+    links = verified(pairs, sets).filter(_linked(percent)).select(F.explode(F.array("x", "y")).alias("rep"), F.lit(1).cast("long").alias("l"))
+    return own.unionByName(links).groupBy("rep").agg(F.sum("l").alias("n_links"))
+
+
+def joined(docs: DataFrame, *, k: int = K, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and, if count_links, n_links (other distinct sets that its set links with) of each document.
+
+    The links of a component are many more than those that make it: counting compares each pair that no leader decides.
+    """
     found = document_sets(docs, k=k, percent=percent)
     may = found.filter("f1 is not null and doc_id is not null")
     reps = may.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max(F.struct("hashes", "codes", "k1", "k2")).alias("s"))
@@ -243,15 +274,16 @@ def joined(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> DataFrame:
     more = verified(pairs.filter("not known").select("x", "y"), sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))
     links = written(links.unionByName(more).unionByName(pairs.filter("known").select(F.col("x").alias("u"), F.col("y").alias("v"))).distinct(), "jaccard-links")
     comp = components(links)
-    degree = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = sets.select("f1", "f2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    classes = sets.select("f1", "f2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = classes.join(_link_counts(sets2, percent), "rep", "left") if count_links else classes.withColumn("n_links", F.lit(None))
     classes = classes.select("f1", "f2", F.coalesce("component", "rep").alias("c"), F.coalesce("n_links", F.lit(0)).alias("l"))
     alone = found.filter("f1 is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     rest = may.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"])
-    return alone.unionByName(rest.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("l").cast("long").alias("n_links")))
+    out = alone.unionByName(rest.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("l").cast("long").alias("n_links")))
+    return out if count_links else out.drop("n_links")
 
 
 def first_of_each(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay: of each component the smallest doc_id; all columns. Rows without doc_id stay; of rows that repeat a doc_id all stay."""
-    gone = joined(docs, k=k, percent=percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
+    gone = joined(docs, k=k, percent=percent, count_links=False).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

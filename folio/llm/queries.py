@@ -60,7 +60,7 @@ def op6_license_scan(spark, sf_dir):
 
 
 def op7_ngram_jaccard(spark, sf_dir):
-    return jaccard_join.joined(table(spark, sf_dir, "documents")).drop("n_links")
+    return jaccard_join.joined(table(spark, sf_dir, "documents"), count_links=False)
 
 
 def op8_language_id(spark, sf_dir):

@@ -85,6 +85,20 @@ def test_a_chain_of_near_copies_is_one_component(spark):
     assert got(jaccard_join.joined(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == brute.components(rows)
 
 
+def test_links_are_counted_within_groups_of_near_copies(spark):
+    r = random.Random(8)
+    base, rows = [f"w{i}" for i in range(120)], corpus(8)
+    for i in range(40):  # one to three changed words: some pairs are decided by the leader, others are not
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(120)] = f"x{i}"
+        rows.append((1000 + i, " ".join(w)))
+    sets = [frozenset(brute.shingle_set(t)) for _, t in rows]
+    links = {a: sum(a != b and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for b in set(sets)) for a in set(sets)}
+    found = got(jaccard_join.joined(frame(spark, rows)), "doc_id", "n_links")
+    assert found == sorted((d, links[a]) for (d, _), a in zip(rows, sets)) and max(n for _, n in found) > 10
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)]
     found = dict(got(components(spark.createDataFrame(edges, "u long, v long")), "node", "component"))
