@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -183,3 +183,51 @@ def byte_rows(data: np.ndarray, edges: np.ndarray) -> pa.Array:
     """A binary array whose values are data[edges[i]:edges[i+1]]."""
     raw = np.ascontiguousarray(data).view(np.uint8)
     return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+class Memory:
+    """Remembers what work gave for a key: about most keys at least, those used last; work treats many new keys at once."""
+
+    def __init__(self, work: Callable[[list[bytes]], list[bytes]], most: int) -> None:
+        self.work, self.most = work, most
+        self.now: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+
+    def of(self, keys: list[bytes]) -> list[bytes]:
+        """What belongs to each of some distinct keys."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        now, before = self.now, self.before
+        out = [now.get(k) for k in keys]
+        missing = [i for i, x in enumerate(out) if x is None]
+        new = []
+        for i in missing:
+            x = before.get(keys[i])
+            if x is None:
+                new.append(i)
+            else:
+                out[i] = now[keys[i]] = x
+        for i, x in zip(new, self.work([keys[i] for i in new]) if new else []):
+            out[i] = now[keys[i]] = x
+        return out
+
+
+def coded(data: np.ndarray, edges: np.ndarray, memory: Memory) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of data[edges[i]:edges[i+1]], end to end, and where each begins (one more entry); each distinct part is looked up once."""
+    if len(edges) < 2:
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    raw = pa.py_buffer(np.ascontiguousarray(data))
+    parts = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, np.int64)), raw]).dictionary_encode()
+    found = pa.array(memory.of(parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
+    return _laid(found)
