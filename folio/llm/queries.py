@@ -17,7 +17,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_token_files(spark, sf_dir):
-    return token_files.read_token_files(*token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
+    return token_files.read_token_files(spark, token_files.write_token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json")))
 
 
 def op2_suffix_dedup(spark, sf_dir):

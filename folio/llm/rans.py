@@ -22,6 +22,7 @@ LANES = 1024
 CHECKPOINT = 128
 MAGIC = b"FRNS"
 HEADER = struct.Struct("<4sHHIIIIIIII")
+SECTION = struct.Struct("<IIII")
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -67,6 +68,17 @@ class Table:
             self._symbols = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq)
         return self._symbols
 
+    def packed(self) -> bytes:
+        return zlib.compress(self.freq.astype("<u4").tobytes(), 6)
+
+    @classmethod
+    def unpacked(cls, raw: bytes, scale: int, crc: int) -> Table:
+        """A table that was written; its checksum is held against it."""
+        out = cls(np.frombuffer(zlib.decompress(raw), "<u4"), scale)
+        if out.crc != crc:
+            raise ValueError("the frequency table's checksum does not match")
+        return out
+
     def __getstate__(self):
         return self.freq, self.scale
 
@@ -122,30 +134,55 @@ class Block:
         at += 8 * self.lanes * marks
         self.words = np.frombuffer(body[at : at + 4 * words], "<u4")
 
+    def _bounds(self, mark: int) -> tuple[int, int]:
+        """How many tokens a part has, and where its words end."""
+        n = min(self.n - mark * self.every * self.lanes, self.every * self.lanes)
+        return n, int(self.offsets[mark + 1]) if mark + 1 < len(self.offsets) else len(self.words)
+
     def part(self, mark: int) -> np.ndarray:
         """The ids from one checkpoint to the next; needs nothing of the other parts."""
-        first = mark * self.every * self.lanes
-        last = min(self.n, first + self.every * self.lanes)
-        out = np.empty(last - first, np.uint32)
-        state, at = self.states[mark].astype(np.uint64), int(self.offsets[mark])
-        symbols, freq, cum = self.table.symbols, self.table.wide, self.table.cum
-        scale, mask = np.uint64(self.table.scale), np.uint64((1 << self.table.scale) - 1)
-        for a in range(0, last - first, self.lanes):
-            x = state[: min(self.lanes, last - first - a)]
-            slot = x & mask
-            s = symbols[slot]
-            out[a : a + len(x)] = s
-            x = freq[s] * (x >> scale) + slot - cum[s]
-            low = np.flatnonzero(x < _LOW)
-            x[low] = (x[low] << _WORD) | self.words[at : at + len(low)]
-            at += len(low)
-            state[: len(x)] = x
-        return out
+        n, end = self._bounds(mark)
+        return _decoded(self.states[mark], self.words[int(self.offsets[mark]) : end], n, self.table)
+
+    def section(self, mark: int) -> bytes:
+        """A part by itself, with a checksum of its own, to be decoded elsewhere by decode_section."""
+        n, end = self._bounds(mark)
+        body = self.states[mark].astype("<u8").tobytes() + self.words[int(self.offsets[mark]) : end].tobytes()
+        return SECTION.pack(self.lanes, n, self.table.crc, zlib.crc32(body)) + body
 
     def ids(self) -> np.ndarray:
         return np.concatenate([self.part(i) for i in range(len(self.offsets))]) if self.n else np.zeros(0, np.uint32)
 
 
+def _decoded(states: np.ndarray, words: np.ndarray, n: int, table: Table) -> np.ndarray:
+    out, lanes = np.empty(n, np.uint32), len(states)
+    state, at = states.astype(np.uint64), 0
+    symbols, freq, cum = table.symbols, table.wide, table.cum
+    scale, mask = np.uint64(table.scale), np.uint64((1 << table.scale) - 1)
+    for a in range(0, n, lanes):
+        x = state[: min(lanes, n - a)]
+        slot = x & mask
+        s = symbols[slot]
+        out[a : a + len(x)] = s
+        x = freq[s] * (x >> scale) + slot - cum[s]
+        low = np.flatnonzero(x < _LOW)
+        x[low] = (x[low] << _WORD) | words[at : at + len(low)]
+        at += len(low)
+        state[: len(x)] = x
+    return out
+
+
+def decode_section(raw: bytes, table: Table) -> np.ndarray:
+    """The ids of a block's part; its checksum and the table's are held against the bytes."""
+    lanes, n, table_crc, crc = SECTION.unpack_from(raw)
+    body = memoryview(raw)[SECTION.size :]
+    if table_crc != table.crc:
+        raise ValueError("the part was made with another frequency table")
+    if zlib.crc32(body) != crc:
+        raise ValueError("a part's checksum does not match")
+    return _decoded(np.frombuffer(body[: 8 * lanes], "<u8"), np.frombuffer(body[8 * lanes :], "<u4"), n, table)
+
+
 def crc32_combine(first: int, second: int, length: int) -> int:
     """CRC-32 of two byte strings joined, from those of each and the second's length."""
 

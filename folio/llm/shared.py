@@ -123,6 +123,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of [\\x20\\x09-\\x0D]."""
+    return _SPACE[data]
+
+
 class Words(NamedTuple):
     """Words of some texts: row of each, where it lies in the bytes, its hash; first: of each row's first word, one more entry."""
 

@@ -3,18 +3,22 @@
 Three jobs: (1) tokenise each text once, keep its ids (zstd, 2 or 4 bytes each) in the shared folder
 and count every id of the corpus; (2) deal the documents out by ranges of doc_id and write each range
 as one file of blocks, coded with the one table of all counts; (3) read blocks back, any block on any
-machine. A file is a run of rows (file, block, ...) with a self-contained binary block (see rans).
-Documents may span blocks, so memory is bounded by the block, not by the longest text.
+machine. A folder of token files stands alone: `table` holds the frequencies and their checksum, `blocks`
+runs of rows (file, block, ...) with a binary block each (see rans). A block's parts, from checkpoint to
+checkpoint, can be dealt out and decoded apart (token_ids with spread).
+Documents may span blocks; a task holds a block and the ids of one document, and while it tokenises
+a step of texts (about STEP_BYTES; a longer text is a step of its own) with some ten bytes for each byte of text.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id comes first; rows with the
 same doc_id follow each other in the order of a hash of their ids; an empty table gives no blocks; further columns are left
-alone.
+alone, whatever their names.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,17 +26,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.rans import Block, Table, crc32_combine, encode
-from folio.llm.shared import partitions, written
+from folio.llm.rans import Block, Table, crc32_combine, decode_section, encode
+from folio.llm.shared import Memory, Texts, coded, is_space, partitions, shared_dir, steps, written
 
 END = 1
 BLOCK_TOKENS = 1 << 18
-CACHE_PIECES = 600_000
-#: Separators for str.split that the tokenizer does not take for white space.
-_ODD = re.compile("[\x1c-\x1f]").search
+#: Pieces between white space, and words, that a worker remembers, about.
+REMEMBERED = 400_000
 #: Letters of Latin-1, which the tokenizer's normaliser only lower-cases, and a run of marks that it splits off.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
@@ -56,9 +59,7 @@ class Tokenizer:
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {"": b""}
+        self.pieces, self.plain, self.marks = (Memory(f, REMEMBERED) for f in (self._pieces, self._plain, self._each))
 
     @classmethod
     def at(cls, path: str) -> Tokenizer:
@@ -67,47 +68,50 @@ class Tokenizer:
             _tokenizers[path] = cls(path)
         return _tokenizers[path]
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(list(texts), add_special_tokens=False)]
+    def _each(self, texts: list) -> list[bytes]:
+        texts = [x.decode("utf-8", "replace") if isinstance(x, bytes) else x for x in texts]
+        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _plain(self, new: list[str]) -> None:
-        """Adds plain lower-case words to the known ones."""
-        for a in range(0, len(new), 2000):
-            some = new[a : a + 2000]
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Plain lower-case words."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 2000):
+            some = words[a : a + 2000]
             ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.type)
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) != len(some):
-                self.plain.update(zip(some, self._each(some)))
+                out += self._each(some)
                 continue
             raw, at, size = ids.tobytes(), 0, self.type.itemsize
-            for word, end in zip(some, (last * size).tolist()):
-                self.plain[word] = raw[at:end]
+            for end in (last * size).tolist():
+                out.append(raw[at:end])
                 at = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as bytes of self.type."""
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        if len(self.plain) > CACHE_PIECES:
-            self.plain.clear()
-            self.marks = {"": b""}
-        known, plain, marks = self.known, self.plain, self.marks
-        new = list(set().union(*split).difference(known))
-        parted = [_PLAIN(x) for x in new]
-        rest = [x for x, m in zip(new, parted) if m is None]
-        pairs = [(x, m[1].lower(), m[2]) for x, m in zip(new, parted) if m is not None]
-        self._plain(list({w for _, w, _ in pairs}.difference(plain)))
-        ends = list({m for _, _, m in pairs}.difference(marks))
-        marks.update(zip(ends, self._each(ends)))
-        known.update(zip(rest, self._each(rest)))
-        known.update([(x, plain[w] + marks[m]) for x, w, m in pairs])
-        out = [b"".join(map(known.__getitem__, x)) for x in split]
-        for i, t in enumerate(texts):
-            if _ODD(t):
-                out[i] = self._each([t])[0]
         return out
 
+    def _pieces(self, new: list[bytes]) -> list[bytes]:
+        """What stands between white space: plain words with marks behind them, or anything else."""
+        texts = [x.decode("utf-8", "replace") for x in new]
+        parted = [_PLAIN(x) for x in texts]
+        rest = iter(self._each([x for x, m in zip(texts, parted) if m is None]))
+        lower = {m[1]: m[1].lower() for m in parted if m is not None}
+        words, marks = list(set(lower.values())), list({m[2] for m in parted if m is not None})
+        word, mark = dict(zip(words, self.plain.of(words))), dict(zip(marks, self.marks.of(marks)))
+        return [next(rest) if m is None else word[lower[m[1]]] + mark[m[2]] for m in parted]
+
+    def encoded(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and where each text's begin (one more entry)."""
+        data, starts = texts
+        inside = ~is_space(data)
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = inside[1:] & ~inside[:-1]
+        edge[starts] = True
+        begin = np.flatnonzero(edge[:-1])  # of a piece, or of white space that starts a text
+        held = np.concatenate([[0], np.cumsum(inside)])
+        raw, at = coded(data[inside], np.append(held[begin], held[-1]), self.pieces)
+        ids, size = raw.view(self.type), self.type.itemsize
+        ends = at[np.searchsorted(begin, starts)] // size
+        return np.insert(ids, ends[1:], END), ends + np.arange(len(ends))
+
 
 _IDS = "doc_id long, n long, ids binary, counts boolean"
 _BLOCK = "file int, block int, first_token long, n_tokens long, doc_ids array<long>, payload binary"
@@ -119,21 +123,13 @@ def tokenised(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, Table]:
 
     def f(batches: Iterator[pa.RecordBatch]):
         t = Tokenizer.at(tokenizer)
-        press, counts, end = zstandard.ZstdCompressor(1), np.zeros(t.size, np.int64), np.array([END], t.type).tobytes()
-        for batch in batches:
-            texts = batch.column("text")
-            first = 0
-            while first < batch.num_rows:  # steps of about 1 MB
-                size, last = 0, first
-                held = []
-                while last < batch.num_rows and (not held or size < 1 << 20):
-                    held.append(texts[last].as_py() or "")
-                    size += len(held[-1])
-                    last += 1
-                found = [x + end for x in t.encode(held)]
-                counts += np.bincount(np.frombuffer(b"".join(found), t.type), minlength=t.size)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, last - first), pa.array([len(x) // t.type.itemsize for x in found], pa.int64()), pa.array([press.compress(x) for x in found], pa.binary()), pa.array([False] * len(held))], schema=schema)
-                first = last
+        press, counts = zstandard.ZstdCompressor(1), np.zeros(t.size, np.int64)
+        for batch, texts in steps(batches):
+            ids, at = t.encoded(texts)
+            counts += np.bincount(ids, minlength=t.size)
+            raw = memoryview(ids.tobytes())
+            packed = [press.compress(raw[x:y]) for x, y in zip((at * t.type.itemsize).tolist(), (at[1:] * t.type.itemsize).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(packed, pa.binary()), pa.array([False] * len(packed))], schema=schema)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([t.size], pa.int64()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary()), pa.array([True])], schema=schema)
 
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(f, _IDS), "token-ids", "none")
@@ -152,9 +148,15 @@ def tokenised(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, Table]:
     return rows.filter("not counts").drop("counts"), Table.of_counts(counts)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, *, block_tokens: int = BLOCK_TOKENS, files: int | None = None) -> tuple[DataFrame, Table]:
-    """Blocks of all documents, in files of ascending doc_id ranges, written; with the table they share."""
+def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, *, block_tokens: int = BLOCK_TOKENS, files: int | None = None) -> str:
+    """Writes a folder of token files (a new one in the shared folder unless path names one) and returns its path.
+
+    Blocks of all documents, in files of ascending doc_id ranges, and the frequency table they share.
+    """
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/folio/token-files-{uuid.uuid4().hex}"
     rows, table = tokenised(docs, tokenizer)
+    spark.createDataFrame([(table.scale, table.crc, table.packed())], "scale int, crc long, frequencies binary").coalesce(1).write.parquet(f"{path}/table")
     kind = Tokenizer.at(tokenizer).type
     schema = pa.schema([("file", pa.int32()), ("block", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
 
@@ -189,11 +191,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, block_tokens: int = BL
     n = files or partitions(docs.sparkSession)
     tie = F.xxhash64("ids")
     dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    return written(dealt.mapInArrow(f, _BLOCK), "token-blocks", "none"), table
+    dealt.mapInArrow(f, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    return path
+
+
+def opened_files(spark: SparkSession, path: str) -> tuple[DataFrame, Table]:
+    """The blocks of a folder of token files and their frequency table."""
+    row = spark.read.parquet(f"{path}/table").first()
+    return spark.read.schema(_BLOCK).parquet(f"{path}/blocks"), Table.unpacked(row.frequencies, row.scale, row.crc)
 
 
-def read_token_files(blocks: DataFrame, table: Table) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document, decoded from the blocks."""
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document, decoded from the files."""
+    blocks, table = opened_files(spark, path)
     pieces = written(_pieces(blocks, table), "token-pieces")
     # one row for each file
     files = blocks.groupBy("file").agg(F.sum("n_tokens").alias("n"))
@@ -201,18 +211,21 @@ def read_token_files(blocks: DataFrame, table: Table) -> DataFrame:
     files = files.select("file", F.coalesce(before, F.lit(0)).alias("before"))
     whole = pieces.filter("whole")
     parts = pieces.filter("not whole").groupBy("file", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("start", "n", "crc"))).alias("p"))
-    joined = F.udf(lambda p: _joined(p), "long")
-    spanning = parts.select("file", "doc_id", "start", "n", joined("p").alias("crc"))
+    spanning = parts.mapInArrow(_joined, "file int, doc_id long, start long, n long, crc long")
     found = whole.select("file", "doc_id", "start", "n", "crc").unionByName(spanning)
     return found.join(files, "file").select("doc_id", (F.col("start") + F.col("before")).alias("start"), F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
 
-def _joined(parts) -> int:
-    """The CRC of a document's pieces, of which there are as many as blocks that it spans."""
-    crc = 0
-    for _, n, c in parts:
-        crc = crc32_combine(crc, c, 4 * n)
-    return crc
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The CRC of each document's pieces p, of which there are as many as blocks that it spans."""
+    for b in batches:
+        out = []
+        for parts in b.column("p").to_pylist():
+            crc = 0
+            for x in parts:
+                crc = crc32_combine(crc, x["crc"], 4 * x["n"])
+            out.append(crc)
+        yield pa.RecordBatch.from_arrays([b.column("file"), b.column("doc_id"), b.column("start"), b.column("n"), pa.array(out, pa.int64())], names=["file", "doc_id", "start", "n", "crc"])
 
 
 def _pieces(blocks: DataFrame, table: Table) -> DataFrame:
@@ -235,17 +248,47 @@ def _pieces(blocks: DataFrame, table: Table) -> DataFrame:
     return blocks.select("file", "first_token", "doc_ids", "payload").mapInArrow(f, "file int, ordinal long, doc_id long, start long, n long, crc long, whole boolean")
 
 
-def token_ids(blocks: DataFrame, table: Table) -> DataFrame:
-    """doc_id, piece (its number within the document's file order) and ids: the general reader."""
+def token_ids(spark: SparkSession, path: str, *, spread: int | None = None) -> DataFrame:
+    """The general reader: doc_id, file, start (within its file) and ids of each document's pieces.
 
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    A piece ends with its document or its block; with spread, blocks are cut at their checkpoints, the parts are
+    dealt over that many tasks and decoded apart, and a piece ends with its part.
+    """
+    blocks, table = opened_files(spark, path)
+    schema = pa.schema([("doc_id", pa.int64()), ("file", pa.int32()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    cut = pa.schema([("file", pa.int32()), ("start", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("part", pa.binary())])
 
-    def f(batches):
+    def row(file: int, start: int, docs: list, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.full(len(docs), file, np.int32)), pa.array(start + at[:-1]), lists], schema=schema)
+
+    def whole(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                block = Block(b.column("payload")[i].as_py(), table)
-                ids, start = block.ids().astype(np.int32), np.concatenate([[0], np.cumsum(block.index[:, 1])])
-                lists = pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([b.column("doc_ids")[i].values, pa.array(start[:-1] + b.column("first_token")[i].as_py()), lists], schema=schema)
+            for r in b.to_pylist():
+                block = Block(r["payload"], table)
+                yield row(r["file"], r["first_token"], r["doc_ids"], block.index[:, 1], block.ids())
 
-    return blocks.select("first_token", "doc_ids", "payload").mapInArrow(f, "doc_id long, start long, ids array<int>")
+    def parted(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                block = Block(r["payload"], table)
+                ends = np.cumsum(block.index[:, 1])
+                for mark in range(len(block.offsets)):
+                    first = mark * block.every * block.lanes
+                    last = min(block.n, first + block.every * block.lanes)
+                    some = np.arange(np.searchsorted(ends, first, "right"), np.searchsorted(ends, last - 1, "right") + 1)
+                    sizes = np.minimum(ends[some], last) - np.maximum(ends[some] - block.index[some, 1], first)
+                    values = [[r["file"]], [r["first_token"] + first], [[r["doc_ids"][i] for i in some]], [sizes.tolist()], [block.section(mark)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, cut)], schema=cut)
+
+    def decoded(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                yield row(r["file"], r["start"], r["docs"], np.array(r["sizes"]), decode_section(r["part"], table))
+
+    out = "doc_id long, file int, start long, ids array<int>"
+    chosen = blocks.select("file", "first_token", "doc_ids", "payload")
+    if spread is None:
+        return chosen.mapInArrow(whole, out)
+    return chosen.mapInArrow(parted, "file int, start long, docs array<long>, sizes array<long>, part binary").repartition(spread).mapInArrow(decoded, out)

@@ -1,6 +1,7 @@
 import random
 import sys
 import zlib
+from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
@@ -53,7 +54,7 @@ def test_empty_tables(spark):
     assert licenses.scan(docs).count() == 0
     assert sharding.assign_shards(docs).count() == 0
     assert decontaminate.contaminated(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
-    assert token_files.read_token_files(*token_files.write_token_files(docs, vocabulary("word_bpe_49k.json"))).count() == 0
+    assert token_files.read_token_files(spark, token_files.write_token_files(docs, vocabulary("word_bpe_49k.json"))).count() == 0
 
 
 def test_extra_columns_and_null_ids(spark):
@@ -112,18 +113,33 @@ def test_exact(spark, digest):
     assert got(found, "doc_id", "keep_id", "group_size", "kept") == [r[:4] for r in brute.exact(rows)]
 
 
-def test_token_files(spark):
+def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
-    rows = corpus(4)
+    rows = corpus(4) + [(500, "a\x1cb\u00a0c \u3000d"), (501, "word " * 60_000), (502, " lead"), (503, "tail \n")]
     library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     want, start = [], 0
     for d, t in rows:
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    blocks, table = token_files.write_token_files(frame(spark, rows), vocabulary("word_bpe_49k.json"), block_tokens=700, files=3)
-    assert got(token_files.read_token_files(blocks, table), "doc_id", "start", "n_tokens", "ids_crc32") == want
+    path = f"{tmp_path}/files"
+    assert token_files.write_token_files(frame(spark, rows), vocabulary("word_bpe_49k.json"), path, block_tokens=70_000, files=2) == path
+    again = spark.newSession()  # the folder is all that a reader needs
+    assert got(token_files.read_token_files(again, path), "doc_id", "start", "n_tokens", "ids_crc32") == want
+    for spread in (None, 5):  # whole blocks; parts from checkpoint to checkpoint, apart
+        pieces = defaultdict(list)
+        for r in token_files.token_ids(again, path, spread=spread).collect():
+            pieces[r.file, r.doc_id].append((r.start, r.ids))
+        whole = {d: np.array([i for _, x in sorted(p) for i in x], "<u4") for (_, d), p in pieces.items()}
+        assert [(d, len(x), zlib.crc32(x.tobytes())) for d, x in sorted(whole.items())] == [(d, n, c) for d, _, n, c in want]
+
+
+def test_a_table_of_token_files_is_checked(spark, tmp_path):
+    path = token_files.write_token_files(frame(spark, corpus(4)), vocabulary("word_bpe_49k.json"), f"{tmp_path}/files")
+    row = spark.read.parquet(f"{path}/table").first()
+    with pytest.raises(ValueError):
+        rans.Table.unpacked(row.frequencies, row.scale, row.crc ^ 1)
 
 
 def test_rans_parts_and_checksums():
