@@ -38,6 +38,14 @@ def unpack(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def pressed(raw: bytes) -> bytes:
+    return _PRESS.compress(raw)
+
+
+def unpressed(raw: bytes) -> bytes:
+    return _OPEN.decompress(raw)
+
+
 def pack_sorted(x: np.ndarray) -> bytes:
     """Ascending unsigned numbers, as differences."""
     d = x.copy()
@@ -85,6 +93,16 @@ def opened(batch: pa.RecordBatch, i: int) -> tuple[int, list, Texts]:
     return batch.column("batch")[i].as_py(), batch.column("ids")[i].as_py(), Texts(data, np.concatenate([[0], np.cumsum(sizes)]))
 
 
+#: Bytes of text whose hashes one bucket, and so one task at a time, holds, about.
+BUCKET_BYTES = 64 << 20
+
+
+def bucket_count(batches: DataFrame, each: int = BUCKET_BYTES) -> int:
+    """Buckets for the hashes of such a table: they grow in number with its bytes, not in size; one for each partition at least."""
+    total = batches.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
+    return max(partitions(batches.sparkSession), -(-total // each))
+
+
 def spots(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket (upper half) and key (lower half) of 64-bit hashes."""
     high = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)

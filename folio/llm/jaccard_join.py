@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.components import components
-from folio.llm.exchange import batched, codes_of, counted, opened, pack, pack_sorted, spots, unpack, unpack_sorted
+from folio.llm.exchange import batched, bucket_count, codes_of, counted, opened, pack, pack_sorted, spots, unpack, unpack_sorted
 from folio.llm.shared import Texts, mixed, partitions, shingles, words, written
 
 K = 5
@@ -66,7 +66,7 @@ _SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()),
 def document_sets(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> DataFrame:
     """doc_id and n of every document; fingerprint, keys for leaders and the shingles that occur elsewhere of those that may link."""
     batches = batched(docs, "jaccard-batches")
-    buckets = partitions(docs.sparkSession)
+    buckets = bucket_count(batches)
 
     def f(rows):
         for b in rows:

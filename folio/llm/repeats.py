@@ -4,15 +4,16 @@ The named method, a difference-cover suffix sort, moves a key and a place of 16
 all bytes on each level, several times what the disk limit allows (figures in the README). Only strings
 of SPAN bytes matter here, so suffixes are sampled by content instead of by position: of each
 SPAN - GRAM + 1 neighbouring GRAM-byte strings the one with the smallest hash is an anchor. Equal strings of
-SPAN bytes hold equal anchors at equal places, so whatever repeats meets at an anchor, and about a tenth
+SPAN bytes hold equal anchors at equal places, so whatever repeats meets at an anchor, and about a fourteenth
 of all places is looked at. (1) Anchors are counted over all documents (see exchange); others take no
 further part. (2) Anchors that occur more than once are sent, with the bytes around them, to their
-bucket; there suffixes and prefixes around equal anchors are compared for every offset, and each
-string's smallest document is found. (3) The answers are laid over the texts.
+bucket; there the strings around equal anchors are brought together for every offset, and each
+string's smallest document is found. Hashes only bring strings together: their bytes are compared, and strings
+of one hash that differ are told apart. (3) The answers are laid over the texts.
 
 Defined cases: null and empty texts have no bytes; a null doc_id counts as larger than any other;
 rows with the same doc_id do not count as earlier than each other; an empty table gives an empty
-result; further columns are left alone.
+result; further columns are left alone, whatever their names. A text longer than a batch is a batch of its own.
 """
 
 from __future__ import annotations
@@ -22,16 +23,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.exchange import answers, batched, buckets_of, by_bucket, codes_of, counted, opened, pack, pack_sorted, spots, unpack, unpack_sorted
-from folio.llm.shared import Texts, hashes_between, mixed, partitions, prefix_sums, written
+from folio.llm.exchange import answers, batched, bucket_count, buckets_of, by_bucket, codes_of, counted, opened, pack, pack_sorted, pressed, spots, unpack, unpack_sorted, unpressed
+from folio.llm.shared import Texts, hashes_between, mixed, prefix_sums, written
 
 SPAN = 50
-GRAM = 32
+GRAM = 24
 SIDE = SPAN - GRAM
+WIDTH = SIDE + GRAM + SIDE
 #: Entries of a bucket that are compared at a time, about; a group of equal anchors is never parted.
 STEP_ENTRIES = 1 << 15
 _LAST = (1 << 63) - 1
@@ -73,14 +74,13 @@ def anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return places, mixed(gram[places])  # the smallest hashes, spread over all buckets again
 
 
-_KEPT = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary()), ("places", pa.binary()), ("free_ids", pa.list_(pa.int64())), ("free_sizes", pa.list_(pa.int64())), ("free_sha", pa.list_(pa.string()))])
+_KEPT = pa.schema([("batch", pa.int64()), ("places", pa.binary()), ("held", pa.int64()), ("free_ids", pa.list_(pa.int64())), ("free_sizes", pa.list_(pa.int64())), ("free_sha", pa.list_(pa.string()))])
 
 
-def _repeated(docs: DataFrame) -> DataFrame:
-    """Batches of the texts that hold an anchor that occurs elsewhere, with those anchors' places; other texts are done: id, size and SHA-256."""
+def _repeated(batches: DataFrame, buckets: int) -> DataFrame:
+    """Places of the anchors of each batch that occur elsewhere, and how many texts have one; other texts are done: id, size and SHA-256."""
 
     def f(rows):
-        press = zstandard.ZstdCompressor(3)
         for b in rows:
             for i in range(b.num_rows):
                 number, ids, texts = opened(b, i)
@@ -88,20 +88,15 @@ def _repeated(docs: DataFrame) -> DataFrame:
                 where = spots(gram, buckets)
                 if len(gram):
                     places = places[codes_of(b, i)[np.searchsorted(np.unique(where), where)] > 0]
-                row = np.searchsorted(texts.starts, places, "right") - 1
-                sizes = np.diff(texts.starts)
                 hit = np.zeros(len(ids), bool)
-                hit[row] = True
-                shift = np.concatenate([[0], np.cumsum(np.where(hit, 0, sizes))])  # bytes dropped before each text
-                body = b"".join(texts.data[texts.starts[j] : texts.starts[j + 1]].tobytes() for j in np.flatnonzero(hit))
+                hit[np.searchsorted(texts.starts, places, "right") - 1] = True
                 free = np.flatnonzero(~hit)
                 sha = [hashlib.sha256(texts.data[texts.starts[j] : texts.starts[j + 1]]).hexdigest() for j in free]
-                values = [[number], [[ids[j] for j in np.flatnonzero(hit)]], [sizes[hit].tolist()], [press.compress(body)], [pack_sorted((places - shift[row]).astype(np.uint64))], [[ids[j] for j in free]], [sizes[free].tolist()], [sha]]
+                values = [[number], [pack_sorted(places.astype(np.uint64))], [int(hit.sum())], [[ids[j] for j in free]], [np.diff(texts.starts)[free].tolist()], [sha]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(values, _KEPT)], schema=_KEPT)
 
-    buckets = partitions(docs.sparkSession)
-    found = counted(batched(docs, "repeat-batches"), lambda t: anchors(t)[1], buckets)
-    return written(found.mapInArrow(f, "batch long, ids array<long>, sizes array<long>, body binary, places binary, free_ids array<long>, free_sizes array<long>, free_sha array<string>"), "repeat-places", "none")
+    found = counted(batches, lambda t: anchors(t)[1], buckets)
+    return written(found.mapInArrow(f, "batch long, places binary, held long, free_ids array<long>, free_sizes array<long>, free_sha array<string>"), "repeat-places", "zstd")
 
 
 class Around(NamedTuple):
@@ -114,6 +109,7 @@ class Around(NamedTuple):
     gram: np.ndarray  # of each entry, ascending by bucket
     first: np.ndarray  # an anchor of each entry, of its smallest document
     bucket: np.ndarray
+    around: np.ndarray  # of each entry, SIDE bytes before, the anchor and SIDE bytes behind; 0 beyond the text
 
 
 def _around(b: pa.RecordBatch, i: int, buckets: int) -> tuple[list, Texts, Around]:
@@ -132,26 +128,28 @@ def _around(b: pa.RecordBatch, i: int, buckets: int) -> tuple[list, Texts, Aroun
     bucket = (spots(gram, buckets) >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((doc, whole, gram, bucket))
     new = np.ones(len(order), bool)
-    g, w = gram[order], whole[order]
-    new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1])
+    g, w, lines = gram[order], whole[order], _lines(texts, places, left, right)[order]
+    new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1]) | (lines[1:] != lines[:-1]).any(axis=1)
     entry = np.empty(len(order), np.int64)
     entry[order] = np.cumsum(new) - 1
     first = order[new]
-    return ids, texts, Around(places, doc, valid, entry, gram[first], first, bucket[first])
+    return ids, texts, Around(places, doc, valid, entry, gram[first], first, bucket[first], lines[new])
 
 
-def _sides(texts: Texts, places: np.ndarray) -> np.ndarray:
-    """SIDE bytes before (nearest first) and after each anchor; 0 beyond the batch, what lies in other texts is not looked at."""
+def _lines(texts: Texts, places: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """WIDTH bytes around each anchor; those more than left before it or right behind it, in other texts, are 0."""
     padded = np.concatenate([np.zeros(SIDE, np.uint8), texts.data, np.zeros(SIDE, np.uint8)])
-    at = np.concatenate([-1 - np.arange(SIDE), GRAM + np.arange(SIDE)])
-    return padded[places[:, None] + SIDE + at]
+    at = np.arange(WIDTH)
+    out = padded[places[:, None] + at]
+    out[(at < SIDE - left[:, None]) | (at >= SIDE + GRAM + right[:, None])] = 0
+    return out
 
 
-_SENT = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("gram", pa.binary()), ("sides", pa.binary()), ("valid", pa.binary()), ("docs", pa.binary())])
+_SENT = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("gram", pa.binary()), ("lines", pa.binary()), ("valid", pa.binary()), ("docs", pa.binary())])
 _BACK = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("masks", pa.binary())])
 
 
-def _masks(gram: np.ndarray, sides: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _masks(gram: np.ndarray, lines: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each entry the offsets (as bits) whose string of SPAN bytes starts in a document with a smaller id."""
     out = np.zeros(len(gram), np.uint32)
     order = np.argsort(gram, kind="stable")
@@ -167,24 +165,28 @@ def _masks(gram: np.ndarray, sides: np.ndarray, valid: np.ndarray, doc: np.ndarr
         k = np.searchsorted(edges, first + STEP_ENTRIES)
         last = edges[k] if k < len(edges) else len(order)
         own = order[first:last]
-        out[own] = _open_masks(gram[own], sides[own], valid[own], doc[own])
+        out[own] = _open_masks(gram[own], lines[own], valid[own], doc[own])
         first = last
     return out
 
 
-def _open_masks(gram: np.ndarray, sides: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def _open_masks(gram: np.ndarray, lines: np.ndarray, valid: np.ndarray, doc: np.ndarray, mix=mixed) -> np.ndarray:
     out = np.zeros(len(gram), np.uint32)
     sums = [np.zeros((len(gram), SIDE + 1), np.uint64), np.zeros((len(gram), SIDE + 1), np.uint64)]  # of the nearest bytes on each side
     for j in range(SIDE):
         factor = np.uint64(pow(0x9E3779B97F4A7C15, j + 1, 1 << 64))
-        for side, total in enumerate(sums):
-            total[:, j + 1] = total[:, j] + (sides[:, side * SIDE + j].astype(np.uint64) + np.uint64(1)) * factor
+        for at, total in zip((SIDE - 1 - j, SIDE + GRAM + j), sums):
+            total[:, j + 1] = total[:, j] + (lines[:, at].astype(np.uint64) + np.uint64(1)) * factor
     for o in range(SIDE + 1):
         some = np.flatnonzero((valid >> np.uint32(o)) & np.uint32(1))
         if not len(some):
             continue
-        key = mixed(mixed(gram[some] + mixed(sums[0][some, o])) + sums[1][some, SIDE - o])
+        key = mix(mix(gram[some] + mix(sums[0][some, o])) + sums[1][some, SIDE - o])
+        own = lines[some, SIDE - o : SIDE - o + SPAN]
         order = np.argsort(key)
+        if _clash(key[order], own[order]):  # two strings with one hash: their bytes are the key
+            key = np.unique(np.ascontiguousarray(own).view(f"S{SPAN}").reshape(-1), return_inverse=True)[1]
+            order = np.argsort(key)
         edges = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         least = np.repeat(np.minimum.reduceat(doc[some[order]], edges), np.diff(np.append(edges, len(order))))
         hit = some[order][least < doc[some[order]]]
@@ -192,13 +194,20 @@ def _open_masks(gram: np.ndarray, sides: np.ndarray, valid: np.ndarray, doc: np.
     return out
 
 
+def _clash(key: np.ndarray, strings: np.ndarray) -> bool:
+    """Whether two neighbours with equal keys have different bytes."""
+    same = np.flatnonzero(key[1:] == key[:-1])
+    return bool((strings[same] != strings[same + 1]).any())
+
+
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
 
 def removed_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed bytes, from start to before end) of each document."""
-    batches = _repeated(docs)
-    buckets = partitions(docs.sparkSession)
+    batches = batched(docs, "repeat-batches")
+    buckets = bucket_count(batches)
+    places = _repeated(batches, buckets)
 
     def send(rows):
         for b in rows:
@@ -210,7 +219,7 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
                 for k in full:
                     own = slice(edges[k], edges[k + 1])
                     who = a.first[own]
-                    values = [b.column("batch")[i].as_py(), int(k), pack_sorted(a.gram[own]), pack(_sides(texts, a.places[who]).reshape(-1)), pack(a.valid[who]), pack(a.doc[who])]
+                    values = [b.column("batch")[i].as_py(), int(k), pack_sorted(a.gram[own]), pressed(a.around[own].tobytes()), pack(a.valid[who]), pack(a.doc[who])]
                     for c, v in zip(out, values):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(out, _SENT)], schema=_SENT)
@@ -218,8 +227,8 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
     def answer(rows):
         for own in buckets_of(rows):
             gram = [unpack_sorted(r["gram"], np.uint64) for r in own]
-            sides = np.concatenate([unpack(r["sides"], np.uint8) for r in own]).reshape(-1, 2 * SIDE)
-            masks = _masks(np.concatenate(gram), sides, np.concatenate([unpack(r["valid"], np.uint32) for r in own]), np.concatenate([unpack(r["docs"], np.int64) for r in own]))
+            lines = np.frombuffer(b"".join(unpressed(r["lines"]) for r in own), np.uint8).reshape(-1, WIDTH)
+            masks = _masks(np.concatenate(gram), lines, np.concatenate([unpack(r["valid"], np.uint32) for r in own]), np.concatenate([unpack(r["docs"], np.int64) for r in own]))
             ends = np.cumsum([len(g) for g in gram])
             yield pa.RecordBatch.from_arrays([pa.array([r["batch"] for r in own], pa.int64()), pa.array([r["bucket"] for r in own], pa.int32()), pa.array([pack(m) for m in np.split(masks, ends[:-1])], pa.binary())], schema=_BACK)
 
@@ -237,8 +246,10 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
                     np.add.at(change, start + SPAN, -1)
                 covered = np.cumsum(change[:-1]) > 0
                 columns: list[list] = [[] for _ in range(6)]
-                for j, doc in enumerate(ids):
-                    s, e = texts.starts[j], texts.starts[j + 1]
+                hit = np.zeros(len(ids), bool)  # the other texts are done
+                hit[np.searchsorted(texts.starts, a.places, "right") - 1] = True
+                for j in np.flatnonzero(hit):
+                    doc, s, e = ids[j], texts.starts[j], texts.starts[j + 1]
                     gone = covered[s:e]
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                     kept = texts.data[s:e][~gone]
@@ -248,11 +259,12 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    held = batches.drop("free_ids", "free_sizes", "free_sha").filter("size(ids) > 0")
-    sent = by_bucket(held.mapInArrow(send, "batch long, bucket int, gram binary, sides binary, valid binary, docs binary"), buckets)
+    # named twice in the plan: Spark shuffles the batches once for both
+    held = batches.join(places.filter("held > 0").select("batch", "places"), "batch")
+    sent = by_bucket(held.mapInArrow(send, "batch long, bucket int, gram binary, lines binary, valid binary, docs binary"), buckets)
     back = answers(sent.mapInArrow(answer, "batch long, bucket int, masks binary"), "masks")
     found = held.join(back, "batch", "left").mapInArrow(laid, _OUT)
-    free = batches.select(F.explode(F.arrays_zip("free_ids", "free_sizes", "free_sha")).alias("x"))
+    free = places.select(F.explode(F.arrays_zip("free_ids", "free_sizes", "free_sha")).alias("x"))
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
     free = free.select(F.col("x.free_ids").alias("doc_id"), F.col("x.free_sizes").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("x.free_sha").alias("kept_sha256"), none.alias("spans"))
     return found.unionByName(free)

@@ -74,6 +74,20 @@ def test_repeats(spark, seed):
     assert got(repeats.removed_repeats(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(rows)
 
 
+def test_strings_with_one_hash_are_told_apart():
+    r = random.Random(11)
+    rows = [bytes(r.choice(b"ab") for _ in range(repeats.SIDE)) for _ in range(6)]
+    lines = [r.choice(rows) + b"x" * repeats.GRAM + r.choice(rows) for _ in range(200)]
+    doc, valid = np.arange(200) // 2, np.full(200, (1 << (repeats.SIDE + 1)) - 1, np.uint32)
+    want = []
+    for i, line in enumerate(lines):
+        own = [line[repeats.SIDE - o : repeats.SIDE - o + repeats.SPAN] for o in range(repeats.SIDE + 1)]
+        want.append(sum(1 << o for o, s in enumerate(own) if any(doc[j] < doc[i] and x[repeats.SIDE - o : repeats.SIDE - o + repeats.SPAN] == s for j, x in enumerate(lines))))
+    table = np.frombuffer(b"".join(lines), np.uint8).reshape(-1, repeats.WIDTH)
+    for mix in (repeats.mixed, lambda x: x & np.uint64(1)):
+        assert repeats._open_masks(np.zeros(200, np.uint64), table, valid, doc, mix).tolist() == want
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_components(spark, seed):
     rows = corpus(seed)
