@@ -3,27 +3,32 @@
 Each benchmark item has a weighted set of 5-word shingles (weight: how often it occurs) and a 64-bit
 SimHash of them. Windows of a document with as many words as an item are fingerprinted in the same
 way, at every word; a document with fewer words than the item is one window as a whole. Multi-index
-Hamming search over RADIUS + 1 blocks of bits (two fingerprints within RADIUS agree in one block at
-least) retrieves the items within RADIUS; the weighted Jaccard similarity of the shingles, sum of
+Hamming search retrieves the items within RADIUS: fingerprints are cut into BLOCKS blocks, and two within
+RADIUS differ by RADIUS // BLOCKS bits at most in one of them. An index of the items' blocks with up to one bit
+changed meets a window's block with the other bits changed, so none within the radius is missed, while a fingerprint
+at random meets an item in a few per cent of cases. The weighted Jaccard similarity of the shingles, sum of
 minima over sum of maxima, then decides exactly.
 
-Only windows that share a shingle with an item are fingerprinted: any other has similarity 0 with all
-items. SimHash is a retrieval by chance: a passage at the threshold may lie outside the radius. Since
-windows that share shingles with an item are few, the radius is wide (recall is measured in the tests).
+Only windows that share a shingle with some item are fingerprinted: any other has similarity 0 with all
+items. SimHash is a retrieval by chance: a passage at the threshold may lie outside the radius; recall
+over all windows is measured in the tests.
 Of neighbouring windows of one item, the best is reported, and of a passage in other text it is the one that fits.
 
-The items are a stated query set, checked in size (MAX_ITEM_WORDS words in all) before each task gets
-them; a larger set is treated in parts of that size, one after the other, against all documents.
+The items are a stated query set: the driver reads them in parts of MAX_ITEM_WORDS words (16 bytes for each
+word in a task), and each part is held against all documents.
 
 Defined cases: words are runs of characters other than [\\x20\\x09-\\x0D], A-Z as a-z; a null or empty
 text has no windows; an item with fewer than 5 words counts as one shingle and matches those words in
-a row; an item without words matches nothing; repeated items and rows are each reported; empty tables give an empty result.
+a row; an item without words matches nothing; repeated items and rows are each reported, a null id stays null; empty
+tables give an empty result; further columns are left alone, whatever their names; a text longer than a step (STEP_BYTES) is a step of its own.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +39,17 @@ from folio.llm.shared import Texts, mixed, steps, words
 
 K = 5
 THRESHOLD = 0.8
-RADIUS = 23
+RADIUS = 15
+BLOCKS = 4
 MAX_ITEM_WORDS = 2_000_000
 _BITS = np.arange(64, dtype=np.uint64)
 
 
+def _changes(bits: int) -> np.ndarray:
+    """All 16-bit numbers with up to so many bits."""
+    return np.array([sum(1 << b for b in c) for n in range(bits + 1) for c in combinations(range(16), n)], np.uint16)
+
+
 def runs_of(w_hash: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words, in place; the same values for the same words wherever they lie."""
     n = len(w_hash) - k + 1
@@ -67,6 +78,8 @@ class Items:
         raw = [(t or "").encode() for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
         w = words(Texts(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)))
+        if radius > 31:
+            raise ValueError("blocks don't select beyond a radius of 31 bits")
         self.radius, self.threshold = radius, threshold
         self.ids, self.words, self.bags, self.k = [], [], [], []
         for i, name in enumerate(ids):
@@ -81,34 +94,45 @@ class Items:
             self.bags.append((values, counts))
         self.words, self.k = np.array(self.words, np.int64), np.array(self.k, np.int64)
         self.prints = np.array([fingerprint((signs(v) * c[:, None]).sum(axis=0)[None, :])[0] for v, c in self.bags], np.uint64)
-        edges = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges, edges[1:])]
         # shingle -> items that have it, in a flat sorted form
         pairs = sorted((int(v), i) for i, (vs, _) in enumerate(self.bags) for v in vs)
         self.shingles = {}
         for k in sorted(set(self.k.tolist())):
             own = [p for p in pairs if self.k[p[1]] == k]
             self.shingles[k] = (np.array([p[0] for p in own], np.uint64), np.array([p[1] for p in own], np.int64))
-        # words, block and value -> items
-        self.index: dict = defaultdict(list)
-        for i, p in enumerate(self.prints):
-            for b, (shift, mask) in enumerate(self.blocks):
-                self.index[int(self.words[i]), b, int((p >> shift) & mask)].append(i)
-
-    def near(self, size: int, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self._of_size: dict[int, list] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_of_size": {}}  # made by each task, as sizes come up
+
+    def _blocks(self, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each block of the items of size words: which values are within reach of one, and the values with up to one bit changed, sorted, with their items."""
+        if size not in self._of_size:
+            own, out = np.flatnonzero(self.words == size), []
+            values = self.prints[own].view(np.uint16).reshape(-1, BLOCKS)
+            far, near = _changes(self.radius // BLOCKS), _changes(min(1, self.radius // BLOCKS))
+            for b in range(BLOCKS):
+                reach = np.zeros(1 << 16, bool)
+                reach[(values[:, b, None] ^ far).reshape(-1)] = True
+                keys = (values[:, b, None] ^ near).reshape(-1)
+                order = np.argsort(keys, kind="stable")
+                out.append((reach, keys[order], np.repeat(own, len(near))[order]))
+            self._of_size[size] = out
+        return self._of_size[size]
+
+    def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window, item of size words) whose fingerprints are within the radius, each once."""
-        found = []
-        for b, (shift, mask) in enumerate(self.blocks):
-            values = ((prints >> shift) & mask).astype(np.int64)
-            order = np.argsort(values, kind="stable")
-            distinct, first = np.unique(values[order], return_index=True)
-            bounds = np.append(first, len(order))
-            for j, v in enumerate(distinct.tolist()):
-                if items := self.index.get((size, b, v)):
-                    own = order[bounds[j] : bounds[j + 1]]
-                    found.append(np.stack([np.tile(own, len(items)), np.repeat(np.array(items), len(own))], axis=1))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = [np.zeros((0, 2), np.int64)]
+        values = np.ascontiguousarray(prints).view(np.uint16).reshape(-1, BLOCKS)
+        rest = _changes(max(0, self.radius // BLOCKS - 1))
+        for b, (reach, keys, items) in enumerate(self._blocks(size)):
+            some = np.flatnonzero(reach[values[:, b]])
+            asked = values[some, b, None] ^ rest
+            first, last = np.searchsorted(keys, asked), np.searchsorted(keys, asked, "right")
+            window, _ = np.nonzero(last > first)
+            at, n = first[last > first], (last - first)[last > first]
+            steps_ = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.stack([np.repeat(some[window], n), items[np.repeat(at, n) + steps_]], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
         close = np.bitwise_count(prints[pairs[:, 0]] ^ self.prints[pairs[:, 1]]) <= self.radius
         return pairs[close, 0], pairs[close, 1]
@@ -177,9 +201,12 @@ def best(found: list[tuple[int, int, float]], size: int) -> list[tuple[int, int,
     """Of an item's overlapping windows the most similar, then the first."""
     out, taken = [], defaultdict(list)
     for i, start, s in sorted(found, key=lambda x: (-x[2], x[1])):
-        if all(abs(start - t) >= size for t in taken[i]):
-            taken[i].append(start)
-            out.append((i, start, s))
+        own = taken[i]
+        at = bisect_left(own, start)
+        if (at and start - own[at - 1] < size) or (at < len(own) and own[at] - start < size):
+            continue
+        insort(own, start)
+        out.append((i, start, s))
     return out
 
 
@@ -197,16 +224,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, threshold: float = TH
     return chosen.sparkSession.createDataFrame([], _SCHEMA) if out is None else out
 
 
-def _parts(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
-    """The items in parts of MAX_ITEM_WORDS words at most (about); read in a stream, one part held at a time."""
+def _parts(benchmark: DataFrame, most: int = MAX_ITEM_WORDS) -> Iterator[tuple[list, list]]:
+    """The items in parts of most words at most, or of one item."""
     ids, texts, size = [], [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
-        ids.append(row[0])
-        texts.append(row[1] or "")
-        size += len(texts[-1]) // 4
-        if size > MAX_ITEM_WORDS:
+        n = len((row[1] or "").split())
+        if ids and size + n > most:
             yield ids, texts
             ids, texts, size = [], [], 0
+        ids.append(row[0])
+        texts.append(row[1] or "")
+        size += n
     if ids:
         yield ids, texts
 

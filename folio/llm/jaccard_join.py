@@ -17,7 +17,8 @@ bits for comparison.
 
 Defined cases: lower case of A-Z only; words are [^\\x20\\x09-\\x0D]+; fewer than 5 words make one
 shingle of all; null, empty or blank texts have an empty set and link with nothing; a row with
-a null doc_id takes part in no link (its component is null); repeated rows are each returned; an empty table gives an empty result; further columns are left alone.
+a null doc_id takes part in no link (its component is null); repeated rows are each returned; an empty table gives an empty result; further columns are left alone,
+whatever their names; a text longer than a batch (STEP_BYTES) is a batch of its own.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import components
 from folio.llm.exchange import batched, bucket_count, codes_of, counted, opened, pack, pack_sorted, spots, unpack, unpack_sorted
-from folio.llm.shared import Texts, mixed, partitions, shingles, words, written
+from folio.llm.shared import Texts, mixed, numbered, partitions, renamed, shingles, words, written
 
 K = 5
 PERCENT = 80
@@ -285,5 +286,6 @@ def joined(docs: DataFrame, *, k: int = K, percent: int = PERCENT, count_links:
 
 def first_of_each(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay: of each component the smallest doc_id; all columns. Rows without doc_id stay; of rows that repeat a doc_id all stay."""
-    gone = joined(docs, k=k, percent=percent, count_links=False).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = joined(docs, k=k, percent=percent, count_links=False).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    rows, name = numbered(docs)
+    return renamed(rows.join(gone, F.col(name["doc_id"]).cast("long") == F.col("gone"), "left_anti"), docs)

@@ -6,12 +6,13 @@ pieces, worked out by a forward algorithm; a text has the product over its words
 piece count as their UTF-8 bytes. Probabilities are learnt by expectation maximisation over the counted
 words of a bounded sample of training rows (TRAIN_ROWS of each language, by a hash), from a start that is
 the same for all languages; a task sends sums by language and piece, so what reaches the driver is bounded
-by vocabulary times languages. Words of LONGEST characters and more are scored, but not learnt from.
+by vocabulary times languages. Words of any length are learnt from, with sums of logarithms.
 
 Defined cases: a null text or one without a letter is `und` with score 0; rows without lang are not
 trained on; without any training rows every text is `und`; equal likelihoods go to the language that
 comes first in order; repeated rows count as often as they occur in training; an empty table gives an
-empty result; further columns are left alone.
+empty result; further columns are left alone, whatever their names; a null doc_id is scored like others; a text
+longer than a step (STEP_BYTES) is a step of its own.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from folio.llm.shared import hashes_between, prefix_sums, steps, written
 FOLDS = 5
 #: Rows of each language that a model is fitted to, about, at most.
 TRAIN_ROWS = 2_000
-#: Languages that a model can have: the piece table has a column for each.
-MAX_LANGS = 200
+#: Languages that are scored at a time: more take several passes over a word.
+LANGS_AT_ONCE = 200
 ROUNDS = 2
 SMOOTHING = 0.1
 UNKNOWN = "und"
@@ -157,25 +158,30 @@ class Model(NamedTuple):
         for own in chunks(words):
             some = [words[i] for i in own]
             arcs = lattice.arcs(some)
-            weight = _weights(arcs, self.table)
-            sizes = np.array([len(w) for w in some])
-            forward = np.zeros((len(some), sizes.max() + 1, len(self.langs)))
-            forward[:, 0] = 1
-            scale, done = np.zeros(len(some)), 0
-            for x, y in zip(arcs.edges, arcs.edges[1:]):
-                a, e = arcs.start[x], arcs.end[x]
-                if a >= done + 8:  # keep numbers in range
-                    done = a
-                    top = np.maximum(forward[:, a:].max(axis=(1, 2)), 1e-250)
-                    live = sizes > a
-                    forward[live, a:] /= top[live, None, None]
-                    scale[live] += np.log(top[live])
-                w = arcs.word[x:y]
-                forward[w, e] += forward[w, a] * weight[x:y]
-            out[own] = np.log(np.maximum(forward[np.arange(len(some)), sizes], 1e-300)) + scale[:, None]
+            for a in range(0, len(self.langs), LANGS_AT_ONCE):
+                part = slice(a, a + LANGS_AT_ONCE)
+                out[own, part] = _summed(arcs, _weights(arcs, self.table[:, part]), np.array([len(w) for w in some]))
         return out
 
 
+def _summed(arcs: Arcs, weight: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each word and language, log of the forward sum over the arcs."""
+    forward = np.zeros((len(sizes), sizes.max() + 1, weight.shape[1]))
+    forward[:, 0] = 1
+    scale, done = np.zeros(len(sizes)), 0
+    for x, y in zip(arcs.edges, arcs.edges[1:]):
+        a, e = arcs.start[x], arcs.end[x]
+        if a >= done + 8:  # keep numbers in range
+            done = a
+            top = np.maximum(forward[:, a:].max(axis=(1, 2)), 1e-250)
+            live = sizes > a
+            forward[live, a:] /= top[live, None, None]
+            scale[live] += np.log(top[live])
+        w = arcs.word[x:y]
+        forward[w, e] += forward[w, a] * weight[x:y]
+    return np.log(np.maximum(forward[np.arange(len(sizes)), sizes], 1e-300)) + scale[:, None]
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters, in lower case."""
     return _letters(text.lower())
@@ -196,13 +202,8 @@ def held_out(key: Column, folds: int = FOLDS) -> Column:
 def training_rows(docs: DataFrame, rows: int) -> DataFrame:
     """lang and text of about rows rows of each language at most, chosen by a hash of id and text."""
     some = docs.filter("lang is not null and text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.col("lang").cast("string").alias("lang"), "text")
-    counts = some.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages: each needs a column of every worker's piece table")
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, rows / r["count"]).otherwise(share)
-    return some.filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < share).drop("h")
+    shares = some.groupBy("lang").agg((rows / F.count(F.lit(1))).alias("share"))
+    return some.join(shares, "lang").filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < F.col("share")).drop("h", "share")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -227,31 +228,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(f, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-#: A factor for each character that keeps sums over words of up to LONGEST characters in range; it cancels out.
-_GROW = 30.0
-LONGEST = 64
-
-
 def _shares(words: list[str], n: np.ndarray, table: np.ndarray, lattice: Lattice) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pieces and their expected counts, for words of one language with probabilities table (a column)."""
     for own in chunks(words):
         some = [words[i] for i in own]
         arcs = lattice.arcs(some)
-        weight = _weights(arcs, table)[:, 0] * _GROW ** (arcs.end - arcs.start)
+        weight = np.log(np.maximum(_weights(arcs, table)[:, 0], 1e-300))
+        for k, pieces in arcs.spell.items():
+            weight[k] = np.log(np.maximum(table[pieces, 0], 1e-300)).sum()
         sizes = np.array([len(w) for w in some])
-        forward, backward = np.zeros((len(some), sizes.max() + 1)), np.zeros((len(some), sizes.max() + 1))
-        forward[:, 0] = 1
-        backward[np.arange(len(some)), sizes] = 1
+        forward, backward = (np.full((len(some), sizes.max() + 1), -np.inf) for _ in range(2))
+        forward[:, 0] = 0
+        backward[np.arange(len(some)), sizes] = 0
         groups = list(zip(arcs.edges, arcs.edges[1:]))
-        for x, y in groups:
-            w = arcs.word[x:y]
-            forward[w, arcs.end[x]] += forward[w, arcs.start[x]] * weight[x:y]
+        for x, y in groups:  # a word has one arc at most in each group
+            w, a, e = arcs.word[x:y], arcs.start[x], arcs.end[x]
+            forward[w, e] = np.logaddexp(forward[w, e], forward[w, a] + weight[x:y])
         for x, y in reversed(groups):
-            w = arcs.word[x:y]
-            backward[w, arcs.start[x]] += backward[w, arcs.end[x]] * weight[x:y]
-        whole = forward[np.arange(len(some)), sizes]
+            w, a, e = arcs.word[x:y], arcs.start[x], arcs.end[x]
+            backward[w, a] = np.logaddexp(backward[w, a], backward[w, e] + weight[x:y])
         w = arcs.word
-        share = n[own][w] * forward[w, arcs.start] * weight * backward[w, arcs.end] / np.maximum(whole[w], 1e-300)
+        share = n[own][w] * np.exp(forward[w, arcs.start] + weight + backward[w, arcs.end] - forward[w, sizes[w]])
         spelt = np.array(list(arcs.spell), np.int64)
         plain = np.ones(len(w), bool)
         plain[spelt] = False
@@ -286,7 +283,7 @@ def _expected(counts: DataFrame, langs: list[str], table: np.ndarray, path: str)
 
 def train(docs: DataFrame, vocabulary: str, *, rows: int = TRAIN_ROWS, rounds: int = ROUNDS, smoothing: float = SMOOTHING) -> Model | None:
     """Learns from rows of docs with a text and a lang, about rows of each language at most."""
-    counts = written(word_counts(training_rows(docs, rows)).filter(F.length("word") < LONGEST), "language-words")
+    counts = written(word_counts(training_rows(docs, rows)), "language-words")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not langs:
         return None

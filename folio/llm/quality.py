@@ -8,9 +8,10 @@ spread between groups (method of moments over grouped sums). A document's poster
 own odds times the odds that the rest of its path (the document itself left out) has against the corpus mean; sparse
 sites and paths stay near the mean.
 
-Defined cases: a null or empty text has features of an empty text; null host or path form a group of
-their own, as does an empty string; without labels of both kinds nothing is rejected; repeated rows count as often as they
-occur; empty tables give an empty result; further columns are left alone.
+Defined cases: a null or empty text has features of an empty text; a null host or path counts as an empty
+string; without labels of both kinds (none at all, or none that joins) nothing is rejected; a null doc_id joins no label
+and is scored like others; repeated rows count as often as they occur, and of repeated labels each is fitted to; empty
+tables give an empty result; further columns are left alone, whatever their names; a text longer than a step (STEP_BYTES) is a step of its own.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from folio.llm.shared import Texts, steps, words, written
+from folio.llm.shared import Texts, numbered, renamed, steps, words, written
 
 #: Labelled rows that the model is fitted to, at most.
 TRAIN_ROWS = 20_000
 KEEP = 0.5
+#: Numbers that features gives for a text.
+FEATURES = 14
 
 _CLASS = np.zeros((6, 256), np.uint8)  # upper, lower, digit, symbol, newline, other bytes
 _CLASS[0, 65:91] = 1
@@ -73,7 +76,7 @@ def features(texts: Texts) -> np.ndarray:
         by_row(same, w.first) / some, by_row(bare, w.first) / some, by_row(noisy, w.first) / some, distinct / some, distinct / np.sqrt(some),
         (upper / np.maximum(letters, 1) > 0.5).astype(float), (count == 0).astype(float), other / many,
     ]
-    return np.stack(out, axis=1) if n else np.zeros((0, len(out)))
+    return np.stack(out, axis=1) if n else np.zeros((0, FEATURES))
 
 
 class Model(NamedTuple):
@@ -113,21 +116,22 @@ def train(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Mode
 
     def f(batches):
         for batch, part in steps(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(list(features(part)), pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(features(part)), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    found = texts.mapInArrow(f, "y double, x array<double>").limit(2 * rows).toPandas()
-    return fit(np.array(found["x"].tolist()).reshape(len(found), -1), found["y"].to_numpy())
+    # of rows that repeat an id, those with the smallest features: at most rows, whatever the order of rows
+    found = texts.mapInArrow(f, "doc_id long, y double, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(rows).toPandas()
+    return fit(np.array(found["x"].tolist(), float).reshape(len(found), FEATURES), found["y"].to_numpy())
 
 
-def _append(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with the column _p, the model's probability (1 without a model)."""
+def _append(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """docs with the column p, the model's probability (1 without a model)."""
 
     def f(batches):
-        for batch, part in steps(batches):
+        for batch, part in steps(batches, text):
             p = model.probability(features(part)) if model else np.ones(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "_p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "p"])
 
-    return docs.mapInArrow(f, StructType([*docs.schema.fields, StructField("_p", DoubleType())]))
+    return docs.mapInArrow(f, StructType([*docs.schema.fields, StructField("p", DoubleType())]))
 
 
 def _strength(groups: DataFrame, parent_mean: Column) -> float:
@@ -154,43 +158,45 @@ class Priors(NamedTuple):
 
 
 def priors(scored: DataFrame) -> Priors:
-    """From _host, _path and _p of all documents, by grouped sums."""
-    paths = written(scored.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("n"), F.sum("_p").alias("s"), F.sum(F.col("_p") * F.col("_p")).alias("q")), "quality-paths")
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    """From host, path and p of all documents, by grouped sums."""
+    paths = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")), "quality-paths")
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     mean = min(max(total.s / total.n, 1e-4), 1 - 1e-4) if total.n else 0.5
     k = _strength(hosts, F.lit(mean))
-    site = hosts.select("_host", ((F.col("s") + k * mean) / (F.col("n") + k)).alias("site_posterior"))
-    paths = paths.join(site, "_host")
+    site = hosts.select("host", ((F.col("s") + k * mean) / (F.col("n") + k)).alias("site_posterior"))
+    paths = paths.join(site, "host")
     strength = _strength(paths, F.col("site_posterior"))
     return Priors(written(paths.drop("q"), "quality-priors"), mean, strength)
 
 
 def _decided(scored: DataFrame, p: Priors, keep: float) -> DataFrame:
     """scored with site_posterior, path_posterior, probability and keep."""
-    own = F.least(F.greatest(F.col("_p"), F.lit(1e-9)), F.lit(1 - 1e-9))
-    path = (F.col("s") - F.col("_p") + p.strength * F.col("site_posterior")) / (F.col("n") - 1 + p.strength)
+    own = F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
+    path = (F.col("s") - F.col("p") + p.strength * F.col("site_posterior")) / (F.col("n") - 1 + p.strength)
     path = F.least(F.greatest(path, F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = F.log(own / (1 - own)) + F.log(F.col("path_posterior") / (1 - F.col("path_posterior"))) - float(np.log(p.mean / (1 - p.mean)))
-    return scored.join(p.paths, ["_host", "_path"]).withColumn("path_posterior", path).withColumn("probability", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("probability") >= keep)
+    return scored.join(p.paths, ["host", "path"]).withColumn("path_posterior", path).withColumn("probability", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("probability") >= keep)
 
 
 def _keys(host: Column, path: Column) -> list[Column]:
-    return [F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(path.cast("string"), F.lit("")).alias("_path")]
+    return [F.coalesce(c.cast("string"), F.lit("")) for c in (host, path)]
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, rows: int = TRAIN_ROWS, keep: float = KEEP) -> DataFrame:
     """doc_id, evidence (the text's own probability), site_posterior, path_posterior, probability and keep of each document."""
     model = train(docs, labels, rows=rows)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_keys(host, path))
+    own, part = _keys(host, path)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("host"), part.alias("path"))
     scored = written(_append(slim, model).drop("text"), "quality-scores")
     found = _decided(scored, priors(scored), keep)
-    return found.select("doc_id", F.col("_p").alias("evidence"), "site_posterior", "path_posterior", "probability", "keep")
+    return found.select("doc_id", F.col("p").alias("evidence"), "site_posterior", "path_posterior", "probability", "keep")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, rows: int = TRAIN_ROWS, keep: float = KEEP) -> DataFrame:
     """The rows of docs that are kept, all columns. Sums come from a first pass; the second decides where the rows lie."""
     model = train(docs, labels, rows=rows)
-    keyed = docs.select(*docs.columns, *_keys(host, path))
-    p = priors(_append(keyed.select("text", "_host", "_path"), model).drop("text"))
-    return _decided(_append(keyed, model), p, keep).filter("keep").select(*docs.columns)
+    keyed, name = numbered(docs, *_keys(host, path))
+    keyed = keyed.withColumnsRenamed({"m0": "host", "m1": "path"})
+    p = priors(_append(keyed.select(name["text"], "host", "path"), model, name["text"]).drop(name["text"]))
+    return renamed(_decided(_append(keyed, model, name["text"]), p, keep).filter("keep"), docs)

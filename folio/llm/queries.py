@@ -64,8 +64,8 @@ def op7_ngram_jaccard(spark, sf_dir):
 
 
 def op8_language_id(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", language.held_out(F.col("doc_id")))
-    model = language.train(docs.filter("not held_out"), vocabulary("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~language.held_out(F.col("doc_id"))), vocabulary("piece_bpe_32k.model"))
     found = language.identify(docs, model)
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 

@@ -10,7 +10,8 @@ on bits of the document.
 
 Defined cases: a null text has 0 bytes; a null key or doc_id hashes as an empty string; a row over
 the limit is a shard of its own; rows that agree in all bits (repeated rows) fill numbered pages of one
-bucket; an empty table gives an empty result; further columns are left alone.
+bucket; an empty table gives an empty result; further columns are left alone, whatever their names; a text of any
+length is only measured and hashed.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.shared import written
+from folio.llm.shared import numbered, written
 
 STEP = 12
 ID_BITS = 60
 TEXT_BITS = 60
 LIMIT = 8 << 20
+#: Rows of a salted part that are numbered in one task, about, where all of a bucket's rows are alike.
+SALT_ROWS = 1_000_000
 
 
 def hash_bits(c: Column) -> Column:
@@ -71,8 +74,10 @@ def _pages(rows: DataFrame, limit: int, carried: tuple[str, ...]) -> DataFrame:
 
     Ordinals come in two steps, within salted parts and then by the parts' counts, so no task holds a whole bucket.
     """
-    # written first, so that the salts stay what they are
-    rows = written(rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(256))), "shard-overflow")
+    # written first, so that the numbers stay what they are
+    rows = written(rows.withColumn("salt", F.monotonically_increasing_id()), "shard-overflow")
+    salts = max(256, rows.count() // SALT_ROWS)
+    rows = rows.withColumn("salt", F.pmod("salt", F.lit(salts)))
     keys = ["shard", "n_bytes"]
     parts = rows.groupBy(*keys, "salt").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy(*keys).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,9 +97,15 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
 
     Each row is written once, whatever its doc_id: rows get numbers, written first so that they stay what they are.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "shard-docs")
-    places = assign_shards(rows, **options, carried=("_row",)).select("_row", F.concat(F.lit("s"), "shard", F.lit("_"), "page").alias("_shard"))
-    rows.join(places, "_row").drop("_row").repartition("_shard").write.partitionBy("_shard").parquet(path)
+    rows, name = numbered(docs)
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "shard-docs")
+    keyed = rows.select(F.col(name["doc_id"]).alias("doc_id"), F.col(name["text"]).alias("text"), "row")
+    places = assign_shards(keyed, **options, carried=("row",)).select("row", F.concat(F.lit("s"), "shard", F.lit("_"), "page").alias("folder"))
+    folder = "_shard"
+    while folder in docs.columns:
+        folder = f"_{folder}"
+    placed = rows.join(places, "row").drop("row").withColumnRenamed("folder", folder).repartition(folder)
+    placed.withColumnsRenamed({c: n for n, c in name.items()}).write.partitionBy(folder).parquet(path)
 
 
 ORACLE = f"""

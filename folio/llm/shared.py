@@ -9,16 +9,18 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Bytes of text that one step of a vectorised operator looks at; one longer text is a step of its own.
 STEP_BYTES = 1 << 21
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset, a temporary one, in local mode only (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-folio-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -190,15 +192,17 @@ def byte_rows(data: np.ndarray, edges: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(np.ascontiguousarray(edges, np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """Names for helper columns that no column of df has, whatever the case of its letters."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
+def numbered(docs: DataFrame, *more: Column) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns renamed to c0, c1, ... and more behind them, so that no helper column clashes; and the new name of each column."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    extra = [f"m{i}" for i in range(len(more))]
+    out = docs.select("*", *more).toDF(*names, *extra)
+    return out, dict(zip(docs.columns, names))
+
+
+def renamed(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns c0, c1, ... of df under the names they have in docs."""
+    return df.select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 class Memory:

@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -64,3 +64,20 @@ def exact(docs):
         keep = min(own, key=lambda i: (-len(docs[i][1] or ""), docs[i][0]))
         out += [(docs[i][0], docs[keep][0], len(own), docs[i][0] == docs[keep][0], hashlib.sha256(n.encode()).hexdigest()) for i in own]
     return sorted(out)
+
+
+def contaminated(rows, items):
+    """(doc, item) -> similarity of the best window of the item's size, where that is 0.8 at least."""
+    out, parted = {}, [(doc, words(text)) for doc, text in rows]
+    for item, t in items:
+        w = words(t)
+        k = min(5, len(w))
+        bag = Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+        for doc, v in parted:
+            for s in range(max(1, len(v) - len(w) + 1)):
+                x = v[s : s + len(w)]
+                own = Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+                both = sum((bag & own).values())
+                if both and both >= 0.8 * sum((bag | own).values()):
+                    out[doc, item] = max(out.get((doc, item), 0), both / sum((bag | own).values()))
+    return out

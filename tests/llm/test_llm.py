@@ -191,6 +191,44 @@ def test_language(spark):
     assert [odd[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and 0 <= odd[4].score <= 1
 
 
+def test_forward_and_expected_counts_by_enumeration():
+    path = vocabulary("piece_bpe_32k.model")
+    lattice, table = language.Lattice.at(path), language.start_table(path)
+    words = ["▁the", "▁house", "▁日x"]
+
+    def ways(arcs, n, at=0):
+        if at == n:
+            yield []
+        for k in range(len(arcs.piece)):
+            if arcs.start[k] == at:
+                for rest in ways(arcs, n, int(arcs.end[k])):
+                    yield [arcs.spell.get(k, [int(arcs.piece[k])]), *rest]
+
+    want, sums = np.zeros(len(table)), []
+    for word, n in zip(words, (1.0, 2.0, 3.0)):
+        paths = [[p for x in way for p in x] for way in ways(lattice.arcs([word]), len(word))]
+        weights = np.array([table[p, 0].prod() for p in paths])
+        sums.append(np.log(weights.sum()))
+        for p, w in zip(paths, weights / weights.sum()):
+            np.add.at(want, p, n * w)
+    assert np.allclose(language.Model(["x"], table, path).log_likelihoods(words)[:, 0], sums)
+    found = np.zeros(len(table))
+    for piece, share in language._shares(words, np.array([1.0, 2.0, 3.0]), table, lattice):
+        np.add.at(found, piece, share)
+    assert np.allclose(found, want)
+
+
+def test_languages_of_long_runs_and_many_languages(spark):
+    rows = [(i, f"{'日本語文書' * 30} x", "ja") for i in range(5)] + [(10 + i, "some words of another kind " * 5, "en") for i in range(5)]
+    rows += [(100 + i, f"q{'abcdefghij'[i % 10] * 3}{'klmnopqrst'[i // 10 % 10] * 3}{'uvw'[i // 100] * 3} " * 4, f"l{i:03}") for i in range(230)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, vocabulary("piece_bpe_32k.model"))
+    assert len(model.langs) == 232
+    found = dict(got(language.identify(docs, model), "doc_id", "lang_pred"))
+    assert all(found[d] == lang for d, _, lang in rows if d < 100)
+    assert sum(found[d] == lang for d, _, lang in rows) > 225
+
+
 def test_forward_sums_all_segmentations():
     path = vocabulary("piece_bpe_32k.model")
     table = language.start_table(path)
@@ -235,6 +273,37 @@ def test_decontamination_recall(spark):
     assert decontaminate.clean_documents(docs, bench).count() == len(rows) - len({d for d, _ in found})
 
 
+def test_decontamination_recall_at_the_threshold(spark):
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(r.choice([7, 9, 12, 15, 25, 40, 80])))) for i in range(60)]
+    rows = []
+    for n in range(600):
+        w = r.choice(items)[1].split()
+        for _ in range(r.randint(0, 2 + len(w) // 30)):  # mostly at the passage's ends, so that some stay similar
+            w[r.choice([0, 1, -1, -2, r.randrange(len(w))])] = r.choice(vocab)
+        rows.append((n, " ".join([r.choice(vocab) for _ in range(r.randint(0, 20))] + w + [r.choice(vocab) for _ in range(r.randint(0, 20))])))
+    want = brute.contaminated(rows, items)
+    found = set(got(decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id"))
+    assert found <= set(want) and len(want) > 150 and len(found) >= 0.9 * len(want)
+    close = {p for p, s in want.items() if s < 0.9}  # near the threshold
+    assert len(close) > 40 and len(found & close) >= 0.9 * len(close)
+
+
+def test_multi_index_finds_all_within_the_radius():
+    r = np.random.default_rng(5)
+    items = decontaminate.Items(list(range(50)), [" ".join(f"v{i}x{j}" for j in range(10)) for i in range(50)])
+    prints = np.concatenate([items.prints, r.integers(0, 1 << 63, 4000).astype(np.uint64)])
+    for i in range(3000):
+        p = int(items.prints[i % 50])
+        for b in r.choice(64, r.integers(0, 20), replace=False):
+            p ^= 1 << int(b)
+        prints[50 + i] = p
+    window, item = items.near(10, prints)
+    apart = np.bitwise_count(prints[:, None] ^ items.prints[None, :])
+    assert set(zip(window.tolist(), item.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(apart <= decontaminate.RADIUS))))
+
+
 def test_decontamination_of_documents_shorter_than_an_item(spark):
     r = random.Random(10)
     vocab = [f"w{i}" for i in range(3000)]
@@ -250,7 +319,7 @@ def test_decontamination_of_documents_shorter_than_an_item(spark):
     assert all(f == (f[0], f[0], 0, len(texts[f[0]].split()), 0, len(texts[f[0]])) and f[0] < 40 for f in found)
     assert len(found) >= 0.97 * 40
     assert decontaminate.clean_documents(docs, bench).count() == len(rows) - len(found)
-    assert [f[0] for f in got(decontaminate.contaminated(docs, bench, threshold=0.75, radius=63), "doc_id", "item_id") if f[0] >= 40] == [90]
+    assert [f[0] for f in got(decontaminate.contaminated(docs, bench, threshold=0.75, radius=31), "doc_id", "item_id") if f[0] >= 40] == [90]
 
 
 def test_licenses(spark):
