@@ -145,10 +145,18 @@ def _lines(texts: Texts, places: np.ndarray, left: np.ndarray, right: np.ndarray
     return out
 
 
-_SENT = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("gram", pa.binary()), ("lines", pa.binary()), ("valid", pa.binary()), ("docs", pa.binary())])
+_SENT = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("lines", pa.binary()), ("valid", pa.binary()), ("docs", pa.binary())])
 _BACK = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("masks", pa.binary())])
 
 
+def _grams(lines: np.ndarray) -> np.ndarray:
+    """Hashes of the anchors of such lines."""
+    out = np.zeros(len(lines), np.uint64)
+    for j in range(SIDE, SIDE + GRAM):
+        out = (out + lines[:, j].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed(out)
+
+
 def _masks(gram: np.ndarray, lines: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each entry the offsets (as bits) whose string of SPAN bytes starts in a document with a smaller id."""
     out = np.zeros(len(gram), np.uint32)
@@ -219,17 +227,17 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
                 for k in full:
                     own = slice(edges[k], edges[k + 1])
                     who = a.first[own]
-                    values = [b.column("batch")[i].as_py(), int(k), pack_sorted(a.gram[own]), pressed(a.around[own].tobytes()), pack(a.valid[who]), pack(a.doc[who])]
+                    values = [b.column("batch")[i].as_py(), int(k), pressed(a.around[own].tobytes()), pack(a.valid[who]), pack(a.doc[who])]
                     for c, v in zip(out, values):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(out, _SENT)], schema=_SENT)
 
     def answer(rows):
         for own in buckets_of(rows):
-            gram = [unpack_sorted(r["gram"], np.uint64) for r in own]
-            lines = np.frombuffer(b"".join(unpressed(r["lines"]) for r in own), np.uint8).reshape(-1, WIDTH)
-            masks = _masks(np.concatenate(gram), lines, np.concatenate([unpack(r["valid"], np.uint32) for r in own]), np.concatenate([unpack(r["docs"], np.int64) for r in own]))
-            ends = np.cumsum([len(g) for g in gram])
+            parts = [unpressed(r["lines"]) for r in own]
+            lines = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WIDTH)
+            masks = _masks(_grams(lines), lines, np.concatenate([unpack(r["valid"], np.uint32) for r in own]), np.concatenate([unpack(r["docs"], np.int64) for r in own]))
+            ends = np.cumsum([len(x) // WIDTH for x in parts])
             yield pa.RecordBatch.from_arrays([pa.array([r["batch"] for r in own], pa.int64()), pa.array([r["bucket"] for r in own], pa.int32()), pa.array([pack(m) for m in np.split(masks, ends[:-1])], pa.binary())], schema=_BACK)
 
     def laid(rows):
@@ -261,7 +269,7 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
 
     # named twice in the plan: Spark shuffles the batches once for both
     held = batches.join(places.filter("held > 0").select("batch", "places"), "batch")
-    sent = by_bucket(held.mapInArrow(send, "batch long, bucket int, gram binary, lines binary, valid binary, docs binary"), buckets)
+    sent = by_bucket(held.mapInArrow(send, "batch long, bucket int, lines binary, valid binary, docs binary"), buckets)
     back = answers(sent.mapInArrow(answer, "batch long, bucket int, masks binary"), "masks")
     found = held.join(back, "batch", "left").mapInArrow(laid, _OUT)
     free = places.select(F.explode(F.arrays_zip("free_ids", "free_sizes", "free_sha")).alias("x"))
