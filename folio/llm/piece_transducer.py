@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.shared import Memory, Texts, coded, steps
+from folio.llm.shared import STEP_BYTES, Memory, Texts, coded, steps
 
 MARK = "▁"
 #: Parts of texts that a worker remembers, about; pairs of pieces: four times as many.
@@ -312,7 +312,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
             if pc.any(pc.match_substring(marked, MARK)).as_py():  # a mark counts as a space
                 marked = pc.replace_substring(marked, MARK, " ")
             whole = pa.RecordBatch.from_arrays([batch.column("doc_id"), given, marked], names=["doc_id", "given", "text"])
-            for b, texts in steps(iter([whole])):
+            for b, texts in steps(iter([whole]), most=2 * STEP_BYTES):
                 ids, at = machine.encoded(texts)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("given").cast(pa.string()), pa.array(np.diff(at) // 4), _binary(ids, at)], schema=schema)
 

@@ -130,6 +130,11 @@ def is_space(data: np.ndarray) -> np.ndarray:
     return _SPACE[data]
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return _LOWER[data]
+
+
 class Words(NamedTuple):
     """Words of some texts: row of each, where it lies in the bytes, its hash; first: of each row's first word, one more entry."""
 

@@ -30,14 +30,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.rans import Block, Table, crc32_combine, decode_section, encode
-from folio.llm.shared import Memory, Texts, coded, is_space, partitions, shared_dir, steps, written
+from folio.llm.shared import STEP_BYTES, Memory, Texts, coded, is_space, lowered, partitions, shared_dir, steps, written
 
 END = 1
 BLOCK_TOKENS = 1 << 18
-#: Pieces between white space, and words, that a worker remembers, about.
+#: Pieces that a worker remembers, about.
 REMEMBERED = 400_000
-#: Letters of Latin-1, which the tokenizer's normaliser only lower-cases, and a run of marks that it splits off.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+#: Words of lower-case letters of Latin-1, in UTF-8: the tokenizer's normaliser leaves them as they are and its splitting takes them whole.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), 123, 125, 126]] = True  # not |, which special tokens hold behind letters
 
 _tokenizers: dict = {}
 
@@ -45,8 +48,8 @@ _tokenizers: dict = {}
 class Tokenizer:
     """Encodes with the tokenizers library; pieces between white space are encoded once and remembered.
 
-    Fits tokenizers whose splitting never crosses white space and drops it, ends each word's last token
-    in </w> and takes no notice of case, as word_bpe_49k.json does. New plain words are encoded many at a time,
+    Fits tokenizers whose splitting never crosses white space and drops it, parts letters from marks behind them, ends each
+    word's last token in </w> and takes no notice of case, as word_bpe_49k.json does. New plain words are encoded many at a time,
     in one text, and told apart by the tokens that end words.
     """
 
@@ -59,7 +62,7 @@ class Tokenizer:
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]] = True
-        self.pieces, self.plain, self.marks = (Memory(f, REMEMBERED) for f in (self._pieces, self._plain, self._each))
+        self.pieces = Memory(self._pieces, REMEMBERED)
 
     @classmethod
     def at(cls, path: str) -> Tokenizer:
@@ -68,45 +71,43 @@ class Tokenizer:
             _tokenizers[path] = cls(path)
         return _tokenizers[path]
 
-    def _each(self, texts: list) -> list[bytes]:
-        texts = [x.decode("utf-8", "replace") if isinstance(x, bytes) else x for x in texts]
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _each(self, texts: list[bytes]) -> list[bytes]:
+        found = self.library.encode_batch_fast([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.type).tobytes() for e in found]
 
-    def _plain(self, words: list[str]) -> list[bytes]:
-        """Plain lower-case words."""
-        out: list[bytes] = []
-        for a in range(0, len(words), 2000):
-            some = words[a : a + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.type)
+    def _pieces(self, new: list[bytes]) -> list[bytes]:
+        """Plain words, many in one text, and whatever else stands between white space or before marks."""
+        plain = [i for i, x in enumerate(new) if _PLAIN(x)]
+        out: list = [None] * len(new)
+        for a in range(0, len(plain), 2000):
+            some = plain[a : a + 2000]
+            ids = np.array(self.library.encode_batch_fast([b" ".join([new[i] for i in some]).decode()], add_special_tokens=False)[0].ids, self.type)
             last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != len(some):
-                out += self._each(some)
-                continue
-            raw, at, size = ids.tobytes(), 0, self.type.itemsize
-            for end in (last * size).tolist():
-                out.append(raw[at:end])
-                at = end
+            if len(last) == len(some):
+                raw, at, size = ids.tobytes(), 0, self.type.itemsize
+                for i, end in zip(some, (last * size).tolist()):
+                    out[i] = raw[at:end]
+                    at = end
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self._each([new[i] for i in rest])):
+            out[i] = x
         return out
 
-    def _pieces(self, new: list[bytes]) -> list[bytes]:
-        """What stands between white space: plain words with marks behind them, or anything else."""
-        texts = [x.decode("utf-8", "replace") for x in new]
-        parted = [_PLAIN(x) for x in texts]
-        rest = iter(self._each([x for x, m in zip(texts, parted) if m is None]))
-        lower = {m[1]: m[1].lower() for m in parted if m is not None}
-        words, marks = list(set(lower.values())), list({m[2] for m in parted if m is not None})
-        word, mark = dict(zip(words, self.plain.of(words))), dict(zip(marks, self.marks.of(marks)))
-        return [next(rest) if m is None else word[lower[m[1]]] + mark[m[2]] for m in parted]
-
     def encoded(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and where each text's begin (one more entry)."""
         data, starts = texts
         inside = ~is_space(data)
         edge = np.ones(len(data) + 1, bool)
         edge[1:-1] = inside[1:] & ~inside[:-1]
+        # marks behind a letter are split off by the tokenizer as well
+        letter = _LETTER[data]
+        letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        edge[1:-1] |= letter[:-1] & _MARK[data[1:]]
         edge[starts] = True
         begin = np.flatnonzero(edge[:-1])  # of a piece, or of white space that starts a text
         held = np.concatenate([[0], np.cumsum(inside)])
+        if not (data == 0x7C).any():  # without special tokens, which are told by their letters' case
+            data = lowered(data)
         raw, at = coded(data[inside], np.append(held[begin], held[-1]), self.pieces)
         ids, size = raw.view(self.type), self.type.itemsize
         ends = at[np.searchsorted(begin, starts)] // size
@@ -124,7 +125,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, Table]:
     def f(batches: Iterator[pa.RecordBatch]):
         t = Tokenizer.at(tokenizer)
         press, counts = zstandard.ZstdCompressor(1), np.zeros(t.size, np.int64)
-        for batch, texts in steps(batches):
+        for batch, texts in steps(batches, most=2 * STEP_BYTES):
             ids, at = t.encoded(texts)
             counts += np.bincount(ids, minlength=t.size)
             raw = memoryview(ids.tobytes())
