@@ -69,3 +69,33 @@ def gate(found: DataFrame, errors: list[str], most_warnings: int = 10) -> DataFr
     """One row: errors, warnings and whether the candidate may be published."""
     is_error = F.col("code").isin(errors)
     return found.agg(F.count_if(is_error).alias("errors"), F.count_if(~is_error).alias("warnings")).withColumn("publish", (F.col("errors") == 0) & (F.col("warnings") <= most_warnings))
+
+
+def moved(before: DataFrame, after: DataFrame, least: int = 30) -> DataFrame:
+    """before, after (keys) and kind of the texts of two revisions (key, text), by fingerprint.
+
+    Same key: unchanged or modified. A removed text of more than least characters that was added elsewhere has moved, to
+    the last key that has it; others are removed or added.
+    """
+    print_of = F.left(F.sha2(F.col("text").cast("binary"), 256), F.lit(16))
+    a = before.select("key", print_of.alias("a"), (F.length("text") > least).alias("long"), F.lit(True).alias("in_a"))
+    b = after.select("key", print_of.alias("b"), F.lit(True).alias("in_b"))
+    both = a.join(b, "key", "full_outer")
+    same = both.filter("in_a and in_b").select(F.col("key").alias("before"), F.col("key").alias("after"), F.when(F.col("a") == F.col("b"), "unchanged").otherwise("modified").alias("kind"))
+    gone, come = both.filter("in_b is null"), both.filter("in_a is null")
+    last = come.groupBy(F.col("b").alias("a")).agg(F.max("key").alias("to"))
+    gone = gone.join(last, "a", "left").withColumn("to", F.when(F.col("long"), F.col("to")))
+    left = gone.select(F.col("key").alias("before"), F.col("to").alias("after"), F.when(F.col("to").isNull(), "removed").otherwise("moved").alias("kind"))
+    taken = gone.filter("to is not null").select(F.col("to").alias("key")).distinct()
+    new = come.join(taken, "key", "left_anti").select(F.lit(None).cast("long").alias("before"), F.col("key").alias("after"), F.lit("added").alias("kind"))
+    return same.unionByName(left).unionByName(new)
+
+
+def set_equality(stored: DataFrame, source: DataFrame) -> DataFrame:
+    """law, code and problems of two sides (key, law, checksum) that must hold the same rows; of several errors the first in order counts."""
+    a, b = stored.select("key", F.col("law").alias("la"), F.col("checksum").alias("ca")), source.select("key", F.col("law").alias("lb"), F.col("checksum").alias("cb"))
+    both = a.join(b, "key", "full_outer")
+    code = F.when(F.col("cb").isNull(), 1).when(F.col("ca").isNull(), 2).when(F.col("ca") != F.col("cb"), 3)
+    first = F.min(code)
+    name = F.when(first == 1, "SOURCE_MISSING").when(first == 2, "STORED_MISSING").when(first == 3, "CHECKSUM_MISMATCH").otherwise("OK")
+    return both.groupBy(F.coalesce("la", "lb").alias("law")).agg(name.alias("code"), F.count(code).alias("problems"))

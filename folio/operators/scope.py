@@ -22,3 +22,13 @@ def visible(articles: DataFrame, laws: DataFrame, entries: DataFrame, ranges: Da
     whole = (F.col("mode") == "full") | (F.col("status") != "verified")
     part = listed.filter(~whole).join(ranges, "entry_id").filter(under(F.col("key"), F.col("top")))
     return listed.filter(whole).select(*articles.columns).unionByName(part.select(*articles.columns)).dropDuplicates(["id"])
+
+
+def of_organization(rows: DataFrame, organization: int | str) -> DataFrame:
+    """The rows that one organisation may see; a row without an organisation is seen by none."""
+    return rows.filter(F.col("organization") == organization)
+
+
+def has_role(held: Column, required: list[str]) -> Column:
+    """Whether one of the required roles is held."""
+    return F.coalesce(F.arrays_overlap(held, F.array(*[F.lit(r) for r in required])), F.lit(False))

@@ -29,3 +29,9 @@ def swapped(pointers: DataFrame, wanted: DataFrame) -> DataFrame:
     fits = F.col("current").eqNullSafe(F.col("expected"))
     outcome = F.when(F.col("next").isNull(), "kept").when(fits, "moved").otherwise("conflict")
     return joined.select("id", F.when(outcome == "moved", F.col("next")).otherwise(F.col("current")).alias("current"), outcome.alias("outcome"))
+
+
+def put(new: DataFrame, old: DataFrame) -> DataFrame:
+    """revision, checksum and outcome of putting new (revision, checksum) into a store that has old (revision, there): stored, kept or conflict."""
+    outcome = F.when(F.col("there").isNull(), "stored").when(F.col("there") == F.col("checksum"), "kept").otherwise("conflict")
+    return new.join(old, "revision", "left").select("revision", "checksum", outcome.alias("outcome"))
