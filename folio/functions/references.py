@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from folio.functions.text import kanji_value
 
@@ -29,6 +32,50 @@ def citations(texts: DataFrame) -> DataFrame:
     return texts.lateralJoin(Citations(F.col("text").outer())).select("id", "start", "end", texts.text.alias("whole"), "law", "number", "paragraph", "item").drop("whole")
 
 
+# What a reference may begin with, in order of priority, the law that it names and the level that it leads to.
+KINDS = (("法第", "act", "article"), ("令第", "order", "article"), ("別表第", "same", "appendix"), ("付表第", "same", "appendix"), ("(?<![法令])第", "same", "article"))
+_BELOW = rf"条(?:の(?P<branch>{_N}))?(?:第(?P<paragraph>{_N})項)?(?:第(?P<item>{_N})号)?"
+_PATTERNS = [(re.compile(f"{head}(?P<number>{_N})" + (_BELOW if level == "article" else "(?P<branch>(?!))?")), law, level) for head, law, level in KINDS]
+
+
+@udtf(returnType="start int, end int, reference string, number string, law string, level string")
+class References:
+    """A row for each reference in a text by start: kinds in order of priority, none where an earlier kind has claimed a character."""
+
+    def eval(self, text: str):
+        claimed: set[int] = set()
+        found = []
+        for pattern, law, level in _PATTERNS:
+            for m in pattern.finditer(text or ""):
+                own = range(m.start(), m.end())
+                if claimed.isdisjoint(own):
+                    claimed.update(own)
+                    number = "_".join(str(kanji_value(m[k])) for k in ("number", "branch") if m[k])
+                    found.append((m.start(), m.end(), m[0], number, law, level))
+        yield from sorted(found)
+
+
+def detected(texts: DataFrame) -> DataFrame:
+    """id and the references of each row of texts (id, text)."""
+    return texts.lateralJoin(References(F.col("text").outer())).select("id", "start", "end", "reference", "number", "law", "level")
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("text", StringType()), StructField("linked", BooleanType())])))
+def split_by_spans(text: pd.Series, spans: pd.Series) -> pd.Series:
+    """A text cut at the edges of its spans (start and end, in order, none overlapping), and which parts are links."""
+
+    def one(t: str, own) -> list[dict]:
+        out, at = [], 0
+        for s in own if own is not None else ():
+            if s["start"] > at:
+                out.append({"text": t[at : s["start"]], "linked": False})
+            out.append({"text": t[s["start"] : s["end"]], "linked": True})
+            at = s["end"]
+        return [*out, {"text": t[at:], "linked": False}] if at < len(t) else out
+
+    return pd.Series([one(t or "", s) for t, s in zip(text, spans)])
+
+
 def resolved(found: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """found with target where a target has its key (one for each), null otherwise."""
     known = targets.groupBy(*keys).agg(F.min("target").alias("target"))
@@ -40,13 +87,33 @@ def resolution_rate(found: DataFrame) -> DataFrame:
 
 
 def without_overlap(spans: DataFrame) -> DataFrame:
-    """Spans (id, start, end, rank) that no span of a smaller rank overlaps: what is stored wins over what is detected."""
-    before = Window.partitionBy("id").orderBy("start", "rank", "end")
-    # greedy from the left among equals: a span stays if it starts at or after all earlier ones' ends
-    stored = spans.groupBy("id").agg(F.collect_list(F.when(F.col("rank") == 0, F.struct("start", "end"))).alias("_stored"))
-    free = spans.join(stored, "id").filter((F.col("rank") == 0) | ~F.exists("_stored", lambda s: (s.start < F.col("end")) & (F.col("start") < s.end))).drop("_stored")
-    reach = F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1))
-    return free.withColumn("_reach", reach).filter((F.col("rank") == 0) | F.col("_reach").isNull() | (F.col("start") >= F.col("_reach"))).drop("_reach")
+    """Spans (id, start, end, rank) as they are merged: those of rank 0 are stored and stay; the others, by rank, start and end, stay where nothing that stays by then overlaps them.
+
+    What a span meets depends on each decision before it, so the spans of one id (one text's) are gone through in order.
+    """
+    schema = spans.schema
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        starts: list = []
+        ends: list = []
+        keep = []
+        for i, (start, end, rank) in enumerate(frame[["start", "end", "rank"]].itertuples(index=False)):
+            at = bisect_left(starts, end)  # of the disjoint runs claimed so far, those that begin before the end
+            free = not at or ends[at - 1] <= start
+            if rank and not free:
+                continue
+            keep.append(i)
+            if end <= start:
+                continue
+            first = bisect_left(ends, start)
+            last = max(first, bisect_right(starts, end))
+            starts[first:last], ends[first:last] = [min([start, *starts[first:last]])], [max([end, *ends[first:last]])]
+        return frame.iloc[keep]
+
+    def by_rank(frame: pd.DataFrame) -> pd.DataFrame:
+        return merged(frame.sort_values(["rank", "start", "end"], kind="stable"))
+
+    return spans.groupBy("id").applyInPandas(by_rank, schema)
 
 
 def hrefs(html: Column) -> Column:

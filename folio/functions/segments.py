@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from folio.functions.text import fingerprint, kanji_value, normal_body
+from folio.functions.text import appendix_slug, fingerprint, kanji_value, normal_body
 
 # Elements that hold numbered text, with the step of a path that each gives.
-LEVELS = {"Chapter": "chap", "Section": "sec", "Article": "art", "Paragraph": "para", "Item": "item", "Subitem1": "sub"}
+LEVELS = {"Part": "part", "Chapter": "chap", "Section": "sec", "Subsection": "subsec", "Division": "div", "Article": "art", "Paragraph": "para", "Item": "item"} | {f"Subitem{i}": "sub" for i in range(1, 11)}
+HEADINGS = ("Part", "Chapter", "Section", "Subsection", "Division")
 SUPPLEMENT = "SupplProvision"
-APPENDIX = "AppdxTable"
-NOT_BODY = {"ArticleCaption", "ArticleTitle", "ParagraphNum", "ItemTitle", "Subitem1Title", "ChapterTitle", "SectionTitle", "AppdxTableTitle", "SupplProvisionLabel", "Rt"}
+APPENDICES = ("AppdxTable", "AppdxStyle", "AppdxNote", "AppdxFormat", "AppdxFig", "Appdx", "SupplProvisionAppdxTable", "SupplProvisionAppdxStyle", "SupplProvisionAppdx")
+TITLES = {f"{x}Title" for x in (*LEVELS, *APPENDICES)}
+NOT_BODY = TITLES | {"ArticleCaption", "ArticleTitle", "ParagraphNum", "ItemTitle", "Subitem1Title", "ChapterTitle", "SectionTitle", "AppdxTableTitle", "SupplProvisionLabel", "Rt"}
 
 
 def _number(node: ET.Element, order: int) -> str:
@@ -50,22 +52,26 @@ class Segments:
         number = 0
         todo = [(top, "")]
         supplements = appendices = 0
+        slugs: dict[str, int] = {}
         while todo:
             node, path = todo.pop()
             below = path
             if node.tag == SUPPLEMENT:
                 supplements += 1
                 below = f"suppl:{node.get('AmendLawNum') or supplements}"
-            elif node.tag in LEVELS or node.tag == APPENDIX:
-                if node.tag == APPENDIX:
+            elif node.tag in LEVELS or node.tag in APPENDICES:
+                if node.tag in APPENDICES:
                     appendices += 1
-                    below = f"appdx-{appendices}"
-                elif node.tag in ("Chapter", "Section"):
+                    title = next((c.text for c in node if c.tag in TITLES), None)
+                    below = f"{path + '/' if path else ''}appdx-{appendix_slug(node.tag.removeprefix(SUPPLEMENT), title or '') or appendices}"
+                    slugs[below] = slugs.get(below, 0) + 1
+                    below += f"-{slugs[below]}" if slugs[below] > 1 else ""
+                elif node.tag in HEADINGS:
                     below = path  # an article keeps its address when chapters change
                 else:
                     # place among the siblings of its kind, for elements without a number
                     below = "/".join(x for x in (path, LEVELS[node.tag] + _number(node, int(node.get("_place", "1")))) if x)
-                heading = next((c.text for c in node if c.tag in ("ArticleCaption", "ArticleTitle", "ChapterTitle", "SectionTitle", "AppdxTableTitle")), None)
+                heading = next((c.text for c in node if c.tag == "ArticleCaption" or c.tag in TITLES), None)
                 number += 1
                 yield below, node.tag, heading, _text(node).strip(), number, None
             places: dict[str, int] = {}

@@ -62,7 +62,7 @@ def kanji_value(text: str | None) -> int | None:
     """Value of a numeral written with units or digit by digit; None for anything else."""
     if not text:
         return None
-    text = unicodedata.normalize("NFKC", text)
+    text = unicodedata.normalize("NFKC", text).replace("零", "〇")
     if text.isdecimal():
         return int(text)
     if all(x in DIGITS for x in text):
@@ -90,6 +90,67 @@ def kanji_number(s: pd.Series) -> pd.Series:
     return s.map(kanji_value).astype("Int64")
 
 
+_DECIMAL = re.compile(r"([〇零一二三四五六七八九]*)[・.．]([〇零一二三四五六七八九]+)").fullmatch
+
+
+def reader_number(text: str | None) -> str | None:
+    """A numeral as readers write it in digits, fractions after a dot included; what is no numeral stays as it is."""
+    if text is None:
+        return None
+    if m := _DECIMAL(text):
+        return f"{kanji_value(m[1]) or 0}.{''.join(str(kanji_value(x)) for x in m[2])}"
+    value = kanji_value(text)
+    return text if value is None else str(value)
+
+
+@F.pandas_udf(StringType())
+def reader_numbers(s: pd.Series) -> pd.Series:
+    return s.map(reader_number, na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def digits_in_title(s: pd.Series) -> pd.Series:
+    """A title with each of its numerals in digits."""
+    return s.map(lambda x: _NUMERAL.sub(lambda m: str(kanji_value(m[0])), x), na_action="ignore")
+
+
+@F.pandas_udf(StringType())
+def fraction(s: pd.Series) -> pd.Series:
+    """Parts of a whole (three parts' two) with a stroke; what is no fraction stays as it is."""
+
+    def one(x: str) -> str:
+        below, _, above = x.partition("分の")
+        a, b = kanji_value(above), kanji_value(below)
+        return x if a is None or b is None else f"{a}/{b}"
+
+    return s.map(one, na_action="ignore")
+
+
+def quantity(n: Column) -> Column:
+    """A whole number with the names of its myriads, digits between them; groups of nothing are left out."""
+    n = n.cast("long")
+    parts = [(F.floor(n / 10**8), "億"), (F.floor(n / 10**4) % 10**4, "万"), (n % 10**4, "")]
+    text = F.concat(*[F.when(x > 0, F.concat(x.cast("long").cast("string"), F.lit(name))).otherwise("") for x, name in parts])
+    return F.when(n == 0, "0").otherwise(text)
+
+
+# Kinds of appendices, by the element's name.
+APPENDICES = (("AppdxTable", "table"), ("AppdxStyle", "style"), ("AppdxNote", "note"), ("Appdx", "appdx"))
+
+
+def appendix_slug(tag: str, title: str) -> str | None:
+    """Kind and number of an appendix; None without either."""
+    kind = next((slug for name, slug in APPENDICES if tag.startswith(name)), None)
+    m = re.search("第(.+)$", title or "")
+    parts = [kanji_value(x) for x in m[1].split("の")] if m else [None]
+    return None if kind is None or None in parts else f"{kind}-{'-'.join(map(str, parts))}"
+
+
+@F.pandas_udf(StringType())
+def appendix_slugs(tag: pd.Series, title: pd.Series) -> pd.Series:
+    return pd.Series([appendix_slug(a, b) for a, b in zip(tag, title)], dtype=object)
+
+
 def to_kanji(n: Column) -> Column:
     """1 to 9999 with units; null otherwise."""
     n = n.cast("int")
