@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def inserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old and those rows of new whose key it lacks; of new rows with one key any one."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+def _one_each(new: DataFrame, keys: list[str], order: list[Column] | None) -> DataFrame:
+    """Of rows with one key the first in order; unless given, by all columns, so that the same row wins each time."""
+    by = Window.partitionBy(*keys).orderBy(*(order or [F.col(c) for c in new.columns]))
+    return new.withColumn("_place", F.row_number().over(by)).filter("_place = 1").drop("_place")
 
 
-def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """old with rows replaced by those of new with the same key, and the others of new added."""
-    both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_age"))
-    return both.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_age")
+def inserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """old and those rows of new whose key it lacks; of new rows with one key the first in order."""
+    return old.unionByName(_one_each(new, keys, order).join(old.select(*keys), keys, "left_anti"))
+
+
+def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """old with rows replaced by those of new with the same key, and the others of new added; of new rows with one key the first in order."""
+    fresh = _one_each(new, keys, order)
+    return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
 
 
 def set_once(df: DataFrame, column: str, value: Column, when: Column) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,19 +32,35 @@ def holds_on(day: Column, start: Column, end: Column) -> Column:
     return (start <= day) & (end.isNull() | (day < end))
 
 
-def as_of(versions: DataFrame, days: DataFrame, key: str, version: str) -> DataFrame:
-    """Outcome of each key and day: resolved (with the version), ambiguous or out_of_range; never the nearest.
+def _outcomes(found: DataFrame, version: str) -> DataFrame:
+    outcome = F.when(F.col("matches") == 1, "resolved").when(F.col("matches") > 1, "ambiguous").otherwise("out_of_range")
+    return found.withColumn("outcome", outcome).withColumn(version, F.when(F.col("matches") == 1, F.col(version)))
+
+
+def _coverage() -> list[Column]:
+    """first_day and last_day of a key's versions; an open end is null."""
+    return [F.min("valid_from").alias("first_day"), F.when(~F.bool_or(F.col("valid_to").isNull()), F.max("valid_to")).alias("last_day")]
 
-    days has a column day and is a small stated set; each version is compared with each day in place.
+
+def as_of(versions: DataFrame, days: Sequence[date], key: str, version: str) -> DataFrame:
+    """Outcome of each key and stated day: resolved (with the version), ambiguous or out_of_range; never the nearest.
+
+    Each day is an aggregate of one grouping by key, so versions are shuffled once, partly aggregated.
     """
-    keys = versions.groupBy(key).agg(F.min("valid_from").alias("first_day"), F.max(F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))).alias("last_day"))
-    listed = F.array(*[F.lit(r.day) for r in days.select("day").distinct().orderBy("day").collect()])
-    hit = versions.select(key, version, "valid_from", "valid_to", F.explode(listed).alias("day")).filter(holds_on(F.col("day"), F.col("valid_from"), F.col("valid_to")))
-    hits = hit.groupBy(key, "day").agg(F.count(F.lit(1)).alias("matches"), F.min(version).alias(version))
-    every = keys.select(key, "first_day", F.when(F.col("last_day") != F.lit("9999-12-31").cast("date"), F.col("last_day")).alias("last_day"), F.explode(listed).alias("day"))
-    out = every.join(hits, [key, "day"], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
-    outcome = F.when(F.col("matches") == 1, "resolved").when(F.col("matches") > 1, "ambiguous").otherwise("out_of_range")
-    return out.withColumn("outcome", outcome).withColumn(version, F.when(F.col("matches") == 1, F.col(version)))
+    told = []
+    for day in days:
+        hit = holds_on(F.lit(day), F.col("valid_from"), F.col("valid_to"))
+        told.append(F.struct(F.lit(day).alias("day"), F.count_if(hit).alias("matches"), F.min(F.when(hit, F.col(version))).alias(version)))
+    found = versions.groupBy(key).agg(*_coverage(), F.array(*told).alias("_days"))
+    return _outcomes(found.select(key, "first_day", "last_day", F.inline("_days")), version)
+
+
+def as_asked(versions: DataFrame, asked: DataFrame, key: str, version: str) -> DataFrame:
+    """The same for each row of asked (key, day), any number of them: a join by key and one grouping."""
+    wanted = asked.select(key, "day").distinct()
+    hit = holds_on(F.col("day"), F.col("valid_from"), F.col("valid_to"))
+    found = wanted.join(versions, key).groupBy(key, "day").agg(*_coverage(), F.count_if(hit).alias("matches"), F.min(F.when(hit, F.col(version))).alias(version))
+    return _outcomes(found, version)
 
 
 def overlaps(df: DataFrame, keys: list[str], start: str, end: str, tie: str) -> DataFrame:

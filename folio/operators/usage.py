@@ -30,17 +30,37 @@ def recommended(counts: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+#: Items that a pack may have: it is made by hand, and pairs grow with its square.
+MAX_PACK = 100
+
+
+def pack_counts(packs: DataFrame) -> DataFrame:
+    """item, related and n: in how many packs two items are together. packs: pack, item; a pack of more than MAX_PACK items is an error."""
+    packs = packs.select("pack", "item").distinct()
+    size = packs.groupBy("pack").agg(F.count(F.lit(1)).alias("size"))
+    checked = size.filter(F.when(F.col("size") > MAX_PACK, F.raise_error(F.lit("a pack has too many items")).cast("boolean")).otherwise(F.col("size") > 1))
+    kept = packs.join(checked.select("pack"), "pack")
+    other = kept.select("pack", F.col("item").alias("related"))
+    return kept.join(other, "pack").filter("item <> related").groupBy("item", "related").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cold_start(packs: DataFrame, k: int) -> DataFrame:
-    """Items that share a pack with an item, most shared first. packs: pack, item; a pack is a short list made by hand."""
-    other = packs.select("pack", F.col("item").alias("related"))
-    pairs = packs.join(other, "pack").filter("item <> related").groupBy("item", "related").agg(F.count_distinct("pack").alias("n"))
-    return recommended(pairs, k)
+    """Items that share a pack with an item, most shared first."""
+    return recommended(pack_counts(packs), k)
+
+
+def with_fallback(seen: DataFrame, shared: DataFrame, views: DataFrame, k: int, *, least: int = 50) -> DataFrame:
+    """item, related, source and rank: of items with least views at least what was seen after them, of others, and where nothing was, what shares a pack."""
+    warm = views.filter(F.col("views") >= least).select("item")
+    first = seen.join(warm, "item", "left_semi").withColumn("source", F.lit("seen together"))
+    rest = shared.join(first.select("item").distinct(), "item", "left_anti").withColumn("source", F.lit("pack"))
+    return recommended(first.unionByName(rest), k).select("item", "related", "source", "rank")
 
 
 def matching_rules(rules: DataFrame, conditions: DataFrame) -> DataFrame:
     """Rules whose JSON list of values has the value that a subject has under the rule's key. conditions: subject, key, value."""
     listed = rules.withColumn("value", F.explode(F.from_json("condition_values", "array<string>"))).dropDuplicates(["rule_id", "value"])
-    return conditions.join(F.broadcast(listed) if rules.count() < 10_000 else listed, (conditions.key == listed.condition_key) & (conditions.value == listed.value)).select("subject", "rule_id", "label", "level", "place")
+    return conditions.join(listed, (conditions.key == listed.condition_key) & (conditions.value == listed.value)).select("subject", "rule_id", "label", "level", "place")
 
 
 def highlights(matched: DataFrame) -> DataFrame:

@@ -42,10 +42,10 @@ J9 = "SELECT c_custkey, c_name FROM customer WHERE c_acctbal < 0 OR EXISTS (SELE
 
 
 def j15_prefix_ranges(spark, sf_dir):
-    """Pages under one of their site's tops; the stated tops are few and meet the pages by site first."""
-    tops = spark.createDataFrame([("/fr",), ("/en",), ("/de/1",)], "top string")
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1).alias("path"))
-    return pages.join(F.broadcast(tops), under(F.col("path"), F.col("top"))).groupBy("top").agg(F.count(F.lit(1)).alias("n"))
+    """Pages under one of some tops: they meet by the first step of their paths, then by the whole prefix."""
+    tops = spark.createDataFrame([("/fr",), ("/en",), ("/de/1",)], "top string").withColumn("step", F.split_part("top", F.lit("/"), F.lit(2)))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1).alias("path")).withColumn("step", F.split_part("path", F.lit("/"), F.lit(2)))
+    return pages.join(tops, "step").filter(under(F.col("path"), F.col("top"))).groupBy("top").agg(F.count(F.lit(1)).alias("n"))
 
 
 J15 = """WITH p AS (SELECT regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path FROM pages), t(top) AS (VALUES ('/fr'), ('/en'), ('/de/1'))

@@ -336,3 +336,42 @@ def u6_merged_spans(spark, sf_dir):
     start = F.col("l_partkey") % 40
     s = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), start.alias("start"), (start + F.col("l_suppkey") % 9 + 1).alias("end"), F.when(F.col("l_linenumber") <= 2, 0).otherwise(1).alias("rank"))
     return references.without_overlap(s)
+
+
+@query(_SEGMENTS + """, r AS (SELECT doc_id, path, count(*) AS n FROM s GROUP BY 1, 2) SELECT 'EMPTY_BODY' AS code, level AS node, count(*) AS n FROM s WHERE body = '' GROUP BY 1, 2
+UNION ALL SELECT 'DUPLICATE_ANCHOR', 'fingerprint', count(*) FROM (SELECT 1 FROM s WHERE body <> '' GROUP BY doc_id, body HAVING count(*) > 1) UNION ALL SELECT 'DUPLICATE_PATH', 'path', count(*) FROM r WHERE n > 1""")
+def v6_segment_checks(spark, sf_dir):
+    """Segments with an empty body, by level; texts that stand twice in a law; paths that occur twice."""
+    s = segments.segmented(_laws(spark, sf_dir))
+    empty = s.filter("body_normalized = ''").groupBy(F.lit("EMPTY_BODY").alias("code"), F.col("level").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    anchors = s.filter("body_normalized <> ''").groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").agg(F.count(F.lit(1)).alias("n"))
+    paths = s.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").agg(F.count(F.lit(1)).alias("n"))
+    one = anchors.select(F.lit("DUPLICATE_ANCHOR").alias("code"), F.lit("fingerprint").alias("node"), "n")
+    return empty.unionByName(one).unionByName(paths.select(F.lit("DUPLICATE_PATH").alias("code"), F.lit("path").alias("node"), "n"))
+
+
+@query("""WITH a AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a FROM orders), l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey) AS i FROM lineitem),
+c AS (SELECT doc_id, sum(length('（order' || o_orderkey || '）')) AS n FROM a GROUP BY 1), b AS (SELECT doc_id, sum(length('part' || l_partkey)) AS n, sum(length(i::VARCHAR)) AS numbers FROM a JOIN l ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT doc_id, (c.n + coalesce(b.n, 0) + 11)::BIGINT AS captured, (c.n + coalesce(b.n, 0) + 11 + coalesce(b.numbers, 0))::BIGINT AS total, (c.n + coalesce(b.n, 0) + 11) / (c.n + coalesce(b.n, 0) + 11 + coalesce(b.numbers, 0)) < 0.95 AS low FROM c LEFT JOIN b USING (doc_id)""")
+def v7_extraction(spark, sf_dir):
+    """How much of each law's text is in segments, and where it is less than 95 per cent."""
+    raw = _laws(spark, sf_dir)
+    e = segments.extraction(segments.segmented(raw), raw)
+    return e.select("doc_id", F.col("captured").cast("long").alias("captured"), F.col("total").cast("long").alias("total"), (F.col("rate") < 0.95).alias("low"))
+
+
+@query(_SEGMENTS + """SELECT doc_id, path, level, sha256('{"body":"' || body || '","level":"' || level || '"}') AS content, sha256('{"body":"' || body || '"}') AS body_checksum FROM s""")
+def n17_parsed_nodes(spark, sf_dir):
+    """Nodes of laws with checksums of their content and of their body alone."""
+    s = segments.segmented(_laws(spark, sf_dir))
+    content, body = F.struct("body", "level"), F.struct("body")
+    return s.select("doc_id", "path", "level", *[F.sha2(F.to_json(c).cast("binary"), 256).alias(n) for c, n in ((content, "content"), (body, "body_checksum"))])
+
+
+def n11_normal_bodies(spark, sf_dir):
+    """Every document's fingerprint after Unicode compatibility composition and with single spaces."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.fingerprint(text.normal_body(F.col("text"))).alias("fingerprint"))
+
+
+#: Unicode composition can't be written in SQL: held against plain Python in the tests.
+QUERIES["n11_normal_bodies"] = n11_normal_bodies

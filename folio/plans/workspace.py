@@ -408,3 +408,69 @@ def e11_dev_split(spark, sf_dir):
     cases = o.join(li, "l_orderkey").select("case", "category", "target").distinct()
     hits = cases.join(F.broadcast(top), F.col("target") == F.col("item"), "left").groupBy("case", "category").agg(F.count(F.lit(1)).alias("targets"), F.count("item").alias("hits"))
     return hits.groupingSets([["category"], []], "category").agg(F.count(F.lit(1)).alias("cases"), F.round(F.sum("hits") / F.sum("targets"), 6).alias("recall"))
+
+
+# More of the same
+
+
+@query("SELECT coalesce(max(o_orderdate), TIMESTAMP '1970-01-01') AS version FROM orders")
+def a1_corpus_version(spark, sf_dir):
+    """The newest change of all, or a fixed time where there is none."""
+    return table(spark, sf_dir, "orders").agg(F.coalesce(F.max("o_orderdate"), F.expr("timestamp_ntz'1970-01-01'")).alias("version"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = (SELECT n_nationkey FROM nation WHERE n_name = 'NATION_3')")
+def j12_by_name(spark, sf_dir):
+    """Customers of a nation by its name: one key looked up."""
+    key = table(spark, sf_dir, "nation").filter("n_name = 'NATION_3'").select(F.col("n_nationkey").alias("c_nationkey"))
+    return table(spark, sf_dir, "customer").join(F.broadcast(key), "c_nationkey").select("c_custkey")
+
+
+@query("SELECT page_id FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p FROM pages) WHERE p = '/fr' OR starts_with(p, '/fr/')")
+def p7_under(spark, sf_dir):
+    """Pages at or below one path."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1).alias("p"))
+    return p.filter(scope.under(F.col("p"), F.lit("/fr"))).select("page_id")
+
+
+@query("SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role))::INT - 1 AS sequence FROM conversations")
+def w9_sequence(spark, sf_dir):
+    """A running number within each document, from nought."""
+    rows = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(rows.alias("r")).select("conv_id", F.posexplode("r").alias("sequence", "x")).select("conv_id", "x.turn", "sequence")
+
+
+@query("""SELECT term, doc_id, row_number() OVER (PARTITION BY term ORDER BY head DESC, doc_id)::INT AS rank FROM (SELECT t.term, doc_id, contains(left(text, 40), t.term) AS head FROM documents, (VALUES ('License'), ('zzzz'), ('und'), ('the ')) t(term) WHERE contains(text, t.term)) QUALIFY rank <= 10""")
+def o10_top_ten(spark, sf_dir):
+    """Ten answers at most to each of a stated list of terms, those with it near the front first."""
+    terms = F.filter(F.transform(F.array(*[F.lit(t) for t in ("License", "zzzz", "und", "the ")]), lambda t: F.struct(t.alias("term"), F.contains("text", t).alias("hit"), F.contains(F.left("text", F.lit(40)), t).alias("head"))), lambda x: x.hit)
+    found = table(spark, sf_dir, "documents").select("doc_id", F.inline(terms))
+    by = Window.partitionBy("term").orderBy(F.desc("head"), "doc_id")
+    return found.withColumn("rank", F.row_number().over(by)).filter("rank <= 10").select("term", "doc_id", "rank")
+
+
+_ITEMS = "SELECT user_id AS u, props->>'k' AS item, event_id // 4 AS pack, ts, event_id FROM events"
+
+
+@query(f"""WITH e AS ({_ITEMS}), v AS (SELECT item, count(*) AS views FROM e GROUP BY 1), x AS (SELECT item, ts, lag(item) OVER w AS p, lag(ts) OVER w AS pt FROM e WINDOW w AS (PARTITION BY u ORDER BY ts, event_id)),
+c AS (SELECT p AS item, item AS related, count(*) AS n FROM x WHERE p <> item AND ts <= pt + INTERVAL 600 MINUTE GROUP BY 1, 2), k AS (SELECT DISTINCT pack, item FROM e),
+s AS (SELECT a.item, b.item AS related, count(DISTINCT pack) AS n FROM k a JOIN k b USING (pack) WHERE a.item <> b.item GROUP BY 1, 2),
+r AS (SELECT c.item, related, n, 'seen together' AS source FROM c JOIN v USING (item) WHERE views >= 50 UNION ALL SELECT s.item, related, n, 'pack' FROM s JOIN v USING (item) WHERE views < 50 OR s.item NOT IN (SELECT item FROM c))
+SELECT item, related, source, row_number() OVER (PARTITION BY item ORDER BY n DESC, related)::INT AS rank FROM r QUALIFY rank <= 3""")
+def r4_with_fallback(spark, sf_dir):
+    """Three recommendations for each item: what was seen after it, or for one with fewer than 50 views, or without any such, what shares a pack with it."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("user"), "ts", F.col("event_id").alias("tie"), F.get_json_object("props", "$.k").alias("item"))
+    return usage.with_fallback(usage.cooccurrences(e, minutes=600), usage.pack_counts(e.select(F.floor(F.col("tie") / 4).alias("pack"), "item").distinct()), e.groupBy("item").agg(F.count(F.lit(1)).alias("views")), 3)
+
+
+@query("""WITH h AS (SELECT p_name AS label, max(ts) AS t FROM events JOIN part ON p_partkey = (props->>'k')::BIGINT WHERE user_id = 8 AND contains(p_name, 'small') GROUP BY 1 ORDER BY t DESC, label LIMIT 5),
+a AS (SELECT label, 0 AS source FROM h UNION ALL SELECT DISTINCT p_name, 1 FROM part WHERE starts_with(p_name, 'small') UNION ALL SELECT 'No. ' || p_partkey, 2 FROM part WHERE starts_with(p_partkey::VARCHAR, '12'))
+SELECT label, min(source)::INT AS source FROM a GROUP BY 1 ORDER BY source, label LIMIT 10""")
+def k6_with_history(spark, sf_dir):
+    """Suggestions from one reader's last five matches, then names, then numbers with a prefix; each once, ten at most."""
+    p = table(spark, sf_dir, "part")
+    e = table(spark, sf_dir, "events").filter("user_id = 8").select(F.get_json_object("props", "$.k").cast("long").alias("p_partkey"), "ts")
+    history = e.join(p, "p_partkey").filter(F.contains("p_name", F.lit("small"))).groupBy(F.col("p_name").alias("label")).agg(F.max("ts").alias("t")).orderBy(F.desc("t"), "label").limit(5).select("label", F.lit(0).alias("source"))
+    names = p.filter(F.startswith("p_name", F.lit("small"))).select(F.col("p_name").alias("label"), F.lit(1).alias("source")).distinct()
+    numbers = p.filter(F.startswith(F.col("p_partkey").cast("string"), F.lit("12"))).select(F.concat(F.lit("No. "), F.col("p_partkey").cast("string")).alias("label"), F.lit(2).alias("source"))
+    return history.unionByName(names).unionByName(numbers).groupBy("label").agg(F.min("source").alias("source")).orderBy("source", "label").limit(10)
