@@ -29,9 +29,41 @@ def expanded(nodes: DataFrame, *, most: int = MAX_DEPTH) -> DataFrame:
     return out
 
 
-def subtree(tree: DataFrame, top: str) -> DataFrame:
-    """top and all below it."""
-    return tree.filter((F.col("id") == top) | F.array_contains("ancestors", top))
+def _up(nodes: DataFrame, top: str, most: int = MAX_DEPTH) -> list:
+    """The nodes from the root down to top, one row each; found by looking one parent up at a time."""
+    chain, seen, now = [], set(), top
+    while now is not None and now not in seen:
+        row = nodes.filter(F.col("id") == now).select("id", "parent", "place").first()
+        if row is None:
+            break
+        seen.add(now)
+        chain.append(row)
+        now = row.parent
+        if len(chain) > most:
+            raise ValueError(f"the tree is deeper than {most} levels")
+    return chain[::-1]
+
+
+def _down(nodes: DataFrame, level: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
+    """level (id, parent, place, depth, path, ancestors, root) and all below it: a join for each level, with the rows of that level alone."""
+    out = level
+    for _ in range(most):
+        if not level.head(1):
+            return out
+        above = level.select(F.col("id").alias("parent"), F.col("path").alias("_path"), (F.col("depth") + 1).alias("depth"), F.concat("ancestors", F.array("id")).alias("ancestors"), "root")
+        below = nodes.join(above, "parent").withColumn("path", F.concat("_path", F.array("place")))
+        level = stored(below.select(*out.columns), "tree")
+        out = out.unionByName(level)
+    raise ValueError(f"the tree is deeper than {most} levels")
+
+
+def subtree(nodes: DataFrame, top: str) -> DataFrame:
+    """top and all below it, with depth, path, ancestors and root as in the whole tree; other branches are not read level by level."""
+    chain = _up(nodes, top)
+    path, ancestors = [r.place for r in chain], [r.id for r in chain][:-1]
+    here = nodes.filter(F.col("id") == top) if chain and chain[0].parent is None else nodes.filter("false")
+    level = here.select("*", F.lit(len(ancestors)).alias("depth"), F.array(*[F.lit(p) for p in path]).cast("array<int>").alias("path"), F.array(*[F.lit(x) for x in ancestors]).cast("array<string>").alias("ancestors"), F.lit(chain[0].id if chain else "").alias("root"))
+    return _down(nodes, stored(level, "tree"))
 
 
 def breadcrumbs(tree: DataFrame) -> DataFrame:
@@ -39,20 +71,33 @@ def breadcrumbs(tree: DataFrame) -> DataFrame:
     return tree.select("id", F.posexplode("ancestors").alias("step", "ancestor"))
 
 
-def page(tree: DataFrame, level: int, first: int, last: int) -> DataFrame:
-    """Nodes at level numbered in document order within their root; numbers first to last, with all below them."""
+def page(nodes: DataFrame, level: int, first: int, last: int) -> DataFrame:
+    """Nodes at level numbered in document order within their root; numbers first to last (column head, number), with all below them.
+
+    Only the levels down to level are expanded whole, and below it the branches of the page.
+    """
+    upper = nodes.filter("parent is null").select("*", F.lit(0).alias("depth"), F.array("place").alias("path"), F.array().cast("array<string>").alias("ancestors"), F.col("id").alias("root"))
+    upper = stored(upper, "tree")
+    for _ in range(level):
+        above = upper.select(F.col("id").alias("parent"), F.col("path").alias("_path"), (F.col("depth") + 1).alias("depth"), F.concat("ancestors", F.array("id")).alias("ancestors"), "root")
+        upper = stored(nodes.join(above, "parent").withColumn("path", F.concat("_path", F.array("place"))).select(*upper.columns), "tree")
     order = F.row_number().over(Window.partitionBy("root").orderBy("path", "id"))
-    heads = tree.filter(F.col("depth") == level).withColumn("number", order).filter(F.col("number").between(first, last))
-    heads = heads.select(F.col("id").alias("head"), "number")
-    member = tree.filter(F.col("depth") >= level).withColumn("head", F.when(F.col("depth") == level, F.col("id")).otherwise(F.get("ancestors", F.lit(level))))
-    return member.join(heads, "head")
+    heads = stored(upper.withColumn("number", order).filter(F.col("number").between(first, last)), "tree")
+    members = _down(nodes, heads.drop("number")).withColumn("head", F.when(F.col("depth") == level, F.col("id")).otherwise(F.get("ancestors", F.lit(level))))
+    return members.join(heads.select(F.col("id").alias("head"), "number"), "head")
+
 
+def next_after(nodes: DataFrame, node: str) -> DataFrame:
+    """id and depth of the first node in document order after node and all below it, within its root.
 
-def next_after(tree: DataFrame, node: str) -> DataFrame:
-    """The first node in document order after node and all below it."""
-    here = tree.filter(F.col("id") == node).select(F.col("path").alias("_p"), F.col("root").alias("root"))
-    later = tree.filter(~F.array_contains("ancestors", node)).join(F.broadcast(here), "root").filter(F.col("path") > F.col("_p"))
-    return later.orderBy("path", "id").limit(1).drop("_p")
+    That is the next sibling of node or, failing that, of the nearest ancestor that has one; siblings alone are looked at.
+    """
+    chain = _up(nodes, node)
+    spark = nodes.sparkSession
+    rows = [(r.parent, r.place, r.id, depth) for depth, r in enumerate(chain) if r.parent is not None]
+    ways = spark.createDataFrame(rows, "parent string, _place int, _id string, depth int")
+    later = nodes.join(F.broadcast(ways), "parent").filter((F.col("place") > F.col("_place")) & (F.col("id") != F.col("_id")))
+    return later.orderBy(F.desc("depth"), "place", "id").limit(1).select("id", "depth")
 
 
 def chains(mapping: DataFrame, *, most: int = MAX_DEPTH) -> DataFrame:

@@ -63,7 +63,7 @@ H17 = f"SELECT start, hops FROM ({H16}) WHERE outcome = 'cycle'"
 
 
 def h18_matching_below(spark, sf_dir):
-    t = tree.subtree(tree.expanded(geography(spark, sf_dir)), "r1")
+    t = tree.subtree(geography(spark, sf_dir), "r1")
     return t.filter(F.contains("id", F.lit("7"))).select("id", "depth")
 
 

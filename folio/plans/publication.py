@@ -507,3 +507,84 @@ def st4_first_deliveries(spark, sf_dir):
     """Events that arrive twice, each kept once."""
     e = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "ts")
     return _run(spark, activity.first_deliveries(e.unionByName(e), ["event_id"], late="365 days"), "deliveries").select("event_id", "user_id")
+
+
+@query("""WITH v AS (SELECT user_id, props->>'k' AS item, ts, lag(props->>'k') OVER w AS p, lag(ts) OVER w AS pt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT p AS item, item AS related, count(*) AS n FROM v WHERE p <> item AND ts <= pt + INTERVAL 30 MINUTE GROUP BY 1, 2""")
+def st1_streamed_pairs(spark, sf_dir):
+    """What users look at within thirty minutes of something else, from a stream with each user's last view as its state."""
+    v = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").alias("item"))
+    return _run(spark, activity.consecutive_pairs(v), "pairs").groupBy("item", "related").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH w AS (SELECT max(ts) - INTERVAL 30 MINUTE AS mark FROM events), g AS (SELECT user_id, ts, coalesce((ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE)::INT, 1) AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), x AS (SELECT user_id AS "user", min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS events FROM s GROUP BY user_id, k)
+SELECT "user", start, "end", events FROM x, w WHERE "end" <= mark""")
+def st2_sessions(spark, sf_dir):
+    """Users' sessions with gaps of less than thirty minutes, those that the watermark has closed."""
+    v = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"))
+    found = _run(spark, activity.sessions(v), "sessions")
+    return found.select("user", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "events")
+
+
+@query("""SELECT o_custkey % 4 AS part, string_agg(o_custkey || ':' || n, ',' ORDER BY o_custkey) AS version FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey < 40 GROUP BY 1) GROUP BY 1""")
+def st5_versions(spark, sf_dir):
+    """A digest of each part of a corpus, worked out anew by each batch of a stream of changes."""
+    seen = []
+
+    def batch(rows, number):
+        n = rows.filter("o_custkey < 40").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+        ordered = F.array_sort(F.collect_list(F.struct("o_custkey", "n")))
+        text = F.array_join(F.transform(ordered, lambda x: F.concat(x.o_custkey.cast("string"), F.lit(":"), x.n.cast("string"))), ",")
+        seen.append(stored(n.groupBy((F.col("o_custkey") % 4).alias("part")).agg(text.alias("version")), "version"))
+
+    state_dir = f"{shared_dir(spark)}/folio/stream-versions-{uuid.uuid4().hex}"
+    _stream(spark, sf_dir, "orders").writeStream.foreachBatch(batch).option("checkpointLocation", state_dir).trigger(availableNow=True).start().awaitTermination()
+    return seen[-1]
+
+
+# Further trees and summaries
+
+
+_OLD = _TREE.replace("FROM customer)", "FROM customer WHERE c_acctbal > 0)")
+
+
+@query(_OLD + "SELECT id, depth FROM t WHERE id = 'n3' OR list_contains(ancestors, 'n3')")
+def h3_historical(spark, sf_dir):
+    """One nation's subtree as an older revision (customers not in debt) had it."""
+    old = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
+    nodes = geography(spark, sf_dir)
+    kept = nodes.filter("not startswith(id, 'c')").unionByName(nodes.join(old, "id", "left_semi"))
+    return tree.subtree(kept, "n3").select("id", "depth")
+
+
+@query(_TREE + "SELECT a AS scope, count(*) AS below, max(depth)::INT AS deepest FROM (SELECT unnest(ancestors) AS a, depth FROM t) GROUP BY 1")
+def h5_scope_sizes(spark, sf_dir):
+    """How many nodes each scope has below it, and how deep they lie."""
+    t = tree.expanded(geography(spark, sf_dir)).select(F.explode("ancestors").alias("scope"), "depth")
+    return t.groupBy("scope").agg(F.count(F.lit(1)).alias("below"), F.max("depth").alias("deepest"))
+
+
+@query(_TREE + "SELECT t.id, t.parent, t.depth::INT AS depth, coalesce(n, 0) AS children FROM t LEFT JOIN (SELECT parent, count(*) AS n FROM t GROUP BY 1) c ON c.parent = t.id WHERE t.depth < 2 OR (t.depth = 2 AND t.id LIKE '%00')")
+def h12_contents(spark, sf_dir):
+    """A table of contents: the upper levels, and of the lowest what a rule lets in, with how many children each has."""
+    t = tree.expanded(geography(spark, sf_dir))
+    n = t.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("children"))
+    listed = t.filter("depth < 2 or (depth = 2 and id like '%00')").select("id", "parent", "depth")
+    return listed.join(n, "id", "left").select("id", "parent", "depth", F.coalesce("children", F.lit(0)).alias("children"))
+
+
+@query(f"""WITH d AS ({V1}) SELECT kind, count(*) AS n, string_agg(DISTINCT coalesce(key_after, key_before)::VARCHAR, ',' ORDER BY coalesce(key_after, key_before)::VARCHAR) AS keys FROM d WHERE kind <> 'unchanged' GROUP BY 1""")
+def v3_summary(spark, sf_dir):
+    """Changed keys by kind of change, each once, in order."""
+    d = v1_diff(spark, sf_dir).filter("kind <> 'unchanged'").withColumn("key", F.coalesce("key_after", "key_before").cast("string"))
+    return d.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS place FROM lineitem""")
+def l14_edges_in_order(spark, sf_dir):
+    """Edges of each provision by status, then kind, in stated orders."""
+    status = F.when(F.col("l_linestatus") == "O", 0).otherwise(1)
+    kind = F.when(F.col("l_returnflag") == "N", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    by = Window.partitionBy("l_orderkey").orderBy(status, kind, "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.row_number().over(by).alias("place"))

@@ -65,7 +65,7 @@ t AS (SELECT id, parent, place, 0 AS depth, [place] AS path, []::VARCHAR[] AS an
 
 
 def h1_subtree(spark, sf_dir):
-    t = tree.subtree(tree.expanded(geography(spark, sf_dir)), "r1")
+    t = tree.subtree(geography(spark, sf_dir), "r1")
     return t.select("id", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
@@ -80,7 +80,7 @@ H2 = _TREE + "SELECT id, (i - 1)::INT AS step, ancestors[i] AS ancestor FROM t,
 
 
 def h6_page(spark, sf_dir):
-    return tree.page(tree.expanded(geography(spark, sf_dir)), 1, 2, 3).select("root", "head", "number", "id")
+    return tree.page(geography(spark, sf_dir), 1, 2, 3).select("root", "head", "number", "id")
 
 
 H6 = _TREE + """, h AS (SELECT id AS head, root, row_number() OVER (PARTITION BY root ORDER BY path, id)::INT AS number FROM t WHERE depth = 1)
@@ -88,9 +88,9 @@ SELECT t.root, head, number, t.id FROM h JOIN t ON t.id = head OR list_contains(
 
 
 def h8_next(spark, sf_dir):
-    t = tree.expanded(geography(spark, sf_dir))
-    first = t.filter("parent = 'r1'").agg(F.min_by("id", "place").alias("id")).first()
-    return tree.next_after(t, first.id if first.id is not None else "").select("id", "depth")
+    t = geography(spark, sf_dir)
+    first = t.filter("parent = 'r1'").agg(F.min_by("id", F.struct("place", "id")).alias("id")).first()
+    return tree.next_after(t, first.id if first.id is not None else "")
 
 
 H8 = _TREE + """, f AS (SELECT id, path, root FROM t WHERE parent = 'r1' ORDER BY place LIMIT 1)

@@ -1,7 +1,9 @@
 """Text functions, segments, citations, spans, state and streams on small cases of our own."""
 
 import datetime as dt
+from datetime import date
 
+import pytest
 from folio.functions import references, segments, text
 from folio.operators import state, temporal, tree, usage
 from folio.streaming import activity
@@ -52,6 +54,41 @@ def test_citations_and_spans(spark):
     assert found == [("52_2", 3), ("4", None)]
     spans = spark.createDataFrame([(1, 0, 5, 0), (1, 3, 8, 1), (1, 9, 12, 1), (1, 10, 14, 1)], "id long, start int, end int, rank int")
     assert sorted(r.start for r in references.without_overlap(spans).collect()) == [0, 9]
+    # a span that is dropped claims nothing
+    spans = spark.createDataFrame([(1, 0, 10, 1), (1, 5, 15, 1), (1, 12, 20, 1), (2, 3, 9, 0), (2, 5, 7, 0), (2, 0, 3, 1), (2, 8, 9, 1)], "id long, start int, end int, rank int")
+    assert sorted((r.id, r.start) for r in references.without_overlap(spans).collect()) == [(1, 0), (1, 12), (2, 0), (2, 3), (2, 5)]
+
+
+def test_versions_as_asked(spark):
+    day = lambda x: date(2000, 1, x)
+    v = spark.createDataFrame([("a", 1, day(1), day(5)), ("a", 2, day(5), None), ("b", 3, day(3), day(4)), ("b", 4, day(2), day(9))], "key string, v int, valid_from date, valid_to date")
+    asked = spark.createDataFrame([("a", day(4)), ("a", day(5)), ("b", day(3)), ("b", day(9)), ("b", day(9))], "key string, day date")
+    found = {(r.key, r.day.day): (r.outcome, r.v, r.last_day) for r in temporal.as_asked(v, asked, "key", "v").collect()}
+    assert found == {("a", 4): ("resolved", 1, None), ("a", 5): ("resolved", 2, None), ("b", 3): ("ambiguous", None, day(9)), ("b", 9): ("out_of_range", None, day(9))}
+    listed = {(r.key, r.day.day): (r.outcome, r.v, r.last_day) for r in temporal.as_of(v, [day(4), day(5), day(3), day(9)], "key", "v").collect()}
+    assert found.items() <= listed.items() and len(listed) == 8
+
+
+def test_rows_with_one_key(spark):
+    old = spark.createDataFrame([("a", 1)], "id string, v int")
+    new = spark.createDataFrame([("a", 3), ("a", 2), ("b", 9), ("b", 8)], "id string, v int")
+    assert sorted(map(tuple, state.upserted(old, new, ["id"]).collect())) == [("a", 2), ("b", 8)]
+    assert sorted(map(tuple, state.upserted(old, new, ["id"], [F.desc("v")]).collect())) == [("a", 3), ("b", 9)]
+    assert sorted(map(tuple, state.inserted(old, new, ["id"]).collect())) == [("a", 1), ("b", 8)]
+
+
+def test_packs_are_small(spark):
+    packs = spark.createDataFrame([(1, i) for i in range(usage.MAX_PACK + 1)], "pack long, item long")
+    with pytest.raises(Exception, match="too many items"):
+        usage.pack_counts(packs).collect()
+
+
+def test_subtrees_of_odd_trees(spark):
+    nodes = spark.createDataFrame([("a", None, 0), ("b", "a", 0), ("c", "a", 1), ("d", "b", 0), ("x", "y", 0), ("y", "x", 0), ("z", "none", 0)], "id string, parent string, place int")
+    whole = {r.id: (r.depth, r.path, r.ancestors, r.root) for r in tree.expanded(nodes).collect()}
+    assert {r.id: (r.depth, r.path, r.ancestors, r.root) for r in tree.subtree(nodes, "b").collect()} == {k: v for k, v in whole.items() if k in "bd"}
+    assert [tree.subtree(nodes, t).count() for t in ("a", "d", "x", "z", "?")] == [4, 1, 0, 0, 0]
+    assert [[r.id for r in tree.next_after(nodes, t).collect()] for t in ("d", "b", "c", "a", "?")] == [["c"], ["c"], [], [], []]
 
 
 def test_state(spark):
