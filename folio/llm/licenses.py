@@ -9,16 +9,18 @@ Exact containment of the template's distinct shingles decides.
 
 A window without any shingle of the templates has no MinHash value in common with them, so only windows
 that hold one are signed; the test is a look into a constant set, before anything is exploded.
-Templates are a fixed list (at most MAX_TEMPLATES), so their bands may be broadcast.
+Templates are a fixed list, taken in parts of MAX_TEMPLATES, so the bands of a part may be broadcast.
 
 Defined cases: null and empty texts match nothing; a template without words is an error; repeated rows
-count as one document (by doc_id) in the result; an empty table gives an empty result; further columns are left alone.
+count as one document (by doc_id) in the result; an empty table gives an empty result; further columns are left alone,
+whatever their names; a text of any length is one row until its windows that hold a shingle are laid out.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -113,11 +115,13 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, containment: float = CONTAINMENT) -> DataFrame:
+def scan(docs: DataFrame, *, templates: dict[str, str] | None = None, containment: float = CONTAINMENT, most: int = MAX_TEMPLATES) -> DataFrame:
     """doc_id, template, containment (of the best window), first_word (of that window, the first of equals) and windows that match."""
     templates = TEMPLATES if templates is None else templates
-    if len(templates) > MAX_TEMPLATES:
-        raise ValueError("too many templates for a constant set; scan with parts of them and union the results")
+    if len(templates) > most:  # a constant set for each part, one after the other
+        names = list(templates)
+        parts = [{n: templates[n] for n in names[i : i + most]} for i in range(0, len(names), most)]
+        return reduce(DataFrame.unionByName, [scan(docs, templates=p, containment=containment, most=most) for p in parts])
     spark = docs.sparkSession
     known = _templates(spark, templates)
     sets: dict[tuple[int, int], set[int]] = defaultdict(set)

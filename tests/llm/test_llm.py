@@ -326,6 +326,7 @@ def test_licenses(spark):
     mit = licenses.TEMPLATES["mit"]
     rows = [(1, "x y " + mit + " z"), (2, "words " * 50), (3, None), (4, mit.upper()), (5, mit[:200])]
     found = set(got(licenses.scan(frame(spark, rows)), "doc_id", "template"))
+    assert found == set(got(licenses.scan(frame(spark, rows), most=4), "doc_id", "template"))  # in parts
     assert {(1, "mit"), (4, "mit")} <= found and not {d for d, _ in found} & {2, 3, 5}
 
 
