@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder, in local mode only (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-folio-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
