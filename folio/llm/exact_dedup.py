@@ -205,7 +205,8 @@ def _placed(rows: DataFrame, doc: Column, groups: DataFrame, hot_rows: int, drop
         told = told.filter(F.col("hot").isNull() | ~drop(F.col("hot_keep"), F.col("hot_best")))
     # rows that are told by now are spread, over keys that no digest equals
     told = told.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("told "), F.xxhash64(doc).cast("string")).cast("binary")))
-    out = told.join(many.filter(F.col("rows") < most).select(F.col("digest").alias("key"), *facts), "key", "left")
+    # one plan at every size: groups grow with the rows
+    out = told.join(many.filter(F.col("rows") < most).select(F.col("digest").alias("key"), *facts).hint("merge"), "key", "left")
     one = [F.coalesce(f"hot_{h}", c).alias(c) for h, c in (("keep", "keep_id"), ("size", "group_size"), ("best", "best_rows"))]
     out = out.select(*plain.columns, *one)
     if not some:
