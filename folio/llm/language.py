@@ -35,6 +35,8 @@ FOLDS = 5
 TRAIN_ROWS = 2_000
 #: Languages that are scored at a time: more take several passes over a word.
 LANGS_AT_ONCE = 200
+#: Rows of the table of languages up to which it is broadcast.
+BROADCAST_LANGS = 10_000
 ROUNDS = 2
 SMOOTHING = 0.1
 UNKNOWN = "und"
@@ -202,7 +204,9 @@ def held_out(key: Column, folds: int = FOLDS) -> Column:
 def training_rows(docs: DataFrame, rows: int) -> DataFrame:
     """lang and text of about rows rows of each language at most, chosen by a hash of id and text."""
     some = docs.filter("lang is not null and text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.col("lang").cast("string").alias("lang"), "text")
-    shares = some.groupBy("lang").agg((rows / F.count(F.lit(1))).alias("share"))
+    shares = written(some.groupBy("lang").agg((rows / F.count(F.lit(1))).alias("share")), "language-shares")
+    if shares.count() <= BROADCAST_LANGS:  # texts stay where they lie
+        shares = F.broadcast(shares)
     return some.join(shares, "lang").filter((F.pmod("h", F.lit(1 << 20)) / (1 << 20)) < F.col("share")).drop("h", "share")
 
 
