@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.exchange import answers, batched, bucket_count, buckets_of, by_bucket, codes_of, counted, opened, pack, pack_sorted, pressed, spots, unpack, unpack_sorted, unpressed
-from folio.llm.shared import Texts, hashes_between, mixed, prefix_sums, written
+from folio.llm.shared import Texts, hashes_between, mixed, powers, prefix_sums, written
 
 SPAN = 50
 GRAM = 24
@@ -49,24 +49,40 @@ def _slid(x: np.ndarray, width: int, pick) -> np.ndarray:
     return out
 
 
+#: Bytes that are looked at together in the search for anchors; what is worked out for them fits a processor's cache.
+PIECE = 1 << 15
+
+
 def anchors(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Places of the anchors in the bytes, and the hashes of their GRAM bytes."""
     data, starts = texts
     n = len(data)
     if n < SPAN:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    sums = prefix_sums(data)
-    gram = np.full(n, _TOP, np.uint64)
-    at = np.arange(n - GRAM + 1)
-    gram[: n - GRAM + 1] = hashes_between(sums, at, at + GRAM)
-    least = _slid(gram, SIDE + 1, np.minimum)  # of the strings that start in [i, i + SIDE]
-    bad = np.ones(n, bool)  # strings of SPAN bytes that do not lie in one text
     inside = np.zeros(n + 1, np.int32)
     sizes = np.diff(starts)
     long = np.flatnonzero(sizes >= SPAN)
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, starts[long] + sizes[long] - SPAN + 1, -1)
-    bad = np.cumsum(inside[:-1]) == 0
+    bad = np.cumsum(inside[:-1]) == 0  # strings of SPAN bytes that do not lie in one text
+    found = []
+    for first in range(0, n, PIECE):
+        a, b = max(0, first - SIDE), min(n, first + PIECE + SPAN)  # a place is judged by what is this near
+        places, gram = _anchors(data[a:b], bad[a:b])
+        own = (places + a >= first) & (places + a < first + PIECE)
+        found.append((places[own] + a, gram[own]))
+    return np.concatenate([p for p, _ in found]), np.concatenate([g for _, g in found])
+
+
+def _anchors(data: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data)
+    if n < GRAM:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    sums = prefix_sums(data)
+    _, down = powers(n)
+    gram = np.full(n, _TOP, np.uint64)
+    gram[: n - GRAM + 1] = mixed((sums[GRAM:] - sums[: n - GRAM + 1]) * down[: n - GRAM + 1] + np.uint64(GRAM))
+    least = _slid(gram, SIDE + 1, np.minimum)  # of the strings that start in [i, i + SIDE]
     least[bad] = 0
     # an anchor is the least of some string that holds it: the largest of those leasts
     back = _slid(least[::-1], SIDE + 1, np.maximum)[::-1]
@@ -119,14 +135,13 @@ def _around(b: pa.RecordBatch, i: int, buckets: int) -> tuple[list, Texts, Aroun
     doc = np.array([_LAST if x is None else x for x in ids], np.int64)[row]
     left = np.minimum(SIDE, places - texts.starts[row])
     right = np.minimum(SIDE, texts.starts[row + 1] - places - GRAM)
-    offsets = np.arange(SIDE + 1)
-    fits = (offsets <= left[:, None]) & (SIDE - offsets <= right[:, None])
-    valid = (fits << offsets).sum(axis=1).astype(np.uint32)
+    one = np.int64(1)
+    valid = (((one << (left + 1)) - 1) & ~((one << (SIDE - right)) - 1)).astype(np.uint32)  # offsets from SIDE - right to left
     sums = prefix_sums(texts.data)
     gram = mixed(hashes_between(sums, places, places + GRAM))
     whole = mixed(hashes_between(sums, places - left, places + GRAM + right) + (left * 64 + right).astype(np.uint64))
     bucket = (spots(gram, buckets) >> np.uint64(32)).astype(np.int64)
-    order = np.lexsort((doc, whole, gram, bucket))
+    order = np.lexsort((doc, whole, gram))  # buckets ascend with the hash
     new = np.ones(len(order), bool)
     g, w, lines = gram[order], whole[order], _lines(texts, places, left, right)[order]
     new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1]) | (lines[1:] != lines[:-1]).any(axis=1)
@@ -139,9 +154,14 @@ def _around(b: pa.RecordBatch, i: int, buckets: int) -> tuple[list, Texts, Aroun
 def _lines(texts: Texts, places: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """WIDTH bytes around each anchor; those more than left before it or right behind it, in other texts, are 0."""
     padded = np.concatenate([np.zeros(SIDE, np.uint8), texts.data, np.zeros(SIDE, np.uint8)])
+    if not len(places):
+        return np.zeros((0, WIDTH), np.uint8)
+    out = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[places]
+    some = np.flatnonzero((left < SIDE) | (right < SIDE))
     at = np.arange(WIDTH)
-    out = padded[places[:, None] + at]
-    out[(at < SIDE - left[:, None]) | (at >= SIDE + GRAM + right[:, None])] = 0
+    cut = out[some]
+    cut[(at < SIDE - left[some, None]) | (at >= SIDE + GRAM + right[some, None])] = 0
+    out[some] = cut
     return out
 
 
@@ -149,16 +169,44 @@ _SENT = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("lines", pa.b
 _BACK = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("masks", pa.binary())])
 
 
+def _hashes(strings: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings of one length, the rows of a table."""
+    n, width = strings.shape
+    padded = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    padded[:, :width] = strings
+    out = np.zeros(n, np.uint64)
+    for word in padded.view(np.uint64).T:
+        out = (out + mixed(word + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed(out)
+
+
 def _grams(lines: np.ndarray) -> np.ndarray:
     """Hashes of the anchors of such lines."""
-    out = np.zeros(len(lines), np.uint64)
-    for j in range(SIDE, SIDE + GRAM):
-        out = (out + lines[:, j].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    return mixed(out)
+    return _hashes(lines[:, SIDE : SIDE + GRAM])
 
 
 def _masks(gram: np.ndarray, lines: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each entry the offsets (as bits) whose string of SPAN bytes starts in a document with a smaller id."""
+    """For each entry the offsets (as bits) whose string of SPAN bytes starts in a document with a smaller id.
+
+    Entries with the same bytes around them, as copies have, are one line with its smallest document: the others
+    have each of their strings there. Only different lines around equal anchors are compared further.
+    """
+    out = np.zeros(len(gram), np.uint32)
+    if not len(gram):
+        return out
+    order = np.lexsort((_hashes(lines), gram))
+    new = np.ones(len(order), bool)
+    g, v, sorted_lines = gram[order], valid[order], lines[order]
+    new[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1]) | (sorted_lines[1:] != sorted_lines[:-1]).any(axis=1)
+    edges = np.flatnonzero(new)
+    least = np.minimum.reduceat(doc[order], edges)
+    found = _masks_of_lines(g[edges], sorted_lines[edges], v[edges], least)
+    line = np.cumsum(new) - 1
+    out[order] = np.where(doc[order] > least[line], v, found[line])
+    return out
+
+
+def _masks_of_lines(gram: np.ndarray, lines: np.ndarray, valid: np.ndarray, doc: np.ndarray) -> np.ndarray:
     out = np.zeros(len(gram), np.uint32)
     order = np.argsort(gram, kind="stable")
     edges = np.flatnonzero(np.append(True, gram[order][1:] != gram[order][:-1]))
