@@ -116,21 +116,21 @@ def digits_in_title(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def fraction(s: pd.Series) -> pd.Series:
-    """Parts of a whole (three parts' two) with a stroke; what is no fraction stays as it is."""
+    """Parts of a whole (three parts' two) with a stroke, the whole's digits three and three; what is no fraction stays as it is."""
 
     def one(x: str) -> str:
         below, _, above = x.partition("分の")
         a, b = kanji_value(above), kanji_value(below)
-        return x if a is None or b is None else f"{a}/{b}"
+        return x if a is None or b is None else f"{a}/{b:,}"
 
     return s.map(one, na_action="ignore")
 
 
 def quantity(n: Column) -> Column:
-    """A whole number with the names of its myriads, digits between them; groups of nothing are left out."""
+    """A whole number with the names of its myriads, digits, three and three, between them; groups of nothing are left out."""
     n = n.cast("long")
     parts = [(F.floor(n / 10**8), "億"), (F.floor(n / 10**4) % 10**4, "万"), (n % 10**4, "")]
-    text = F.concat(*[F.when(x > 0, F.concat(x.cast("long").cast("string"), F.lit(name))).otherwise("") for x, name in parts])
+    text = F.concat(*[F.when(x > 0, F.concat(F.format_number(x.cast("long"), 0), F.lit(name))).otherwise("") for x, name in parts])
     return F.when(n == 0, "0").otherwise(text)
 
 

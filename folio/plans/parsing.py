@@ -85,13 +85,13 @@ def n27_titles(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT o_orderkey, o_orderkey * 1234567 AS q FROM orders)
-SELECT o_orderkey, CASE WHEN q = 0 THEN '0' ELSE CASE WHEN q // 100000000 > 0 THEN (q // 100000000) || '億' ELSE '' END || CASE WHEN q // 10000 % 10000 > 0 THEN (q // 10000 % 10000) || '万' ELSE '' END || CASE WHEN q % 10000 > 0 THEN (q % 10000)::VARCHAR ELSE '' END END AS quantity FROM q""")
+SELECT o_orderkey, CASE WHEN q = 0 THEN '0' ELSE CASE WHEN q // 100000000 > 0 THEN format('{:,}', q // 100000000) || '億' ELSE '' END || CASE WHEN q // 10000 % 10000 > 0 THEN format('{:,}', q // 10000 % 10000) || '万' ELSE '' END || CASE WHEN q % 10000 > 0 THEN format('{:,}', q % 10000) ELSE '' END END AS quantity FROM q""")
 def n28_quantities(spark, sf_dir):
     """Large numbers with the names of their myriads."""
     return table(spark, sf_dir, "orders").select("o_orderkey", text.quantity(F.col("o_orderkey") * 1234567).alias("quantity"))
 
 
-@query(f"WITH n AS ({_N}) SELECT p_partkey, m || '/' || n AS fraction, '{_DIGITS[1]}x' AS other FROM n")
+@query(f"WITH n AS ({_N}) SELECT p_partkey, m || '/' || format('{{:,}}', n) AS fraction, '{_DIGITS[1]}x' AS other FROM n")
 def n29_fractions(spark, sf_dir):
     """Parts of a whole with a stroke."""
     parts = F.concat(text.to_kanji(F.col("n")), F.lit("分の"), text.to_kanji(F.col("m")))

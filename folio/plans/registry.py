@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("text", "relational", "reading", "outline", "pairing", "workspace", "publication", "parsing")
+MODULES = ("text", "relational", "reading", "outline", "pairing", "workspace", "publication", "parsing", "showing")
 
 
 def _merged(what: str) -> dict:

@@ -4,7 +4,7 @@ import datetime as dt
 from datetime import date
 
 import pytest
-from folio.functions import references, segments, text
+from folio.functions import display, references, segments, text
 from folio.operators import state, temporal, tree, usage
 from folio.streaming import activity
 from pyspark.sql import functions as F
@@ -137,3 +137,38 @@ def test_streamed_windows(spark, tmp_path):
 def test_streamed_deliveries(spark, tmp_path):
     rows = spark.createDataFrame([("s", "h1", dt.datetime(2024, 1, 1)), ("s", "h1", dt.datetime(2024, 1, 1)), ("s", "h2", dt.datetime(2024, 1, 1))], "source_id string, content_hash string, ts timestamp")
     assert streamed(spark, tmp_path, rows, lambda s: activity.first_deliveries(s, ["source_id", "content_hash"]), "deliveries").count() == 2
+
+
+def test_runs_of_texts(spark):
+    shown = {
+        "二十・五メートル": "20.5m", "〇・〇〇三": "0.003", "零下二〇度": "零下20度", "一億八千万円": "1億8,000万円", "万一": "1万1", "百貨店の五": "百貨店の五", "一定の五": "一定の五", "二号の三": "二号の三",
+        "昭和二十五年法律第二百二号": "昭和25年法律第202号", "第二条第三項第四号": "第2条第3項第四号", "前条の二に五百": "前条の2に500", "毎時五キロメートルプログラム": "毎時5kmプログラム", "（１）Ａ": "(1)A", "一二十": "一二十",
+        "千分の七": "7/1,000", "風速三メートル毎秒": "風速3m/秒", "一立方メートルにつきキログラム": "kg/m³", "": "", "😀二": "😀2", None: None,
+    }
+    df = spark.createDataFrame([(k,) for k in shown], "text string").withColumn("found", display.tokens("text"))
+    rows = df.select("text", "found", display.shown(F.col("found")).alias("shown")).collect()
+    assert {r.text: r.shown for r in rows} == shown
+    for r in rows:
+        if r.text is not None:  # the runs are the whole text, one behind the other, plain ones never side by side
+            assert "".join(r.text[t.start : t.end] for t in r.found) == r.text and all(a.end == b.start for a, b in zip(r.found, r.found[1:]))
+            assert not any(a.kind == b.kind == "plain" for a, b in zip(r.found, r.found[1:]))
+
+
+def test_formulas(spark):
+    texts = ["Ａ＝(ａ)(ｂ)／（ｃ）", "a=b", "a=b／c／d", "b／c", "a=／c", "a=()／c", None, "x\n（この式において、ａ）", "次の\na=b", "次の\nA=b\n(この式において、\nｃ)"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", display.formula_parts(F.col("t")).alias("x"), display.formula_layout(F.col("t")).alias("y"))
+    rows = {r.t: r for r in df.collect()}
+    assert {t: tuple(r.x) for t, r in rows.items() if r.x} == {texts[0]: ("Ａ", "(ａ)(ｂ)", "ｃ")}
+    assert {t: tuple(r.y) for t, r in rows.items() if r.y} == {texts[-1]: ("次の", "A=b", "この式において、\nｃ")}
+
+
+def test_table_grids(spark):
+    rows = [(1, 1, 1, "a", 2, 2), (1, 1, 2, None, 1, 1), (1, 2, 1, "b", 1, 3), (1, 4, 1, "d", None, None), (2, 7, 1, "五", 0, 0)]
+    cells = spark.createDataFrame(rows, "table_id long, line int, place int, text string, colspan int, rowspan int")
+    cells = cells.fillna(1, ["colspan", "rowspan"])
+    grid = display.table_grid(cells)
+    found = {(r.table_id, r.line, r.column): r.text for r in grid.collect()}
+    assert found == {(1, 1, 0): "a", (1, 1, 1): "a", (1, 1, 2): "", (1, 2, 0): "", (1, 2, 1): "", (1, 2, 2): "b", (1, 4, 0): "d", (1, 4, 2): "", (2, 7, 0): "五"}
+    kinds = {(r.table_id, r.column): (r.kind, round(r.percent, 6)) for r in display.column_layout(grid).collect()}
+    assert kinds[2, 0] == ("numeric", 100.0) and abs(sum(p for (t, _), (_, p) in kinds.items() if t == 1) - 100) < 1e-6
+    assert display.table_grid(cells.limit(0)).count() == 0
