@@ -119,3 +119,36 @@ def without_overlap(spans: DataFrame) -> DataFrame:
 def hrefs(html: Column) -> Column:
     """Targets of the links in a page, in order, repeats included."""
     return F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), F.lit(1))
+
+
+def relative_path(word: Column, here: Column) -> Column:
+    """Where a word like 'the preceding article' leads to from a path (art5-2/para3/item1); null for ranges and outside articles."""
+    article = F.regexp_extract(here, "^art([0-9]+)", 1).try_cast("long")
+    paragraph = F.regexp_extract(here, "para([0-9]+)", 1).try_cast("long")
+
+    def path(n, p=None):
+        return F.concat(F.lit("art"), n.cast("string"), *([] if p is None else [F.lit("/para"), p.cast("string")]))
+
+    # The words that lead to one place.
+    ways = {"前条": path(article - 1), "次条": path(article + 1), "同条": path(article), "本条": path(article), "前項": path(article, paragraph - 1), "次項": path(article, paragraph + 1), "同項": here}
+    out = F.lit(None).cast("string")
+    for name, way in ways.items():
+        out = F.when(word == name, way).otherwise(out)
+    return F.when(here.rlike("^art[0-9]+"), out)
+
+
+def cited_paths(article: Column, branch: Column, paragraph: Column, item: Column) -> Column:
+    """struct<path, alternates> of a citation by numbers, null where it names none: an item without a paragraph is one of the first; so may be the article itself."""
+    base = F.concat(F.lit("art"), article.cast("string"), F.coalesce(F.concat(F.lit("-"), branch.cast("string")), F.lit("")))
+    para, last = F.coalesce(F.concat(F.lit("/para"), paragraph.cast("string")), F.lit("")), F.coalesce(F.concat(F.lit("/item"), item.cast("string")), F.lit(""))
+    first = F.concat(base, F.lit("/para1"))
+    lone = item.isNotNull() & paragraph.isNull()
+    path = F.when(lone, F.concat(first, last)).otherwise(F.concat(base, para, last))
+    others = F.when(lone, F.array(F.concat(base, last))).when(paragraph.isNull(), F.array(first)).otherwise(F.array().cast("array<string>"))
+    return F.struct(path.alias("path"), others.alias("alternates"))
+
+
+def names_of(laws: DataFrame, aliases: DataFrame) -> DataFrame:
+    """name and id of laws (id, name, short), one row for each name: an alias (name, id) goes before a short name, that before a name; of equals the smallest id."""
+    ranked = aliases.select("name", "id", F.lit(0).alias("rank")).unionByName(laws.select(F.col("short").alias("name"), "id", F.lit(1).alias("rank"))).unionByName(laws.select("name", "id", F.lit(2).alias("rank")))
+    return ranked.filter("name is not null").groupBy("name").agg(F.min_by("id", F.struct("rank", "id")).alias("id"))

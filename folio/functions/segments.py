@@ -6,7 +6,7 @@ import re
 import unicodedata
 import xml.etree.ElementTree as ET
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -93,3 +93,28 @@ def extraction(segments: DataFrame, raw: DataFrame) -> DataFrame:
     total = raw.select("doc_id", F.length(F.regexp_replace(F.regexp_replace("xml", "<[^>]*>", ""), r"\s+", "")).alias("total"))
     caught = segments.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace(F.concat_ws("", "heading", "body"), r"\s+", ""))).alias("captured"))
     return total.join(caught, "doc_id", "left").withColumn("rate", F.when(F.col("total") > 0, F.coalesce("captured", F.lit(0)) / F.col("total")))
+
+
+def supplements(xml: Column) -> Column:
+    """array<struct<amend, extract, label, title>>: the supplementary provisions of a law in XML that have a label, in order."""
+    whole = F.regexp_extract_all(xml, F.lit(r"(?s)<SupplProvision(?:\s[^>]*)?>\s*<SupplProvisionLabel[^>]*>.*?</SupplProvisionLabel>"), F.lit(0))
+
+    def one(x):
+        amend = F.nullif(F.trim(F.regexp_extract(x, r'^<SupplProvision[^>]*\sAmendLawNum="([^"]*)"', 1)), F.lit(""))
+        extract = F.regexp_extract(x, r'^<SupplProvision[^>]*\sExtract="([^"]*)"', 1) == "true"
+        label = F.trim(F.regexp_extract(x, r"(?s)<SupplProvisionLabel[^>]*>(.*)</SupplProvisionLabel>", 1))
+        title = F.when(amend.isNull(), "制定時附則").otherwise(F.concat(F.lit("附則（"), amend, F.when(extract, "・抄").otherwise(""), F.lit("）")))
+        return F.struct(amend.alias("amend"), extract.alias("extract"), label.alias("label"), title.alias("title"))
+
+    return F.filter(F.transform(whole, one), lambda s: s["label"] != "")
+
+
+def cell_style(tag: Column) -> Column:
+    """struct<top, right, bottom, left, colspan, rowspan> of the opening tag of a table's cell: borders solid or none, spans of 1 at least."""
+
+    def attribute(name):
+        return F.regexp_extract(tag, rf'\s{name}="([^"]*)"', 1)
+
+    borders = [F.when(attribute(f"Border{side}") == "solid", "solid").otherwise("none").alias(side.lower()) for side in ("Top", "Right", "Bottom", "Left")]
+    spans = [F.coalesce(F.greatest(F.lit(1), F.regexp_extract(attribute(name), r"^\s*([+-]?[0-9]{1,9})", 1).try_cast("int")), F.lit(1)).alias(name) for name in ("colspan", "rowspan")]
+    return F.struct(*borders, *spans)

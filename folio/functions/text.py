@@ -179,3 +179,14 @@ def bigrams(c: Column) -> Column:
     """Distinct pairs of neighbouring characters."""
     places = F.when(F.length(c) >= 2, F.sequence(F.lit(1), F.length(c) - 1)).otherwise(F.array().cast("array<int>"))
     return F.array_distinct(F.transform(places, lambda i: F.substr(c, i, F.lit(2))))
+
+
+def cited_number(c: Column) -> Column:
+    """The number of a cited article (its words left out) as digits joined by underscores; what has no numeral stays, null for nothing."""
+    inner = F.trim(F.replace(F.regexp_replace(F.trim(c), "^第", ""), F.lit("条"), F.lit("")))
+    return F.nullif(F.coalesce(article_key(inner), inner), F.lit(""))
+
+
+def joined_up(c: Column) -> Column:
+    """A text without white space, as vertical print leaves it between characters."""
+    return F.regexp_replace(c, r"[\s\x{3000}\x{00A0}\x{FEFF}]+", "")

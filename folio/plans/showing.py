@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folio.functions import display, text
+from folio.functions import display, references, segments, text
 from folio.plans.parsing import _N, _kanji, _numbers
 from folio.plans.registering import Register
 from folio.tables import table
@@ -94,3 +94,62 @@ def n39_columns(spark, sf_dir):
     """Kinds and shares of the width of the columns of tables."""
     c = display.column_layout(display.table_grid(_cells(spark, sf_dir)))
     return c.withColumn("percent", F.round("percent", 9))
+
+
+@query(f"""WITH n AS ({_N}) SELECT p_partkey, n || '_' || m AS cited, n::VARCHAR AS plain, '別表' AS other, NULL::VARCHAR AS none FROM n""")
+def n9_cited_numbers(spark, sf_dir):
+    """Numbers of cited articles, with and without their words."""
+    cited = F.concat(F.lit(" 第"), "kn", F.lit("条の"), "km", F.lit(" "))
+    return _spelt(spark, sf_dir).select("p_partkey", *[text.cited_number(c).alias(k) for k, c in (("cited", cited), ("plain", F.col("n").cast("string")), ("other", F.lit("別表")), ("none", F.lit(" 条")))])
+
+
+@query("""SELECT p_partkey, unnest([{'place': 0, 'amend': p_brand, 'extract': p_partkey % 2 = 0, 'label': '附則', 'title': '附則（' || p_brand || CASE WHEN p_partkey % 2 = 0 THEN '・抄' ELSE '' END || '）'},
+  {'place': 1, 'amend': NULL, 'extract': false, 'label': '附　則', 'title': '制定時附則'}], recursive := true) FROM part""")
+def n23_supplements(spark, sf_dir):
+    """The supplementary provisions of laws in XML with their titles."""
+    a = F.concat(F.lit('<Law><LawBody><SupplProvision Extract="'), (F.col("p_partkey") % 2 == 0).cast("string"), F.lit('" AmendLawNum=" '), "p_brand", F.lit('">\n<SupplProvisionLabel>附則</SupplProvisionLabel></SupplProvision>'))
+    xml = F.concat(a, F.lit('<SupplProvision AmendLawNum=""><SupplProvisionLabel> 附　則 </SupplProvisionLabel></SupplProvision></LawBody></Law>'))
+    return table(spark, sf_dir, "part").select("p_partkey", F.posexplode(segments.supplements(xml)).alias("place", "x")).select("p_partkey", "place", "x.*")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'solid' ELSE 'none' END AS top, 'none' AS "right", 'solid' AS bottom, 'none' AS "left", greatest(1, p_size % 4)::INT AS colspan, 1 AS rowspan FROM part""")
+def n24_cell_styles(spark, sf_dir):
+    """Borders and spans of the cells of tables."""
+    tag = F.concat(F.lit('<TableColumn BorderTop="'), F.when(F.col("p_partkey") % 3 == 0, "solid").otherwise("none"), F.lit('" BorderLeft="dotted" BorderBottom="solid" rowspan="x" colspan="'), (F.col("p_size") % 4).cast("string"), F.lit('">'))
+    return table(spark, sf_dir, "part").select("p_partkey", segments.cell_style(tag).alias("x")).select("p_partkey", "x.*")
+
+
+@query(r"""SELECT doc_id, regexp_replace(text, '[\x09-\x0D\x20\x{3000}\x{00A0}\x{FEFF}]+', '', 'g') AS joined FROM documents""")
+def n37_joined_up(spark, sf_dir):
+    """All documents without white space."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.joined_up(F.col("text")).alias("joined"))
+
+
+@query("""WITH l AS (SELECT s_suppkey AS id, s_name AS name, 'S' || s_suppkey AS short FROM supplier), a AS (SELECT 'S' || s_suppkey AS name, s_suppkey + 1 AS id FROM supplier WHERE s_suppkey % 3 = 0),
+  r AS (SELECT name, id, 0 AS rank FROM a UNION ALL SELECT short, id, 1 FROM l UNION ALL SELECT name, id, 2 FROM l)
+SELECT name, arg_min(id, rank * 1000000000 + id) AS id FROM r WHERE name IS NOT NULL GROUP BY name""")
+def l6_names_of_laws(spark, sf_dir):
+    """Every name, short name and alias with what it stands for."""
+    s = table(spark, sf_dir, "supplier")
+    laws = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("S"), "s_suppkey").alias("short"))
+    return references.names_of(laws, s.filter("s_suppkey % 3 = 0").select(F.concat(F.lit("S"), "s_suppkey").alias("name"), (F.col("s_suppkey") + 1).alias("id")))
+
+
+_WAYS = {"前条": "'art' || (n - 1)", "次条": "'art' || (n + 1)", "同条": "'art' || n", "本条": "'art' || n", "前項": "'art' || n || '/para' || (m - 1)", "次項": "'art' || n || '/para' || (m + 1)", "同項": "'art' || n || '/para' || m || '/item1'", "前二項": "NULL"}
+
+
+@query(f"""WITH n AS ({_N}), t AS (SELECT p_partkey, unnest([{", ".join(f"{{'word': '{w}', 'path': {p}}}" for w, p in _WAYS.items())}], recursive := true) FROM n) SELECT p_partkey, word, path, NULL::VARCHAR AS nowhere FROM t""")
+def l8_relative_paths(spark, sf_dir):
+    """Where relative words lead to from a path; nowhere from outside articles."""
+    here = F.concat(F.lit("art"), F.col("n").cast("string"), F.lit("/para"), F.col("m").cast("string"), F.lit("/item1"))
+    rows = _numbers(spark, sf_dir).select("p_partkey", here.alias("here"), F.explode(F.array(*map(F.lit, _WAYS))).alias("word"))
+    return rows.select("p_partkey", "word", references.relative_path(F.col("word"), F.col("here")).alias("path"), references.relative_path(F.col("word"), F.lit("suppl/para2")).alias("nowhere"))
+
+
+@query(f"""WITH n AS ({_N}) SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'art' || n WHEN 1 THEN 'art' || n || '-' || m || '/para2' WHEN 2 THEN 'art' || n || '/para1/item3' ELSE 'art' || n || '-' || m || '/para2/item3' END AS path,
+  CASE p_partkey % 4 WHEN 0 THEN 'art' || n || '/para1' WHEN 2 THEN 'art' || n || '/item3' END AS alternate FROM n""")
+def l9_implied_paragraphs(spark, sf_dir):
+    """Paths of citations, the first paragraph implied, and what else they may mean."""
+    kind = F.col("p_partkey") % 4
+    x = references.cited_paths(F.col("n"), F.when(kind % 2 == 1, F.col("m")), F.when(kind % 2 == 1, 2), F.when(kind >= 2, 3))
+    return _numbers(spark, sf_dir).select("p_partkey", x.alias("x")).select("p_partkey", "x.path", F.get("x.alternates", F.lit(0)).alias("alternate"))

@@ -172,3 +172,26 @@ def test_table_grids(spark):
     kinds = {(r.table_id, r.column): (r.kind, round(r.percent, 6)) for r in display.column_layout(grid).collect()}
     assert kinds[2, 0] == ("numeric", 100.0) and abs(sum(p for (t, _), (_, p) in kinds.items() if t == 1) - 100) < 1e-6
     assert display.table_grid(cells.limit(0)).count() == 0
+
+
+def test_supplements_styles_and_numbers(spark):
+    xml = ["<Law/>", None, "", "<SupplProvision><P/></SupplProvision>", '<SupplProvision Extract="false" AmendLawNum="A"> <SupplProvisionLabel x="1">L</SupplProvisionLabel></SupplProvision>']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xml)], "i int, x string")
+    found = {r.i: r.s for r in df.select("i", segments.supplements(F.col("x")).alias("s")).collect()}
+    assert found[0] == found[2] == found[3] == [] and not found[1]
+    assert [tuple(s) for s in found[4]] == [("A", False, "L", "附則（A）")]
+    tags = ['<TableColumn rowspan="-3" colspan="2px" BorderRight="solid">', "<TableColumn>", '<TableColumn colspan="99999999999">']
+    styles = spark.createDataFrame([(t,) for t in tags], "t string").select(segments.cell_style(F.col("t")).alias("s")).collect()
+    assert [tuple(r.s)[:4] for r in styles] == [("none", "solid", "none", "none"), ("none",) * 4, ("none",) * 4]
+    assert [(r.s.colspan, r.s.rowspan) for r in styles] == [(2, 1), (1, 1), (999999999, 1)]
+    texts = {"第二百六条": "206", "第213条の2": "213_2", "206": "206", "条": None, None: None, " ": None, "附則": "附則"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.cited_number(F.col("t")).alias("n"), text.joined_up(F.col("t")).alias("j")).collect()
+    assert {r.t: r.n for r in rows} == texts and {r.t: r.j for r in rows}[" "] == ""
+
+
+def test_paths_beside(spark):
+    df = spark.createDataFrame([("前条", "art5-2"), ("前項", "art5"), ("次項", "art5/para2"), ("同項", "art5/para2"), ("前条", None), ("前各号", "art5")], "w string, h string")
+    assert [r.p for r in df.select(references.relative_path(F.col("w"), F.col("h")).alias("p")).collect()] == ["art4", None, "art5/para3", "art5/para2", None, None]
+    laws = spark.createDataFrame([(1, "A", "a"), (2, "B", "a"), (3, "A", None)], "id long, name string, short string")
+    aliases = spark.createDataFrame([("B", 9)], "name string, id long")
+    assert {tuple(r) for r in references.names_of(laws, aliases).collect()} == {("A", 1), ("a", 1), ("B", 9)}
