@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -89,31 +91,28 @@ def resolution_rate(found: DataFrame) -> DataFrame:
 def without_overlap(spans: DataFrame) -> DataFrame:
     """Spans (id, start, end, rank) as they are merged: those of rank 0 are stored and stay; the others, by rank, start and end, stay where nothing that stays by then overlaps them.
 
-    What a span meets depends on each decision before it, so the spans of one id (one text's) are gone through in order.
+    What a span meets depends on each decision before it, so the sorted spans of one id (one text's) are gone through
+    in order; a task holds what the present id has claimed and no more. A span without a start, an end or a rank is none.
     """
-    schema = spans.schema
-
-    def merged(frame: pd.DataFrame) -> pd.DataFrame:
-        starts: list = []
-        ends: list = []
-        keep = []
-        for i, (start, end, rank) in enumerate(frame[["start", "end", "rank"]].itertuples(index=False)):
-            at = bisect_left(starts, end)  # of the disjoint runs claimed so far, those that begin before the end
-            free = not at or ends[at - 1] <= start
-            if rank and not free:
-                continue
-            keep.append(i)
-            if end <= start:
-                continue
-            first = bisect_left(ends, start)
-            last = max(first, bisect_right(starts, end))
-            starts[first:last], ends[first:last] = [min([start, *starts[first:last]])], [max([end, *ends[first:last]])]
-        return frame.iloc[keep]
-
-    def by_rank(frame: pd.DataFrame) -> pd.DataFrame:
-        return merged(frame.sort_values(["rank", "start", "end"], kind="stable"))
-
-    return spans.groupBy("id").applyInPandas(by_rank, schema)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, starts, ends = None, [], []
+        for b in batches:
+            keep = []
+            for own, start, end, rank in zip(*(b.column(c).to_pylist() for c in ("id", "start", "end", "rank"))):
+                if own != now:
+                    now, starts, ends = own, [], []
+                at = bisect_left(starts, end)  # of the disjoint runs claimed so far, those that begin before the end
+                stays = not rank or not at or ends[at - 1] <= start
+                keep.append(stays)
+                if stays and end > start:
+                    first = bisect_left(ends, start)
+                    last = max(first, bisect_right(starts, end))
+                    starts[first:last], ends[first:last] = [min([start, *starts[first:last]])], [max([end, *ends[first:last]])]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    dealt = spans.dropna(subset=["start", "end", "rank"]).repartition("id").sortWithinPartitions("id", "rank", "start", "end")
+    return dealt.mapInArrow(merged, spans.schema)
 
 
 def hrefs(html: Column) -> Column:
