@@ -6,7 +6,8 @@ occur elsewhere links with nothing and is done. Equal sets become one, with the
 (2) Leaders: of the sets with the same smallest hash (under two orders) the smallest doc_id is compared
 with each other one; each set keeps its most similar leader's answer. (3) Lists: by prefix filtering,
 linked sets share one of the n - ceil(0.8 n) + 1 shingles that come first in the order of (count, hash).
-Lists whose members are connected by now are skipped whole; in others, blocks of members with the same
+Lists whose members are connected by now are skipped whole, longer ones than LONG_LIST
+are dealt over tasks in blocks (two parts of a list meet in one); in others, blocks of members with the same
 size are skipped by size, and members within a block by position. For two sets with the same
 leader, its answers bound their intersection: n(x) and n(y) and their distances from the leader decide
 many pairs without their shingles. The rest are compared exactly. (4) Links make components.
@@ -39,6 +40,7 @@ K = 5
 PERCENT = 80
 _SEEDS = (np.uint64(0x1234567), np.uint64(0x89ABCDEF1))
 _PAIRS = 200_000
+LONG_LIST = 20_000
 
 
 def sets_of(texts: Texts, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -130,11 +132,23 @@ def _linked(percent: int):
     return 100 * F.col("inter") >= percent * (F.col("nx") + F.col("ny") - F.col("inter"))
 
 
+def _met(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with facts, which has a row for each key and m, how many of the total rows have it.
+
+    A key that a ten-thousandth of all rows have is broadcast, ten thousand rows at most; other keys meet in a shuffle.
+    """
+    most = total // 10_000 + 1
+    hot = F.broadcast(facts.filter(F.col("m") >= most))
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(facts.filter(F.col("m") < most).hint("merge"), keys))
+
+
 def _leaders(sets: DataFrame) -> DataFrame:
     """Pairs (x, y): y is the smallest of the sets that share a smallest hash with x."""
     keyed = sets.select("rep", F.posexplode(F.array("k1", "k2")).alias("order", "key"))
-    least = keyed.groupBy("order", "key").agg(F.min("rep").alias("y"), F.max("rep").alias("last")).filter("y <> last").drop("last")
-    return keyed.join(least, ["order", "key"]).filter("rep <> y").select(F.col("rep").alias("x"), "y").distinct()
+    least = keyed.groupBy("order", "key").agg(F.min("rep").alias("y"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).filter("y <> last").drop("last")
+    met = _met(keyed, written(least, "jaccard-least"), ["order", "key"], 2 * sets.count())
+    return met.filter("rep <> y").select(F.col("rep").alias("x"), "y").distinct()
 
 
 _POSTING = "token long, rep long, n long, place int, comp long, lead long, d long"
@@ -158,16 +172,17 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("rep", "n", "hashes", "codes", "comp", "lead", "d").mapInArrow(f, _POSTING)
 
 
-def _of_list(members: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of a list that may link, and whether they are known to, by size, position, component and leader; some at a time."""
+def _of_list(members: dict[str, np.ndarray], percent: int, across: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a list that may link, and whether they are known to, by size, position, component and leader; some at a time.
+
+    Members of role 1 are paired with those of other roles and, unless across, with each other.
+    """
     order = np.lexsort((members["place"], members["n"]))
-    rep, n, place, comp, lead, d = (members[k][order] for k in ("rep", "n", "place", "comp", "lead", "d"))
+    rep, n, place, comp, lead, d, role = (members[k][order] for k in ("rep", "n", "place", "comp", "lead", "d", "role"))
     sizes, first = np.unique(n, return_index=True)  # blocks of one size, by place
     last = np.append(first[1:], len(n))
-    kinds, counts = np.unique(comp, return_counts=True)
-    most = kinds[np.argmax(counts)]
     xs, ys, sure, size = [], [], [], 0
-    for i in np.flatnonzero(comp != most):
+    for i in np.flatnonzero(role == 1):
         low, high = np.searchsorted(sizes, needed(n[i], percent)), np.searchsorted(sizes, 100 * n[i] // percent, "right")
         for block in range(low, high):
             least = overlap(n[i], sizes[block], percent)
@@ -177,7 +192,7 @@ def _of_list(members: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.
             a = first[block]
             b = a + np.searchsorted(place[a : last[block]], sizes[block] - least, "right")
             j = np.arange(a, b)
-            j = j[(comp[j] != comp[i]) & ((comp[j] == most) | (j > i))]
+            j = j[(comp[j] != comp[i]) & ((role[j] != 1) | (not across and j > i))]
             if not len(j):
                 continue
             same = lead[j] == lead[i]
@@ -195,47 +210,100 @@ def _of_list(members: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.
         yield np.concatenate(xs), np.concatenate(ys), np.concatenate(sure)
 
 
-def _candidates(postings: DataFrame, percent: int, decided: bool = True) -> DataFrame:
-    """Pairs x > y of sets in different components that may link; known: a leader's answers say that they do (left out unless decided)."""
-    open_lists = postings.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("token")
-    left = postings.join(open_lists, "token")
-    names = ["rep", "n", "place", "comp", "lead", "d"]
+def _whole(members: dict[str, np.ndarray], percent: int, key: tuple):
+    """Pairs of a list that is in one task: the members of its largest component are paired with the others alone."""
+    kinds, counts = np.unique(members["comp"], return_counts=True)
+    return _of_list(members | {"role": (members["comp"] != kinds[np.argmax(counts)]).astype(np.int64)}, percent)
+
+
+def _part(members: dict[str, np.ndarray], percent: int, key: tuple):
+    """Pairs of a part (token, kind, a, b) of a list that is dealt over tasks."""
+    _, kind, a, b = key
+    return _of_list(members, percent, across=kind == 0 or a != b)
+
+
+def _in_parts(rows: DataFrame, total: int, most: int) -> DataFrame:
+    """Postings of lists of m > most members, dealt so that each pair that may link meets in one part (token, kind, a, b), and their roles in it.
+
+    A part has about most members on either side. Kind 0: a part of the largest component (role 0) and one of the
+    others (role 1). Kind 1: two parts of the others (roles 1 and 2), or one of them with itself.
+    """
+    columns = [c for c in rows.columns if c != "m"]
+    sizes = rows.groupBy("token", "m", "comp").agg(F.count(F.lit(1)).alias("c"))
+    facts = sizes.groupBy("token", "m").agg(F.max(F.struct("c", "comp")).alias("b"))
+
+    def parts(c):
+        return F.greatest(F.ceil(c / most), F.lit(1)).cast("int")
+
+    facts = facts.select("token", "m", F.col("b.comp").alias("most"), parts(F.col("b.c")).alias("p"), parts(F.col("m") - F.col("b.c")).alias("q"))
+    rows = _met(rows.drop("m"), written(facts, "jaccard-long-lists"), ["token"], total)
+
+    def place(kind, a, b, role):
+        return F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(role).cast("long").alias("role"))
+
+    ps, qs = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("p", "q"))
+    of_most, of_others = F.pmod(F.xxhash64("rep"), "p"), F.pmod(F.xxhash64("rep"), "q")
+    first = F.transform(qs, lambda b: place(0, of_most, b, 0))
+    others = F.transform(ps, lambda a: place(0, a, of_others, 1))
+    blocks = F.transform(qs, lambda b: place(1, F.least(of_others, b), F.greatest(of_others, b), F.when(of_others <= b, 1).otherwise(2)))
+    where = F.when(F.col("comp") == F.col("most"), first).otherwise(F.concat(others, blocks))
+    return rows.select(*columns, F.explode(where).alias("w")).select(*columns, "w.*")
+
+
+def _candidates(postings: DataFrame, percent: int, decided: bool = True, most: int = LONG_LIST) -> DataFrame:
+    """Pairs x > y of sets in different components that may link; known: a leader's answers say that they do (left out unless decided).
+
+    A list of up to most members is gone through in one task, a longer one in parts.
+    """
+    postings = written(postings, "jaccard-postings")
+    total = postings.count()
+    lists = postings.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("open"), F.count(F.lit(1)).alias("m"))
+    lists = written(lists.filter(F.col("open") | (F.col("m") > total // 10_000)), "jaccard-lists")  # frequent closed ones too, so they go before a shuffle
+    met = _met(postings, lists, ["token"], total).filter("open").drop("open")
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("known", pa.bool_())])
 
-    def f(rows):
-        held, token = defaultdict(list), None
-        seen: set = set()
-
-        def pairs():
-            for a, b, known in _of_list({k: np.concatenate(v) for k, v in held.items()}, percent):
-                if not decided:
-                    a, b, known = a[~known], b[~known], known[~known]
-                high, low = np.maximum(a, b), np.minimum(a, b)
-                new = [i for i, p in enumerate(zip(high.tolist(), low.tolist())) if p not in seen]
-                if len(seen) > 1_000_000:  # a memory of what this task has named already; repeats are removed later
-                    seen.clear()
-                seen.update((int(high[i]), int(low[i])) for i in new)
-                yield pa.RecordBatch.from_arrays([pa.array(high[new], pa.int64()), pa.array(low[new], pa.int64()), pa.array(known[new], pa.bool_())], schema=schema)
+    def named(rows: DataFrame, keys: list[str], names: list[str], pairs_of) -> DataFrame:
+        def f(batches):
+            held, key = defaultdict(list), None
+            seen: set = set()
+
+            def pairs():
+                for a, b, known in pairs_of({k: np.concatenate(v) for k, v in held.items()}, percent, key):
+                    if not decided:
+                        a, b, known = a[~known], b[~known], known[~known]
+                    high, low = np.maximum(a, b), np.minimum(a, b)
+                    new = [i for i, p in enumerate(zip(high.tolist(), low.tolist())) if p not in seen]
+                    if len(seen) > 1_000_000:  # a memory of what this task has named already; repeats are removed later
+                        seen.clear()
+                    seen.update((int(high[i]), int(low[i])) for i in new)
+                    yield pa.RecordBatch.from_arrays([pa.array(high[new], pa.int64()), pa.array(low[new], pa.int64()), pa.array(known[new], pa.bool_())], schema=schema)
+
+            for b in batches:
+                own = np.stack([b.column(k).to_numpy().astype(np.int64) for k in keys], axis=1)
+                columns = {k: b.column(k).to_numpy().astype(np.int64) for k in names}
+                edges = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1, [len(own)]]) if len(own) else [0]
+                for x, y in zip(edges, edges[1:]):
+                    if held and tuple(own[x].tolist()) != key:
+                        yield from pairs()
+                        held.clear()
+                    key = tuple(own[x].tolist())
+                    for k in names:
+                        held[k].append(columns[k][x:y])
+            if held:
+                yield from pairs()
+
+        dealt = rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+        return dealt.mapInArrow(f, "x long, y long, known boolean")
 
-        for b in rows:
-            tokens = b.column("token").to_numpy()
-            columns = {k: b.column(k).to_numpy().astype(np.int64) for k in names}
-            edges = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]]) if len(tokens) else [0]
-            for x, y in zip(edges, edges[1:]):
-                if held and tokens[x] != token:
-                    yield from pairs()
-                    held.clear()
-                token = tokens[x]
-                for k in names:
-                    held[k].append(columns[k][x:y])
-        if held:
-            yield from pairs()
-
-    dealt = left.repartition(partitions(postings.sparkSession), "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(f, "x long, y long, known boolean").groupBy("x", "y").agg(F.max("known").alias("known"))
-
-
-def _link_counts(sets: DataFrame, percent: int) -> DataFrame:
+    names = ["rep", "n", "place", "comp", "lead", "d"]
+    out = named(met.filter(F.col("m") <= most).drop("m"), ["token"], names, _whole)
+    if lists.filter(F.col("open") & (F.col("m") > most)).head(1):
+        dealt = _in_parts(met.filter(F.col("m") > most), total, most)
+        out = out.unionByName(named(dealt, ["token", "kind", "a", "b"], [*names, "role"], _part))
+    return out.groupBy("x", "y").agg(F.max("known").alias("known"))
+
+
+def _link_counts(sets: DataFrame, percent: int, most: int = LONG_LIST) -> DataFrame:
     """rep and n_links, the number of other sets that it links with, of the sets that have any.
 
     Sets of one leader count by size and distance from it where these decide; all other pairs of the lists are compared.
@@ -250,12 +318,12 @@ def _link_counts(sets: DataFrame, percent: int) -> DataFrame:
     own = close.select("rep", *keys).join(sure, keys)
     itself = 2 * F.col("d") <= 2 * F.col("n") - 2 * F.ceil(2 * F.col("n") * percent / (100 + percent))
     own = own.select("rep", (F.col("l") - itself.cast("long")).alias("l"))
-    pairs = written(_candidates(_postings(sets.withColumn("comp", F.col("rep")), percent), percent, decided=False).select("x", "y"), "jaccard-undecided")
+    pairs = written(_candidates(_postings(sets.withColumn("comp", F.col("rep")), percent), percent, decided=False, most=most).select("x", "y"), "jaccard-undecided")
     links = verified(pairs, sets).filter(_linked(percent)).select(F.explode(F.array("x", "y")).alias("rep"), F.lit(1).cast("long").alias("l"))
     return own.unionByName(links).groupBy("rep").agg(F.sum("l").alias("n_links"))
 
 
-def joined(docs: DataFrame, *, k: int = K, percent: int = PERCENT, count_links: bool = True) -> DataFrame:
+def joined(docs: DataFrame, *, k: int = K, percent: int = PERCENT, count_links: bool = True, long_list: int = LONG_LIST) -> DataFrame:
     """doc_id, n_shingles, component_id and, if count_links, n_links (other distinct sets that its set links with) of each document.
 
     The links of a component are many more than those that make it: counting compares each pair that no leader decides.
@@ -271,12 +339,12 @@ def joined(docs: DataFrame, *, k: int = K, percent: int = PERCENT, count_links:
     best = told.groupBy("x").agg(F.min(F.struct(away.alias("d"), F.col("y").alias("lead"))).alias("b")).select(F.col("x").alias("rep"), "b.d", "b.lead")
     sets2 = sets.join(comp.withColumnRenamed("node", "rep").withColumnRenamed("component", "comp"), "rep", "left").join(best, "rep", "left")
     sets2 = sets2.withColumn("comp", F.coalesce("comp", "rep")).withColumn("lead", F.coalesce("lead", "rep")).withColumn("d", F.coalesce("d", F.lit(0)))
-    pairs = written(_candidates(_postings(sets2, percent), percent), "jaccard-pairs")
+    pairs = written(_candidates(_postings(sets2, percent), percent, most=long_list), "jaccard-pairs")
     more = verified(pairs.filter("not known").select("x", "y"), sets).filter(_linked(percent)).select(F.col("x").alias("u"), F.col("y").alias("v"))
     links = written(links.unionByName(more).unionByName(pairs.filter("known").select(F.col("x").alias("u"), F.col("y").alias("v"))).distinct(), "jaccard-links")
     comp = components(links)
     classes = sets.select("f1", "f2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.join(_link_counts(sets2, percent), "rep", "left") if count_links else classes.withColumn("n_links", F.lit(None))
+    classes = classes.join(_link_counts(sets2, percent, long_list), "rep", "left") if count_links else classes.withColumn("n_links", F.lit(None))
     classes = classes.select("f1", "f2", F.coalesce("component", "rep").alias("c"), F.coalesce("n_links", F.lit(0)).alias("l"))
     alone = found.filter("f1 is null or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     rest = may.select("doc_id", "n", "f1", "f2").join(classes, ["f1", "f2"])

@@ -88,19 +88,29 @@ def test_strings_with_one_hash_are_told_apart():
         assert repeats._open_masks(np.zeros(200, np.uint64), table, valid, doc, mix).tolist() == want
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_components(spark, seed):
+@pytest.mark.parametrize("seed, long_list", [(1, 20_000), (2, 1)])
+def test_jaccard_components(spark, seed, long_list):
     rows = corpus(seed)
-    assert got(jaccard_join.joined(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == brute.components(rows)
+    assert got(jaccard_join.joined(frame(spark, rows), count_links=False, long_list=long_list), "doc_id", "n_shingles", "component_id") == brute.components(rows)
 
 
-def test_a_chain_of_near_copies_is_one_component(spark):
+@pytest.mark.parametrize("long_list", [20_000, 2])
+def test_a_chain_of_near_copies_is_one_component(spark, long_list):
     w = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(w[8 * i : 8 * i + 100])) for i in range(30)]
-    assert got(jaccard_join.joined(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == brute.components(rows)
+    assert got(jaccard_join.joined(frame(spark, rows), count_links=False, long_list=long_list), "doc_id", "n_shingles", "component_id") == brute.components(rows)
+
+
+def test_parts_of_a_long_list_name_the_pairs_of_the_whole(spark):
+    r = random.Random(5)
+    rows = [(7, i, 20, r.randrange(5), r.choice([1, 1, 1, 2, 3, i]), i, 0) for i in range(60)] + [(8, i, 20, 0, 1, 1, 0) for i in range(50)]
+    postings = spark.createDataFrame(rows, jaccard_join._POSTING)
+    whole, *parts = (got(jaccard_join._candidates(postings, 80, most=m), "x", "y", "known") for m in (1000, 7, 1))
+    assert len(whole) > 500 and all(p == whole for p in parts)
 
 
-def test_links_are_counted_within_groups_of_near_copies(spark):
+@pytest.mark.parametrize("long_list", [20_000, 3])
+def test_links_are_counted_within_groups_of_near_copies(spark, long_list):
     r = random.Random(8)
     base, rows = [f"w{i}" for i in range(120)], corpus(8)
     for i in range(40):  # one to three changed words: some pairs are decided by the leader, others are not
@@ -110,7 +120,7 @@ def test_links_are_counted_within_groups_of_near_copies(spark):
         rows.append((1000 + i, " ".join(w)))
     sets = [frozenset(brute.shingle_set(t)) for _, t in rows]
     links = {a: sum(a != b and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for b in set(sets)) for a in set(sets)}
-    found = got(jaccard_join.joined(frame(spark, rows)), "doc_id", "n_links")
+    found = got(jaccard_join.joined(frame(spark, rows), long_list=long_list), "doc_id", "n_links")
     assert found == sorted((d, links[a]) for (d, _), a in zip(rows, sets)) and max(n for _, n in found) > 10
 
 
