@@ -57,6 +57,14 @@ def test_citations_and_spans(spark):
     # a span that is dropped claims nothing
     spans = spark.createDataFrame([(1, 0, 10, 1), (1, 5, 15, 1), (1, 12, 20, 1), (2, 3, 9, 0), (2, 5, 7, 0), (2, 0, 3, 1), (2, 8, 9, 1)], "id long, start int, end int, rank int")
     assert sorted((r.id, r.start) for r in references.without_overlap(spans).collect()) == [(1, 0), (1, 12), (2, 0), (2, 3), (2, 5)]
+    # a span without bounds is none; texts without an id are one text
+    spans = spark.createDataFrame([(1, None, 4, 0), (1, 2, None, 1), (None, 1, 3, 1), (None, 2, 5, 1), (1, 2, 3, 1)], "id long, start int, end int, rank int")
+    assert {(r.id, r.start) for r in references.without_overlap(spans).collect()} == {(None, 1), (1, 2)}
+
+
+def test_bigrams(spark):
+    df = spark.createDataFrame([("aab\U0001f600b",), ("a",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.bigrams(F.col("t"))).collect()] == [["aa", "ab", "b\U0001f600", "\U0001f600b"], [], [], []]
 
 
 def test_versions_as_asked(spark):
