@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.components import components
 from folio.llm.exchange import batched, bucket_count, codes_of, counted, opened, pack, pack_sorted, spots, unpack, unpack_sorted
-from folio.llm.shared import Texts, mixed, numbered, partitions, renamed, shingles, words, written
+from folio.llm.shared import Texts, met, mixed, numbered, partitions, renamed, shingles, words, written
 
 K = 5
 PERCENT = 80
@@ -132,22 +132,11 @@ def _linked(percent: int):
     return 100 * F.col("inter") >= percent * (F.col("nx") + F.col("ny") - F.col("inter"))
 
 
-def _met(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """rows joined with facts, which has a row for each key and m, how many of the total rows have it.
-
-    A key that a ten-thousandth of all rows have is broadcast, ten thousand rows at most; other keys meet in a shuffle.
-    """
-    most = total // 10_000 + 1
-    hot = F.broadcast(facts.filter(F.col("m") >= most))
-    rest = rows.join(hot.select(*keys), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(rest.join(facts.filter(F.col("m") < most).hint("merge"), keys))
-
-
 def _leaders(sets: DataFrame) -> DataFrame:
     """Pairs (x, y): y is the smallest of the sets that share a smallest hash with x."""
     keyed = sets.select("rep", F.posexplode(F.array("k1", "k2")).alias("order", "key"))
     least = keyed.groupBy("order", "key").agg(F.min("rep").alias("y"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).filter("y <> last").drop("last")
-    met = _met(keyed, written(least, "jaccard-least"), ["order", "key"], 2 * sets.count())
+    met = met(keyed, written(least, "jaccard-least"), ["order", "key"], 2 * sets.count())
     return met.filter("rep <> y").select(F.col("rep").alias("x"), "y").distinct()
 
 
@@ -236,7 +225,7 @@ def _in_parts(rows: DataFrame, total: int, most: int) -> DataFrame:
         return F.greatest(F.ceil(c / most), F.lit(1)).cast("int")
 
     facts = facts.select("token", "m", F.col("b.comp").alias("most"), parts(F.col("b.c")).alias("p"), parts(F.col("m") - F.col("b.c")).alias("q"))
-    rows = _met(rows.drop("m"), written(facts, "jaccard-long-lists"), ["token"], total)
+    rows = met(rows.drop("m"), written(facts, "jaccard-long-lists"), ["token"], total)
 
     def place(kind, a, b, role):
         return F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(role).cast("long").alias("role"))
@@ -259,7 +248,7 @@ def _candidates(postings: DataFrame, percent: int, decided: bool = True, most: i
     total = postings.count()
     lists = postings.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("open"), F.count(F.lit(1)).alias("m"))
     lists = written(lists.filter(F.col("open") | (F.col("m") > total // 10_000)), "jaccard-lists")  # frequent closed ones too, so they go before a shuffle
-    met = _met(postings, lists, ["token"], total).filter("open").drop("open")
+    met = met(postings, lists, ["token"], total).filter("open").drop("open")
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("known", pa.bool_())])
 
     def named(rows: DataFrame, keys: list[str], names: list[str], pairs_of) -> DataFrame:

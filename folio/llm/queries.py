@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.llm import exact_dedup as grace
-from folio.llm import decontaminate, jaccard_join, language, licenses, piece_transducer, quality, repeats, sharding, token_files
+from folio.llm import decontaminate, jaccard_join, language, licenses, piece_transducer, quality, repeats, sharding, token_files, url_filter, vector_codes, whitening
 from folio.tables import table
 
 
@@ -78,6 +78,22 @@ def op10_sharding(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return vector_codes.compress(rows, vec_id=rows["vec_id"], vector=rows["embedding"], label=rows["label"])
+
+
+def op12_whitening(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, vec_id=rows["vec_id"], vector=rows["embedding"])
+
+
+def op13_url_filter(spark, sf_dir):
+    """Word counts come from the texts of documents."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.unigrams(table(spark, sf_dir, "documents")), page_id=pages["page_id"], url=pages["url"])
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -89,5 +105,8 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_decontaminate": op9_decontaminate,
     "op10_sharding": op10_sharding,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_whitening": op12_whitening,
+    "op13_url_filter": op13_url_filter,
 }
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_license_scan": licenses.oracle(), "op10_sharding": sharding.ORACLE}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_license_scan": licenses.oracle(), "op10_sharding": sharding.ORACLE, "op11_vector_codes": vector_codes.oracle()}

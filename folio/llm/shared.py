@@ -10,6 +10,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised operator looks at; one longer text is a step of its own.
 STEP_BYTES = 1 << 21
@@ -42,6 +43,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def met(rows: DataFrame, facts: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with facts, which has a row for each key and m, how many of the total rows have it.
+
+    A key that a ten-thousandth of all rows have is broadcast, ten thousand rows at most, and its rows are not shuffled; other keys
+    meet in a shuffle. rows and facts are read twice each, so both have to be written tables or cheap to derive from such. Keys aren't null.
+    """
+    most = total // 10_000 + 1
+    hot = F.broadcast(facts.filter(F.col("m") >= most))
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(facts.filter(F.col("m") < most).hint("merge"), keys))
+
 class Texts(NamedTuple):
     """Texts of some rows laid end to end: bytes, and where each row's text starts (one more entry than rows)."""
 

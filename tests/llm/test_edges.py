@@ -43,7 +43,7 @@ def tables(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("kind", ["awkward", "empty", "unlabelled"])
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [q for q in QUERIES if q.split("_")[0] not in ("op11", "op12", "op13")])  # their tables: test_vectors.py, test_url_filter.py
 def test_queries(spark, tables, name, kind):
     if kind == "unlabelled" and not name.startswith("op3"):
         return
