@@ -3,7 +3,8 @@
 A batch of texts (a row of a written table, so it is the same for every reader) sends each of its
 distinct hashes once, packed, to the hash's bucket, however often the batch has it; a hash that occurs
 everywhere so reaches its bucket once for each batch. The bucket answers with a byte for each hash,
-in the order sent. A batch's answers go back to it by a join on its number.
+in the order sent. A batch's answers go back to it by a join on its number. With many buckets, batches and
+buckets meet over stops (see Route), so the rows do not grow with the square of the input.
 
 Hashes are cut to 32 bits within their bucket, and buckets grow with the number of partitions, so two
 hashes are seldom taken for one; a count can then be too high, never too low, which users allow for.
@@ -11,7 +12,9 @@ hashes are seldom taken for one; a count can then be too high, never too low, wh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +60,8 @@ def unpack_sorted(raw: bytes, kind) -> np.ndarray:
     return np.cumsum(unpack(raw, kind), dtype=kind)
 
 
+_BACK = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("codes", pa.binary())])
+BACK = "batch long, bucket int, codes binary"
 _BATCH = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("body", pa.binary())])
 BATCH = "batch long, ids array<long>, sizes array<long>, body binary"
 
@@ -95,12 +100,35 @@ def opened(batch: pa.RecordBatch, i: int) -> tuple[int, list, Texts]:
 
 #: Bytes of text whose hashes one bucket, and so one task at a time, holds, about.
 BUCKET_BYTES = 64 << 20
+#: Buckets up to which batches send to them at once; beyond, by stops.
+ONE_HOP = 512
+
+
+class Route(NamedTuple):
+    """How hashes get to their buckets.
+
+    width: neighbouring buckets that share a stop; 1 where batches send to the buckets at once. groups: of batches; a stop merges what
+    a group sends it. With about the square root of the buckets for width, stops and batches of a group, a batch sends a row to
+    each stop, and what a group's batches have sent to a stop goes on as a row to each of its buckets: rows grow with the batches
+    times twice that root, not with their square, and a stop's unit holds about as many hashes as one batch.
+    """
+
+    buckets: int
+    width: int
+    groups: int
 
+    @property
+    def stops(self) -> int:
+        return -(-self.buckets // self.width)
 
-def bucket_count(batches: DataFrame, each: int = BUCKET_BYTES) -> int:
-    """Buckets for the hashes of such a table: they grow in number with its bytes, not in size; one for each partition at least."""
-    total = batches.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
-    return max(partitions(batches.sparkSession), -(-total // each))
+
+def route_of(batches: DataFrame, each: int = BUCKET_BYTES, one_hop: int = ONE_HOP) -> Route:
+    """A route for the hashes of such a table: buckets grow in number with its bytes, not in size; one for each partition at least."""
+    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    found = batches.agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    buckets = max(partitions(batches.sparkSession), -(-(found.bytes or 0) // each))
+    width = 1 if buckets <= one_hop else math.isqrt(buckets - 1) + 1
+    return Route(buckets, width, -(-found.n // width) or 1)
 
 
 def spots(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -115,7 +143,7 @@ def code_of(counts: np.ndarray) -> np.ndarray:
 
 
 _SENT = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_BACK = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("codes", pa.binary())])
+SENT = "batch long, bucket int, keys binary, counts binary"
 
 
 def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
@@ -124,56 +152,120 @@ def by_bucket(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket")
 
 
-def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of one bucket after the other."""
-    held: list[dict] = []
+def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list]]]:
+    """One bucket after the other: its number and the columns of its rows."""
+    bucket, held = None, {}
     for b in batches:
-        for row in b.to_pylist():
-            if held and held[0]["bucket"] != row["bucket"]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+        numbers = b.column("bucket").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1), b.num_rows]
+        for x, y in zip(edges, edges[1:]):
+            if x == y:
+                continue
+            if bucket is not None and numbers[x] != bucket:
+                yield bucket, held
+                held = {}
+            bucket = int(numbers[x])
+            for name in b.schema.names:
+                held.setdefault(name, []).extend(b.column(name).slice(x, y - x).to_pylist())
+    if bucket is not None:
+        yield bucket, held
+
+
+def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def relayed(first: DataFrame, route: Route, sent: tuple[pa.Schema, str], answered: Callable[[dict[str, list]], list[bytes]], merged: Callable, split: Callable) -> DataFrame:
+    """batch, bucket (or stop) and codes: what comes back for each row of first (batch, bucket or stop, and the rest of sent).
+
+    answered gives a reply for each row of a bucket. On the way over stops, merged(parts) makes of a unit's parts (dictionaries of the columns sent) rows
+    (bucket, columns ...), and split(parts, replies in order of bucket) a reply for each part.
+    """
+    schema, text = sent
+
+    def answer(rows):
+        for bucket, own in buckets_of(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(own["batch"], pa.int64()), pa.array([bucket] * len(own["batch"]), pa.int32()), pa.array(answered(own), pa.binary())], schema=_BACK)
+
+    if route.width == 1:
+        return by_bucket(first, route.buckets).mapInArrow(answer, BACK)
+    stops, names = route.stops, [f.name for f in schema][2:]
+
+    def send(rows):
+        for b in rows:
+            for row in b.to_pylist():
+                yield rows_of(schema, [(row["unit"], *r) for r in merged(row["parts"])])
 
+    def back(rows):
+        for b in rows:
+            for row in b.to_pylist():
+                replies = [r["codes"] for r in sorted(row["answers"] or [], key=lambda r: r["bucket"])]
+                found = split(row["parts"], replies)
+                yield rows_of(_BACK, [(p["batch"], row["unit"] % stops, c) for p, c in zip(row["parts"], found)])
+
+    unit = F.pmod(F.xxhash64("batch"), F.lit(route.groups)) * stops + F.col("bucket")
+    # named twice in the plan: Spark shuffles what batches send once for both
+    units = first.groupBy(unit.alias("unit")).agg(F.collect_list(F.struct("batch", *names)).alias("parts"))
+    replies = answers(by_bucket(units.mapInArrow(send, text), route.buckets).mapInArrow(answer, BACK))
+    return units.join(replies.withColumnRenamed("batch", "unit"), "unit", "left").mapInArrow(back, BACK)
+
+
+def _merged_keys(parts: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Keys of each part, the distinct ones of all, and for each of all the place among these."""
+    keys = [unpack_sorted(p["keys"], np.uint64) for p in parts]
+    return keys, *np.unique(np.concatenate(keys), return_inverse=True)
+
+
+def _merge_counts(parts: list[dict]) -> list[tuple]:
+    _, distinct, at = _merged_keys(parts)
+    counts = np.bincount(at, np.concatenate([unpack(p["counts"], np.uint16) for p in parts]), len(distinct))
+    return _by_bucket(distinct, np.minimum(counts, 65535).astype(np.uint16))
+
+
+def _by_bucket(keys: np.ndarray, counts: np.ndarray, width: int = 1) -> list[tuple]:
+    """(bucket or stop, keys, counts) of ascending spots; for stops of more than one bucket the keys are whole spots."""
+    where = (keys >> np.uint64(32)).astype(np.int64) // width
+    own = keys if width > 1 else keys.astype(np.uint32)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(keys)]]) if len(keys) else [0]
+    return [(int(where[x]), pack_sorted(own[x:y]), pack(counts[x:y])) for x, y in zip(edges, edges[1:])]
 
-def counted(batches: DataFrame, hashes: Callable[[Texts], np.ndarray], buckets: int) -> DataFrame:
+
+def _split_codes(parts: list[dict], replies: list[bytes]) -> list[bytes]:
+    keys, _, at = _merged_keys(parts)
+    codes = np.concatenate([unpack(r, np.uint8) for r in replies])[at]
+    return [pack(c) for c in np.split(codes, np.cumsum([len(k) for k in keys])[:-1])]
+
+
+def _count(own: dict[str, list]) -> list[bytes]:
+    keys = [unpack_sorted(k, np.uint32) for k in own["keys"]]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    codes = code_of(np.bincount(at, np.concatenate([unpack(c, np.uint16) for c in own["counts"]]), len(distinct)))[at]
+    return [pack(c) for c in np.split(codes, np.cumsum([len(k) for k in keys])[:-1])]
+
+
+def counted(batches: DataFrame, hashes: Callable[[Texts], np.ndarray], route: Route) -> DataFrame:
     """batches with the column answers, array<struct<bucket, codes>>: codes of the counts of spots of hashes(texts).
 
-    Codes, in order of bucket, belong to np.unique(spots(hashes(texts), buckets)). hashes gives a value for each time that counts.
+    Codes, in order of bucket, belong to np.unique(spots(hashes(texts), route.buckets)). hashes gives a value for each time that counts.
     """
 
     def send(rows):
         for b in rows:
             for i in range(b.num_rows):
                 number, _, texts = opened(b, i)
-                keys, counts = np.unique(spots(hashes(texts), buckets), return_counts=True)
-                bucket = (keys >> np.uint64(32)).astype(np.int64)
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                low, some = keys.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)
-                full = np.flatnonzero(np.diff(edges))
-                parts = [(edges[k], edges[k + 1]) for k in full]
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(full), pa.int64()), pa.array(full, pa.int32()), pa.array([pack_sorted(low[x:y]) for x, y in parts], pa.binary()), pa.array([pack(some[x:y]) for x, y in parts], pa.binary())], schema=_SENT)
-
-    def answer(rows):
-        for own in buckets_of(rows):
-            keys = [unpack_sorted(r["keys"], np.uint32) for r in own]
-            distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-            codes = code_of(np.bincount(at, np.concatenate([unpack(r["counts"], np.uint16) for r in own]), len(distinct)))[at]
-            ends = np.cumsum([len(k) for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array([r["batch"] for r in own], pa.int64()), pa.array([r["bucket"] for r in own], pa.int32()), pa.array([pack(c) for c in np.split(codes, ends[:-1])], pa.binary())], schema=_BACK)
+                keys, counts = np.unique(spots(hashes(texts), route.buckets), return_counts=True)
+                yield rows_of(_SENT, [(number, *r) for r in _by_bucket(keys, np.minimum(counts, 65535).astype(np.uint16), route.width)])
 
-    sent = by_bucket(batches.mapInArrow(send, "batch long, bucket int, keys binary, counts binary"), buckets)
-    back = sent.mapInArrow(answer, "batch long, bucket int, codes binary")
-    return batches.join(answers(back, "codes"), "batch", "left")
+    back = relayed(batches.mapInArrow(send, SENT), route, (_SENT, SENT), _count, _merge_counts, _split_codes)
+    return batches.join(answers(back), "batch", "left")
 
 
-def answers(back: DataFrame, what: str) -> DataFrame:
-    """batch and its answers, array<struct<bucket, what>>: a row of a batch has one for each bucket at most."""
-    return back.groupBy("batch").agg(F.collect_list(F.struct("bucket", what)).alias("answers"))
+def answers(back: DataFrame) -> DataFrame:
+    """batch and its answers, array<struct<bucket, codes>>: a row of a batch has one for each bucket or stop at most."""
+    return back.groupBy("batch").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers"))
 
 
-def codes_of(batch: pa.RecordBatch, i: int) -> np.ndarray:
-    """The codes of a row of counted(), in the order of np.unique of its spots."""
+def codes_of(batch: pa.RecordBatch, i: int, kind=np.uint8) -> np.ndarray:
+    """The codes of a row of counted(), in the order of np.unique of its spots; or other numbers that came back."""
     found = sorted(batch.column("answers")[i].as_py() or [], key=lambda a: a["bucket"])
-    return np.concatenate([unpack(a["codes"], np.uint8) for a in found] or [np.zeros(0, np.uint8)])
+    return np.concatenate([unpack(a["codes"], kind) for a in found] or [np.zeros(0, kind)])

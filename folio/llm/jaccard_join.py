@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.components import components
-from folio.llm.exchange import batched, bucket_count, codes_of, counted, opened, pack, pack_sorted, spots, unpack, unpack_sorted
-from folio.llm.shared import Texts, met, mixed, numbered, partitions, renamed, shingles, words, written
+from folio.llm.exchange import batched, codes_of, counted, opened, pack, pack_sorted, route_of, spots, unpack, unpack_sorted
+from folio.llm.shared import STEP_BYTES, Texts, met, mixed, numbered, partitions, renamed, shingles, words, written
 
 K = 5
 PERCENT = 80
@@ -66,10 +66,11 @@ def overlap(nx, ny, percent: int):
 _SET = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("hashes", pa.binary()), ("codes", pa.binary())])
 
 
-def document_sets(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> DataFrame:
+def document_sets(docs: DataFrame, *, k: int = K, percent: int = PERCENT, batch_bytes: int = STEP_BYTES, **route) -> DataFrame:
     """doc_id and n of every document; fingerprint, keys for leaders and the shingles that occur elsewhere of those that may link."""
-    batches = batched(docs, "jaccard-batches")
-    buckets = bucket_count(batches)
+    batches = batched(docs, "jaccard-batches", batch_bytes)
+    route = route_of(batches, **route)
+    buckets = route.buckets
 
     def f(rows):
         for b in rows:
@@ -98,7 +99,7 @@ def document_sets(docs: DataFrame, *, k: int = K, percent: int = PERCENT) -> Dat
                         col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(out, _SET)], schema=_SET)
 
-    found = counted(batches, lambda t: sets_of(t, k)[1], buckets)
+    found = counted(batches, lambda t: sets_of(t, k)[1], route)
     return written(found.mapInArrow(f, "doc_id long, n long, f1 long, f2 long, k1 long, k2 long, hashes binary, codes binary"), "jaccard-sets", "none")
 
 
@@ -136,8 +137,8 @@ def _leaders(sets: DataFrame) -> DataFrame:
     """Pairs (x, y): y is the smallest of the sets that share a smallest hash with x."""
     keyed = sets.select("rep", F.posexplode(F.array("k1", "k2")).alias("order", "key"))
     least = keyed.groupBy("order", "key").agg(F.min("rep").alias("y"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("m")).filter("y <> last").drop("last")
-    met = met(keyed, written(least, "jaccard-least"), ["order", "key"], 2 * sets.count())
-    return met.filter("rep <> y").select(F.col("rep").alias("x"), "y").distinct()
+    rows = met(keyed, written(least, "jaccard-least"), ["order", "key"], 2 * sets.count())
+    return rows.filter("rep <> y").select(F.col("rep").alias("x"), "y").distinct()
 
 
 _POSTING = "token long, rep long, n long, place int, comp long, lead long, d long"
@@ -248,7 +249,7 @@ def _candidates(postings: DataFrame, percent: int, decided: bool = True, most: i
     total = postings.count()
     lists = postings.groupBy("token").agg((F.min("comp") != F.max("comp")).alias("open"), F.count(F.lit(1)).alias("m"))
     lists = written(lists.filter(F.col("open") | (F.col("m") > total // 10_000)), "jaccard-lists")  # frequent closed ones too, so they go before a shuffle
-    met = met(postings, lists, ["token"], total).filter("open").drop("open")
+    postings = met(postings, lists, ["token"], total).filter("open").drop("open")
     schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("known", pa.bool_())])
 
     def named(rows: DataFrame, keys: list[str], names: list[str], pairs_of) -> DataFrame:
@@ -285,9 +286,9 @@ def _candidates(postings: DataFrame, percent: int, decided: bool = True, most: i
         return dealt.mapInArrow(f, "x long, y long, known boolean")
 
     names = ["rep", "n", "place", "comp", "lead", "d"]
-    out = named(met.filter(F.col("m") <= most).drop("m"), ["token"], names, _whole)
+    out = named(postings.filter(F.col("m") <= most).drop("m"), ["token"], names, _whole)
     if lists.filter(F.col("open") & (F.col("m") > most)).head(1):
-        dealt = _in_parts(met.filter(F.col("m") > most), total, most)
+        dealt = _in_parts(postings.filter(F.col("m") > most), total, most)
         out = out.unionByName(named(dealt, ["token", "kind", "a", "b"], [*names, "role"], _part))
     return out.groupBy("x", "y").agg(F.max("known").alias("known"))
 
@@ -312,12 +313,12 @@ def _link_counts(sets: DataFrame, percent: int, most: int = LONG_LIST) -> DataFr
     return own.unionByName(links).groupBy("rep").agg(F.sum("l").alias("n_links"))
 
 
-def joined(docs: DataFrame, *, k: int = K, percent: int = PERCENT, count_links: bool = True, long_list: int = LONG_LIST) -> DataFrame:
+def joined(docs: DataFrame, *, k: int = K, percent: int = PERCENT, count_links: bool = True, long_list: int = LONG_LIST, **exchange) -> DataFrame:
     """doc_id, n_shingles, component_id and, if count_links, n_links (other distinct sets that its set links with) of each document.
 
     The links of a component are many more than those that make it: counting compares each pair that no leader decides.
     """
-    found = document_sets(docs, k=k, percent=percent)
+    found = document_sets(docs, k=k, percent=percent, **exchange)
     may = found.filter("f1 is not null and doc_id is not null")
     reps = may.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max(F.struct("hashes", "codes", "k1", "k2")).alias("s"))
     sets = written(reps.select("f1", "f2", "rep", "n", "s.*"), "jaccard-distinct", "none")

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.exchange import answers, batched, bucket_count, buckets_of, by_bucket, codes_of, counted, opened, pack, pack_sorted, pressed, spots, unpack, unpack_sorted, unpressed
-from folio.llm.shared import Texts, hashes_between, mixed, powers, prefix_sums, written
+from folio.llm.exchange import Route, answers, batched, codes_of, counted, opened, pack, pack_sorted, pressed, relayed, route_of, rows_of, spots, unpack, unpack_sorted, unpressed
+from folio.llm.shared import STEP_BYTES, Texts, hashes_between, mixed, powers, prefix_sums, written
 
 SPAN = 50
 GRAM = 24
@@ -93,7 +93,7 @@ def _anchors(data: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 _KEPT = pa.schema([("batch", pa.int64()), ("places", pa.binary()), ("held", pa.int64()), ("free_ids", pa.list_(pa.int64())), ("free_sizes", pa.list_(pa.int64())), ("free_sha", pa.list_(pa.string()))])
 
 
-def _repeated(batches: DataFrame, buckets: int) -> DataFrame:
+def _repeated(batches: DataFrame, route: Route) -> DataFrame:
     """Places of the anchors of each batch that occur elsewhere, and how many texts have one; other texts are done: id, size and SHA-256."""
 
     def f(rows):
@@ -101,7 +101,7 @@ def _repeated(batches: DataFrame, buckets: int) -> DataFrame:
             for i in range(b.num_rows):
                 number, ids, texts = opened(b, i)
                 places, gram = anchors(texts)
-                where = spots(gram, buckets)
+                where = spots(gram, route.buckets)
                 if len(gram):
                     places = places[codes_of(b, i)[np.searchsorted(np.unique(where), where)] > 0]
                 hit = np.zeros(len(ids), bool)
@@ -111,7 +111,7 @@ def _repeated(batches: DataFrame, buckets: int) -> DataFrame:
                 values = [[number], [pack_sorted(places.astype(np.uint64))], [int(hit.sum())], [[ids[j] for j in free]], [np.diff(texts.starts)[free].tolist()], [sha]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(values, _KEPT)], schema=_KEPT)
 
-    found = counted(batches, lambda t: anchors(t)[1], buckets)
+    found = counted(batches, lambda t: anchors(t)[1], route)
     return written(found.mapInArrow(f, "batch long, places binary, held long, free_ids array<long>, free_sizes array<long>, free_sha array<string>"), "repeat-places", "zstd")
 
 
@@ -165,8 +165,8 @@ def _lines(texts: Texts, places: np.ndarray, left: np.ndarray, right: np.ndarray
     return out
 
 
-_SENT = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("lines", pa.binary()), ("valid", pa.binary()), ("docs", pa.binary())])
-_BACK = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("masks", pa.binary())])
+_SENT = pa.schema([("batch", pa.int64()), ("bucket", pa.int32()), ("lines", pa.binary()), ("valid", pa.binary()), ("docs", pa.binary()), ("buckets", pa.binary())])
+SENT = "batch long, bucket int, lines binary, valid binary, docs binary, buckets binary"
 
 
 def _hashes(strings: np.ndarray) -> np.ndarray:
@@ -259,41 +259,61 @@ def _clash(key: np.ndarray, strings: np.ndarray) -> bool:
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>"
 
 
-def removed_repeats(docs: DataFrame) -> DataFrame:
+def _opened_lines(parts: list[bytes], valid: list[bytes], docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines, valid and docs of several rows, end to end, and where each but the first begins."""
+    raw = [unpressed(x) for x in parts]
+    lines = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WIDTH)
+    return lines, np.concatenate([unpack(x, np.uint32) for x in valid]), np.concatenate([unpack(x, np.int64) for x in docs]), np.cumsum([len(x) // WIDTH for x in raw])[:-1]
+
+
+def _lines_by_bucket(lines: np.ndarray, valid: np.ndarray, doc: np.ndarray, bucket: np.ndarray, width: int = 1) -> list[tuple]:
+    """(bucket or stop, lines, valid, docs, buckets) of entries that ascend by bucket."""
+    where = bucket // width
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(where)]]) if len(where) else [0]
+    return [(int(where[x]), pressed(lines[x:y].tobytes()), pack(valid[x:y]), pack(doc[x:y]), pack_sorted(bucket[x:y].astype(np.uint32)) if width > 1 else b"") for x, y in zip(edges, edges[1:])]
+
+
+def _buckets(parts: list[dict]) -> np.ndarray:
+    return np.concatenate([unpack_sorted(p["buckets"], np.uint32) for p in parts]).astype(np.int64)
+
+
+def _merge_lines(parts: list[dict]) -> list[tuple]:
+    lines, valid, doc, _ = _opened_lines(*([p[k] for p in parts] for k in ("lines", "valid", "docs")))
+    bucket = _buckets(parts)
+    order = np.argsort(bucket, kind="stable")
+    return _lines_by_bucket(lines[order], valid[order], doc[order], bucket[order])
+
+
+def _split_masks(parts: list[dict], replies: list[bytes]) -> list[bytes]:
+    order = np.argsort(_buckets(parts), kind="stable")
+    masks = np.empty(len(order), np.uint32)
+    masks[order] = np.concatenate([unpack(r, np.uint32) for r in replies])
+    return [pack(m) for m in np.split(masks, np.cumsum([len(unpack(p["docs"], np.int64)) for p in parts])[:-1])]
+
+
+def _answered(own: dict[str, list]) -> list[bytes]:
+    lines, valid, doc, edges = _opened_lines(own["lines"], own["valid"], own["docs"])
+    return [pack(m) for m in np.split(_masks(_grams(lines), lines, valid, doc), edges)]
+
+
+def removed_repeats(docs: DataFrame, *, batch_bytes: int = STEP_BYTES, **route) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (removed bytes, from start to before end) of each document."""
-    batches = batched(docs, "repeat-batches")
-    buckets = bucket_count(batches)
-    places = _repeated(batches, buckets)
+    batches = batched(docs, "repeat-batches", batch_bytes)
+    route = route_of(batches, **route)
+    places = _repeated(batches, route)
 
     def send(rows):
         for b in rows:
             for i in range(b.num_rows):
-                _, texts, a = _around(b, i, buckets)
-                edges = np.searchsorted(a.bucket, np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(edges))
-                out: list[list] = [[] for _ in _SENT]
-                for k in full:
-                    own = slice(edges[k], edges[k + 1])
-                    who = a.first[own]
-                    values = [b.column("batch")[i].as_py(), int(k), pressed(a.around[own].tobytes()), pack(a.valid[who]), pack(a.doc[who])]
-                    for c, v in zip(out, values):
-                        c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(out, _SENT)], schema=_SENT)
-
-    def answer(rows):
-        for own in buckets_of(rows):
-            parts = [unpressed(r["lines"]) for r in own]
-            lines = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, WIDTH)
-            masks = _masks(_grams(lines), lines, np.concatenate([unpack(r["valid"], np.uint32) for r in own]), np.concatenate([unpack(r["docs"], np.int64) for r in own]))
-            ends = np.cumsum([len(x) // WIDTH for x in parts])
-            yield pa.RecordBatch.from_arrays([pa.array([r["batch"] for r in own], pa.int64()), pa.array([r["bucket"] for r in own], pa.int32()), pa.array([pack(m) for m in np.split(masks, ends[:-1])], pa.binary())], schema=_BACK)
+                _, _, a = _around(b, i, route.buckets)
+                own = _lines_by_bucket(a.around, a.valid[a.first], a.doc[a.first], a.bucket, route.width)
+                yield rows_of(_SENT, [(b.column("batch")[i].as_py(), *r) for r in own])
 
     def laid(rows):
         for b in rows:
             for i in range(b.num_rows):
-                ids, texts, a = _around(b, i, buckets)
-                found = sorted(b.column("answers")[i].as_py() or [], key=lambda x: x["bucket"])
-                masks = np.concatenate([unpack(x["masks"], np.uint32) for x in found] or [np.zeros(0, np.uint32)])
+                ids, texts, a = _around(b, i, route.buckets)
+                masks = codes_of(b, i, np.uint32)
                 own = np.where(a.doc > a.doc[a.first][a.entry], a.valid, masks[a.entry] & a.valid) if len(a.places) else masks
                 change = np.zeros(len(texts.data) + 1, np.int32)
                 for o in range(SIDE + 1):
@@ -317,8 +337,7 @@ def removed_repeats(docs: DataFrame) -> DataFrame:
 
     # named twice in the plan: Spark shuffles the batches once for both
     held = batches.join(places.filter("held > 0").select("batch", "places"), "batch")
-    sent = by_bucket(held.mapInArrow(send, "batch long, bucket int, lines binary, valid binary, docs binary"), buckets)
-    back = answers(sent.mapInArrow(answer, "batch long, bucket int, masks binary"), "masks")
+    back = answers(relayed(held.mapInArrow(send, SENT), route, (_SENT, SENT), _answered, _merge_lines, _split_masks))
     found = held.join(back, "batch", "left").mapInArrow(laid, _OUT)
     free = places.select(F.explode(F.arrays_zip("free_ids", "free_sizes", "free_sha")).alias("x"))
     none = F.array().cast("array<struct<start: bigint, end: bigint>>")
