@@ -1,69 +1,10 @@
-"""Trees by parent id: document order, ancestors, pages and mapping chains."""
+"""What is read off a tree of which each node knows its ancestors: breadcrumbs, scopes, values carried down, regrouped leaves."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.sources.stored import stored
-
-MAX_DEPTH = 120
-
-
-def expanded(nodes: DataFrame, *, most: int = MAX_DEPTH) -> DataFrame:
-    """nodes (id, parent, place) with depth, path (places from the root), ancestors (ids from the root) and root.
-
-    A join for each level, written, so the plan stays as long as one level; nodes below a cycle or a
-    missing parent are not reached.
-    """
-    level = stored(nodes.filter("parent is null").select("*", F.lit(0).alias("depth"), F.array("place").alias("path"), F.array().cast("array<string>").alias("ancestors"), F.col("id").alias("root")), "tree")
-    out, depth = level, 0
-    while level.head(1):
-        depth += 1
-        if depth > most:
-            raise ValueError(f"the tree is deeper than {most} levels")
-        above = level.select(F.col("id").alias("parent"), F.col("path").alias("_path"), F.concat("ancestors", F.array("id")).alias("ancestors"), "root")
-        below = nodes.join(above, "parent").withColumn("depth", F.lit(depth)).withColumn("path", F.concat("_path", F.array("place")))
-        level = stored(below.select(*out.columns), "tree")
-        out = out.unionByName(level)
-    return out
-
-
-def _up(nodes: DataFrame, top: str, most: int = MAX_DEPTH) -> list:
-    """The nodes from the root down to top, one row each; found by looking one parent up at a time."""
-    chain, seen, now = [], set(), top
-    while now is not None and now not in seen:
-        row = nodes.filter(F.col("id") == now).select("id", "parent", "place").first()
-        if row is None:
-            break
-        seen.add(now)
-        chain.append(row)
-        now = row.parent
-        if len(chain) > most:
-            raise ValueError(f"the tree is deeper than {most} levels")
-    return chain[::-1]
-
-
-def _down(nodes: DataFrame, level: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
-    """level (id, parent, place, depth, path, ancestors, root) and all below it: a join for each level, with the rows of that level alone."""
-    out = level
-    for _ in range(most):
-        if not level.head(1):
-            return out
-        above = level.select(F.col("id").alias("parent"), F.col("path").alias("_path"), (F.col("depth") + 1).alias("depth"), F.concat("ancestors", F.array("id")).alias("ancestors"), "root")
-        below = nodes.join(above, "parent").withColumn("path", F.concat("_path", F.array("place")))
-        level = stored(below.select(*out.columns), "tree")
-        out = out.unionByName(level)
-    raise ValueError(f"the tree is deeper than {most} levels")
-
-
-def subtree(nodes: DataFrame, top: str) -> DataFrame:
-    """top and all below it, with depth, path, ancestors and root as in the whole tree; other branches are not read level by level."""
-    chain = _up(nodes, top)
-    path, ancestors = [r.place for r in chain], [r.id for r in chain][:-1]
-    here = nodes.filter(F.col("id") == top) if chain and chain[0].parent is None else nodes.filter("false")
-    level = here.select("*", F.lit(len(ancestors)).alias("depth"), F.array(*[F.lit(p) for p in path]).cast("array<int>").alias("path"), F.array(*[F.lit(x) for x in ancestors]).cast("array<string>").alias("ancestors"), F.lit(chain[0].id if chain else "").alias("root"))
-    return _down(nodes, stored(level, "tree"))
 
 
 def breadcrumbs(tree: DataFrame) -> DataFrame:
@@ -71,57 +12,6 @@ def breadcrumbs(tree: DataFrame) -> DataFrame:
     return tree.select("id", F.posexplode("ancestors").alias("step", "ancestor"))
 
 
-def page(nodes: DataFrame, level: int, first: int, last: int) -> DataFrame:
-    """Nodes at level numbered in document order within their root; numbers first to last (column head, number), with all below them.
-
-    Only the levels down to level are expanded whole, and below it the branches of the page.
-    """
-    upper = nodes.filter("parent is null").select("*", F.lit(0).alias("depth"), F.array("place").alias("path"), F.array().cast("array<string>").alias("ancestors"), F.col("id").alias("root"))
-    upper = stored(upper, "tree")
-    for _ in range(level):
-        above = upper.select(F.col("id").alias("parent"), F.col("path").alias("_path"), (F.col("depth") + 1).alias("depth"), F.concat("ancestors", F.array("id")).alias("ancestors"), "root")
-        upper = stored(nodes.join(above, "parent").withColumn("path", F.concat("_path", F.array("place"))).select(*upper.columns), "tree")
-    order = F.row_number().over(Window.partitionBy("root").orderBy("path", "id"))
-    heads = stored(upper.withColumn("number", order).filter(F.col("number").between(first, last)), "tree")
-    members = _down(nodes, heads.drop("number")).withColumn("head", F.when(F.col("depth") == level, F.col("id")).otherwise(F.get("ancestors", F.lit(level))))
-    return members.join(heads.select(F.col("id").alias("head"), "number"), "head")
-
-
-def next_after(nodes: DataFrame, node: str) -> DataFrame:
-    """id and depth of the first node in document order after node and all below it, within its root.
-
-    That is the next sibling of node or, failing that, of the nearest ancestor that has one; siblings alone are looked at.
-    """
-    chain = _up(nodes, node)
-    spark = nodes.sparkSession
-    rows = [(r.parent, r.place, r.id, depth) for depth, r in enumerate(chain) if r.parent is not None]
-    ways = spark.createDataFrame(rows, "parent string, _place int, _id string, depth int")
-    later = nodes.join(F.broadcast(ways), "parent").filter((F.col("place") > F.col("_place")) & (F.col("id") != F.col("_id")))
-    return later.orderBy(F.desc("depth"), "place", "id").limit(1).select("id", "depth")
-
-
-def chains(mapping: DataFrame, *, most: int = MAX_DEPTH) -> DataFrame:
-    """start, last, hops and outcome (end, removed or cycle) of following from_id -> to_id; a null to_id is a removal."""
-    now = stored(mapping.select(F.col("from_id").alias("start"), F.col("to_id").alias("last"), F.lit(1).alias("hops"), F.array("from_id").alias("seen")), "chains")
-    done = []
-    while True:
-        cycle = F.array_contains("seen", F.col("last"))
-        moved = now.join(mapping.select(F.col("from_id").alias("last"), F.col("to_id").alias("next"), F.lit(True).alias("more")), "last", "left")
-        state = F.when(F.col("last").isNull(), "removed").when(cycle, "cycle").when(F.col("more").isNull(), "end")
-        moved = moved.withColumn("outcome", state)
-        done.append(moved.filter("outcome is not null").select("start", "last", "hops", "outcome"))
-        rest = moved.filter("outcome is null").select("start", F.col("next").alias("last"), (F.col("hops") + 1).alias("hops"), F.concat("seen", F.array("last")).alias("seen"))
-        now = stored(rest, "chains")
-        if not now.head(1):
-            break
-        if len(done) > most:
-            raise ValueError(f"a chain has more than {most} hops")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 def carried(flag: Column, value: Column, keys: list[str], order: list[Column]) -> Column:
     """value of the latest row so far where flag holds."""
     return F.last(F.when(flag, value), ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -137,26 +27,6 @@ def nearest_scope(tree: DataFrame, level: Column, priority: list[str]) -> DataFr
     return ranked.groupBy("id").agg(F.coalesce(F.min_by("scope", order), F.min("root")).alias("scope"))
 
 
-def numbered(tree: DataFrame, level: int) -> DataFrame:
-    """head, number and total: nodes at level in document order within their root."""
-    of_root = Window.partitionBy("root")
-    heads = tree.filter(F.col("depth") == level)
-    return heads.select("root", F.col("id").alias("head"), F.row_number().over(of_root.orderBy("path", "id")).alias("number"), F.count(F.lit(1)).over(of_root).alias("total"))
-
-
-def around(heads: DataFrame, number: int, half: int) -> DataFrame:
-    """Numbered heads at most half away from number, with the cursors before and after them (null at an end)."""
-    first, last = number - half, number + half
-    found = heads.filter(F.col("number").between(first, last))
-    before = F.lit(first - 1 if first > 1 else None).cast("int")
-    return found.withColumn("before", before).withColumn("after", F.when(F.col("total") > last, F.lit(last + 1)))
-
-
-def pruned(tree: DataFrame, level: Column, levels: list[str], level_of) -> DataFrame:
-    """Nodes of listed levels reached through nodes of listed levels alone; level_of gives an ancestor's level."""
-    return tree.filter(level.isin(levels) & F.forall("ancestors", lambda a: level_of(a).isin(levels)))
-
-
 def regrouped(tree: DataFrame, member: Column, prefix: str, place: int) -> DataFrame:
     """id, parent and path after leaves where member holds move below one new node of their parent, at place."""
     flagged = tree.withColumn("_m", F.coalesce(member, F.lit(False)))
@@ -166,8 +36,3 @@ def regrouped(tree: DataFrame, member: Column, prefix: str, place: int) -> DataF
     below = moved.select("id", group.alias("parent"), F.concat(above, F.array(F.lit(place), F.row_number().over(order))).alias("path"))
     heads = moved.select(group.alias("id"), "parent", F.concat(above, F.array(F.lit(place))).alias("path")).dropDuplicates(["id"])
     return flagged.filter("not _m").select("id", "parent", "path").unionByName(heads).unionByName(below)
-
-
-def breadth_first(tree: DataFrame) -> DataFrame:
-    """number of each node of a root, level by level."""
-    return tree.withColumn("number", F.row_number().over(Window.partitionBy("root").orderBy("depth", "place", "id")))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folio.operators import refresh, temporal, tree
-from folio.plans.reading import _TREE, H16, geography, h16_chains
+from folio.operators import pointers, refresh, temporal, tree, tree_index
+from folio.plans.reading import _TREE, H16, h16_chains, indexed
 from folio.tables import table
 
 
@@ -15,30 +15,32 @@ def _level(c):
 
 
 def h4_nearest_scope(spark, sf_dir):
-    return tree.nearest_scope(tree.expanded(geography(spark, sf_dir)), _level(F.col("id")), ["n", "r"])
+    return tree.nearest_scope(indexed(spark, sf_dir), _level(F.col("id")), ["n", "r"])
 
 
 H4 = _TREE + "SELECT id, CASE WHEN depth < 2 THEN id ELSE ancestors[2] END AS scope FROM t"
 
 
 def h7_root_numbers(spark, sf_dir):
-    return tree.numbered(tree.expanded(geography(spark, sf_dir)), 1)
+    heads = indexed(spark, sf_dir).filter("depth = 1")
+    totals = heads.groupBy("root").agg(F.max("number").alias("total"))
+    return heads.select("root", F.col("id").alias("head"), "number").join(totals, "root")
 
 
-_NUMBERED = "SELECT root, id AS head, row_number() OVER (PARTITION BY root ORDER BY path, id)::INT AS number, count(*) OVER (PARTITION BY root) AS total FROM t WHERE depth = 1"
+_NUMBERED = "SELECT root, id AS head, row_number() OVER (PARTITION BY root ORDER BY path, id) AS number, count(*) OVER (PARTITION BY root) AS total FROM t WHERE depth = 1"
 H7 = _TREE + _NUMBERED
 
 
 def h9_window(spark, sf_dir):
-    return tree.around(tree.numbered(tree.expanded(geography(spark, sf_dir)), 1), 3, 1)
+    return tree_index.around(indexed(spark, sf_dir), 1, 3, 1)
 
 
 H9 = _TREE + f", h AS ({_NUMBERED}) SELECT *, 1::INT AS before, CASE WHEN total > 4 THEN 5::INT END AS after FROM h WHERE number BETWEEN 2 AND 4"
 
 
 def h11_contents(spark, sf_dir):
-    t = tree.expanded(geography(spark, sf_dir))
-    return tree.pruned(t, _level(F.col("id")), ["r", "n"], _level).select("id", "parent", "depth")
+    t = indexed(spark, sf_dir)
+    return tree_index.pruned(t, _level(F.col("id")), ["r", "n"], _level).select("id", "parent", "depth")
 
 
 H11 = _TREE + "SELECT id, parent, depth FROM t WHERE depth < 2"
@@ -46,7 +48,7 @@ H11 = _TREE + "SELECT id, parent, depth FROM t WHERE depth < 2"
 
 def h13_regrouped(spark, sf_dir):
     """Customers whose number ends in 7 move below a new node of their nation."""
-    t = tree.regrouped(tree.expanded(geography(spark, sf_dir)), F.col("id").rlike("^c.*7$"), "g:", 1_000_000_000)
+    t = tree.regrouped(indexed(spark, sf_dir), F.col("id").rlike("^c.*7$"), "g:", 1_000_000_000)
     return t.select("id", "parent", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
@@ -55,6 +57,35 @@ SELECT id, parent, array_to_string(path, '/') AS path FROM t WHERE NOT id LIKE '
 UNION ALL SELECT DISTINCT 'g:' || parent, parent, above FROM m UNION ALL SELECT id, 'g:' || parent, above || '/' || n FROM m"""
 
 
+def h10_document_index(spark, sf_dir):
+    """The whole tree in document order, each node with the interval of what is below it."""
+    return indexed(spark, sf_dir).select("id", "root", "depth", "first", "last", "number")
+
+
+H10 = _TREE + """, o AS (SELECT *, row_number() OVER (ORDER BY root, path, id) AS first, row_number() OVER (PARTITION BY root, depth ORDER BY path, id) AS number FROM t),
+b AS (SELECT a AS id, count(*) AS n FROM (SELECT unnest(ancestors) AS a FROM t) GROUP BY 1)
+SELECT o.id, root, depth, first, first + coalesce(n, 0) AS last, number FROM o LEFT JOIN b ON b.id = o.id"""
+
+
+def h16_routes(spark, sf_dir):
+    """Parts as articles, every fourth size in force, that point at the half of their key; asked for by the lines of orders."""
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    to = F.when(key == 3, 5).when(key == 5, 3).when(key % 50 != 0, F.floor(key / 2))
+    mapping = p.select(key.alias("from_id"), to.cast("long").alias("to_id"), F.when(key % 7 == 0, "ambiguous").otherwise("unique").alias("status"))
+    asked = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_suppkey") % 40 == 0, F.col("l_partkey") + 10_000_000).otherwise(F.col("l_partkey")).alias("id")).distinct()
+    return pointers.routes(asked, p.select(key.alias("id"), (F.col("p_size") % 4 == 0).alias("current")), mapping)
+
+
+H16_ROUTES = """WITH RECURSIVE art AS (SELECT p_partkey AS id, p_size % 4 = 0 AS cur FROM part),
+map AS (SELECT p_partkey AS f, CASE WHEN p_partkey = 3 THEN 5 WHEN p_partkey = 5 THEN 3 WHEN p_partkey % 50 != 0 THEN p_partkey // 2 END AS t, p_partkey % 7 = 0 AS amb FROM part),
+asked AS (SELECT DISTINCT CASE WHEN l_suppkey % 40 = 0 THEN l_partkey + 10000000 ELSE l_partkey END AS id FROM lineitem),
+w AS (SELECT asked.id AS start, asked.id AS pos, CASE WHEN art.id IS NULL THEN 'missing' WHEN cur THEN 'current' END AS o, 0 AS hops FROM asked LEFT JOIN art ON art.id = asked.id
+ UNION ALL SELECT start, t, CASE WHEN f IS NULL THEN 'unmapped' WHEN amb THEN 'ambiguous' WHEN t IS NULL THEN 'removed' WHEN art.id IS NULL THEN 'unmapped' WHEN cur THEN 'redirect' WHEN hops >= 119 THEN 'cycle' END, hops + 1
+ FROM w LEFT JOIN map ON f = w.pos LEFT JOIN art ON art.id = t WHERE o IS NULL)
+SELECT start AS id, CASE WHEN o IN ('unmapped', 'ambiguous') THEN 'historical' ELSE o END AS outcome, CASE WHEN o IN ('current', 'redirect') THEN pos END AS target, CASE WHEN o IN ('unmapped', 'ambiguous') THEN o END AS reason
+FROM w WHERE o IS NOT NULL"""
+
+
 def h17_cycles(spark, sf_dir):
     return h16_chains(spark, sf_dir).filter("outcome = 'cycle'").select("start", "hops")
 
@@ -63,7 +94,7 @@ H17 = f"SELECT start, hops FROM ({H16}) WHERE outcome = 'cycle'"
 
 
 def h18_matching_below(spark, sf_dir):
-    t = tree.subtree(geography(spark, sf_dir), "r1")
+    t = tree_index.subtree(indexed(spark, sf_dir), "r1")
     return t.filter(F.contains("id", F.lit("7"))).select("id", "depth")
 
 
@@ -71,10 +102,10 @@ H18 = _TREE + "SELECT id, depth FROM t WHERE (id = 'r1' OR list_contains(ancesto
 
 
 def h19_breadth_first(spark, sf_dir):
-    return tree.breadth_first(tree.expanded(geography(spark, sf_dir))).select("root", "id", "number")
+    return indexed(spark, sf_dir).select("root", "id", F.col("level_number").alias("number"))
 
 
-H19 = _TREE + "SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY depth, place, id)::INT AS number FROM t"
+H19 = _TREE + "SELECT root, id, row_number() OVER (PARTITION BY root ORDER BY depth, place, id) AS number FROM t"
 
 
 def t1_validity(spark, sf_dir):
@@ -183,8 +214,9 @@ p AS (SELECT *, CASE WHEN nodes_after = 0 THEN 'EMPTY' WHEN repeated > 0 THEN 'D
 SELECT *, CASE WHEN problem IS NOT NULL THEN 'failed' WHEN added + removed + modified = 0 THEN 'unchanged' WHEN removed > 0 THEN 'held' ELSE 'activated' END AS outcome FROM p"""
 
 _NAMES = (
-    "h4_nearest_scope", "h7_root_numbers", "h9_window", "h11_contents", "h13_regrouped", "h17_cycles", "h18_matching_below", "h19_breadth_first", "t1_validity", "t4_applicable",
+    "h4_nearest_scope", "h7_root_numbers", "h9_window", "h10_document_index", "h11_contents", "h13_regrouped", "h17_cycles", "h18_matching_below", "h19_breadth_first", "t1_validity", "t4_applicable",
     "t5_live_intervals", "t6_same_node", "t8_calendar_dates", "t10_snapshots", "t12_history", "v18_refresh",
 )
 QUERIES = {n: globals()[n] for n in _NAMES}
 ORACLES = {n: globals()[n.split("_")[0].upper()] for n in _NAMES}
+QUERIES["h16_routes"], ORACLES["h16_routes"] = h16_routes, H16_ROUTES

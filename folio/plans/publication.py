@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from folio.functions import references
 from folio.functions.text import context_checksum
-from folio.operators import revisions, state, temporal, tree
-from folio.plans.reading import _TREE, V1, geography, v1_diff
+from folio.operators import revisions, state, temporal, tree_index
+from folio.plans.reading import _TREE, V1, geography, indexed, v1_diff
 from folio.plans.registering import Register
-from folio.sources.stored import shared_dir, stored
+from folio.sources.stored import kept, shared_dir, stored
 from folio.streaming import activity
 from folio.tables import table
 
@@ -402,7 +402,7 @@ def b7_positional_changes(spark, sf_dir):
 @query(_TREE + "SELECT id, CASE WHEN depth >= 1 THEN coalesce(ancestors[2], id) END AS nearest FROM t")
 def b8_carried_down(spark, sf_dir):
     """The nearest nation at or above each node, carried down the tree; nothing above the first."""
-    t = tree.expanded(geography(spark, sf_dir))
+    t = indexed(spark, sf_dir)
     own = F.filter(F.concat("ancestors", F.array("id")), lambda a: a.startswith("n"))
     return t.select("id", F.element_at(F.when(F.size(own) > 0, own), -1).alias("nearest"))
 
@@ -554,21 +554,23 @@ def h3_historical(spark, sf_dir):
     """One nation's subtree as an older revision (customers not in debt) had it."""
     old = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.concat(F.lit("c"), "c_custkey").alias("id"))
     nodes = geography(spark, sf_dir)
-    kept = nodes.filter("not startswith(id, 'c')").unionByName(nodes.join(old, "id", "left_semi"))
-    return tree.subtree(kept, "n3").select("id", "depth")
+    old_nodes = nodes.filter("not startswith(id, 'c')").unionByName(nodes.join(old, "id", "left_semi"))
+    paths = [f"{sf_dir}/{t}.parquet" for t in ("region", "nation", "customer")]
+    index = kept(spark, "geography-before", paths, lambda: tree_index.built(old_nodes))
+    return tree_index.subtree(index, "n3").select("id", "depth")
 
 
 @query(_TREE + "SELECT a AS scope, count(*) AS below, max(depth)::INT AS deepest FROM (SELECT unnest(ancestors) AS a, depth FROM t) GROUP BY 1")
 def h5_scope_sizes(spark, sf_dir):
     """How many nodes each scope has below it, and how deep they lie."""
-    t = tree.expanded(geography(spark, sf_dir)).select(F.explode("ancestors").alias("scope"), "depth")
+    t = indexed(spark, sf_dir).select(F.explode("ancestors").alias("scope"), "depth")
     return t.groupBy("scope").agg(F.count(F.lit(1)).alias("below"), F.max("depth").alias("deepest"))
 
 
 @query(_TREE + "SELECT t.id, t.parent, t.depth::INT AS depth, coalesce(n, 0) AS children FROM t LEFT JOIN (SELECT parent, count(*) AS n FROM t GROUP BY 1) c ON c.parent = t.id WHERE t.depth < 2 OR (t.depth = 2 AND t.id LIKE '%00')")
 def h12_contents(spark, sf_dir):
     """A table of contents: the upper levels, and of the lowest what a rule lets in, with how many children each has."""
-    t = tree.expanded(geography(spark, sf_dir))
+    t = indexed(spark, sf_dir)
     n = t.filter("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("children"))
     listed = t.filter("depth < 2 or (depth = 2 and id like '%00')").select("id", "parent", "depth")
     return listed.join(n, "id", "left").select("id", "parent", "depth", F.coalesce("children", F.lit(0)).alias("children"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/folio/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Changes with the name, size or time of any file below the paths."""
+    conf = spark._jsc.hadoopConfiguration()
+    seen = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(conf).listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
+
+
+def kept(spark: SparkSession, name: str, paths: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """What build gives for the files below the paths, stored under their fingerprint: built by the first that asks, read by all others.
+
+    It is written beside its place and renamed, so nobody reads half of it; of two builders at once the first to finish stays.
+    """
+    where = f"{shared_dir(spark)}/folio/kept/{name}-{fingerprint(spark, paths)}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        aside = f"{where}-{uuid.uuid4().hex}"
+        build().write.parquet(aside)
+        if store.exists(path) or not store.rename(spark._jvm.org.apache.hadoop.fs.Path(aside), path):
+            store.delete(spark._jvm.org.apache.hadoop.fs.Path(aside), True)
+    return spark.read.parquet(where)

@@ -91,14 +91,6 @@ def test_packs_are_small(spark):
         usage.pack_counts(packs).collect()
 
 
-def test_subtrees_of_odd_trees(spark):
-    nodes = spark.createDataFrame([("a", None, 0), ("b", "a", 0), ("c", "a", 1), ("d", "b", 0), ("x", "y", 0), ("y", "x", 0), ("z", "none", 0)], "id string, parent string, place int")
-    whole = {r.id: (r.depth, r.path, r.ancestors, r.root) for r in tree.expanded(nodes).collect()}
-    assert {r.id: (r.depth, r.path, r.ancestors, r.root) for r in tree.subtree(nodes, "b").collect()} == {k: v for k, v in whole.items() if k in "bd"}
-    assert [tree.subtree(nodes, t).count() for t in ("a", "d", "x", "z", "?")] == [4, 1, 0, 0, 0]
-    assert [[r.id for r in tree.next_after(nodes, t).collect()] for t in ("d", "b", "c", "a", "?")] == [["c"], ["c"], [], [], []]
-
-
 def test_state(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     new = spark.createDataFrame([("b", 9), ("c", 3)], "id string, v int")
@@ -114,12 +106,6 @@ def test_calendar_dates(spark):
     assert [r[0] for r in df.select(temporal.calendar_date(F.col("s"))).collect()] == [dt.date(2024, 2, 29), None, None, None]
 
 
-def test_chains_end_in_cycles(spark):
-    df = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", None), ("e", "f"), ("f", "e")], "from_id string, to_id string")
-    found = {r.start: (r.last, r.outcome) for r in tree.chains(df).collect()}
-    assert found["a"] == ("c", "end") and found["d"] == (None, "removed") and found["e"][1] == "cycle"
-
-
 def streamed(spark, tmp_path, df, f, name, mode="append"):
     df.write.parquet(str(tmp_path / "in"))
     q = f(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).start()
