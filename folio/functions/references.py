@@ -10,56 +10,32 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from folio.functions.text import kanji_value
+from folio.functions import numerals, scan
 
-_N = "[〇一二三四五六七八九十百千0-9０-９]+"
-_ARTICLE = re.compile(rf"(?P<law>法|令|規則)?第?(?P<number>{_N})条(?:の(?P<branch>{_N}))?(?:第(?P<paragraph>{_N})項)?(?:第(?P<item>{_N})号)?")
+_KANJI = "[一二三四五六七八九十百千]+"
+_NUM = rf"(?:{_KANJI}|[0-9]+|[０-９]+)"
+_ARTICLE = rf"第{_NUM}条(?:の{_NUM})*"
+# What a reference may begin with, the law that it names and the level that it leads to.
+KINDS = (("法第", "act", "article"), ("令第", "order", "article"), ("別表第", "same", "appendix"), ("付表第", "same", "appendix"), ("第", "same", "article"))
+#: No two kinds begin at one place and none begins within another but an article's own, so the first from the left is the one that counts.
+_ANY = re.compile(rf"[法令]{_ARTICLE}|(?:別表|付表)第{_NUM}|(?<![法令]){_ARTICLE}")
 
 
-@udtf(returnType="start int, end int, text string, law string, number string, paragraph int, item int")
-class Citations:
-    """A row for each reference to an article in a text, from left to right, none inside another."""
-
-    def eval(self, text: str):
-        for m in _ARTICLE.finditer(text or ""):
-            number = "_".join(str(kanji_value(m[k])) for k in ("number", "branch") if m[k])
-            yield m.start(), m.end(), m[0], m["law"], number, kanji_value(m["paragraph"]), kanji_value(m["item"])
-
-
-def citations(texts: DataFrame) -> DataFrame:
-    """The references in each row of texts (id, text)."""
-    return texts.lateralJoin(Citations(F.col("text").outer())).select("id", "start", "end", texts.text.alias("whole"), "law", "number", "paragraph", "item").drop("whole")
-
-
-# What a reference may begin with, in order of priority, the law that it names and the level that it leads to.
-KINDS = (("法第", "act", "article"), ("令第", "order", "article"), ("別表第", "same", "appendix"), ("付表第", "same", "appendix"), ("(?<![法令])第", "same", "article"))
-_BELOW = rf"条(?:の(?P<branch>{_N}))?(?:第(?P<paragraph>{_N})項)?(?:第(?P<item>{_N})号)?"
-_PATTERNS = [(re.compile(f"{head}(?P<number>{_N})" + (_BELOW if level == "article" else "(?P<branch>(?!))?")), law, level) for head, law, level in KINDS]
-
-
-@udtf(returnType="start int, end int, reference string, number string, law string, level string")
-class References:
-    """A row for each reference in a text by start: kinds in order of priority, none where an earlier kind has claimed a character."""
-
-    def eval(self, text: str):
-        claimed: set[int] = set()
-        found = []
-        for pattern, law, level in _PATTERNS:
-            for m in pattern.finditer(text or ""):
-                own = range(m.start(), m.end())
-                if claimed.isdisjoint(own):
-                    claimed.update(own)
-                    number = "_".join(str(kanji_value(m[k])) for k in ("number", "branch") if m[k])
-                    found.append((m.start(), m.end(), m[0], number, law, level))
-        yield from sorted(found)
+def _references(text: str | None):
+    for m in _ANY.finditer(text or ""):
+        yield m.start(), m.end(), m[0]
 
 
 def detected(texts: DataFrame) -> DataFrame:
-    """id and the references of each row of texts (id, text)."""
-    return texts.lateralJoin(References(F.col("text").outer())).select("id", "start", "end", "reference", "number", "law", "level")
+    """id, start, end (in code points), reference, number, law and level of each reference in texts (id, text), from left to right."""
+    found = scan.scanned(texts, ["text"], ["id"], _references, "start int, end int, reference string")
+    law, level = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for head, own, kind in KINDS[::-1]:
+        law, level = (F.when(F.startswith("reference", F.lit(head)), x).otherwise(y) for x, y in ((own, law), (kind, level)))
+    number = F.replace(F.regexp_replace("reference", "^(?:[法令]|別表|付表)?第", ""), F.lit("条"), F.lit(""))
+    return found.select("id", "start", "end", "reference", numerals.article_number(number).alias("number"), law.alias("law"), level.alias("level"))
 
 
 @F.pandas_udf(ArrayType(StructType([StructField("text", StringType()), StructField("linked", BooleanType())])))

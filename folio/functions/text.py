@@ -8,7 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import StringType
 
 # Numerals of the texts.
 DIGITS = "〇一二三四五六七八九"
@@ -85,29 +85,6 @@ def kanji_value(text: str | None) -> int | None:
     return total + group + (digit or 0)
 
 
-@F.pandas_udf(LongType())
-def kanji_number(s: pd.Series) -> pd.Series:
-    return s.map(kanji_value).astype("Int64")
-
-
-_DECIMAL = re.compile(r"([〇零一二三四五六七八九]*)[・.．]([〇零一二三四五六七八九]+)").fullmatch
-
-
-def reader_number(text: str | None) -> str | None:
-    """A numeral as readers write it in digits, fractions after a dot included; what is no numeral stays as it is."""
-    if text is None:
-        return None
-    if m := _DECIMAL(text):
-        return f"{kanji_value(m[1]) or 0}.{''.join(str(kanji_value(x)) for x in m[2])}"
-    value = kanji_value(text)
-    return text if value is None else str(value)
-
-
-@F.pandas_udf(StringType())
-def reader_numbers(s: pd.Series) -> pd.Series:
-    return s.map(reader_number, na_action="ignore")
-
-
 @F.pandas_udf(StringType())
 def digits_in_title(s: pd.Series) -> pd.Series:
     """A title with each of its numerals in digits."""

@@ -28,3 +28,15 @@ def numbered(rows: DataFrame, by: list[str], order: list[str | Column], name: st
         same = same & F.col(c).eqNullSafe(F.col(f"_by{i}"))
     found = dealt.withColumn("_own", own).join(F.broadcast(later.withColumnRenamed("_part", "_p")), same, "left")  # a row a partition at most
     return found.withColumn(name, F.col("_own") + F.coalesce("_before", F.lit(0))).select(*rows.columns, name)
+
+
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """by and, under each name in shares, the value of nearest rank: the least that so large a share of the group's values doesn't exceed. Nulls don't count."""
+    ranked = numbered(rows.filter(F.col(value).isNotNull()).select(*by, value), by, [value], "_i")
+    sizes = ranked.groupBy(*by).agg(F.max("_i").alias("_n"))
+    wanted = [F.struct(F.lit(name).alias("_name"), F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("_n"))).cast("long").alias("_i")) for name, p in shares.items()]
+    asked = sizes.select(*by, F.inline(F.array(*wanted)))
+    same = [F.col(f"_by{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)]
+    asked = asked.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], "_name", F.col("_i").alias("_rank"))
+    hit = ranked.join(asked, [*same, F.col("_i") == F.col("_rank")])
+    return hit.groupBy(*by).agg(*[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in shares])

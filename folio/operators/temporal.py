@@ -8,6 +8,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators import intervals
+
 
 def newest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first in order, which must end in a unique tie-break."""
@@ -56,11 +58,10 @@ def as_of(versions: DataFrame, days: Sequence[date], key: str, version: str) ->
 
 
 def as_asked(versions: DataFrame, asked: DataFrame, key: str, version: str) -> DataFrame:
-    """The same for each row of asked (key, day), any number of them: a join by key and one grouping."""
+    """The same for each row of asked (key, day), any number of them: a sweep over each key's versions and days. version is a whole number."""
     wanted = asked.select(key, "day").distinct()
-    hit = holds_on(F.col("day"), F.col("valid_from"), F.col("valid_to"))
-    found = wanted.join(versions, key).groupBy(key, "day").agg(*_coverage(), F.count_if(hit).alias("matches"), F.min(F.when(hit, F.col(version))).alias(version))
-    return _outcomes(found, version)
+    met = intervals.at_points(versions, wanted, [key], "valid_from", "valid_to", "day", version)
+    return _outcomes(met.join(versions.groupBy(key).agg(*_coverage()), key), version)
 
 
 def overlaps(df: DataFrame, keys: list[str], start: str, end: str, tie: str) -> DataFrame:

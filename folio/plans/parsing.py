@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folio.functions import references, segments, text
+from folio.functions import citations, numerals, references, segments, text
 from folio.plans.registering import Register
 from folio.tables import table
 
@@ -38,21 +38,28 @@ def _in_digits(c, digits=_DIGITS):
 
 
 @query(f"""WITH n AS ({_N}) SELECT p_partkey, 'units' AS form, n::VARCHAR AS value FROM n UNION ALL SELECT p_partkey, 'digits', n::VARCHAR FROM n UNION ALL SELECT p_partkey, 'wide', n::VARCHAR FROM n
-UNION ALL SELECT p_partkey, 'myriads', (n * 10000 + m)::VARCHAR FROM n UNION ALL SELECT p_partkey, 'decimal', (n % 10) || '.' || lpad((m % 100)::VARCHAR, 2, '0') FROM n UNION ALL SELECT p_partkey, 'other', 'x' || n FROM n""")
+UNION ALL SELECT p_partkey, 'myriads', (n * 10000 + m)::VARCHAR FROM n UNION ALL SELECT p_partkey, 'decimal', (n % 10) || '.' || lpad((m % 100)::VARCHAR, 2, '0') FROM n UNION ALL SELECT p_partkey, 'other', 'x' || n FROM n
+UNION ALL SELECT p_partkey, 'lone', (10000 + m)::VARCHAR FROM n UNION ALL SELECT p_partkey, 'within', n::VARCHAR FROM n UNION ALL SELECT p_partkey, 'last digit', ((m % 9 + 1) * 10)::VARCHAR FROM n""")
 def n5_reader_numbers(spark, sf_dir):
-    """Numerals of all forms in digits: with units, digit by digit, full width, with myriads, with a fraction; other text stays."""
+    """Numerals of all forms in digits: with units, digit by digit, full width, with myriads, with a fraction, within words; other text stays."""
     n, m = F.col("n"), F.col("m")
     forms = {"units": text.to_kanji(n), "digits": _in_digits(n), "wide": _in_digits(n, "０１２３４５６７８９"), "myriads": F.concat(text.to_kanji(n), F.lit("万"), text.to_kanji(m)),
-             "decimal": F.concat(_in_digits(n % 10), F.lit("・"), _in_digits(F.lpad((m % 100).cast("string"), 2, "0"))), "other": F.concat(F.lit("x"), n.cast("string"))}
+             "decimal": F.concat(_in_digits(n % 10), F.lit("・"), _in_digits(F.lpad((m % 100).cast("string"), 2, "0"))), "other": F.concat(F.lit("x"), n.cast("string")),
+             "lone": F.concat(F.lit("万"), text.to_kanji(m)), "within": F.concat(F.lit("第"), text.to_kanji(n), F.lit("条")), "last digit": F.concat(F.lit("二"), _in_digits(m % 9 + 1), F.lit("十"))}
     rows = _numbers(spark, sf_dir).select("p_partkey", F.explode(F.array(*[F.struct(F.lit(k).alias("form"), c.alias("text")) for k, c in forms.items()])).alias("x"))
-    return rows.select("p_partkey", "x.form", text.reader_numbers(F.col("x.text")).alias("value"))
+    return rows.select("p_partkey", "x.form", numerals.reader_number(F.col("x.text")).alias("value"))
 
 
-@query(f"""WITH n AS ({_N}) SELECT p_partkey, n AS value, NULL::BIGINT AS broken FROM n""")
+@query(f"""WITH n AS ({_N}) SELECT p_partkey, n AS value, NULL::BIGINT AS broken, NULL::BIGINT AS myriads, (20 + m % 10) * 10 AS run, n || '-' || m AS branch FROM n""")
 def n6_segmenter_numbers(spark, sf_dir):
-    """Values of numerals; none for one with a strange character."""
-    rows = _numbers(spark, sf_dir).select("p_partkey", text.to_kanji(F.col("n")).alias("k"))
-    return rows.select("p_partkey", text.kanji_number("k").alias("value"), text.kanji_number(F.concat("k", F.lit("x"))).alias("broken"))
+    """Values of segments' numbers: runs of digits before a unit, branches; none for one with a strange character or ten thousands."""
+    k, m = F.col("k"), F.col("m")
+    rows = _numbers(spark, sf_dir).select("p_partkey", text.to_kanji(F.col("n")).alias("k"), text.to_kanji(F.col("m")).alias("j"), "m")
+    own = numerals.segment_number
+    return rows.select(
+        "p_partkey", own(k).alias("value"), own(F.concat(k, F.lit("x"))).alias("broken"), own(F.concat(k, F.lit("万"))).alias("myriads"),
+        own(F.concat(F.lit("二"), _in_digits(m % 10), F.lit("十"))).alias("run"), numerals.segment_key(F.concat(k, F.lit("の"), F.col("j"))).alias("branch"),
+    )
 
 
 @query(f"WITH n AS ({_N}) SELECT p_partkey, {_kanji('n')} AS kanji FROM n")
@@ -252,14 +259,14 @@ def n20_article_rows(spark, sf_dir):
 def _texts(spark, sf_dir):
     """A text with four references of known place, for each part."""
     n, m = F.col("n"), F.col("m")
-    parts = [F.lit("法第"), text.to_kanji(n), F.lit("条の"), text.to_kanji(m), F.lit("及び令第"), text.to_kanji(m), F.lit("条第二項、第"), text.to_kanji(n), F.lit("条並びに別表第"), text.to_kanji(m)]
+    parts = [F.lit("法第"), text.to_kanji(n), F.lit("条の"), text.to_kanji(m), F.lit("の二及び令第"), text.to_kanji(m), F.lit("条第二項、第"), text.to_kanji(n), F.lit("条並びに別表第"), text.to_kanji(m)]
     return _numbers(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.concat(*parts).alias("text"))
 
 
 _REFERENCES = f"""WITH n AS ({_N}), k AS (SELECT p_partkey AS id, n, m, {_kanji('n')} AS kn, {_kanji('m')} AS km FROM n),
-p AS (SELECT *, '法第' || kn || '条の' || km AS r1, '令第' || km || '条第二項' AS r2, '第' || kn || '条' AS r3, '別表第' || km AS r4 FROM k),
-r AS (SELECT id, 0 AS start, r1 AS reference, n || '_' || m AS number, 'act' AS law, 'article' AS level FROM p UNION ALL SELECT id, length(r1) + 2, r2, m::VARCHAR, 'order', 'article' FROM p
- UNION ALL SELECT id, length(r1) + 3 + length(r2), r3, n::VARCHAR, 'same', 'article' FROM p UNION ALL SELECT id, length(r1) + 6 + length(r2) + length(r3), r4, m::VARCHAR, 'same', 'appendix' FROM p)"""
+p AS (SELECT *, '法第' || kn || '条の' || km || 'の二' AS r1, '令第' || km || '条' AS r2, '第' || kn || '条' AS r3, '別表第' || km AS r4 FROM k),
+r AS (SELECT id, 0 AS start, r1 AS reference, n || 'の' || m || 'の2' AS number, 'act' AS law, 'article' AS level FROM p UNION ALL SELECT id, length(r1) + 2, r2, m::VARCHAR, 'order', 'article' FROM p
+ UNION ALL SELECT id, length(r1) + 6 + length(r2), r3, n::VARCHAR, 'same', 'article' FROM p UNION ALL SELECT id, length(r1) + 9 + length(r2) + length(r3), r4, m::VARCHAR, 'same', 'appendix' FROM p)"""
 
 
 @query(_REFERENCES + 'SELECT id, start::INT AS start, (start + length(reference))::INT AS "end", reference, number, law, level FROM r')
@@ -268,41 +275,67 @@ def l1_references(spark, sf_dir):
     return references.detected(_texts(spark, sf_dir))
 
 
-@query(_REFERENCES + "SELECT id, string_agg(law || ':' || number, ',' ORDER BY start) AS links FROM r WHERE level = 'article' AND split_part(number, '_', 1)::BIGINT % 2 = 0 GROUP BY 1")
+@query(_REFERENCES + "SELECT id, string_agg(law || ':' || number, ',' ORDER BY start) AS links FROM r WHERE level = 'article' AND split_part(number, 'の', 1)::BIGINT % 2 = 0 GROUP BY 1")
 def l3_runtime_links(spark, sf_dir):
     """References that resolve, each distinct one looked up once, grouped by text; articles with an even number exist."""
     found = references.detected(_texts(spark, sf_dir)).filter("level = 'article'")
-    known = found.select("law", "number").distinct().filter("cast(split_part(number, '_', 1) as long) % 2 = 0").withColumn("target", F.concat_ws(":", "law", "number"))
+    known = found.select("law", "number").distinct().filter("cast(split_part(number, 'の', 1) as long) % 2 = 0").withColumn("target", F.concat_ws(":", "law", "number"))
     links = F.array_sort(F.collect_list(F.struct("start", "target")))
     return references.resolved(found, known, ["law", "number"]).filter("target is not null").groupBy("id").agg(F.array_join(F.transform(links, lambda x: x.target), ",").alias("links"))
 
 
-@query("""SELECT o_orderkey AS id, lag(o_orderkey) OVER w AS previous, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || '/para2' END AS same_article FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)""")
-def l5_relative_links(spark, sf_dir):
-    """What 'the preceding article' and 'paragraph two of this article' lead to, from where they stand."""
-    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    says = F.concat(F.lit("前条の規定"), F.when(F.col("o_orderkey") % 2 == 0, "及び第二項").otherwise(""))
-    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), says.alias("text"), F.lag("o_orderkey").over(by).alias("before"))
-    paragraph = text.kanji_number(F.regexp_extract("text", "(?<!条)第([一二三四五六七八九十]+)項", 1))
-    return o.select("id", F.when(F.contains("text", F.lit("前条")), F.col("before")).alias("previous"), F.when(paragraph.isNotNull(), F.concat(F.col("id").cast("string"), F.lit("/para"), paragraph.cast("string"))).alias("same_article"))
+_NAMED = f"""WITH n AS ({_N}), k AS (SELECT n.*, {_kanji('n')} AS kn, {_kanji('m')} AS km, r_name AS r, r_regionkey AS rk FROM n JOIN region ON r_regionkey = p_partkey % 5)"""
+
+
+def _named(spark, sf_dir):
+    """Parts with their numbers in words and one of the regions, whose name a law bears."""
+    r = table(spark, sf_dir, "region").select("r_name", "r_regionkey")
+    k = _numbers(spark, sf_dir).withColumn("kn", text.to_kanji(F.col("n"))).withColumn("km", text.to_kanji(F.col("m")))
+    return k.join(r, F.col("r_regionkey") == F.col("p_partkey") % 5)
 
 
-@query("""SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'EXPLICIT' WHEN 1 THEN 'ABBREVIATED' ELSE 'RELATIVE' END AS kind, CASE p_partkey % 3 WHEN 0 THEN 'art' || (p_partkey % 9999 + 1) || '/para1' WHEN 1 THEN 'art' || (p_partkey % 9999 + 1) || '/para1' ELSE 'art7/para' || (p_partkey % 5 + 1) END AS path,
-CASE WHEN p_partkey % 3 < 2 THEN 'art' || (p_partkey % 9999 + 1) END AS alternate, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 ELSE 0.8 END::DOUBLE AS confidence FROM part""")
+def _catalogue(spark, sf_dir):
+    """Names of laws: of each region an act and an order, whose name has the act's within."""
+    r = table(spark, sf_dir, "region")
+    act = r.select(F.concat("r_name", F.lit("法")).alias("name"), F.concat(F.lit("a"), "r_regionkey").alias("id"))
+    return act.unionByName(r.select(F.concat("r_name", F.lit("法施行令")).alias("name"), F.concat(F.lit("o"), "r_regionkey").alias("id")))
+
+
+@query(_NAMED + """, t AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'a' || rk ELSE 'o' || rk END AS cited, r || CASE WHEN p_partkey % 2 = 0 THEN '法第' ELSE '法施行令第' END || kn || '条' AS s FROM k),
+h AS (SELECT 'a' || rk AS law, n, max(p_partkey::VARCHAR) AS id FROM k GROUP BY 1, 2), b AS (SELECT p_partkey, lag(p_partkey::VARCHAR) OVER (PARTITION BY rk ORDER BY p_partkey) AS before FROM k)
+SELECT p_partkey::VARCHAR AS id, 0 AS start, s AS text, 'law' AS kind, cited AS target_law, t.n::VARCHAR AS number, h.id AS target FROM t LEFT JOIN h ON h.law = cited AND h.n = t.n
+UNION ALL SELECT p_partkey::VARCHAR, length(s) + 1, '前条', 'previous', NULL, '前条', before FROM t JOIN b USING (p_partkey)
+UNION ALL SELECT p_partkey::VARCHAR, length(s) + 5, '第' || km || '項', 'paragraph', NULL, m::VARCHAR, CASE WHEN p_partkey % 3 = 0 THEN p_partkey || '/p' END FROM t
+UNION ALL SELECT p_partkey::VARCHAR, length(s) + 8 + length(km), '別表第' || km, 'appendix', NULL, m::VARCHAR, NULL FROM t
+UNION ALL SELECT p_partkey::VARCHAR, length(s) + 13 + 2 * length(km), '同条', 'same', NULL, '同条', NULL FROM t""".replace("id, 0 AS start", "id, 0::BIGINT AS start").replace("length(s) +", "length(s)::BIGINT +"))
+def l5_relative_links(spark, sf_dir):
+    """Links in the texts of parts as articles: by the name of a law, to the article before, a paragraph, an appendix and the text's parent, with what they lead to."""
+    k = _named(spark, sf_dir)
+    s = F.concat("r_name", F.when(F.col("p_partkey") % 2 == 0, "法第").otherwise("法施行令第"), "kn", F.lit("条"))
+    says = F.concat(s, F.lit("、前条、 第"), "km", F.lit("項、別表第"), "km", F.lit("及び同条")).alias("text")
+    key = F.col("p_partkey").cast("string")
+    none = F.lit(None).cast("string")
+    heads = k.select(key.alias("id"), F.concat(F.lit("a"), "r_regionkey").alias("law"), none.alias("parent"), F.lit("article").alias("level"), F.col("n").cast("string").alias("number"), F.col("p_partkey").alias("place"), says)
+    below = k.filter("p_partkey % 3 = 0").select(F.concat(key, F.lit("/p")).alias("id"), F.concat(F.lit("a"), "r_regionkey").alias("law"), key.alias("parent"), F.lit("paragraph").alias("level"), F.col("m").cast("string").alias("number"), F.lit(1).cast("long").alias("place"), none.alias("text"))
+    return citations.linked(heads.unionByName(below), _catalogue(spark, sf_dir)).drop("end")
+
+
+@query(_NAMED + """, c AS (SELECT p_partkey AS id, length(r) + 4 AS start, '第' || kn || '条の' || km AS raw, 'o' || rk AS law, 'art' || n || '-' || m AS path, 'art' || n || '-' || m || '/para1' AS alternates, 'EXPLICIT' AS method, 0.95 AS confidence FROM k WHERE p_partkey % 4 = 0
+UNION ALL SELECT p_partkey, 1, '第' || kn || '条第' || km || '項', '@法', 'art' || n || '/para' || m, '', 'ABBREVIATED', 0.8 FROM k WHERE p_partkey % 4 = 1
+UNION ALL SELECT p_partkey, 0, '前項', 'own', 'art7/para' || (p_partkey % 5 + 1), '', 'RELATIVE', 0.75 FROM k WHERE p_partkey % 4 = 2 UNION ALL SELECT p_partkey, 4, '次条', 'own', 'art8', '', 'RELATIVE', 0.75 FROM k WHERE p_partkey % 4 = 2
+UNION ALL SELECT p_partkey, 0, '平成' || km || '年建設省告示第' || kn || '号', '平成' || m || '年建設省告示第' || n || '号', NULL, '', 'EXPLICIT', 0.9 FROM k WHERE p_partkey % 4 = 3
+UNION ALL SELECT p_partkey, length(kn) + length(km) + 11, '第' || kn || '条第' || km || '号', 'own', 'art' || n || '/para1/item' || m, 'art' || n || '/item' || m, 'EXPLICIT', 0.7 FROM k WHERE p_partkey % 4 = 3)
+SELECT id, start::INT AS start, raw, law, path, alternates, method, confidence::DOUBLE AS confidence FROM c""")
 def l7_citations(spark, sf_dir):
-    """Citations as explicit, abbreviated or relative, with the path that they lead to from art7 and what else they may mean."""
-    n = text.to_kanji(F.col("n"))
-    here = (F.col("p_partkey") % 5 + 2).cast("string")
-    says = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("建築基準法第"), n, F.lit("条"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("第"), n, F.lit("条"))).otherwise("前項")
-    t = _numbers(spark, sf_dir).select(F.col("p_partkey").alias("id"), says.alias("text"), F.concat(F.lit("art7/para"), here).alias("here"))
-    number = text.article_key(F.regexp_extract("text", "第(.+)条", 1))
-    relative, named = F.contains("text", F.lit("前項")), F.col("text").rlike("^.{1,40}法第")
-    before = F.concat(F.regexp_extract("here", "^(.*/para)[0-9]+$", 1), (F.regexp_extract("here", "([0-9]+)$", 1).cast("long") - 1).cast("string"))
-    t = t.withColumn("article", F.concat(F.lit("art"), number))
-    return t.select(
-        "id", F.when(relative, "RELATIVE").when(named, "EXPLICIT").otherwise("ABBREVIATED").alias("kind"), F.when(relative, before).otherwise(F.concat("article", F.lit("/para1"))).alias("path"),
-        F.when(~relative, F.col("article")).alias("alternate"), F.when(relative, 0.8).when(named, 1.0).otherwise(0.9).alias("confidence"),
+    """Citations in texts by the name of a law (with another within), by an abbreviation, by relative words, of a notice and without a name, with the paths that they lead to."""
+    case = F.col("p_partkey") % 4
+    says = (
+        F.when(case == 0, F.concat("r_name", F.lit("法施行令第"), "kn", F.lit("条の"), "km")).when(case == 1, F.concat(F.lit("法第"), "kn", F.lit("条第"), "km", F.lit("項")))
+        .when(case == 2, "前項及び次条").otherwise(F.concat(F.lit("平成"), "km", F.lit("年建設省告示第"), "kn", F.lit("号、第"), "kn", F.lit("条第"), "km", F.lit("号")))
     )
+    here = F.concat(F.lit("art7/para"), (F.col("p_partkey") % 5 + 2).cast("string"))
+    texts = _named(spark, sf_dir).select(F.col("p_partkey").alias("id"), says.alias("text"), F.lit("own").alias("law"), here.alias("here"))
+    return citations.resolved(texts, _catalogue(spark, sf_dir)).drop("end").withColumn("alternates", F.array_join("alternates", ","))
 
 
 @query("""WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages), t AS (SELECT href, count(*) AS n FROM l GROUP BY 1)
@@ -314,8 +347,7 @@ def l11_outgoing_incoming(spark, sf_dir):
     return links.join(named, "href").groupBy("page_id").agg(F.count(F.lit(1)).alias("outgoing"), F.sum("n").alias("shared"), F.count_if(F.col("n") == 1).alias("own"))
 
 
-@query(_REFERENCES + """, x AS (SELECT id, string_agg('[' || reference || ']', '#' ORDER BY start) AS t FROM r GROUP BY 1)
-SELECT id, replace(replace(replace(regexp_replace(t, '#', '及び'), ']#', ']、'), '、[別', '並びに[別'), '#', '') AS shown, 7::BIGINT AS parts FROM x""")
+@query(_REFERENCES + """ SELECT id, '[' || r1 || ']及び[' || r2 || ']第二項、[' || r3 || ']並びに[' || r4 || ']' AS shown, 7::BIGINT AS parts FROM p""")
 def l13_split_by_links(spark, sf_dir):
     """Texts cut at their links."""
     texts = _texts(spark, sf_dir)

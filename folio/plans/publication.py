@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import references
 from folio.functions.text import context_checksum
-from folio.operators import revisions, state, temporal, tree_index
+from folio.operators import digest, revisions, state, temporal, tree_index
 from folio.plans.reading import _TREE, V1, geography, indexed, v1_diff
 from folio.plans.registering import Register
 from folio.sources.stored import kept, shared_dir, stored
@@ -576,11 +576,13 @@ def h12_contents(spark, sf_dir):
     return listed.join(n, "id", "left").select("id", "parent", "depth", F.coalesce("children", F.lit(0)).alias("children"))
 
 
-@query(f"""WITH d AS ({V1}) SELECT kind, count(*) AS n, string_agg(DISTINCT coalesce(key_after, key_before)::VARCHAR, ',' ORDER BY coalesce(key_after, key_before)::VARCHAR) AS keys FROM d WHERE kind <> 'unchanged' GROUP BY 1""")
+@query(f"WITH changed AS (SELECT kind, coalesce(key_after, key_before)::VARCHAR AS key, count(*) AS c FROM ({V1}) WHERE kind <> 'unchanged' GROUP BY 1, 2), " + digest.sql("changed", "kind", "key", "key").replace("WITH leaf", "leaf")
+       .replace("SELECT kind, CASE WHEN count(*) = 1", "SELECT kind, (SELECT sum(c)::BIGINT FROM changed x WHERE x.kind = one.kind) AS n, CASE WHEN count(*) = 1"))
 def v3_summary(spark, sf_dir):
-    """Changed keys by kind of change, each once, in order."""
+    """Changes by kind: how many, and a digest of the changed keys, each once, in order."""
     d = v1_diff(spark, sf_dir).filter("kind <> 'unchanged'").withColumn("key", F.coalesce("key_after", "key_before").cast("string"))
-    return d.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("key")), ",").alias("keys"))
+    counts = d.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(digest.listed(d.select("kind", "key").distinct(), ["kind"], ["key"], F.col("key")), "kind")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS place FROM lineitem""")

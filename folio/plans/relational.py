@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folio.operators import digest, ranking
 from folio.operators.temporal import newest, newest_n
 from folio.tables import table
 
@@ -157,14 +158,16 @@ A7 = """SELECT l_returnflag, count(l_shipdate) AS dated, count(*) FILTER (WHERE
  count(DISTINCT l_suppkey) FILTER (WHERE l_discount > 0.05) AS discounting, count(l_orderkey) - count(DISTINCT l_orderkey) AS repeats FROM lineitem GROUP BY 1"""
 
 
+_LINE = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
 def a9_digest(spark, sf_dir):
-    """A version of an ordered list: it changes when a row or the order does. For short lists, such as a catalogue."""
-    n = table(spark, sf_dir, "nation")
-    rows = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
-    return n.groupBy("n_regionkey").agg(F.sha2(F.array_join(F.transform(rows, lambda r: F.concat(r.n_nationkey.cast("string"), F.lit(":"), r.n_name)), "\n").cast("binary"), 256).alias("version"))
+    """A version of each ordered list of lines: it changes when a row or the order does."""
+    text = F.concat_ws(":", *_LINE[:4])
+    return digest.listed(table(spark, sf_dir, "lineitem"), ["l_returnflag"], list(_LINE), text)
 
 
-A9 = "SELECT n_regionkey, sha256(string_agg(n_nationkey || ':' || n_name, chr(10) ORDER BY n_nationkey, n_name)) AS version FROM nation GROUP BY 1"
+A9 = digest.sql("lineitem", "l_returnflag", ", ".join(_LINE), "concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)")
 
 
 def a18_grouping_sets(spark, sf_dir):
@@ -183,12 +186,11 @@ A19 = "SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM do
 
 
 def a22_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY value)").alias("p99"), F.min("value").alias("low"), F.max("value").alias("high"),
-    )
+    """Nearest-rank percentiles of prices by flag, a third or half of all lines in one group."""
+    return ranking.percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
-A22 = "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99, min(value) AS low, max(value) AS high FROM events GROUP BY 1"
+A22 = "SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.9) AS p90, quantile_disc(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY 1"
 
 TERMS = ("the", "License", "und", "zzzz")
 

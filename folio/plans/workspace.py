@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import context_checksum
-from folio.operators import evaluation, revisions, scope, temporal, usage
+from folio.operators import evaluation, intervals, ranking, revisions, scope, temporal, usage
 from folio.plans.registering import Register
 from folio.tables import table
 
@@ -169,8 +169,9 @@ def a20_grouped_maps(spark, sf_dir):
 @query("SELECT event_type, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def a22_latency(spark, sf_dir):
     """Mean, ends and nearest-rank percentiles of each kind of event."""
-    disc = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)").alias(name) for p, name in ((0.5, "p50"), (0.99, "p99"))]
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), *disc)
+    e = table(spark, sf_dir, "events")
+    ends = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return ends.join(ranking.percentiles(e, ["event_type"], "value", {"p50": 0.5, "p99": 0.99}), "event_type")
 
 
 @query("SELECT source, round(sum(toxic) / nullif(count(toxic), 0), 6) AS toxic, round(avg(quality), 6) AS quality, count(*) AS documents FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
@@ -251,11 +252,10 @@ SELECT a.l_orderkey, a.l_linenumber AS line, count(*) AS n FROM l a JOIN l b ON
  AND a.l_shipdate < b.l_shipdate + INTERVAL 10 DAY AND b.l_shipdate < a.l_shipdate + INTERVAL 10 DAY GROUP BY 1, 2""")
 def r16_span_overlaps(spark, sf_dir):
     """Odd lines whose ten days overlap those of even lines of their order, and how many."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_shipdate").alias("a"))
-    other = li.filter("line % 2 = 0").select("l_orderkey", F.col("a").alias("b"))
-    ten = F.expr("INTERVAL '10' DAY")
-    met = li.filter("line % 2 = 1").join(other, "l_orderkey").filter((F.col("a") < F.col("b") + ten) & (F.col("b") < F.col("a") + ten))
-    return met.groupBy("l_orderkey", "line").agg(F.count(F.lit(1)).alias("n"))
+    start = F.col("l_shipdate")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), start.alias("start"), (start + F.expr("INTERVAL '10' DAY")).alias("end"))
+    counts = intervals.overlap_counts(li.filter("line % 2 = 1"), li.filter("line % 2 = 0"), ["l_orderkey"], "line", "start", "end")
+    return counts.filter("n > 0")
 
 
 @query("SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM lineitem WHERE l_orderkey IN (SELECT range * 7 FROM range(200)) GROUP BY 1")
