@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import xml.etree.ElementTree as ET
+from xml.parsers import expat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
+from folio.functions import scan
 from folio.functions.text import appendix_slug, fingerprint, kanji_value, normal_body
 
 # Elements that hold numbered text, with the step of a path that each gives.
@@ -21,69 +21,111 @@ TITLES = {f"{x}Title" for x in (*LEVELS, *APPENDICES)}
 NOT_BODY = TITLES | {"ArticleCaption", "ArticleTitle", "ParagraphNum", "ItemTitle", "Subitem1Title", "ChapterTitle", "SectionTitle", "AppdxTableTitle", "SupplProvisionLabel", "Rt"}
 
 
-def _number(node: ET.Element, order: int) -> str:
-    raw = unicodedata.normalize("NFKC", node.get("Num", ""))
-    parts = [str(kanji_value(x)) for x in re.split(r"[_:の]", raw) if kanji_value(x) is not None]
+def _number(num: str | None, order: int) -> str:
+    parts = [str(n) for x in re.split(r"[_:の]", unicodedata.normalize("NFKC", num or "")) if (n := kanji_value(x)) is not None]
     return "-".join(parts) or str(order)
 
 
-def _text(node: ET.Element) -> str:
-    """The node's own text, without numbers, titles, readings and deeper levels."""
-    out = [node.text or ""]
-    for child in node:
-        if child.tag not in NOT_BODY and child.tag not in LEVELS:
-            out.append(_text(child))
-        out.append(child.tail or "")
-    return "".join(out)
+class Open:
+    """An element that is open: what its children need of it."""
+
+    __slots__ = ("tag", "row", "told", "bodies", "places", "heading", "titled", "begun")
+
+    def __init__(self, tag: str, row: int | None, told: bool, bodies: list[list[str]]) -> None:
+        self.tag, self.row, self.told, self.bodies = tag, row, told, bodies  # row: its own, if told, or that of what is around
+        self.places: dict[str, int] = {}
+        self.heading = self.titled = False  # whether a child has given them
+        self.begun = False  # whether a child has begun
+
+
+class Pulled:
+    """Numbered elements of an XML text as a pull parser meets them, no tree of it in memory."""
+
+    def __init__(self) -> None:
+        self.open: list[Open] = []
+        self.rows: list[dict] = []
+        self.supplements = self.appendices = 0
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        above = self.open[-1] if self.open else Open("", None, False, [])
+        above.begun = True
+        above.places[tag] = place = above.places.get(tag, 0) + 1
+        row, bodies = above.row, [] if tag in NOT_BODY or tag in LEVELS else above.bodies
+        if tag == SUPPLEMENT:
+            self.supplements += 1
+            # the step of all below it; no row of its own
+            row = self._add(tag, None, f"suppl:{attributes.get('AmendLawNum') or self.supplements}", [])
+            self.rows[row]["told"] = False
+        elif tag in LEVELS or tag in APPENDICES:
+            if tag in APPENDICES:
+                self.appendices += 1
+                step = str(self.appendices)
+            else:
+                step = None if tag in HEADINGS else LEVELS[tag] + _number(attributes.get("Num"), place)
+            own: list[str] = []
+            row, bodies = self._add(tag, above.row, step, own), [own, *bodies]
+        self.open.append(Open(tag, row, tag in LEVELS or tag in APPENDICES, bodies))
+
+    def _add(self, tag: str, above: int | None, step: str | None, body: list[str]) -> int:
+        self.rows.append({"tag": tag, "above": above, "step": step, "body": body, "heading": None, "title": None, "told": True})
+        return len(self.rows) - 1
+
+    def data(self, text: str) -> None:
+        here = self.open[-1]
+        for body in here.bodies:
+            body.append(text)
+        if len(self.open) > 1 and not here.begun and (here.tag in TITLES or here.tag == "ArticleCaption"):
+            above = self.open[-2]
+            if above.told:
+                row = self.rows[above.row]
+                if not above.heading:
+                    row["heading"] = (row["heading"] or "") + text
+                if not above.titled and here.tag in TITLES:
+                    row["title"] = (row["title"] or "") + text
+
+    def end(self, tag: str) -> None:
+        self.open.pop()
+        if self.open and (tag in TITLES or tag == "ArticleCaption"):
+            above = self.open[-1]
+            above.heading = True
+            above.titled |= tag in TITLES
+
+    def found(self):
+        """Rows in document order, with their paths: an appendix's title is known by now."""
+        slugs: dict[str, int] = {}
+        number = 0
+        for row in self.rows:
+            above = self.rows[row["above"]]["path"] if row["above"] is not None else ""
+            step = row["step"]
+            if row["tag"] in APPENDICES:
+                step = f"appdx-{appendix_slug(row['tag'].removeprefix(SUPPLEMENT), row['title'] or '') or step}"
+            row["path"] = path = "/".join(x for x in (above, step) if x)
+            if row["tag"] in APPENDICES:
+                slugs[path] = slugs.get(path, 0) + 1
+                row["path"] += f"-{slugs[path]}" if slugs[path] > 1 else ""
+            if row["told"]:
+                number += 1
+                yield row["path"], row["tag"], row["heading"], "".join(row["body"]).strip(), number, None
 
 
-@udtf(returnType="path string, level string, heading string, body string, sequence int, error string")
-class Segments:
+def _segments(xml: str | None):
     """A row for each numbered element of an XML text; one row with error if it can't be read."""
-
-    def eval(self, xml: str):
-        if xml is None:
-            return
-        try:
-            top = ET.fromstring(xml)
-        except ET.ParseError as broken:
-            yield None, None, None, None, 0, str(broken)
-            return
-        number = 0
-        todo = [(top, "")]
-        supplements = appendices = 0
-        slugs: dict[str, int] = {}
-        while todo:
-            node, path = todo.pop()
-            below = path
-            if node.tag == SUPPLEMENT:
-                supplements += 1
-                below = f"suppl:{node.get('AmendLawNum') or supplements}"
-            elif node.tag in LEVELS or node.tag in APPENDICES:
-                if node.tag in APPENDICES:
-                    appendices += 1
-                    title = next((c.text for c in node if c.tag in TITLES), None)
-                    below = f"{path + '/' if path else ''}appdx-{appendix_slug(node.tag.removeprefix(SUPPLEMENT), title or '') or appendices}"
-                    slugs[below] = slugs.get(below, 0) + 1
-                    below += f"-{slugs[below]}" if slugs[below] > 1 else ""
-                elif node.tag in HEADINGS:
-                    below = path  # an article keeps its address when chapters change
-                else:
-                    # place among the siblings of its kind, for elements without a number
-                    below = "/".join(x for x in (path, LEVELS[node.tag] + _number(node, int(node.get("_place", "1")))) if x)
-                heading = next((c.text for c in node if c.tag == "ArticleCaption" or c.tag in TITLES), None)
-                number += 1
-                yield below, node.tag, heading, _text(node).strip(), number, None
-            places: dict[str, int] = {}
-            for child in node:
-                places[child.tag] = places.get(child.tag, 0) + 1
-                child.set("_place", str(places[child.tag]))
-            todo += [(child, below) for child in reversed(node)]
+    if xml is None:
+        return
+    own, parser = Pulled(), expat.ParserCreate(namespace_separator="}")
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = own.start, own.end, own.data
+    try:
+        parser.Parse(xml, True)
+    except expat.ExpatError as broken:
+        yield None, None, None, None, 0, str(broken)
+        return
+    yield from own.found()
 
 
 def segmented(raw: DataFrame) -> DataFrame:
     """doc_id and its segments with normalised body and fingerprint. raw: doc_id, xml."""
-    rows = raw.lateralJoin(Segments(F.col("xml").outer()))
+    rows = scan.scanned(raw, ["xml"], ["doc_id"], _segments, "path string, level string, heading string, body string, sequence int, error string")
     body = normal_body(F.coalesce("body", F.lit("")))
     return rows.select("doc_id", "path", "level", "heading", "body", "sequence", "error", body.alias("body_normalized")).withColumn("fingerprint", fingerprint(F.col("body_normalized")))
 

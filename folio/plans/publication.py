@@ -13,7 +13,7 @@ from folio.operators import digest, revisions, state, temporal, tree_index
 from folio.plans.reading import _TREE, V1, geography, indexed, v1_diff
 from folio.plans.registering import Register
 from folio.sources.stored import kept, shared_dir, stored
-from folio.streaming import activity
+from folio.streaming import activity, versions
 from folio.tables import table
 
 query = Register()
@@ -489,8 +489,9 @@ def _stream(spark, sf_dir, name):
 def _run(spark, df, name, mode="append"):
     """All that a stream gives out, written by batches to the shared folder."""
     path = f"{shared_dir(spark)}/folio/stream-{name}-{uuid.uuid4().hex}"
-    q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    with activity.rocks_db(spark):
+        q = df.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/out")
 
 
@@ -527,20 +528,14 @@ def st2_sessions(spark, sf_dir):
     return found.select("user", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "events")
 
 
-@query("""SELECT o_custkey % 4 AS part, string_agg(o_custkey || ':' || n, ',' ORDER BY o_custkey) AS version FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey < 40 GROUP BY 1) GROUP BY 1""")
+@query("""SELECT o_custkey % 4 AS part, bit_xor(('0x' || substr(md5(o_custkey || ':' || n), 1, 15))::BIGINT) AS version, count(*) AS documents FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1""")
 def st5_versions(spark, sf_dir):
-    """A digest of each part of a corpus, worked out anew by each batch of a stream of changes."""
-    seen = []
-
-    def batch(rows, number):
-        n = rows.filter("o_custkey < 40").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
-        ordered = F.array_sort(F.collect_list(F.struct("o_custkey", "n")))
-        text = F.array_join(F.transform(ordered, lambda x: F.concat(x.o_custkey.cast("string"), F.lit(":"), x.n.cast("string"))), ",")
-        seen.append(stored(n.groupBy((F.col("o_custkey") % 4).alias("part")).agg(text.alias("version")), "version"))
-
-    state_dir = f"{shared_dir(spark)}/folio/stream-versions-{uuid.uuid4().hex}"
-    _stream(spark, sf_dir, "orders").writeStream.foreachBatch(batch).option("checkpointLocation", state_dir).trigger(availableNow=True).start().awaitTermination()
-    return seen[-1]
+    """A digest of each part of a corpus, kept up by a stream of changes that comes in several batches: state for each customer, and a difference for each that a batch changes."""
+    path = f"{shared_dir(spark)}/folio/stream-orders-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "orders").select("o_custkey")
+    rows.repartition(4).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return versions.versions(_run(spark, versions.changes(stream, "o_custkey"), "versions"), F.col("document") % 4)
 
 
 # Further trees and summaries

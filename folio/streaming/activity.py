@@ -3,41 +3,70 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MINUTES = 30
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def consecutive_pairs(views: DataFrame, *, minutes: int = MINUTES) -> DataFrame:
-    """user, item, related and ts of each step of a user within minutes. views: user, ts (timestamp), item.
+class LastView(StatefulProcessor):
+    """A user's last view, kept until the watermark has passed it by the limit."""
 
-    State for each user is the last view; events that are older than it are ignored.
-    """
-    limit = pd.Timedelta(minutes=minutes)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        rows = []
-        for frame in frames:
+    def __init__(self, minutes: int) -> None:
+        self.limit = pd.Timedelta(minutes=minutes)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "ts timestamp, item string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get() if self.last.exists() else None
+        out = []
+        for frame in rows:
             for ts, item in frame.sort_values(["ts", "item"])[["ts", "item"]].itertuples(index=False):
                 if last is not None and ts < pd.Timestamp(last[0]):
                     continue
-                if last is not None and item != last[1] and ts - pd.Timestamp(last[0]) <= limit:
-                    rows.append((key[0], last[1], item, ts))
+                if last is not None and item != last[1] and ts - pd.Timestamp(last[0]) <= self.limit:
+                    out.append((key[0], last[1], item, ts))
                 last = (ts.to_pydatetime(), item)
-        if last is not None:
-            state.update(last)
-            state.setTimeoutTimestamp(max(int(pd.Timestamp(last[0]).timestamp() * 1000), state.getCurrentWatermarkMs()) + minutes * 60_000 + 1)
-        yield pd.DataFrame(rows, columns=["user", "item", "related", "ts"])
+        self.last.update(last)
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        end = int((pd.Timestamp(last[0]) + self.limit).timestamp() * 1000) + 1
+        self.handle.registerTimer(max(end, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(out, columns=["user", "item", "related", "ts"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield pd.DataFrame([], columns=["user", "item", "related", "ts"])
+
+    def close(self) -> None:
+        pass
+
+
+def consecutive_pairs(views: DataFrame, *, minutes: int = MINUTES) -> DataFrame:
+    """user, item, related and ts of each step of a user within minutes. views: user, ts (timestamp), item.
+
+    State for each user is the last view, which a timer clears; events that are older than it are ignored. Runs under rocks_db().
+    """
+    rows = views.withWatermark("ts", f"{minutes} minutes").groupBy("user")
+    return rows.transformWithStateInPandas(statefulProcessor=LastView(minutes), outputStructType="user long, item string, related string, ts timestamp", outputMode="append", timeMode="EventTime")
+
 
-    return views.withWatermark("ts", f"{minutes} minutes").groupBy("user").applyInPandasWithState(step, "user long, item string, related string, ts timestamp", "ts timestamp, item string", "append", GroupStateTimeout.EventTimeTimeout)
+@contextmanager
+def rocks_db(spark: SparkSession) -> Iterator[None]:
+    """State of queries that are started within is kept in RocksDB, which processors with state of their own need."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS_DB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
 def sessions(views: DataFrame, *, minutes: int = MINUTES) -> DataFrame:

@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from folio.functions import display, numerals, references, segments, text
 from folio.operators import state, temporal, tree, usage
-from folio.streaming import activity
+from folio.streaming import activity, versions
 from pyspark.sql import functions as F
 
 XML = """<Law><MainProvision><Chapter Num="1"><ChapterTitle>First</ChapterTitle>
@@ -102,9 +102,10 @@ def test_calendar_dates(spark):
 
 def streamed(spark, tmp_path, df, f, name, mode="append"):
     df.write.parquet(str(tmp_path / "in"))
-    q = f(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    with activity.rocks_db(spark):
+        q = f(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
     return spark.table(name)
 
 
@@ -183,3 +184,22 @@ def test_paths_beside(spark):
     laws = spark.createDataFrame([(1, "A", "a"), (2, "B", "a"), (3, "A", None)], "id long, name string, short string")
     aliases = spark.createDataFrame([("B", 9)], "name string, id long")
     assert {tuple(r) for r in references.names_of(laws, aliases).collect()} == {("A", 1), ("a", 1), ("B", 9)}
+
+
+def test_versions_after_each_batch(spark, tmp_path):
+    """Each batch's differences lead from one digest to the next, which is that of all rows so far."""
+    batches = [[1, 2, 2, 5], [2, 7], [1, 1, 1, 9, 5], []]
+    so_far, told = [], str(tmp_path / "told")
+    with activity.rocks_db(spark):
+        for n, batch in enumerate(batches):
+            spark.createDataFrame([(x,) for x in batch], "doc long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = versions.changes(spark.readStream.schema("doc long").parquet(str(tmp_path / "in")), "doc")
+            # each batch by a query of its own that goes on from the state of the one before
+            stream.writeStream.format("parquet").option("path", told).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+            so_far += batch
+            want = {}
+            for d in set(so_far):
+                digest, documents = want.get(d % 2, (0, 0))
+                want[d % 2] = digest ^ versions.bits(d, so_far.count(d)), documents + 1
+            found = {r.part: (r.version, r.documents) for r in versions.versions(spark.read.schema("document long, change long, new long").parquet(told), F.col("document") % 2).collect()}
+            assert found == want, n
