@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from folio.llm.shared import Texts, numbered, renamed, steps, words, written
+from folio.llm.shared import Texts, met, numbered, renamed, steps, words, written
 
 #: Labelled rows that the model is fitted to, at most.
 TRAIN_ROWS = 20_000
@@ -170,13 +170,19 @@ def priors(scored: DataFrame) -> Priors:
     return Priors(written(paths.drop("q"), "quality-priors"), mean, strength)
 
 
+def _met(rows: DataFrame, p: Priors) -> DataFrame:
+    """rows (with host and path) beside the sums of their path; paths that a ten-thousandth of all rows have are broadcast."""
+    total = p.paths.agg(F.sum("n")).first()[0] or 0
+    return met(rows, p.paths.withColumn("m", F.col("n")), ["host", "path"], total).drop("m")
+
+
 def _decided(scored: DataFrame, p: Priors, keep: float) -> DataFrame:
-    """scored with site_posterior, path_posterior, probability and keep."""
+    """scored (p, and n, s and site_posterior of the path) with path_posterior, probability and keep."""
     own = F.least(F.greatest(F.col("p"), F.lit(1e-9)), F.lit(1 - 1e-9))
     path = (F.col("s") - F.col("p") + p.strength * F.col("site_posterior")) / (F.col("n") - 1 + p.strength)
     path = F.least(F.greatest(path, F.lit(1e-4)), F.lit(1 - 1e-4))
     odds = F.log(own / (1 - own)) + F.log(F.col("path_posterior") / (1 - F.col("path_posterior"))) - float(np.log(p.mean / (1 - p.mean)))
-    return scored.join(p.paths, ["host", "path"]).withColumn("path_posterior", path).withColumn("probability", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("probability") >= keep)
+    return scored.withColumn("path_posterior", path).withColumn("probability", 1 / (1 + F.exp(-odds))).withColumn("keep", F.col("probability") >= keep)
 
 
 def _keys(host: Column, path: Column) -> list[Column]:
@@ -189,14 +195,18 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column,
     own, part = _keys(host, path)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", own.alias("host"), part.alias("path"))
     scored = written(_append(slim, model).drop("text"), "quality-scores")
-    found = _decided(scored, priors(scored), keep)
+    p = priors(scored)
+    found = _decided(_met(scored, p), p, keep)
     return found.select("doc_id", F.col("p").alias("evidence"), "site_posterior", "path_posterior", "probability", "keep")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, *, host: Column, path: Column, rows: int = TRAIN_ROWS, keep: float = KEEP) -> DataFrame:
-    """The rows of docs that are kept, all columns. Sums come from a first pass; the second decides where the rows lie."""
+    """The rows of docs that are kept, all columns. Sums come from a first pass; in the second rows meet their path's before they are scored, once each.
+
+    A null or empty text is judged by its site and path as well; of rows with equal probability none is preferred, all at keep or above stay.
+    """
     model = train(docs, labels, rows=rows)
     keyed, name = numbered(docs, *_keys(host, path))
     keyed = keyed.withColumnsRenamed({"m0": "host", "m1": "path"})
     p = priors(_append(keyed.select(name["text"], "host", "path"), model, name["text"]).drop(name["text"]))
-    return renamed(_decided(_append(keyed, model, name["text"]), p, keep).filter("keep"), docs)
+    return renamed(_decided(_append(_met(keyed, p), model, name["text"]), p, keep).filter("keep"), docs)

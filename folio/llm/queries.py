@@ -109,4 +109,4 @@ QUERIES = {
     "op12_whitening": op12_whitening,
     "op13_url_filter": op13_url_filter,
 }
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_license_scan": licenses.oracle(), "op10_sharding": sharding.ORACLE, "op11_vector_codes": vector_codes.oracle()}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_license_scan": licenses.oracle(), "op10_sharding": sharding.oracle(), "op11_vector_codes": vector_codes.oracle()}

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.shared import numbered, written
+from folio.llm.shared import met, numbered, written
 
 STEP = 12
 ID_BITS = 60
@@ -50,8 +50,10 @@ def assign_shards(docs: DataFrame, *, limit: int = LIMIT, id_bits: int = ID_BITS
         # the directory of this round: each cell leads to its shortest prefix that fits, or to none yet
         ways = cells.select("cell", at, F.lit(1).alias("_")).withColumn("shard", F.expr("substring(cell, 1, depth)"))
         found = ways.join(ranked, ["depth", "shard"], "left").groupBy("cell").agg(F.min(F.when(F.col("shard_bytes").isNotNull(), F.struct("depth", "shard", "shard_bytes", "shard_rows"))).alias("leaf"))
-        directory = written(found, "shard-directory")
-        here = open_rows.withColumn("cell", F.substring("bits", 1, upto)).join(directory, "cell").drop("cell")
+        directory = written(found.join(cells.select("cell", F.col("n").alias("m")), "cell"), "shard-directory")
+        # a cell may hold any share of the rows, such as those of one key or of none
+        here = met(open_rows.withColumn("cell", F.substring("bits", 1, upto)), directory, ["cell"], open_rows.count())
+        here = written(here.drop("cell", "m"), "shard-round")
         leaves.append(here.filter("leaf is not null").select("doc_id", *carried, "n_bytes", "bits", "leaf.*"))
         if upto == total or not directory.filter("leaf is null").head(1):
             break
@@ -108,7 +110,9 @@ def write_shards(docs: DataFrame, path: str, **options) -> None:
     placed.withColumnsRenamed({c: n for n, c in name.items()}).write.partitionBy(folder).parquet(path)
 
 
-ORACLE = f"""
+def oracle(limit: int = LIMIT) -> str:
+    """DuckDB SQL for the same rows; for documents with ids of their own."""
+    return f"""
 WITH rows AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
@@ -120,7 +124,7 @@ WITH rows AS (
 ), fit AS (
   SELECT l.doc_id, l.n_bytes, l.depth, l.p, s.shard_bytes, s.shard_rows,
          row_number() OVER (PARTITION BY l.doc_id ORDER BY l.depth) AS rn
-  FROM levels l JOIN sized s USING (depth, p) WHERE s.shard_bytes <= {LIMIT} OR s.shard_rows = 1
+  FROM levels l JOIN sized s USING (depth, p) WHERE s.shard_bytes <= {limit} OR s.shard_rows = 1
 )
 SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE right(lpad(bin(p), 60, '0'), depth) END AS shard, 0::BIGINT AS page, depth,
        n_bytes, shard_bytes, shard_rows

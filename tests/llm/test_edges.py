@@ -111,7 +111,7 @@ def test_quality_posteriors_by_hand(spark):
     site = {h: (sum(x) + k * mean) / (len(x) + k) for h, x in hosts.items()}
     k2 = strength(paths, lambda g: site[g[0]])
     assert priors.mean == pytest.approx(mean) and priors.strength == pytest.approx(k2)
-    found = quality._decided(scored, priors, 0.5).collect()
+    found = quality._decided(quality._met(scored, priors), priors, 0.5).collect()
     assert len(found) == len(rows)
     for r in found:
         x = paths[r.host, r.path]
