@@ -12,6 +12,7 @@ from folio.functions.text import context_checksum
 from folio.operators import digest, revisions, state, temporal, tree_index
 from folio.plans.reading import _TREE, V1, geography, indexed, v1_diff
 from folio.plans.registering import Register
+from folio.sources import snapshots
 from folio.sources.stored import kept, shared_dir, stored
 from folio.streaming import activity, versions
 from folio.tables import table
@@ -121,6 +122,22 @@ def s23_etags(spark, sf_dir):
     return docs.select("o_custkey", "etag", F.when(asked == F.col("etag"), 304).otherwise(200).alias("status"))
 
 
+_BODY = """SELECT c_nationkey::VARCHAR AS part, c_custkey::VARCHAR AS id, c_name || ':' || CASE WHEN c_nationkey % 5 = 0 AND c_custkey % 7 = 0 THEN 'changed' ELSE c_mktsegment END AS body FROM customer WHERE c_nationkey != 3"""
+
+
+@query(f"""WITH docs AS ({_BODY}), """ + digest.sql("docs", "part", "id, body", """'{"id":"' || id || '","body":"' || body || '"}'""").replace("WITH leaf", "leaf").replace("AS version FROM one", "AS checksum, CASE WHEN part::INT % 5 = 0 AND part IN (SELECT part FROM docs WHERE body LIKE '%changed') THEN 2 ELSE 1 END AS version FROM one"))
+def v16_published(spark, sf_dir):
+    """Customers' records published by nation, and again after some have changed and a nation is gone: the parts that are current, and which of the two versions wrote each."""
+    path = f"{shared_dir(spark)}/folio/published-{uuid.uuid4().hex}"
+    c = table(spark, sf_dir, "customer")
+    key = [F.col("c_nationkey").cast("string").alias("part"), F.col("c_custkey").cast("string").alias("id")]
+    first = c.select(*key, F.concat("c_name", F.lit(":"), "c_mktsegment").alias("body"))
+    new = F.when((F.col("c_nationkey") % 5 == 0) & (F.col("c_custkey") % 7 == 0), "changed").otherwise(F.col("c_mktsegment"))
+    one = snapshots.publish(first, path, 0)
+    two = snapshots.publish(c.filter("c_nationkey != 3").select(*key, F.concat("c_name", F.lit(":"), new).alias("body")), path, one)
+    return snapshots.manifest(spark, path, two).select("part", "checksum", F.substring_index("written", "-", 1).cast("int").alias("version"))
+
+
 @query("""SELECT p_partkey, sha256('{"brand":"' || p_brand || '","name":"' || p_name || '","size":' || p_size || '}') AS checksum FROM part""")
 def s24_envelope(spark, sf_dir):
     """Checksum of a record as JSON with sorted keys."""

@@ -7,8 +7,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from folio.functions import references, text
-from folio.operators import evaluation, pointers, revisions, scope, state, temporal, tree, tree_index, usage
-from folio.sources.stored import kept, stored
+from folio.operators import evaluation, gram_index, pointers, revisions, scope, state, temporal, tree, tree_index, usage
+from folio.sources.stored import fingerprint, kept, shared_dir, stored
 from folio.tables import table
 
 DAYS = ("1994-01-01", "1996-07-01", "1998-06-01")
@@ -312,16 +312,15 @@ SELECT count(*) AS "references", count(*) FILTER (WHERE url IN (SELECT url FROM
 
 
 def k5_bigrams(spark, sf_dir):
-    """Documents that hold a phrase, by a stored index of character pairs and a second look at the texts that it names."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = stored(d.select("doc_id", F.explode(text.bigrams(F.col("text"))).alias("gram")), "bigrams")
-    grams = {TERM[i : i + 2] for i in range(len(TERM) - 1)}
-    maybe = index.filter(F.col("gram").isin(*grams)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams))
-    return d.join(maybe, "doc_id").filter(F.contains("text", F.lit(TERM))).select("doc_id")
+    """Documents that hold a phrase, and how often, by the kept index of character pairs; the first that asks builds it."""
+    path = f"{shared_dir(spark)}/folio/kept/grams-{fingerprint(spark, [f'{sf_dir}/documents.parquet'])}"
+    if gram_index.generations(spark, path) == 0:
+        gram_index.add(table(spark, sf_dir, "documents"), path, doc="doc_id", text="text")
+    return gram_index.search(spark, path, TERM).select(F.col("doc").alias("doc_id"), F.size("places").alias("n"))
 
 
 TERM = "License"
-K5 = f"SELECT doc_id FROM documents WHERE contains(text, '{TERM}')"
+K5 = f"SELECT doc_id, ((length(text) - length(replace(text, '{TERM}', ''))) // {len(TERM)})::INT AS n FROM documents WHERE contains(text, '{TERM}')"
 
 
 def k6_suggest(spark, sf_dir):
