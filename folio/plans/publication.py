@@ -12,7 +12,7 @@ from folio.functions.text import context_checksum
 from folio.operators import digest, revisions, state, temporal, tree_index
 from folio.plans.reading import _TREE, V1, geography, indexed, v1_diff
 from folio.plans.registering import Register
-from folio.sources import snapshots
+from folio.sources import backups, snapshots
 from folio.sources.stored import kept, shared_dir, stored
 from folio.streaming import activity, versions
 from folio.tables import table
@@ -54,12 +54,51 @@ def s9_put(spark, sf_dir):
     return state.put(new, old)
 
 
-@query("SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM orders")
+_ENVELOPE = """WITH refs AS (SELECT o_custkey AS c, o_orderkey AS o, o_orderkey % 40 AS k, o_orderstatus AS s, (o_orderkey % 40) % 4 <> 0 AND o_orderstatus <> 'P' AS ok,
+ (o_orderkey % 40 + 1) % 40 % 4 <> 0 AND o_orderstatus <> 'P' AS ok2, o_orderpriority AS tag FROM orders), fine AS (SELECT * FROM refs WHERE c % 10 <> 0)"""
+
+
+def _envelopes(spark, sf_dir):
+    """A backup of each customer, made of their orders; every tenth is cut short."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+
+    def ref(n):
+        return [F.concat(F.lit("L"), "o_orderstatus").alias("lawId"), (n % 40).cast("string").alias("articleNumberNormalized")]
+
+    kind = F.element_at(F.array(*map(F.lit, ("search", "view", "export", "import", "odd"))), (key % 5).cast("int") + 1)
+    lists = {
+        "refs": F.struct(*ref(key)), "tags": F.struct(*ref(key), F.when(key % 13 == 0, "").otherwise(F.col("o_orderpriority")).alias("tagName")), "activities": F.struct(kind.alias("type"), key.alias("at")),
+        "highlights": F.struct(*ref(key), F.lit(3).alias("rangeStart")), "articleCooccurrences": F.struct(F.struct(*ref(key)).alias("source"), F.struct(*ref(key + 1)).alias("related"), F.lit(2).alias("cooccurCount")),
+    }
+    own = o.groupBy("o_custkey").agg(*[F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", x.alias("x")))), lambda y: y["x"]).alias(n) for n, x in lists.items()])
+    slug = F.when(F.col("o_custkey") % 11 != 0, F.concat(F.lit("t"), (F.col("o_custkey") % 7).cast("string")))
+    whole = F.to_json(F.struct(F.array(F.struct(slug.alias("slug"), F.col("refs").alias("articleRefs"))).alias("practiceTopics"), F.array(F.struct(F.lit("p").alias("name"), F.col("refs").alias("items"))).alias("packs"), "tags", "activities", "highlights", "articleCooccurrences"))
+    return own.select(F.col("o_custkey").alias("id"), whole.alias("w")).select("id", F.when(F.col("id") % 10 == 0, F.left("w", F.char_length("w") - 1)).otherwise(F.col("w")).alias("json"))
+
+
+def _imported(spark, sf_dir):
+    items = stored(backups.laid_out(_envelopes(spark, sf_dir)).withColumn("key", F.monotonically_increasing_id()), "backup-items")
+    k = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("k")).distinct().filter("k % 4 <> 0")
+    articles = k.select(F.explode(F.array(F.lit("LO"), F.lit("LF"))).alias("law"), F.col("k").cast("string").alias("number"))
+    return items, backups.judged(items, articles.withColumn("target", F.concat_ws("/", "law", "number")))
+
+
+@query(_ENVELOPE + """, r AS (SELECT c, 'articlePracticeTopics' AS section, CASE WHEN c % 11 = 0 THEN 'NO_PARENT' WHEN NOT ok THEN 'UNKNOWN_REFERENCE' WHEN row_number() OVER (PARTITION BY c, s, k ORDER BY o) > 1 THEN 'DUPLICATE' ELSE 'imported' END AS outcome FROM fine
+UNION ALL SELECT c, 'packItems', CASE WHEN NOT ok THEN 'UNKNOWN_REFERENCE' WHEN row_number() OVER (PARTITION BY c, s, k ORDER BY o) > 1 THEN 'DUPLICATE' ELSE 'imported' END FROM fine
+UNION ALL SELECT DISTINCT c, 'practiceTopics', CASE WHEN c % 11 = 0 THEN 'MISSING_TEXT' ELSE 'imported' END FROM fine UNION ALL SELECT DISTINCT c, 'packs', 'imported' FROM fine
+UNION ALL SELECT c, 'tags', CASE WHEN NOT ok THEN 'UNKNOWN_REFERENCE' WHEN o % 13 = 0 THEN 'MISSING_TEXT' WHEN row_number() OVER (PARTITION BY c, s, k, tag, o % 13 = 0 ORDER BY o) > 1 THEN 'DUPLICATE' ELSE 'imported' END FROM fine
+UNION ALL SELECT c, 'activities', CASE WHEN o % 5 = 4 THEN 'UNKNOWN_VALUE' ELSE 'imported' END FROM fine UNION ALL SELECT c, 'highlights', CASE WHEN ok THEN 'imported' ELSE 'UNKNOWN_REFERENCE' END FROM fine
+UNION ALL SELECT c, 'articleCooccurrences', CASE WHEN ok AND ok2 THEN 'imported' ELSE 'UNKNOWN_REFERENCE' END FROM fine UNION ALL SELECT DISTINCT c, 'envelope', 'UNREADABLE' FROM refs WHERE c % 10 = 0)
+SELECT c AS envelope, section, outcome, count(*) AS n FROM r GROUP BY 1, 2, 3""")
 def s12_import(spark, sf_dir):
-    """A backup of nested JSON, a record for each customer, read back into rows."""
-    packed = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_totalprice")).alias("orders"))).alias("json"))
-    rows = packed.select("o_custkey", F.from_json("json", "orders array<struct<o_orderkey: bigint, o_orderstatus: string, o_totalprice: double>>").alias("x"))
-    return rows.select("o_custkey", F.inline("x.orders"))
+    """Backups with six sections read into rows: what each section gives, what is put aside and why."""
+    return _imported(spark, sf_dir)[1].groupBy("envelope", "section", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_ENVELOPE + "SELECT c AS envelope, o AS \"at\", CASE o % 5 WHEN 0 THEN 'search' WHEN 1 THEN 'view' WHEN 2 THEN 'export' ELSE 'import' END AS type FROM fine WHERE o % 5 < 4")
+def s12_activities(spark, sf_dir):
+    """The typed rows of one section of the backups."""
+    return backups.values(_imported(spark, sf_dir)[1], "activities", {"at": "long", "type": "string"}).select("envelope", "at", "type")
 
 
 @query("""SELECT o_custkey, to_json(list(struct_pack("key" := o_orderkey, status := o_orderstatus) ORDER BY o_orderkey))::VARCHAR AS json FROM orders GROUP BY 1""")
@@ -301,13 +340,13 @@ def v23_envelopes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.when(k.isNull(), "FATAL").when(k > 90, "WARNING").otherwise("OK").alias("level"))
 
 
-@query("""SELECT DISTINCT kind, key FROM (SELECT 'part' AS kind, l_partkey AS key FROM lineitem UNION ALL SELECT 'supplier', l_suppkey FROM lineitem UNION ALL SELECT 'order', l_orderkey FROM lineitem WHERE l_linenumber > 5
-UNION ALL SELECT 'customer', o_custkey FROM orders)""")
+@query(_ENVELOPE + """, n AS (SELECT 'L' || s AS law, k FROM fine UNION SELECT 'L' || s, (k + 1) % 40 FROM fine) SELECT law, k::VARCHAR AS number, k % 4 <> 0 AND law <> 'LP' AS known FROM n""")
 def v24_collected(spark, sf_dir):
-    """All keys that a payload's sections name, each once."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    own = F.explode(F.map_from_arrays(F.array(F.lit("part"), F.lit("supplier"), F.lit("order")), F.array(F.col("l_partkey"), F.col("l_suppkey"), F.when(F.col("l_linenumber") > 5, F.col("l_orderkey"))))).alias("kind", "key")
-    return li.select(own).filter("key is not null").unionByName(o.select(F.lit("customer").alias("kind"), F.col("o_custkey").alias("key"))).distinct()
+    """All articles that the sections of the backups name, each once, and whether it is known."""
+    k = table(spark, sf_dir, "part").select((F.col("p_partkey") % 40).alias("k")).distinct().filter("k % 4 <> 0")
+    articles = k.select(F.explode(F.array(F.lit("LO"), F.lit("LF"))).alias("law"), F.col("k").cast("string").alias("number"), F.lit(True).alias("known"))
+    named = backups.references(backups.laid_out(_envelopes(spark, sf_dir)))
+    return named.join(articles, ["law", "number"], "left").select("law", "number", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 # Relations
