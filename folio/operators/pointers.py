@@ -94,3 +94,22 @@ def lineage(nodes: DataFrame) -> DataFrame:
     above = F.slice(ids, F.lit(1), F.size("keys") - 1)
     path = F.transform("keys", lambda k: k["place"])
     return now.filter("to is null").select("id", "parent", "place", (F.size("keys") - 1).alias("depth"), above.alias("ancestors"), path.alias("path"), "keys", F.get(ids, F.lit(0)).alias("root"))
+
+
+def on_cycles(nodes: DataFrame) -> DataFrame:
+    """ids of the nodes (id, parent) whose way up never ends: those on a cycle and those that hang on one.
+
+    Each round lets every way jump to where its end's way leads; a round in which none ends leaves those that never do.
+    """
+    now = stored(nodes.select("id", F.col("parent").alias("to")), "cycles")
+    known = now.select(F.col("id").alias("to"), F.lit(True).alias("known"))
+    now = stored(now.join(known, "to", "left").select("id", F.when(F.col("known"), F.col("to")).alias("to")), "cycles")
+    waiting = now.filter("to is not null").count()
+    while waiting:
+        there = now.select(F.col("id").alias("to"), F.col("to").alias("_to"))
+        moved = now.filter("to is not null").join(there, "to").select("id", F.col("_to").alias("to"))
+        now = stored(now.filter("to is null").unionByName(moved), "cycles")
+        before, waiting = waiting, now.filter("to is not null").count()
+        if waiting == before:
+            break
+    return now.filter("to is not null").select("id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import references
 from folio.functions.text import context_checksum
-from folio.operators import digest, revisions, state, temporal, tree_index
+from folio.operators import digest, revisions, state, temporal, tree_index, verification
 from folio.plans.reading import _TREE, V1, geography, indexed, v1_diff
 from folio.plans.registering import Register
 from folio.sources import backups, snapshots
@@ -122,11 +122,11 @@ _SITE = "^(https?://[^/?#]+)"
 
 @query(f"""WITH l AS (SELECT page_id, regexp_extract(url, '{_SITE}', 1) AS site, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages)
 SELECT DISTINCT page_id, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN site || href ELSE site || '/' || href END AS link FROM l
-WHERE href <> '' AND NOT starts_with(href, '#') AND regexp_matches(href, '[a-z0-9]$')""")
+WHERE href <> '' AND NOT starts_with(href, '#')""")
 def s15_absolute_links(spark, sf_dir):
-    """Links of each page made absolute, once each; only those that end in a small letter or digit."""
+    """Links of each page made absolute, once each."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", _SITE, 1).alias("site"), F.explode(references.hrefs(F.col("html"))).alias("href"))
-    p = p.filter("href <> '' and not startswith(href, '#') and href rlike '[a-z0-9]$'")
+    p = p.filter("href <> '' and not startswith(href, '#')")
     link = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.startswith("href", F.lit("/")), F.concat("site", "href")).otherwise(F.concat("site", F.lit("/"), "href"))
     return p.select("page_id", link.alias("link")).distinct()
 
@@ -228,8 +228,8 @@ def s5_as_of_source(spark, sf_dir):
 # Comparison and checks
 
 
-@query("""WITH a AS (SELECT doc_id AS key, left(sha256(text), 16) AS f, length(text) AS n FROM documents WHERE text IS NOT NULL AND doc_id % 13 <> 1),
-b AS (SELECT CASE WHEN doc_id % 7 = 0 THEN doc_id + 1000000 ELSE doc_id END AS key, left(sha256(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END), 16) AS f FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 1),
+@query("""WITH a AS (SELECT doc_id AS key, left(sha256(coalesce(text, '')), 16) AS f, length(coalesce(text, '')) AS n FROM documents WHERE doc_id % 13 <> 1),
+b AS (SELECT CASE WHEN doc_id % 7 = 0 THEN doc_id + 1000000 ELSE doc_id END AS key, left(sha256(CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || 'x' ELSE coalesce(text, '') END), 16) AS f FROM documents WHERE doc_id % 11 <> 1),
 added AS (SELECT f, max(key) AS key FROM b WHERE key NOT IN (SELECT key FROM a) GROUP BY 1), removed AS (SELECT * FROM a WHERE key NOT IN (SELECT key FROM b)),
 moved AS (SELECT removed.key AS before, added.key AS after FROM removed JOIN added ON removed.f = added.f AND n > 30)
 SELECT a.key AS before, b.key AS after, CASE WHEN a.f = b.f THEN 'unchanged' ELSE 'modified' END AS kind FROM a JOIN b ON a.key = b.key UNION ALL SELECT before, after, 'moved' FROM moved
@@ -237,27 +237,57 @@ UNION ALL SELECT key, NULL, 'removed' FROM removed WHERE key NOT IN (SELECT befo
 UNION ALL SELECT NULL, key, 'added' FROM b WHERE key NOT IN (SELECT key FROM a) AND key NOT IN (SELECT after FROM moved)""")
 def v4_moved(spark, sf_dir):
     """Two revisions of documents by fingerprint: what left one key and came back at another has moved, if it is longer than 30 characters."""
-    d = table(spark, sf_dir, "documents").filter("text is not null")
+    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     a = d.filter("doc_id % 13 <> 1").select(F.col("doc_id").alias("key"), "text")
     b = d.filter("doc_id % 11 <> 1").select(F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") + 1_000_000).otherwise(F.col("doc_id")).alias("key"), F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"))
     return revisions.moved(a, b)
 
 
-@query("""WITH e AS (SELECT l_orderkey AS node, l_linenumber AS level FROM lineitem WHERE l_orderkey % 2 = 0)
-SELECT 'EMPTY_BODY' AS code, doc_id::VARCHAR AS node, source AS detail FROM documents WHERE trim(text) = '' OR length(text) < 20
-UNION ALL SELECT 'DUPLICATE_KEY', node || '/' || level, count(*)::VARCHAR FROM e GROUP BY node, level HAVING count(*) > 1
-UNION ALL SELECT 'ORPHAN', l_orderkey::VARCHAR, l_partkey::VARCHAR FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 2)
-UNION ALL SELECT 'NODE_COUNT', 'all', round(abs(a - b) / a, 4)::VARCHAR FROM (SELECT count(*) AS a, count(*) FILTER (l_linenumber < 4) AS b FROM lineitem) WHERE abs(a - b) > 0.2 * a""")
+_CANDIDATE = """WITH n AS (SELECT c_custkey // 10 % 25 AS law, c_custkey AS i, CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 97 = 1 THEN -5 WHEN c_custkey % 50 = 7 THEN c_custkey ELSE c_custkey // 10 * 10 END AS parent,
+ 'k' || CASE WHEN c_custkey % 31 = 0 THEN c_custkey - 1 ELSE c_custkey END AS key, CASE WHEN c_custkey % 10 = 0 THEN 'chapter' ELSE 'article' END AS level, CASE WHEN c_custkey % 10 BETWEEN 1 AND 8 THEN (c_custkey % 10 // 2)::VARCHAR END AS number, c_acctbal FROM customer),
+l AS (SELECT n_nationkey + 2 AS law, coalesce(b, 0) AS b FROM nation LEFT JOIN (SELECT law, count(*) FILTER (c_acctbal > 1000) AS b FROM n GROUP BY 1) x ON x.law = n_nationkey + 2),
+c AS (SELECT law, count(*) AS now, count(*) FILTER (level = 'article') AS articles FROM n GROUP BY 1), m AS (SELECT l.law, b, coalesce(now, 0) AS now, coalesce(articles, 0) AS articles FROM l LEFT JOIN c ON c.law = l.law),
+e AS (SELECT law, 'EMPTY_DOCUMENT' AS code, NULL AS node, '0' AS detail FROM m WHERE now = 0
+UNION ALL SELECT law, 'DUPLICATE_DURABLE_KEY', key, i::VARCHAR FROM n QUALIFY row_number() OVER (PARTITION BY law, key ORDER BY i) > 1
+UNION ALL SELECT law, 'ORPHAN_NODE', key, parent::VARCHAR FROM n WHERE parent IS NOT NULL AND (law, parent) NOT IN (SELECT law, i FROM n)
+UNION ALL SELECT law, 'CYCLE_DETECTED', key, i::VARCHAR FROM n WHERE parent = i
+UNION ALL SELECT law, 'COLLISION_SIBLING_NUMBER', key, level || ':' || number FROM n WHERE number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY law, CASE WHEN (law, parent) IN (SELECT law, i FROM n) THEN parent ELSE -9 END, number ORDER BY i) > 1
+UNION ALL SELECT law, 'UNRESOLVED_DIFF', min(key), min(key || ' -> ' || key || 'x') FROM n WHERE i % 13 = 0 AND i % 26 <> 0 GROUP BY law
+UNION ALL SELECT law, 'RANGE_UNRESOLVED', 'r' || law, 'VERIFIED_RANGE_NOT_FOUND' FROM l WHERE law % 6 = 0
+UNION ALL SELECT law, 'STRUCTURE_CHANGE_REVIEW_REQUIRED', NULL, round((now - b) / b, 4)::VARCHAR FROM m WHERE b > 0 AND abs((now - b) / b) >= 0.2 AND law % 4 <> 0)"""
+
+
+def _candidate(spark, sf_dir):
+    """Customers as nodes of laws, ten a chapter, with faults of every kind; two laws have none."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    tens = F.floor(key / 10)
+    parent = F.when(key % 10 == 0, None).when(key % 97 == 1, -5).when(key % 50 == 7, key).otherwise(tens * 10).cast("long")
+    name = F.concat(F.lit("k"), F.when(key % 31 == 0, key - 1).otherwise(key).cast("string"))
+    number = F.when((key % 10).between(1, 8), F.floor(key % 10 / 2).cast("string"))
+    nodes = c.select((tens % 25).alias("law"), key.alias("index"), parent.alias("parent"), name.alias("key"), F.when(key % 10 == 0, "chapter").otherwise("article").alias("level"), number.alias("number"), "c_acctbal")
+    law = table(spark, sf_dir, "nation").select((F.col("n_nationkey") + 2).cast("long").alias("law"))
+    before = nodes.groupBy("law").agg(F.count_if(F.col("c_acctbal") > 1000).alias("nodes_before"))
+    laws = law.join(before, "law", "left").fillna(0, ["nodes_before"])
+    nodes = nodes.drop("c_acctbal")
+    changed = nodes.filter("index % 13 = 0").select("law", F.col("key").alias("key_before"), F.concat("key", F.lit("x")).alias("key_after"), F.lit("renumbered").alias("kind"), "index")
+    mappings = changed.filter("index % 26 = 0").select("law", F.col("key_before").alias("from_key"), F.col("key_after").alias("to_key"))
+    blocked = F.col("law") % 6 == 0
+    ranges = law.select("law", F.concat(F.lit("r"), "law").alias("range_id"), F.when(blocked, "blocked").otherwise("resolved").alias("status"), F.when(blocked, "VERIFIED_RANGE_NOT_FOUND").alias("reason"))
+    guards = law.filter("law % 4 = 0").withColumn("guard", F.lit(verification.GUARD))
+    return laws, nodes, verification.errors(laws, nodes, changed.drop("index"), ranges, mappings, guards)
+
+
+@query(_CANDIDATE + " SELECT law, code, node, CASE WHEN code <> 'STRUCTURE_CHANGE_REVIEW_REQUIRED' THEN detail END AS detail FROM e")
 def v9_candidate(spark, sf_dir):
-    """Checks of a candidate: empty bodies, repeated keys, missing parents, and a node count that moved by more than a fifth."""
-    li, d = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "documents")
-    delta = li.agg(F.count(F.lit(1)).alias("a"), F.count_if(F.col("l_linenumber") < 4).alias("b"))
-    return revisions.all_findings([
-        revisions.findings(d.filter("trim(text) = '' or length(text) < 20"), "EMPTY_BODY", F.col("doc_id"), F.col("source")),
-        revisions.duplicates(li.filter("l_orderkey % 2 = 0"), ["l_orderkey", "l_linenumber"], "DUPLICATE_KEY"),
-        revisions.orphans(li, "l_orderkey", "l_partkey", table(spark, sf_dir, "part").filter("p_size > 2"), "p_partkey", "ORPHAN"),
-        revisions.findings(delta.filter("abs(a - b) > 0.2 * a"), "NODE_COUNT", F.lit("all"), F.round(F.abs(F.col("a") - F.col("b")) / F.col("a"), 4)),
-    ])
+    """All eight checks of candidates: empty, repeated keys, missing parents, cycles, numbers twice, differences and ranges that nobody has settled, and too great a change."""
+    found = _candidate(spark, sf_dir)[2]
+    return found.withColumn("detail", F.when(F.col("code") != verification.GUARD, F.col("detail")))
+
+
+@query(_CANDIDATE + " SELECT m.law, now AS nodes, articles, CASE WHEN b > 0 THEN round((now - b) / b, 4) ELSE 0 END::DOUBLE AS changed, count(code) AS errors, count(code) = 0 AS publishable FROM m LEFT JOIN e ON e.law = m.law GROUP BY ALL")
+def v9_reports(spark, sf_dir):
+    """Each law's candidate: how many nodes and articles, how much has changed, and whether it may be published."""
+    return verification.report(*_candidate(spark, sf_dir))
 
 
 @query(f"""WITH d AS ({V1}) SELECT key_before, key_after, kind FROM d WHERE kind IN ('renumbered', 'ambiguous', 'removed') AND NOT coalesce(key_before % 4 = 0, FALSE)""")

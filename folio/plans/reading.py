@@ -271,16 +271,18 @@ SELECT conv_id, round(len(list_intersect(['system', 'user', 'assistant'], seen))
 
 
 def n12_fingerprints(spark, sf_dir):
-    """Every document in any script."""
-    return _fingerprints(table(spark, sf_dir, "documents"))
+    """Every turn of the conversations, whose fingerprint says who spoke as well."""
+    t = table(spark, sf_dir, "conversations")
+    said = F.concat_ws(": ", "role", "text")
+    return t.select("conv_id", "turn", text.fingerprint(text.collapsed(said)).alias("fingerprint"), *[c.alias(k) for k, c in text.quote_selector(F.col("text")).items()])
 
 
-def _fingerprints(d):
-    return d.select("doc_id", text.fingerprint(text.collapsed(F.col("text"))).alias("fingerprint"), *[c.alias(k) for k, c in text.quote_selector(F.col("text")).items()])
+N12 = r"""SELECT conv_id, turn, left(sha256(trim(regexp_replace(concat_ws(': ', role, text), '[ \t\n\v\f\r]+', ' ', 'g'), ' ')), 16) AS fingerprint, left(text, 32) AS prefix,
+ CASE WHEN length(text) > 32 THEN right(text, 32) ELSE '' END AS suffix FROM conversations"""
 
 
-N12 = r"""SELECT doc_id, left(sha256(trim(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g'), ' ')), 16) AS fingerprint, left(text, 32) AS prefix,
- CASE WHEN length(text) > 32 THEN right(text, 32) ELSE '' END AS suffix FROM documents"""
+def _fingerprints(d):
+    return d.select("doc_id", text.fingerprint(text.collapsed(F.col("text"))).alias("fingerprint"), *[c.alias(k) for k, c in text.quote_selector(F.col("text")).items()])
 
 
 def n12_all_fingerprints(spark, sf_dir):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import context_checksum
 from folio.operators import evaluation, intervals, ranking, revisions, scope, temporal, usage
 from folio.plans.registering import Register
+from folio.sources.stored import shared_dir
 from folio.tables import table
 
 query = Register()
@@ -69,10 +72,10 @@ def p11_row_security(spark, sf_dir):
     return scope.of_organization(table(spark, sf_dir, "orders").join(owners, "o_custkey"), 7).select("o_orderkey", "o_custkey")
 
 
-@query("""SELECT user_id, list_has_any(list(DISTINCT event_type), ['purchase', 'signup']) AS allowed, count(DISTINCT event_type) AS roles FROM events WHERE value > 30 GROUP BY 1""")
+@query("""SELECT user_id, list_has_any(list(DISTINCT event_type), ['purchase', 'signup']) AS allowed, count(DISTINCT event_type) AS roles FROM events GROUP BY 1""")
 def p12_roles(spark, sf_dir):
     """Whether a user holds one of the required roles; a role is a kind of event here."""
-    held = table(spark, sf_dir, "events").filter("value > 30").groupBy("user_id").agg(F.collect_set("event_type").alias("held"))
+    held = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("held"))
     return held.select("user_id", scope.has_role(F.col("held"), ["purchase", "signup"]).alias("allowed"), F.size("held").cast("long").alias("roles"))
 
 
@@ -306,10 +309,10 @@ def m4_unknown_only(spark, sf_dir):
     return d.filter("doc_id % 2 = 0").join(d.filter("doc_id % 3 = 0"), ["source", "hash"], "left_anti").select("doc_id", "hash")
 
 
-@query("""SELECT DISTINCT user_id, CASE WHEN user_id % 5 = 0 THEN 'admin' ELSE event_type END AS role FROM events WHERE value > 40""")
+@query("""SELECT DISTINCT user_id, CASE WHEN user_id % 5 = 0 THEN 'admin' ELSE event_type END AS role FROM events""")
 def m6_roles_changed(spark, sf_dir):
     """Roles of users after every fifth user's roles are taken away and one is given: one new snapshot."""
-    held = table(spark, sf_dir, "events").filter("value > 40").select("user_id", F.col("event_type").alias("role")).distinct()
+    held = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("role")).distinct()
     changed = held.filter("user_id % 5 = 0").select("user_id").distinct()
     return held.join(changed, "user_id", "left_anti").unionByName(changed.withColumn("role", F.lit("admin")))
 
@@ -368,18 +371,24 @@ def e7_disclosure(spark, sf_dir):
 
 
 @query("""SELECT user_id, count(*) FILTER (event_type = 'purchase') AS assertions, round(count(*) FILTER (event_type = 'purchase' AND value > 50) / nullif(count(*) FILTER (event_type = 'purchase'), 0), 6) AS false_rate
-FROM events WHERE value > 30 GROUP BY 1""")
+FROM events GROUP BY 1""")
 def e8_false_evidence(spark, sf_dir):
     """Share of a user's assertions that are false; null without any."""
     said = F.col("event_type") == "purchase"
     n = F.count_if(said)
-    return table(spark, sf_dir, "events").filter("value > 30").groupBy("user_id").agg(n.alias("assertions"), F.round(usage.share(F.count_if(said & (F.col("value") > 50)), n), 6).alias("false_rate"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(n.alias("assertions"), F.round(usage.share(F.count_if(said & (F.col("value") > 50)), n), 6).alias("false_rate"))
+
+
+_QUESTIONS = """WITH q AS (SELECT 2020 + y AS year, q + 1 AS number, (2020 + y) || '-' || lpad((q + 1)::VARCHAR, 2, '0') AS id, CASE WHEN y < 4 THEN 'dev' ELSE 'test' END AS split FROM range(5) a(y), range(30) b(q))"""
 
 
-@query("SELECT 2020 + y AS year, q + 1 AS number, (2020 + y) || '-' || lpad((q + 1)::VARCHAR, 2, '0') AS id, CASE WHEN y < 4 THEN 'dev' ELSE 'test' END AS split FROM range(5) a(y), range(30) b(q)")
+@query(_QUESTIONS + " SELECT doc_id, year, number, id, split FROM documents LEFT JOIN q ON (year - 2020) * 30 + number = doc_id % 200")
 def s18_manifest(spark, sf_dir):
-    """The generated list of questions: five years of thirty, the last year held back."""
-    return _manifest(spark)
+    """Documents with the question that they answer of the generated list, five years of thirty, the last year held back; fifty in two hundred answer none."""
+    at = (F.col("year") - 2020) * 30 + F.col("number")
+    q = _manifest(spark).withColumn("at", at)  # a hundred and fifty rows
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 200).alias("at"))
+    return d.join(F.broadcast(q), "at", "left").drop("at")
 
 
 def _manifest(spark):
@@ -389,11 +398,28 @@ def _manifest(spark):
     return q.select("year", "number", F.concat_ws("-", F.col("year").cast("string"), number).alias("id"), F.when(F.col("year") < 2024, "dev").otherwise("test").alias("split"))
 
 
-@query("SELECT 150::BIGINT AS questions, 120::BIGINT AS dev, 30::BIGINT AS test, 150::BIGINT AS distinct_ids, TRUE AS ok")
+@query(_QUESTIONS + """, d AS (SELECT doc_id, lang, id, split, number FROM documents LEFT JOIN q ON (year - 2020) * 30 + number = doc_id % 200)
+SELECT lang, count(*) AS documents, count(id) AS answered, count(DISTINCT id) AS questions, count(DISTINCT id) FILTER (split = 'dev') AS dev, count(DISTINCT id) FILTER (split = 'test') AS test,
+ CASE WHEN count(id) = 0 THEN 'EMPTY' WHEN count(DISTINCT id) FILTER (split = 'dev') <> 120 OR count(DISTINCT id) FILTER (split = 'test') <> 30 THEN 'INCOMPLETE' WHEN count(*) <> count(id) THEN 'UNASSIGNED' ELSE 'OK' END AS code FROM d GROUP BY 1""")
 def e10_manifest_checks(spark, sf_dir):
-    """Counts and ranges that the list has to have."""
-    m = _manifest(spark).agg(F.count(F.lit(1)).alias("questions"), F.count_if(F.col("split") == "dev").alias("dev"), F.count_if(F.col("split") == "test").alias("test"), F.count_distinct("id").alias("distinct_ids"), F.bool_and(F.col("number").between(1, 30)).alias("inside"))
-    return m.select("questions", "dev", "test", "distinct_ids", ((F.col("questions") == 150) & (F.col("dev") == 120) & (F.col("distinct_ids") == 150) & F.col("inside")).alias("ok"))
+    """Whether the documents of each language answer all hundred and twenty and thirty questions of the list, and only these."""
+    d = s18_manifest(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    split = F.col("split")
+    m = d.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count("id").alias("answered"), F.count_distinct("id").alias("questions"), F.count_distinct(F.when(split == "dev", F.col("id"))).alias("dev"), F.count_distinct(F.when(split == "test", F.col("id"))).alias("test"))
+    code = F.when(F.col("answered") == 0, "EMPTY").when((F.col("dev") != 120) | (F.col("test") != 30), "INCOMPLETE").when(F.col("documents") != F.col("answered"), "UNASSIGNED").otherwise("OK")
+    return m.withColumn("code", code)
+
+
+@query("""SELECT n_nationkey AS place, n_name AS title, CASE WHEN n_regionkey = 2 THEN 'full' ELSE 'excerpt' END AS mode, count(c_custkey) AS documents FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL""")
+def s19_catalogue(spark, sf_dir):
+    """A catalogue stored as lines of JSON in its printed order, read with the order kept and joined to what it lists."""
+    path = f"{shared_dir(spark)}/folio/catalogue-{uuid.uuid4().hex}"
+    entries = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("displayOrder"), F.col("n_name").alias("printedTitle"), F.when(F.col("n_regionkey") == 2, "full").otherwise("excerpt").alias("inclusionMode"))
+    entries.repartitionByRange("displayOrder").sortWithinPartitions("displayOrder").write.json(path)
+    listed = spark.read.schema("displayOrder long, printedTitle string, inclusionMode string").option("mode", "FAILFAST").json(path)
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("displayOrder")).agg(F.count(F.lit(1)).alias("documents"))
+    out = listed.join(counts, "displayOrder", "left").select(F.col("displayOrder").alias("place"), F.col("printedTitle").alias("title"), F.col("inclusionMode").alias("mode"), F.coalesce("documents", F.lit(0)).alias("documents"))
+    return out.orderBy("place")
 
 
 @query("""WITH c AS (SELECT o_custkey AS c, o_orderstatus AS category, l_suppkey AS target FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 5 <> 4 GROUP BY ALL),
