@@ -30,18 +30,23 @@ def recommended(counts: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-#: Items that a pack may have: it is made by hand, and pairs grow with its square.
-MAX_PACK = 100
+#: Items of a pack that one task pairs with as many others at a time.
+BLOCK = 100
 
 
-def pack_counts(packs: DataFrame) -> DataFrame:
-    """item, related and n: in how many packs two items are together. packs: pack, item; a pack of more than MAX_PACK items is an error."""
+def pack_counts(packs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """item, related and n: in how many packs two items are together. packs: pack, item.
+
+    A pack's items are dealt into blocks by their hash, and each two blocks meet on their own, so a large pack's pairs are spread
+    over tasks; pairs are counted before they are shuffled.
+    """
     packs = packs.select("pack", "item").distinct()
-    size = packs.groupBy("pack").agg(F.count(F.lit(1)).alias("size"))
-    checked = size.filter(F.when(F.col("size") > MAX_PACK, F.raise_error(F.lit("a pack has too many items")).cast("boolean")).otherwise(F.col("size") > 1))
-    kept = packs.join(checked.select("pack"), "pack")
-    other = kept.select("pack", F.col("item").alias("related"))
-    return kept.join(other, "pack").filter("item <> related").groupBy("item", "related").agg(F.count(F.lit(1)).alias("n"))
+    blocks = packs.groupBy("pack").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = packs.join(blocks, "pack").withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select("pack", "item", F.col("own").alias("a"), every.alias("b"))
+    right = dealt.select("pack", F.col("item").alias("related"), every.alias("a"), F.col("own").alias("b"))
+    return left.join(right, ["pack", "a", "b"]).filter("item <> related").groupBy("item", "related").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cold_start(packs: DataFrame, k: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folio.functions import citations, numerals, references, segments, text
+from folio.functions import citations, nodes, numerals, references, segments, text
 from folio.plans.registering import Register
 from folio.tables import table
 
@@ -392,12 +392,24 @@ def v7_extraction(spark, sf_dir):
     return e.select("doc_id", F.col("captured").cast("long").alias("captured"), F.col("total").cast("long").alias("total"), (F.col("rate") < 0.95).alias("low"))
 
 
-@query(_SEGMENTS + """SELECT doc_id, path, level, sha256('{"body":"' || body || '","level":"' || level || '"}') AS content, sha256('{"body":"' || body || '"}') AS body_checksum FROM s""")
+_NODES = """WITH a AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a FROM orders),
+l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS i FROM lineitem),
+f AS (SELECT sha256('{"caption":"","level":"chapter","num":"","text":"one","title":"one"}') AS c, sha256('{"caption":"","level":"appdx_table","num":"","text":"別表第二","title":"別表第二"}') AS x),
+n AS (SELECT DISTINCT doc_id, 0 AS a, 0 AS i, 'chapter' AS level, 'main/chapter:fingerprint:' || c AS durable_key, 'root/chapter:1@1' AS legacy_key, '{"level":"chapter","text":"one","title":"one"}' AS content, '{"level":"chapter","title":"one"}' AS body FROM a, f
+UNION ALL SELECT doc_id, a, 0, 'article', 'main/chapter:fingerprint:' || c || '/article:' || a, 'root/chapter:1@1/article:' || a || '@' || a,
+ '{"caption":"（order ' || o_orderkey || '）","level":"article","number":"' || a || '","text":"（order ' || o_orderkey || '）"}', '{"caption":"（order ' || o_orderkey || '）","level":"article"}' FROM a, f
+UNION ALL SELECT doc_id, a, i, 'paragraph', 'main/chapter:fingerprint:' || c || '/article:' || a || '/paragraph:' || i, 'root/chapter:1@1/article:' || a || '@' || a || '/paragraph:' || i || '@' || i,
+ '{"level":"paragraph","number":"' || i || '","text":"' || i || '\\npart ' || l_partkey || '"}', '{"body":"part ' || l_partkey || '","level":"paragraph"}' FROM a JOIN l ON l_orderkey = o_orderkey, f
+UNION ALL SELECT DISTINCT doc_id, 1000000000, 0, 'appdx_table', 'appendix/appdx_table:fingerprint:' || x, 'root/appdx_table:1@1', '{"level":"appdx_table","text":"別表第二"}', '{"level":"appdx_table"}' FROM a, f)"""
+
+
+@query(_NODES + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, i) - 1 AS source_index FROM n)
+SELECT doc_id, source_index::INT AS source_index, CASE level WHEN 'article' THEN 0 WHEN 'paragraph' THEN max(CASE WHEN level = 'article' THEN source_index END) OVER (PARTITION BY doc_id ORDER BY source_index) END::INT AS parent_index, level, durable_key, legacy_key,
+ sha256(content) AS content_checksum, sha256(body) AS body_checksum, CASE level WHEN 'article' THEN a WHEN 'paragraph' THEN i ELSE 1 END::INT AS sort_order, FALSE AS duplicate FROM r""")
 def n17_parsed_nodes(spark, sf_dir):
-    """Nodes of laws with checksums of their content and of their body alone."""
-    s = segments.segmented(_laws(spark, sf_dir))
-    content, body = F.struct("body", "level"), F.struct("body")
-    return s.select("doc_id", "path", "level", *[F.sha2(F.to_json(c).cast("binary"), 256).alias(n) for c, n in ((content, "content"), (body, "body_checksum"))])
+    """Nodes of laws: their place and their parent's, keys that last and keys with places, checksums of their content and of their body alone."""
+    found = nodes.parsed(_laws(spark, sf_dir))
+    return found.select("doc_id", "source_index", "parent_index", "level", "durable_key", "legacy_key", "content_checksum", "body_checksum", "sort_order", "duplicate")
 
 
 def n11_normal_bodies(spark, sf_dir):

@@ -79,10 +79,10 @@ def test_rows_with_one_key(spark):
     assert sorted(map(tuple, state.inserted(old, new, ["id"]).collect())) == [("a", 1), ("b", 8)]
 
 
-def test_packs_are_small(spark):
-    packs = spark.createDataFrame([(1, i) for i in range(usage.MAX_PACK + 1)], "pack long, item long")
-    with pytest.raises(Exception, match="too many items"):
-        usage.pack_counts(packs).collect()
+def test_packs_of_any_size(spark):
+    rows = [(1, i) for i in range(230)] + [(2, i) for i in range(0, 230, 5)] + [(3, 7)] + [(1, 3)]
+    found = usage.pack_counts(spark.createDataFrame(rows, "pack long, item long"))
+    assert found.count() == 230 * 229 and found.filter("n = 2").count() == 46 * 45 and found.filter("n > 2").count() == 0
 
 
 def test_state(spark):
