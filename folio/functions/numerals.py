@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,6 +73,12 @@ def _value(c: Column) -> Column:
     return F.coalesce(value, F.lit(0).cast("decimal(38,0)"))
 
 
+def woven(c: Column, form: str, put: Callable[[Column], Column]) -> Column:
+    """c with each match of a pattern (never empty) replaced by what put makes of it."""
+    between, found = F.split(c, form, -1), F.regexp_extract_all(c, F.lit(form), F.lit(0))
+    return F.when(c.rlike(form), F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(put(F.get(found, i)), F.lit("")))), "")).otherwise(c)
+
+
 def reader_number(c: Column) -> Column:
     """A numeral in digits, as readers write it: full width, digit by digit, with units, ten thousands (one where nothing stands before) and fractions; a text without a numeral stays."""
     form = r"([〇零一二三四五六七八九]*)[・.]([〇零一二三四五六七八九]+)"
@@ -80,10 +88,7 @@ def reader_number(c: Column) -> Column:
         whole = F.regexp_extract(m, form, 1)
         return F.concat(F.when(F.char_length(whole) == 1, F.translate(whole, *digits)).otherwise("0"), F.lit("."), F.translate(F.regexp_extract(m, form, 2), *digits))
 
-    c = F.translate(c, _WIDE, _PLAIN)
-    between, found = F.split(c, form, -1), F.regexp_extract_all(c, F.lit(form), F.lit(0))
-    woven = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(fraction(F.get(found, i)), F.lit("")))), "")
-    c = F.when(c.rlike(form), woven).otherwise(c)
+    c = woven(F.translate(c, _WIDE, _PLAIN), form, fraction)
     parts = F.split(c, "万", -1)
     upper, lower = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     myriads = F.try_add(F.try_multiply(_value(F.when(upper == "", "一").otherwise(upper)), F.lit(10_000)), _value(lower))

@@ -130,6 +130,11 @@ def segmented(raw: DataFrame) -> DataFrame:
     return rows.select("doc_id", "path", "level", "heading", "body", "sequence", "error", body.alias("body_normalized")).withColumn("fingerprint", fingerprint(F.col("body_normalized")))
 
 
+def leftover(path: Column) -> Column:
+    """Whether the last step of a path has a number in words, which should be in digits."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), "^(?:art|para|item)", "").rlike("[〇一二三四五六七八九]")
+
+
 def extraction(segments: DataFrame, raw: DataFrame) -> DataFrame:
     """Share of each document's characters that segments hold; tags are not counted."""
     total = raw.select("doc_id", F.length(F.regexp_replace(F.regexp_replace("xml", "<[^>]*>", ""), r"\s+", "")).alias("total"))

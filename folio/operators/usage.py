@@ -74,6 +74,21 @@ def highlights(matched: DataFrame) -> DataFrame:
     return matched.groupBy("subject").agg(F.min_by("level", F.struct("place", "rule_id")).alias("level"), F.count(F.lit(1)).alias("n_rules"), F.array_distinct(F.transform(ordered, lambda x: x.label)).alias("labels"))
 
 
+def rule_groups(rules: DataFrame, matched: DataFrame) -> DataFrame:
+    """rule_id, label, condition_key, articles and unmatched of every rule: how many articles it marks, and what a reader is told where it marks none."""
+    counts = matched.groupBy("rule_id").agg(F.count(F.lit(1)).alias("articles"))
+    rows = rules.select("rule_id", "label", "condition_key").join(counts, "rule_id", "left")
+    return rows.select("rule_id", "label", "condition_key", F.coalesce("articles", F.lit(0)).alias("articles"), F.when(F.col("articles").isNull(), F.concat("label", F.lit("（条件値未選択）"))).alias("unmatched"))
+
+
+def marked(rules: DataFrame, matched: DataFrame) -> DataFrame:
+    """subject, level, types and given of each marked subject: of its rules in order the first one's level, the kinds of conditions and all their values, each once."""
+    told = matched.join(rules.select("rule_id", "condition_key", F.from_json("condition_values", "array<string>").alias("given")), "rule_id")
+    rows = F.array_sort(F.collect_list(F.struct("place", "rule_id", "level", "condition_key", "given")))  # a subject's rules
+    out = told.groupBy("subject").agg(rows.alias("rows"))
+    return out.select("subject", F.get("rows", F.lit(0))["level"].alias("level"), F.array_distinct(F.transform("rows", lambda r: r["condition_key"])).alias("types"), F.array_distinct(F.flatten(F.transform("rows", lambda r: r["given"]))).alias("given"))
+
+
 def share(part: Column, whole: Column) -> Column:
     """part / whole, null for nothing."""
     return F.when(whole != 0, part / whole)

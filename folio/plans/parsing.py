@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from folio.functions import citations, nodes, numerals, references, segments, text
+from folio.functions import citations, labels, nodes, numerals, references, segments, text
 from folio.plans.registering import Register
 from folio.tables import table
 
@@ -79,10 +79,14 @@ def n8_article_numbers(spark, sf_dir):
     return _numbers(spark, sf_dir).select("p_partkey", text.article_key(_title()).alias("number"), text.article_key(plain).alias("plain"))
 
 
-@query(f"""WITH n AS ({_N}) SELECT p_partkey, '第' || {_kanji('n')} || '条の' || {_kanji('m')} AS article, (m)::VARCHAR AS paragraph, {_kanji('m')} AS item FROM n""")
+@query(f"""WITH n AS ({_N}) SELECT p_partkey, '第' || {_kanji('n')} || '条' || CASE WHEN p_partkey % 3 > 0 THEN 'の' || {_kanji('m')} ELSE '' END || CASE WHEN p_partkey % 3 > 1 THEN 'の二' ELSE '' END AS article, '第' || m || '項' AS paragraph,
+ CASE WHEN p_partkey % 2 = 0 THEN '第イ号' ELSE '第' || {_kanji('m')} || '号' END AS item FROM n""")
 def n10_labels(spark, sf_dir):
-    """Labels of an article, a paragraph (none for the first in a law is left to the reader) and an item."""
-    return _numbers(spark, sf_dir).select("p_partkey", _title().alias("article"), F.col("m").cast("string").alias("paragraph"), text.to_kanji(F.col("m")).alias("item"))
+    """Labels of an article with any number of branches, of a paragraph, and of an item by its title or, without one, its number."""
+    n, m, kind = F.col("n").cast("string"), F.col("m").cast("string"), F.col("p_partkey") % 3
+    num = F.concat_ws("_", n, F.when(kind > 0, m), F.when(kind > 1, "2"))
+    title = F.when(F.col("p_partkey") % 2 == 0, "イ").otherwise("")
+    return _numbers(spark, sf_dir).select("p_partkey", labels.article_label(num).alias("article"), labels.paragraph_label(m).alias("paragraph"), labels.item_label(title, m).alias("item"))
 
 
 @query(f"WITH n AS ({_N}) SELECT p_partkey, '第' || n || '条の' || m AS title FROM n")
@@ -113,19 +117,18 @@ def n4_appendix_slugs(spark, sf_dir):
     return _numbers(spark, sf_dir).select("p_partkey", text.appendix_slugs(F.get(tags, F.col("p_partkey") % 4), title).alias("slug"), text.appendix_slugs(F.lit("Article"), title).alias("none"))
 
 
-@query("SELECT p_partkey, '漢' || p_name || '_' || p_size || '^2' AS plain FROM part")
+@query("SELECT p_partkey, '漢' || p_name || '_' || p_size || '^2_a^b_c' AS plain FROM part")
 def n16_plain_text(spark, sf_dir):
-    """Readings taken out, low and high characters marked."""
-    xml = F.concat(F.lit("<Ruby>漢<Rt>かん</Rt></Ruby>"), "p_name", F.lit("<Sub>"), F.col("p_size").cast("string"), F.lit("</Sub><Sup>2</Sup>"))
-    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(xml, "<Rt>[^<]*</Rt>", ""), "<Sub>([^<]*)</Sub>", "_$1"), r"<Sup>([^<]*)</Sup>", "^$1")
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(out, "<[^>]*>", "").alias("plain"))
+    """Readings taken out, low and high characters marked, within each other too."""
+    xml = F.concat(F.lit("<Ruby>漢<Rp>(</Rp><Rt>かん</Rt><Rp>)</Rp></Ruby>"), "p_name", F.lit("<Sub>"), F.col("p_size").cast("string"), F.lit("</Sub><Sup>2</Sup><Sub>a<Sup>b<Sub>c</Sub></Sup></Sub>"))
+    return table(spark, sf_dir, "part").select("p_partkey", labels.plain_markup(xml).alias("plain"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 'fastener' WHEN p_type IN ('PROMO', 'ECONOMY') THEN 'cheap' WHEN p_size >= 40 THEN 'large' ELSE 'other' END AS kind FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'supplementary' WHEN p_partkey % 5 = 0 THEN 'penalty' WHEN p_partkey % 5 < 3 THEN 'procedure' ELSE 'individual' END AS kind FROM part""")
 def n21_classified(spark, sf_dir):
-    """A kind by the first pattern that fits."""
-    kind = F.when(F.col("p_name").rlike("ring"), "fastener").when(F.col("p_type").rlike("^(PROMO|ECONOMY)$"), "cheap").when(F.col("p_size").cast("string").rlike("^[4-9][0-9]$"), "large").otherwise("other")
-    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"))
+    """What kind of provision a text is, by the first rule that fits."""
+    says = F.element_at(F.array(*map(F.lit, ("罰金に処する許可", "の届出", "検査済証", "の基準", "罰則"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", labels.regulation_type(F.concat("p_name", says), F.col("p_size") % 7 == 0).alias("kind"))
 
 
 @query("SELECT p_partkey, p_name AS caption FROM part")
@@ -141,27 +144,42 @@ def n25_widths(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", wide.alias("wide"), text.half_width(F.concat(wide, F.lit("ａＺ"))).alias("half"))
 
 
-@query(f"""WITH n AS ({_N}) SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '第' || n || '条の' || m || '（' || p_name || '）' WHEN 1 THEN '第' || n || '条' ELSE p_name END AS label FROM n JOIN part USING (p_partkey)""")
+@query(f"""WITH n AS ({_N}), k AS (SELECT *, {_kanji('n')} AS kn, {_kanji('m % 90 + 1')} AS km FROM n)
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '第' || (m % 90 + 1) || '章の2 総則' ELSE '第' || n || '条の' || m END || CASE p_partkey % 4 WHEN 2 THEN ' 第' || m || '項' WHEN 3 THEN ' 第1項 ' || kn || '号 枝番 (A)' ELSE '' END AS title FROM k""")
 def n26_context_labels(spark, sf_dir):
-    """How a node is called: number and caption, number alone, or caption alone."""
-    p = _numbers(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
-    number = text.digits_in_title(F.when(F.col("p_partkey") % 3 == 0, _title()).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("第"), text.to_kanji(F.col("n")), F.lit("条"))))
-    label = F.when(F.col("p_partkey") % 3 == 0, F.concat("number", F.lit("（"), "p_name", F.lit("）"))).otherwise(F.coalesce("number", "p_name"))
-    return p.withColumn("number", number).select("p_partkey", label.alias("label"))
+    """How a node is called with what it stands in: chapters by their titles, articles, paragraphs, items and their branches."""
+    kn, case, fields = text.to_kanji(F.col("n")), F.col("p_partkey") % 4, ("article", "paragraph", "item", "subitem", "title")
 
+    def node(level, **given):
+        return F.struct(F.lit(level).alias("level"), *[given.get(c, F.lit(None)).cast("string").alias(c) for c in fields])
 
-_NOTICE = "平成([0-9]+)年([0-9]+)月([0-9]+)日"
+    chapter = node("chapter", title=F.concat(F.lit("第"), text.to_kanji(F.col("m") % 90 + 1), F.lit("章の二 総則")))
+    article = node("article", article=F.concat(kn, F.lit("の"), text.to_kanji(F.col("m"))))
+    chain = (
+        F.when(case == 0, F.array(chapter)).when(case == 1, F.array(chapter, article)).when(case == 2, F.array(chapter, article, node("paragraph", paragraph=F.col("m"))))
+        .otherwise(F.array(chapter, article, node("paragraph"), node("item", item=kn), node("subitem1", subitem=F.lit("（Ａ）"))))
+    )
+    rows = _numbers(spark, sf_dir).select("p_partkey", F.posexplode(chain).alias("step", "c")).select("p_partkey", "step", "c.*")
+    none = F.lit(None).cast("string")
+    own = labels.label(F.col("level"), F.col("article"), F.col("paragraph"), F.col("item"), F.col("subitem"), none, F.col("title"), none, none)
+    rows = rows.withColumn("own", own).withColumn("shown", labels.display_title(F.col("level"), F.col("own"), F.col("paragraph"), F.col("title"), none))
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("step", "level", "shown"))), lambda x: F.struct(x["level"].alias("level"), x["shown"].alias("title")))
+    return rows.groupBy("p_partkey").agg(steps.alias("chain")).select("p_partkey", labels.context_title(F.col("chain")).alias("title"))
 
 
-@query("SELECT p_partkey, p_size AS year, p_partkey % 12 + 1 AS month, p_partkey % 28 + 1 AS day, p_partkey + 100 AS number, 'Act ' || p_brand AS basis FROM part")
+@query(f"""WITH n AS ({_N}), k AS (SELECT *, {_kanji('n')} AS kn, {_kanji('m')} AS km FROM n)
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '○国土交通省告示第' || kn || '号' WHEN 1 THEN '令和8年 建設省告示第' || n || '号' ELSE '●告示第' || n || '号' END AS number,
+ '建築基準法' || CASE p_partkey % 2 WHEN 0 THEN '（昭和二十五年法律第二百一号）第' ELSE '第' END || kn || '条第二項の規定に基づき' AS basis,
+ CASE p_partkey % 3 WHEN 0 THEN '平成' || km || '年一月二日' WHEN 1 THEN '令和8年' || (m % 12 + 1) || '月3日' END AS day FROM k""")
 def n35_notices(spark, sf_dir):
-    """Number, date and legal basis out of a notice's heading."""
-    p = table(spark, sf_dir, "part")
-    head = F.concat(F.lit("平成"), F.col("p_size").cast("string"), F.lit("年"), (F.col("p_partkey") % 12 + 1).cast("string"), F.lit("月"), (F.col("p_partkey") % 28 + 1).cast("string"),
-                    F.lit("日 告示第"), (F.col("p_partkey") + 100).cast("string"), F.lit("号 （Act "), "p_brand", F.lit("に基づく）"))
-    p = p.select("p_partkey", head.alias("h"))
-    date = [F.regexp_extract("h", _NOTICE, i) for i in (1, 2, 3)]
-    return p.select("p_partkey", date[0].cast("int").alias("year"), date[1].cast("long").alias("month"), date[2].cast("long").alias("day"), F.regexp_extract("h", "告示第([0-9]+)号", 1).cast("long").alias("number"), F.regexp_extract("h", "（(.{1,40})に基づく", 1).alias("basis"))
+    """Number, legal basis and day out of a notice's text, in all the forms that these have."""
+    kn, km, n, case = text.to_kanji(F.col("n")), text.to_kanji(F.col("m")), F.col("n").cast("string"), F.col("p_partkey") % 3
+    number = F.when(case == 0, F.concat(F.lit("○国土交通省告示第"), kn, F.lit("号"))).when(case == 1, F.concat(F.lit("令和8年  建設省告示第"), n, F.lit("号"))).otherwise(F.concat(F.lit("●告示第"), n, F.lit("号")))
+    basis = F.concat(F.lit("建築基準法"), F.when(F.col("p_partkey") % 2 == 0, "（昭和二十五年法律第二百一号）第").otherwise("第"), kn, F.lit("条第二項の規定に基づき"))
+    day = F.when(case == 0, F.concat(F.lit("平成"), km, F.lit("年一月二日"))).when(case == 1, F.concat(F.lit("平成3年4月5日、令和8年"), (F.col("m") % 12 + 1).cast("string"), F.lit("月3日"))).otherwise("日付なし")
+    says = F.concat(number, F.lit("\n"), basis, F.lit("、次のように定める。\n"), day).alias("t")
+    t = _numbers(spark, sf_dir).select("p_partkey", says)
+    return t.select("p_partkey", labels.notice_number(F.col("t")).alias("number"), labels.legal_basis(F.col("t")).alias("basis"), labels.promulgated(F.col("t")).alias("day"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE round(len(regexp_extract_all(text, '[A-Za-z]')) / length(text), 4) END AS latin FROM documents")
@@ -373,11 +391,13 @@ def u6_merged_spans(spark, sf_dir):
 @query(_SEGMENTS + """, r AS (SELECT doc_id, path, count(*) AS n FROM s GROUP BY 1, 2) SELECT 'EMPTY_BODY' AS code, level AS node, count(*) AS n FROM s WHERE body = '' GROUP BY 1, 2
 UNION ALL SELECT 'DUPLICATE_ANCHOR', 'fingerprint', count(*) FROM (SELECT 1 FROM s WHERE body <> '' GROUP BY doc_id, body HAVING count(*) > 1) UNION ALL SELECT 'DUPLICATE_PATH', 'path', count(*) FROM r WHERE n > 1""")
 def v6_segment_checks(spark, sf_dir):
-    """Segments with an empty body, by level; texts that stand twice in a law; paths that occur twice."""
+    """Segments with an empty body, by level; texts that stand twice in a law; paths that occur twice; numbers left in words, of which these laws have none."""
     s = segments.segmented(_laws(spark, sf_dir))
     empty = s.filter("body_normalized = ''").groupBy(F.lit("EMPTY_BODY").alias("code"), F.col("level").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     anchors = s.filter("body_normalized <> ''").groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").agg(F.count(F.lit(1)).alias("n"))
     paths = s.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").agg(F.count(F.lit(1)).alias("n"))
+    kanji = s.filter(segments.leftover(F.col("path"))).groupBy(F.lit("LEFTOVER_KANJI").alias("code"), F.col("level").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    empty = empty.unionByName(kanji)
     one = anchors.select(F.lit("DUPLICATE_ANCHOR").alias("code"), F.lit("fingerprint").alias("node"), "n")
     return empty.unionByName(one).unionByName(paths.select(F.lit("DUPLICATE_PATH").alias("code"), F.lit("path").alias("node"), "n"))
 

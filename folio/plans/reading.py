@@ -236,6 +236,39 @@ l AS (SELECT subject, label, min(place) AS p FROM m GROUP BY 1, 2)
 SELECT m.subject, arg_min(level, place) AS level, count(*) AS n_rules, (SELECT string_agg(label, ',' ORDER BY p) FROM l WHERE l.subject = m.subject) AS labels FROM m GROUP BY m.subject"""
 
 
+def _matched(spark, sf_dir, more=()):
+    rules = spark.createDataFrame([*RULES, *more], "rule_id int, condition_key string, condition_values string, label string, level string, place int")
+    p = table(spark, sf_dir, "part")
+    conditions = p.select(F.col("p_partkey").alias("subject"), F.stack(F.lit(2), F.lit("p_brand"), F.col("p_brand"), F.lit("p_type"), F.col("p_type")).alias("key", "value"))
+    return rules, usage.matching_rules(rules, conditions)
+
+
+_NONE = (4, "p_type", '["NO SUCH TYPE"]', "nothing", "may", 3)
+
+
+def r12_groups(spark, sf_dir):
+    """Rules with how many parts each marks, and those that mark none."""
+    return usage.rule_groups(*_matched(spark, sf_dir, [_NONE]))
+
+
+R12_GROUPS = f"""WITH r(id, k, v, label, level, place) AS (VALUES {", ".join(repr(x) for x in (*RULES, _NONE))}),
+c AS (SELECT p_partkey AS subject, 'p_brand' AS k, p_brand AS v FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part),
+m AS (SELECT id, count(*) AS n FROM c JOIN r ON c.k = r.k AND list_contains(from_json(r.v, '["VARCHAR"]'), c.v) GROUP BY 1)
+SELECT r.id::INT AS rule_id, label, k AS condition_key, coalesce(n, 0) AS articles, CASE WHEN n IS NULL THEN label || '（条件値未選択）' END AS unmatched FROM r LEFT JOIN m ON m.id = r.id"""
+
+
+def r12_marked(spark, sf_dir):
+    """Parts with the level of their first rule, the kinds of its conditions and all values that these list."""
+    return usage.marked(*_matched(spark, sf_dir)).select("subject", "level", F.array_join("types", ",").alias("types"), F.size("given").alias("given"))
+
+
+R12_MARKED = f"""WITH r(id, k, v, label, level, place) AS (VALUES {", ".join(repr(x) for x in RULES)}),
+c AS (SELECT p_partkey AS subject, 'p_brand' AS k, p_brand AS v FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part),
+m AS (SELECT DISTINCT subject, id, r.k AS k, r.v AS v, level, place FROM c JOIN r ON c.k = r.k AND list_contains(from_json(r.v, '["VARCHAR"]'), c.v)),
+t AS (SELECT subject, k, min(place) AS p FROM m GROUP BY 1, 2), g AS (SELECT subject, count(DISTINCT x) AS n FROM (SELECT subject, unnest(from_json(v, '["VARCHAR"]')) AS x FROM m) GROUP BY 1)
+SELECT m.subject, arg_min(level, place) AS level, (SELECT string_agg(k, ',' ORDER BY p) FROM t WHERE t.subject = m.subject) AS types, any_value(g.n)::INT AS given FROM m JOIN g ON g.subject = m.subject GROUP BY m.subject"""
+
+
 def e2_evaluation(spark, sf_dir):
     """Customers as cases, their parts as targets, and the parts of the same nation most ordered as results."""
     o, li, c = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
@@ -356,12 +389,12 @@ M2 = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size + 100 ELSE p_siz
 QUERIES = {
     "t3_as_of": t3_as_of, "t13_overlaps": t13_overlaps, "t9_local_day": t9_local_day, "h1_subtree": h1_subtree, "h2_breadcrumbs": h2_breadcrumbs, "h6_page": h6_page, "h8_next": h8_next,
     "h16_chains": h16_chains, "w10_carry_forward": w10_carry_forward, "p8_scope": p8_scope, "v1_diff": v1_diff, "v2_tally": v2_tally, "v10_checks": v10_checks,
-    "r1_cooccurrence": r1_cooccurrence, "r3_recommendations": r3_recommendations, "r4_cold_start": r4_cold_start, "r12_highlights": r12_highlights, "e2_evaluation": e2_evaluation,
+    "r1_cooccurrence": r1_cooccurrence, "r3_recommendations": r3_recommendations, "r4_cold_start": r4_cold_start, "r12_highlights": r12_highlights, "r12_groups": r12_groups, "r12_marked": r12_marked, "e2_evaluation": e2_evaluation,
     "e6_coverage": e6_coverage, "n12_fingerprints": n12_fingerprints, "n12_all_fingerprints": n12_all_fingerprints, "s15_links": s15_links, "l10_resolution": l10_resolution, "k5_bigrams": k5_bigrams, "k6_suggest": k6_suggest,
     "m1_upsert": m1_upsert, "m2_insert_absent": m2_insert_absent,
 }
 ORACLES = {
     "t3_as_of": T3, "t13_overlaps": T13, "t9_local_day": T9, "h1_subtree": H1, "h2_breadcrumbs": H2, "h6_page": H6, "h8_next": H8, "h16_chains": H16, "w10_carry_forward": W10, "p8_scope": P8,
-    "v1_diff": V1, "v2_tally": V2, "v10_checks": V10, "r1_cooccurrence": R1, "r3_recommendations": R3, "r4_cold_start": R4, "r12_highlights": R12, "e2_evaluation": E2, "e6_coverage": E6,
+    "v1_diff": V1, "v2_tally": V2, "v10_checks": V10, "r1_cooccurrence": R1, "r3_recommendations": R3, "r4_cold_start": R4, "r12_highlights": R12, "r12_groups": R12_GROUPS, "r12_marked": R12_MARKED, "e2_evaluation": E2, "e6_coverage": E6,
     "n12_fingerprints": N12, "n12_all_fingerprints": N12_ALL, "s15_links": S15, "l10_resolution": L10, "k5_bigrams": K5, "k6_suggest": K6, "m1_upsert": M1, "m2_insert_absent": M2,
 }
