@@ -112,7 +112,7 @@ def _repeated(batches: DataFrame, route: Route) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, x.type) for c, x in zip(values, _KEPT)], schema=_KEPT)
 
     found = counted(batches, lambda t: anchors(t)[1], route)
-    return written(found.mapInArrow(f, "batch long, places binary, held long, free_ids array<long>, free_sizes array<long>, free_sha array<string>"), "repeat-places", "zstd")
+    return written(found.mapInArrow(f, "batch long, places binary, held long, free_ids array<long>, free_sizes array<long>, free_sha array<string>"), "repeat-places", "zstd", tidy=True)
 
 
 class Around(NamedTuple):

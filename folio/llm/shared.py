@@ -30,15 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy", tidy: bool = False) -> DataFrame:
     """df, written once to the shared folder and read again: cuts the lineage and survives lost executors.
 
-    The folder belongs to the session; whoever owns spark.checkpoint.dir clears it.
+    The folder belongs to the session; whoever owns spark.checkpoint.dir clears it. tidy: the write's shuffle files go when it is over, not with
+    the driver's next garbage collection.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/folio/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")  # the shuffle files of a write that is over serve nobody
+    if tidy:
+        spark.conf.set(_CLEANUP, "true")
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
