@@ -22,7 +22,7 @@ _POSTINGS = "doc long, gram string, places array<int>"
 def _postings(batches):
     """The grams of each text with their places, in code points from 0."""
     for b in batches:
-        docs, grams, places = [], [], []
+        docs, grams, places, sizes = [], [], [], []
         for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
             if not text:
                 continue
@@ -31,11 +31,18 @@ def _postings(batches):
             order = np.argsort(keys, kind="stable")
             edges = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
             own = keys[order][edges]
+            pairs = np.stack([own >> 21, np.maximum((own & 0x1FFFFF) - 1, 0)], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+            told = [pairs[i : i + 2] for i in range(0, len(pairs), 2)]
+            for i in np.flatnonzero((own & 0x1FFFFF) == 0):
+                told[i] = told[i][0]
             docs.append(np.full(len(own), doc, np.int64))
-            grams += [chr(k >> 21) + (chr((k & 0x1FFFFF) - 1) if k & 0x1FFFFF else "") for k in own.tolist()]
-            places += np.split(order.astype(np.int32), edges[1:])
+            grams += told
+            places.append(order.astype(np.int32))
+            sizes.append(np.diff(np.append(edges, len(order))))
         if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(grams, pa.string()), pa.array(places, pa.list_(pa.int32()))], names=["doc", "gram", "places"])
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(grams, pa.string()), lists], names=["doc", "gram", "places"])
 
 
 def _folder(gram: Column) -> Column:
