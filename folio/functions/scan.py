@@ -11,23 +11,37 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 
-def scanned(rows: DataFrame, inputs: list[str], keep: list[str], scan: Callable[..., Iterable[tuple]], fields: str) -> DataFrame:
-    """The columns keep of each row beside each tuple (fields, as DDL) that scan gives for its columns inputs."""
+#: Rows found after which a batch is given on; what one row gives stays together.
+ROWS = 4096
+
+
+def scanned(rows: DataFrame, inputs: list[str], keep: list[str], scan: Callable[..., Iterable[tuple]], fields: str, limit: int = ROWS) -> DataFrame:
+    """The columns keep of each row beside each tuple (fields, as DDL) that scan gives for its columns inputs.
+
+    A task holds the inputs of one row as Python objects, and limit of the rows found (more only where one row gives more), whatever the batches' size.
+    """
     more = StructType.fromDDL(fields)
     kinds = [to_arrow_type(f.dataType) for f in more]
 
+    def batch(b: pa.RecordBatch, start: int, counts: list[int], found: list[tuple]) -> pa.RecordBatch:
+        at = pa.array(np.repeat(np.arange(start, start + len(counts)), counts))
+        columns = zip(*found) if found else [()] * len(kinds)
+        arrays = [b.column(c).take(at) for c in keep] + [pa.array(c, kind) for c, kind in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays(arrays, names=[*keep, *more.names])
+
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, columns = [], [[] for _ in kinds]
-            for values in zip(*(b.column(c).to_pylist() for c in inputs)):
-                n = len(columns[0])
-                for found in scan(*values):
-                    for column, x in zip(columns, found):
-                        column.append(x)
-                counts.append(len(columns[0]) - n)
-            at = pa.array(np.repeat(np.arange(b.num_rows), counts))
-            arrays = [b.column(c).take(at) for c in keep] + [pa.array(c, kind) for c, kind in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *more.names])
+            given = [b.column(c) for c in inputs]
+            start, counts, found = 0, [], []
+            for i in range(b.num_rows):
+                before = len(found)
+                found.extend(scan(*(c[i].as_py() for c in given)))
+                counts.append(len(found) - before)
+                if len(found) >= limit:
+                    yield batch(b, start, counts, found)
+                    start, counts, found = i + 1, [], []
+            if found:
+                yield batch(b, start, counts, found)
 
     schema = StructType([*[rows.schema[c] for c in keep], *more.fields])
     return rows.select(*dict.fromkeys([*keep, *inputs])).mapInArrow(f, schema)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 from xml.parsers import expat
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import scan
-from folio.functions.text import appendix_slug, fingerprint, kanji_value, normal_body
+from folio.functions.text import appendix_slug, fingerprint, kanji_value
 
 # Elements that hold numbered text, with the step of a path that each gives.
 LEVELS = {"Part": "part", "Chapter": "chap", "Section": "sec", "Subsection": "subsec", "Division": "div", "Article": "art", "Paragraph": "para", "Item": "item"} | {f"Subitem{i}": "sub" for i in range(1, 11)}
@@ -21,19 +22,26 @@ TITLES = {f"{x}Title" for x in (*LEVELS, *APPENDICES)}
 NOT_BODY = TITLES | {"ArticleCaption", "ArticleTitle", "ParagraphNum", "ItemTitle", "Subitem1Title", "ChapterTitle", "SectionTitle", "AppdxTableTitle", "SupplProvisionLabel", "Rt"}
 
 
-def _number(num: str | None, order: int) -> str:
-    parts = [str(n) for x in re.split(r"[_:の]", unicodedata.normalize("NFKC", num or "")) if (n := kanji_value(x)) is not None]
-    return "-".join(parts) or str(order)
+#: What a tag is to the parser; a title's frame is told from others by its own kind.
+_PLAIN, _NO_BODY, _TITLE, _LEVEL, _APPENDIX, _SUPPLEMENT = range(6)
+_KINDS = {tag: _NO_BODY for tag in NOT_BODY} | {tag: _TITLE for tag in (*TITLES, "ArticleCaption")} | {tag: _LEVEL for tag in LEVELS} | {tag: _APPENDIX for tag in APPENDICES} | {SUPPLEMENT: _SUPPLEMENT}
+_SPACE = re.compile("[ \t\n\x0b\f\r]+")
+
+
+@lru_cache(65_536)
+def _named(num: str) -> str:
+    """The numbers of an attribute, joined by hyphens; empty for none."""
+    return "-".join(str(n) for x in re.split(r"[_:の]", unicodedata.normalize("NFKC", num)) if (n := kanji_value(x)) is not None)
 
 
 class Open:
     """An element that is open: what its children need of it."""
 
-    __slots__ = ("tag", "row", "told", "bodies", "places", "heading", "titled", "begun")
+    __slots__ = ("tag", "kind", "row", "told", "bodies", "places", "heading", "titled", "begun")
 
-    def __init__(self, tag: str, row: int | None, told: bool, bodies: list[list[str]]) -> None:
-        self.tag, self.row, self.told, self.bodies = tag, row, told, bodies  # row: its own, if told, or that of what is around
-        self.places: dict[str, int] = {}
+    def __init__(self, tag: str, kind: int, row: int | None, told: bool, bodies: tuple[list[str], ...]) -> None:
+        self.tag, self.kind, self.row, self.told, self.bodies = tag, kind, row, told, bodies  # row: its own, if told, or that of what is around
+        self.places: dict[str, int] | None = None
         self.heading = self.titled = False  # whether a child has given them
         self.begun = False  # whether a child has begun
 
@@ -42,92 +50,106 @@ class Pulled:
     """Numbered elements of an XML text as a pull parser meets them, no tree of it in memory."""
 
     def __init__(self) -> None:
-        self.open: list[Open] = []
-        self.rows: list[dict] = []
+        self.open: list[Open] = [Open("", _PLAIN, None, False, ())]
+        #: Of each element its tag, the row around it, its step, body, heading, title and whether it is told.
+        self.rows: list[list] = []
         self.supplements = self.appendices = 0
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
-        above = self.open[-1] if self.open else Open("", None, False, [])
+        above = self.open[-1]
         above.begun = True
-        above.places[tag] = place = above.places.get(tag, 0) + 1
-        row, bodies = above.row, [] if tag in NOT_BODY or tag in LEVELS else above.bodies
-        if tag == SUPPLEMENT:
+        kind = _KINDS.get(tag, _PLAIN)
+        if kind == _PLAIN:
+            self.open.append(Open(tag, kind, above.row, False, above.bodies))
+        elif kind <= _TITLE:
+            self.open.append(Open(tag, kind, above.row, False, ()))
+        elif kind == _SUPPLEMENT:
             self.supplements += 1
             # the step of all below it; no row of its own
-            row = self._add(tag, None, f"suppl:{attributes.get('AmendLawNum') or self.supplements}", [])
-            self.rows[row]["told"] = False
-        elif tag in LEVELS or tag in APPENDICES:
-            if tag in APPENDICES:
+            row = self._add(tag, None, f"suppl:{attributes.get('AmendLawNum') or self.supplements}", [], False)
+            self.open.append(Open(tag, kind, row, False, above.bodies))
+        else:
+            own: list[str] = []
+            if kind == _APPENDIX:
                 self.appendices += 1
-                step = str(self.appendices)
+                step, bodies = str(self.appendices), (own, *above.bodies)
             else:
-                step = None if tag in HEADINGS else LEVELS[tag] + _number(attributes.get("Num"), place)
-            own: list[str] = []
-            row, bodies = self._add(tag, above.row, step, own), [own, *bodies]
-        self.open.append(Open(tag, row, tag in LEVELS or tag in APPENDICES, bodies))
-
-    def _add(self, tag: str, above: int | None, step: str | None, body: list[str]) -> int:
-        self.rows.append({"tag": tag, "above": above, "step": step, "body": body, "heading": None, "title": None, "told": True})
+                if above.places is None:
+                    above.places = {}
+                above.places[tag] = place = above.places.get(tag, 0) + 1
+                step, bodies = None if tag in HEADINGS else LEVELS[tag] + (_named(attributes.get("Num") or "") or str(place)), (own,)
+            self.open.append(Open(tag, kind, self._add(tag, above.row, step, own, True), True, bodies))
+
+    def _add(self, tag: str, above: int | None, step: str | None, body: list[str], told: bool) -> int:
+        self.rows.append([tag, above, step, body, None, None, told])
         return len(self.rows) - 1
 
     def data(self, text: str) -> None:
         here = self.open[-1]
         for body in here.bodies:
             body.append(text)
-        if len(self.open) > 1 and not here.begun and (here.tag in TITLES or here.tag == "ArticleCaption"):
+        if here.kind == _TITLE and not here.begun:
             above = self.open[-2]
             if above.told:
                 row = self.rows[above.row]
                 if not above.heading:
-                    row["heading"] = (row["heading"] or "") + text
+                    row[4] = (row[4] or "") + text
                 if not above.titled and here.tag in TITLES:
-                    row["title"] = (row["title"] or "") + text
+                    row[5] = (row[5] or "") + text
 
     def end(self, tag: str) -> None:
-        self.open.pop()
-        if self.open and (tag in TITLES or tag == "ArticleCaption"):
+        if self.open.pop().kind == _TITLE:
             above = self.open[-1]
             above.heading = True
             above.titled |= tag in TITLES
 
-    def found(self):
+    def found(self) -> list[tuple]:
         """Rows in document order, with their paths: an appendix's title is known by now."""
         slugs: dict[str, int] = {}
-        number = 0
-        for row in self.rows:
-            above = self.rows[row["above"]]["path"] if row["above"] is not None else ""
-            step = row["step"]
-            if row["tag"] in APPENDICES:
-                step = f"appdx-{appendix_slug(row['tag'].removeprefix(SUPPLEMENT), row['title'] or '') or step}"
-            row["path"] = path = "/".join(x for x in (above, step) if x)
-            if row["tag"] in APPENDICES:
-                slugs[path] = slugs.get(path, 0) + 1
-                row["path"] += f"-{slugs[path]}" if slugs[path] > 1 else ""
-            if row["told"]:
-                number += 1
-                yield row["path"], row["tag"], row["heading"], "".join(row["body"]).strip(), number, None
+        paths: list[str] = []
+        numbers: list[int | None] = []
+        out = []
+        for tag, row, step, pieces, heading, title, told in self.rows:
+            path = paths[row] if row is not None else ""
+            if tag in APPENDICES:
+                step = f"appdx-{appendix_slug(tag.removeprefix(SUPPLEMENT), title or '') or step}"
+            if step:
+                path = f"{path}/{step}" if path else step
+            if tag in APPENDICES:
+                slugs[path] = n = slugs.get(path, 0) + 1
+                path += f"-{n}" if n > 1 else ""
+            paths.append(path)
+            numbers.append(len(out) + 1 if told else None)
+            if told:
+                # the nearest around it with the path up to the last step
+                around = path.rpartition("/")[0]
+                while row is not None and around and (paths[row] != around or numbers[row] is None):
+                    row = self.rows[row][1]
+                parent = numbers[row] if around and row is not None else None
+                body = "".join(pieces).strip()
+                plain = body if body.isascii() else unicodedata.normalize("NFKC", body)
+                out.append((path, tag, heading, body, len(out) + 1, None, _SPACE.sub(" ", plain).strip(" "), parent))
+        return out
 
 
 def _segments(xml: str | None):
     """A row for each numbered element of an XML text; one row with error if it can't be read."""
     if xml is None:
-        return
+        return ()
     own, parser = Pulled(), expat.ParserCreate(namespace_separator="}")
     parser.buffer_text = True
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = own.start, own.end, own.data
     try:
         parser.Parse(xml, True)
     except expat.ExpatError as broken:
-        yield None, None, None, None, 0, str(broken)
-        return
-    yield from own.found()
+        return [(None, None, None, None, 0, str(broken), "", None)]
+    return own.found()
 
 
 def segmented(raw: DataFrame) -> DataFrame:
-    """doc_id and its segments with normalised body and fingerprint. raw: doc_id, xml."""
-    rows = scan.scanned(raw, ["xml"], ["doc_id"], _segments, "path string, level string, heading string, body string, sequence int, error string")
-    body = normal_body(F.coalesce("body", F.lit("")))
-    return rows.select("doc_id", "path", "level", "heading", "body", "sequence", "error", body.alias("body_normalized")).withColumn("fingerprint", fingerprint(F.col("body_normalized")))
+    """doc_id and its segments with normalised body, fingerprint and the sequence of the segment around each (above). raw: doc_id, xml."""
+    rows = scan.scanned(raw, ["xml"], ["doc_id"], _segments, "path string, level string, heading string, body string, sequence int, error string, body_normalized string, above int")
+    return rows.withColumn("fingerprint", fingerprint(F.col("body_normalized")))
 
 
 def leftover(path: Column) -> Column:
@@ -135,6 +157,23 @@ def leftover(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), "^(?:art|para|item)", "").rlike("[〇一二三四五六七八九]")
 
 
+def checked(segments: DataFrame) -> DataFrame:
+    """code, node and n: segments with an empty body and with numbers left in words, by level; fingerprints and paths that stand twice in a law. Segments are read once."""
+    empty = F.col("body_normalized") == ""
+
+    def told(code, node, key):
+        return F.struct(F.lit(code).alias("code"), node.alias("node"), key.cast("string").alias("key"))
+
+    found = F.array(
+        told("DUPLICATE_PATH", F.lit("path"), F.col("path")), F.when(~empty, told("DUPLICATE_ANCHOR", F.lit("fingerprint"), F.col("fingerprint"))),
+        F.when(empty, told("EMPTY_BODY", F.col("level"), F.lit(None))), F.when(leftover(F.col("path")), told("LEFTOVER_KANJI", F.col("level"), F.lit(None))),
+    )
+    counts = segments.select("doc_id", F.inline(F.array_compact(found))).groupBy("doc_id", "code", "node", "key").agg(F.count(F.lit(1)).alias("c"))
+    n = F.when(F.startswith("code", F.lit("DUPLICATE")), (F.col("c") > 1).cast("long")).otherwise(F.col("c")).alias("n")
+    none = segments.sparkSession.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("code"), F.lit(b).alias("node"), F.lit(0).cast("long").alias("n")) for a, b in (("DUPLICATE_ANCHOR", "fingerprint"), ("DUPLICATE_PATH", "path"))])))
+    return counts.select("code", "node", n).unionByName(none).groupBy("code", "node").agg(F.sum("n").alias("n"))
+
+
 def extraction(segments: DataFrame, raw: DataFrame) -> DataFrame:
     """Share of each document's characters that segments hold; tags are not counted."""
     total = raw.select("doc_id", F.length(F.regexp_replace(F.regexp_replace("xml", "<[^>]*>", ""), r"\s+", "")).alias("total"))

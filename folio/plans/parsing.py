@@ -261,14 +261,12 @@ def n18_durable_keys(spark, sf_dir):
 FROM (SELECT *, max(CASE WHEN level = 'Article' THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS p FROM r)""")
 def n20_article_rows(spark, sf_dir):
     """Rows with ids from their place in the source, and their parents' ids."""
-    s = segments.segmented(_laws(spark, sf_dir)).select("doc_id", "path", "body", "sequence")
-    above = s.filter("path <> ''").select("doc_id", F.col("path").alias("above"), F.col("sequence").alias("p"))
-    s = s.withColumn("above", F.when(F.contains("path", F.lit("/")), F.regexp_replace("path", "/[^/]*$", "")))
+    s = segments.segmented(_laws(spark, sf_dir)).select("doc_id", "above", "body", "sequence")
 
     def id_of(c):
         return F.concat_ws("-", F.col("doc_id").cast("string"), F.lpad(F.col(c).cast("string"), 6, "0"))
 
-    return s.join(above, ["doc_id", "above"], "left").select(id_of("sequence").alias("id"), F.when(F.col("p").isNotNull(), id_of("p")).alias("parent_id"), "body")
+    return s.select(id_of("sequence").alias("id"), F.when(F.col("above").isNotNull(), id_of("above")).alias("parent_id"), "body")
 
 
 # References and spans
@@ -392,14 +390,7 @@ def u6_merged_spans(spark, sf_dir):
 UNION ALL SELECT 'DUPLICATE_ANCHOR', 'fingerprint', count(*) FROM (SELECT 1 FROM s WHERE body <> '' GROUP BY doc_id, body HAVING count(*) > 1) UNION ALL SELECT 'DUPLICATE_PATH', 'path', count(*) FROM r WHERE n > 1""")
 def v6_segment_checks(spark, sf_dir):
     """Segments with an empty body, by level; texts that stand twice in a law; paths that occur twice; numbers left in words, of which these laws have none."""
-    s = segments.segmented(_laws(spark, sf_dir))
-    empty = s.filter("body_normalized = ''").groupBy(F.lit("EMPTY_BODY").alias("code"), F.col("level").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    anchors = s.filter("body_normalized <> ''").groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").agg(F.count(F.lit(1)).alias("n"))
-    paths = s.groupBy("doc_id", "path").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").agg(F.count(F.lit(1)).alias("n"))
-    kanji = s.filter(segments.leftover(F.col("path"))).groupBy(F.lit("LEFTOVER_KANJI").alias("code"), F.col("level").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    empty = empty.unionByName(kanji)
-    one = anchors.select(F.lit("DUPLICATE_ANCHOR").alias("code"), F.lit("fingerprint").alias("node"), "n")
-    return empty.unionByName(one).unionByName(paths.select(F.lit("DUPLICATE_PATH").alias("code"), F.lit("path").alias("node"), "n"))
+    return segments.checked(segments.segmented(_laws(spark, sf_dir)))
 
 
 @query("""WITH a AS (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a FROM orders), l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey) AS i FROM lineitem),
