@@ -96,12 +96,17 @@ def _parse(xml: str | None):
     yield from own.found()
 
 
+def _composed(c: Column) -> Column:
+    """nfkc, to which plain Latin text is not sent."""
+    return F.coalesce(nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+
+
 def _key_value(c: Column) -> Column:
-    return F.replace(F.regexp_replace(nfkc(c), r"\s+", ""), F.lit("/"), F.lit("%2F"))
+    return F.replace(F.regexp_replace(_composed(c), r"\s+", ""), F.lit("/"), F.lit("%2F"))
 
 
 def _plain(c: Column) -> Column:
-    return F.trim(F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), r"\s+", " "))
+    return F.trim(F.regexp_replace(_composed(F.coalesce(c, F.lit(""))), r"\s+", " "))
 
 
 def _checksum(**fields: Column) -> Column:
@@ -125,27 +130,33 @@ def parsed(raw: DataFrame) -> DataFrame:
         F.when(level == "article", numerals.article_number(F.replace(article, F.lit("_"), F.lit("の")))).when(level.isin("paragraph", "item") | level.startswith("subitem"), F.coalesce(said, plain))
         .when(level == "suppl_provision", F.col("origin")).when(~level.isin("table_row", "table_column"), num)
     )
-    print_of = _checksum(level=level, title=_plain(F.coalesce("title", said)), caption=_plain(F.col("caption")), text=_plain(F.col("text")), num=F.coalesce(num, F.lit("")))
-    segment = F.concat(level, F.lit(":"), F.coalesce(_key_value(F.nullif(official, F.lit(""))), F.concat(F.lit("fingerprint:"), print_of)))
+    facts = facts.withColumn("official", F.nullif(official, F.lit("")))
+    unnumbered = F.col("official").isNull()  # only these go by what they say
+    print_of = _checksum(level=level, num=F.coalesce(num, F.lit("")), **{k: _plain(F.when(unnumbered, c)) for k, c in {"title": F.coalesce("title", said), "caption": F.col("caption"), "text": F.col("text")}.items()})
+    segment = F.concat(level, F.lit(":"), F.coalesce(_key_value(F.col("official")), F.concat(F.lit("fingerprint:"), print_of)))
     facts = facts.withColumn("number", number).withColumn("segment", segment).withColumn("parent_index", F.when(F.size("ancestors") > 0, F.element_at("ancestors", -1)))
     siblings = Window.partitionBy("doc_id", "section", "parent_index", "segment")
     facts = facts.withColumn("nth", F.row_number().over(siblings.orderBy("source_index"))).withColumn("equals", F.count(F.lit(1)).over(siblings))
     own = F.when(F.col("equals") > 1, F.concat("segment", F.lit("/occurrence:"), "nth")).otherwise(F.col("segment"))
     place = F.concat(level, F.lit(":"), F.coalesce("number", F.when(level.isin("column", "table_row", "table_column"), num), F.col("sort_order").cast("string")), F.lit("@"), "sort_order")
     facts = facts.withColumn("own", own).withColumn("place", place).withColumn("duplicate", (F.col("equals") > 1) & ~level.isin(*MAY_REPEAT))
-    carried = ["source_index", "parent_index", "ancestors", "level", "section", "number", "title", "caption", "text", "body", "sort_order", "duplicate", "own", "place", "error"]
-    # the nodes of one text
-    whole = facts.groupBy("doc_id").agg(F.collect_list(F.struct(*carried)).alias("nodes"))
-    numbers = F.transform("nodes", lambda n: F.coalesce(n["source_index"], F.lit(-1)))
-    rows = whole.withColumn("_own", F.map_from_arrays(numbers, F.transform("nodes", lambda n: n["own"]))).withColumn("_place", F.map_from_arrays(numbers, F.transform("nodes", lambda n: n["place"])))
-    rows = rows.select("doc_id", "_own", "_place", F.inline("nodes"))
-
-    def key(root: Column, parts: str, last: str) -> Column:
-        return F.when(F.col("error").isNull(), F.concat_ws("/", root, F.transform("ancestors", lambda i: F.element_at(parts, i)), last))
-
-    content = _checksum(level=F.col("level"), number=F.col("number"), title=F.col("title"), caption=F.col("caption"), text=F.col("text"))
-    body = _checksum(level=F.col("level"), title=F.col("title"), caption=F.col("caption"), body=F.col("body"))
-    return rows.select(
-        "doc_id", "source_index", "parent_index", "level", key(F.col("section"), "_own", "own").alias("durable_key"), key(F.lit("root"), "_place", "place").alias("legacy_key"),
-        content.alias("content_checksum"), body.alias("body_checksum"), "number", "title", "caption", "text", "sort_order", "duplicate", "error",
-    )
+    content = _checksum(level=level, number=F.col("number"), title=F.col("title"), caption=F.col("caption"), text=F.col("text"))
+    body = _checksum(level=level, title=F.col("title"), caption=F.col("caption"), body=F.col("body"))
+    facts = facts.withColumn("content_checksum", content).withColumn("body_checksum", body).drop("body")
+    carried = ["source_index", "parent_index", "level", "content_checksum", "body_checksum", "number", "title", "caption", "text", "sort_order", "duplicate", "error"]
+    # the nodes of one text, in order: a node's place among them is its source_index
+    whole = facts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("source_index", "ancestors", "section", "own", "place", F.struct(*carried).alias("facts")))).alias("nodes"))
+
+    def keys(told: Column) -> Column:
+        """The nodes with their keys; told: one struct of all own segments, all places and the nodes."""
+
+        def key(n: Column, root: Column, parts: Column, last: Column) -> Column:
+            return F.when(n["source_index"].isNotNull(), F.concat_ws("/", root, F.transform(n["ancestors"], lambda i: F.get(parts, i)), last))
+
+        return F.transform(told["nodes"], lambda n: F.struct(n["facts"].alias("facts"), key(n, n["section"], told["owns"], n["own"]).alias("durable_key"), key(n, F.lit("root"), told["places"], n["place"]).alias("legacy_key")))
+
+    # an array of one binds what its struct holds, once for a text
+    one = F.array(F.struct(F.col("nodes").alias("nodes"), F.col("nodes")["own"].alias("owns"), F.col("nodes")["place"].alias("places")))
+    rows = whole.select("doc_id", F.inline(F.get(F.transform(one, keys), F.lit(0))))
+    names = ("source_index", "parent_index", "level", "durable_key", "legacy_key", "content_checksum", "body_checksum", "number", "title", "caption", "text", "sort_order", "duplicate", "error")
+    return rows.select("doc_id", *[c if c.endswith("_key") else F.col(f"facts.{c}").alias(c) for c in names])
