@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import random
 
+import duckdb
 import pytest
 from folio.operators import digest, intervals, ranking, scope, temporal
 from pyspark.sql import functions as F
@@ -74,6 +75,23 @@ def test_digests_do_not_depend_on_partitions(spark, parts):
     assert digest.listed(df.filter("false"), ["g"], ["i"], F.col("t")).count() == 0
 
 
+def test_digest_of_two_levels_equals_its_sql(spark):
+    """A list longer than fan * fan rows: SQL hashes all hashes of the first level as one."""
+    rows = [(g, i, f"t{i}") for g, n in (("long", 130), ("short", 20), ("one", 5)) for i in range(n)]
+    found = {x.g: x.version for x in digest.listed(spark.createDataFrame(rows, "g string, i int, t string"), ["g"], ["i"], F.col("t"), fan=5, levels=2).collect()}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE l (g VARCHAR, i INT, t VARCHAR)")
+    c.executemany("INSERT INTO l VALUES (?, ?, ?)", rows)
+    assert found == dict(c.execute(digest.sql("l", "g", "i", "t", fan=5)).fetchall())
+
+
+def test_texts_of_lists_in_pieces(spark):
+    rows = [("a" if i % 40 else None, i, f"t{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, t string").repartition(7)
+    found = {x.g: x.keys for x in digest.joined(df, ["g"], ["i"], F.col("t"), ",", fan=5).collect()}
+    assert found == {g: ",".join(t for k, _, t in rows if k == g) for g in ("a", None)}
+
+
 def test_percentiles_of_a_hot_group(spark):
     r = random.Random(4)
     rows = [("hot" if i % 10 else None, r.choice([None, *range(5000)])) for i in range(20_000)] + [("one", 7), ("none", None)]
