@@ -658,12 +658,14 @@ def h12_contents(spark, sf_dir):
 
 
 @query(f"WITH changed AS (SELECT kind, coalesce(key_after, key_before)::VARCHAR AS key, count(*) AS c FROM ({V1}) WHERE kind <> 'unchanged' GROUP BY 1, 2), " + digest.sql("changed", "kind", "key", "key").replace("WITH leaf", "leaf")
-       .replace("SELECT kind, CASE WHEN count(*) = 1", "SELECT kind, (SELECT sum(c)::BIGINT FROM changed x WHERE x.kind = one.kind) AS n, CASE WHEN count(*) = 1"))
+       .replace("SELECT kind, CASE WHEN count(*) = 1", "SELECT kind, (SELECT sum(c)::BIGINT FROM changed x WHERE x.kind = one.kind) AS n, (SELECT string_agg(key, ',' ORDER BY key) FROM changed x WHERE x.kind = one.kind) AS keys, CASE WHEN count(*) = 1"))
 def v3_summary(spark, sf_dir):
-    """Changes by kind: how many, and a digest of the changed keys, each once, in order."""
+    """Changes by kind: how many, all changed keys, each once, in order, and a digest of these."""
     d = v1_diff(spark, sf_dir).filter("kind <> 'unchanged'").withColumn("key", F.coalesce("key_after", "key_before").cast("string"))
     counts = d.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(digest.listed(d.select("kind", "key").distinct(), ["kind"], ["key"], F.col("key")), "kind")
+    keys = stored(d.select("kind", "key").distinct(), "changed")
+    listed, version = digest.joined(keys, ["kind"], ["key"], F.col("key"), ","), digest.listed(keys, ["kind"], ["key"], F.col("key"), levels=2)
+    return counts.join(listed, "kind").join(version, "kind")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_linestatus WHEN 'O' THEN 0 ELSE 1 END, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS place FROM lineitem""")
