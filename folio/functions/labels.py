@@ -68,9 +68,12 @@ def label(level: Column, article: Column, paragraph: Column, item: Column, subit
         F.concat(F.lit("別表第"), F.when((article != "") & (article != "null"), named)), F.concat(F.lit("別表第"), numerals.article_number(F.nullif(first, F.lit("")))),
         F.nullif(F.nullif(title, F.lit("null")), F.lit("")), F.nullif(F.nullif(caption, F.lit("null")), F.lit("")), F.lit("別表"),
     )
-    whole = F.split(F.coalesce(named, F.lit("")), "の")
-    branches = F.slice(whole, F.lit(2), F.size(whole))
-    numbered = F.concat(F.lit("第"), F.get(whole, F.lit(0)), F.lit("条"), F.when(F.size(branches) > 0, F.concat(F.lit("の"), F.array_join(branches, "の"))).otherwise(""))
+
+    def joined(whole: Column) -> Column:
+        branches = F.slice(whole, F.lit(2), F.size(whole))
+        return F.concat(F.lit("第"), F.get(whole, F.lit(0)), F.lit("条"), F.when(F.size(branches) > 0, F.concat(F.lit("の"), F.array_join(branches, "の"))).otherwise(""))
+
+    numbered = numerals.bound(F.split(F.coalesce(named, F.lit("")), "の"), joined)
     empty = F.lit("")
     return (
         F.when(level == "article", numbered).when(level == "paragraph", half_width(F.coalesce(paragraph, empty))).when(level == "item", half_width(F.trim(F.coalesce(F.nullif(item, empty), article, empty))))

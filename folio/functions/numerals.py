@@ -15,6 +15,11 @@ _WIDE, _PLAIN = "０１２３４５６７８９", "0123456789"
 LONGEST = 18
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of c, which is worked out once however often f names it: a column in Python is an expression, and each mention of it a copy."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _digit(ch: Column) -> Column:
     """0 to 9 of a digit, -1 of anything else."""
     return F.position(ch, F.lit(DIGITS)).cast("long") - 1
@@ -66,17 +71,30 @@ def _value(c: Column) -> Column:
         digit_of = _state(acc["total"], F.when(digit > 0, digit).otherwise(plain), acc["fine"])
         return F.when(unit.isNotNull(), unit_of).when((digit > 0) | (plain >= 0), digit_of).otherwise(acc)
 
-    digits = F.translate(c, f"零{DIGITS}", f"0{_PLAIN}").try_cast("decimal(38,0)")
-    leading = F.regexp_extract(c, r"^\s*([+-]?[0-9]+)", 1).try_cast("decimal(38,0)")
-    units = F.aggregate(F.split(c, ""), _state(F.lit(0), F.lit(0), F.lit(True)), step, lambda acc: (acc["total"] + acc["current"]).cast("decimal(38,0)"))
-    value = F.when(~c.rlike("[一二三四五六七八九十百千]"), leading).when(c.rlike("^[0-9零〇一二三四五六七八九]+$"), digits).otherwise(units)
-    return F.coalesce(value, F.lit(0).cast("decimal(38,0)"))
+    def told(c: Column) -> Column:
+        digits = F.translate(c, f"零{DIGITS}", f"0{_PLAIN}").try_cast("decimal(38,0)")
+        leading = F.regexp_extract(c, r"^\s*([+-]?[0-9]+)", 1).try_cast("decimal(38,0)")
+        units = F.aggregate(F.split(c, ""), _state(F.lit(0), F.lit(0), F.lit(True)), step, lambda acc: (acc["total"] + acc["current"]).cast("decimal(38,0)"))
+        value = F.when(~c.rlike("[一二三四五六七八九十百千]"), leading).when(c.rlike("^[0-9零〇一二三四五六七八九]+$"), digits).otherwise(units)
+        return F.coalesce(value, F.lit(0).cast("decimal(38,0)"))
+
+    return bound(c, told)
 
 
 def woven(c: Column, form: str, put: Callable[[Column], Column]) -> Column:
     """c with each match of a pattern (never empty) replaced by what put makes of it."""
-    between, found = F.split(c, form, -1), F.regexp_extract_all(c, F.lit(form), F.lit(0))
-    return F.when(c.rlike(form), F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(put(F.get(found, i)), F.lit("")))), "")).otherwise(c)
+
+    def told(c: Column) -> Column:
+        found = F.regexp_extract_all(c, F.lit(form), F.lit(0))
+        whole = bound(found, lambda found: F.array_join(F.transform(F.split(c, form, -1), lambda x, i: F.concat(x, F.coalesce(put(F.get(found, i)), F.lit("")))), ""))
+        return F.when(c.rlike(form), whole).otherwise(c)
+
+    return bound(c, told)
+
+
+def _where_numeral(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a text with a numeral that readers write otherwise; any other text stays, at the cost of one look."""
+    return bound(c, lambda c: F.when(c.rlike(f"[{_WIDE}零{DIGITS}十百千万]"), f(c)).otherwise(c))
 
 
 def reader_number(c: Column) -> Column:
@@ -88,17 +106,20 @@ def reader_number(c: Column) -> Column:
         whole = F.regexp_extract(m, form, 1)
         return F.concat(F.when(F.char_length(whole) == 1, F.translate(whole, *digits)).otherwise("0"), F.lit("."), F.translate(F.regexp_extract(m, form, 2), *digits))
 
-    c = woven(F.translate(c, _WIDE, _PLAIN), form, fraction)
-    parts = F.split(c, "万", -1)
-    upper, lower = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    myriads = F.try_add(F.try_multiply(_value(F.when(upper == "", "一").otherwise(upper)), F.lit(10_000)), _value(lower))
-    value = F.when(F.size(parts) == 2, myriads.cast("decimal(38,0)")).otherwise(_value(c))
-    return F.when(c.rlike("[一二三四五六七八九十百千万]"), value.cast("string")).otherwise(c)
+    def told(c: Column) -> Column:
+        def myriads(parts: Column) -> Column:
+            upper, lower = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+            both = F.try_add(F.try_multiply(_value(F.when(upper == "", "一").otherwise(upper)), F.lit(10_000)), _value(lower))
+            return F.when(F.size(parts) == 2, both.cast("decimal(38,0)")).otherwise(_value(c))
+
+        return F.when(c.rlike("[一二三四五六七八九十百千万]"), bound(F.split(c, "万", -1), myriads).cast("string")).otherwise(c)
+
+    return _where_numeral(c, lambda c: bound(woven(F.translate(c, _WIDE, _PLAIN), form, fraction), told))
 
 
 def article_number(c: Column) -> Column:
     """The number of a cited article, each of its branches in digits."""
-    return F.array_join(F.transform(F.split(c, "の", -1), reader_number), "の")
+    return _where_numeral(c, lambda c: F.array_join(F.transform(F.split(c, "の", -1), reader_number), "の"))
 
 
 def citation_number(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions import citations, labels, nodes, numerals, references, segments, text
 from folio.plans.registering import Register
-from folio.tables import table
+from folio.tables import spread, table
 
 query = Register()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -26,7 +26,7 @@ def _kanji(n: str) -> str:
 
 def _numbers(spark, sf_dir):
     """p_partkey and two numbers from 1 to 9999 that follow from it."""
-    p = table(spark, sf_dir, "part").select("p_partkey")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
     return p.withColumn("n", F.col("p_partkey") % 9999 + 1).withColumn("m", (F.col("p_partkey") * 7) % 97 + 1)
 
 

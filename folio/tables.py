@@ -13,3 +13,8 @@ NAMES = (
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the folder, columns untouched."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by a key over as many tasks as a shuffle has: a small file that is read by one task, and whose rows are much work each."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
