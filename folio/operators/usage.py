@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.sources.stored import stored, tasks
+
 MINUTES = 30
 
 
@@ -32,26 +36,46 @@ def recommended(counts: DataFrame, k: int) -> DataFrame:
 
 #: Items of a pack that one task pairs with as many others at a time.
 BLOCK = 100
-
-
-def pack_counts(packs: DataFrame, block: int = BLOCK) -> DataFrame:
+#: Pairs of items that one task counts: of more pairs more tasks.
+PAIRS = 1_000_000
+
+
+def _counted(packs: DataFrame, block: int, pairs: int) -> tuple[DataFrame, int]:
+    """item, related and n of pack_counts, to be run over so many tasks at least: then none holds more than pairs of them, however many there are."""
+    spark, packs = packs.sparkSession, packs.select("pack", "item").dropna()
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with tasks(spark, max(least, math.ceil(packs.count() / pairs))):
+        packs = stored(packs.distinct(), "packs")
+        sizes = packs.groupBy("pack").agg(F.count(F.lit(1)).alias("n"))
+        every = sizes.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    n = max(least, math.ceil(every / pairs))
+    dealt = packs.join(sizes.select("pack", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "pack").withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int"))
+    left = dealt.select("pack", F.col("item").alias("x"), F.col("own").alias("a"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("b"))
+    right = dealt.select("pack", F.col("item").alias("y"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("a"), F.col("own").alias("b"))
+    keys = ["pack", "a", "b"]
+    # dealt by number, as small rows that become many pairs would be put together again by their size
+    met = left.repartition(n, *keys).join(right.repartition(n, *keys), keys).filter("a < b or x < y")
+    once = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    both = F.array(*[F.struct(F.col(i).alias("item"), F.col(j).alias("related"), F.col("n").alias("n")) for i, j in ("xy", "yx")])
+    return once.select(F.inline(both)), n
+
+
+def pack_counts(packs: DataFrame, block: int = BLOCK, pairs: int = PAIRS) -> DataFrame:
     """item, related and n: in how many packs two items are together. packs: pack, item.
 
     A pack's items are dealt into blocks by their hash, and each two blocks meet on their own, so a large pack's pairs are spread
-    over tasks; pairs are counted before they are shuffled.
+    over tasks; two items are counted once for both orders, before they are shuffled.
     """
-    packs = packs.select("pack", "item").distinct()
-    blocks = packs.groupBy("pack").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = packs.join(blocks, "pack").withColumn("own", F.pmod(F.xxhash64("item"), F.col("blocks")))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.select("pack", "item", F.col("own").alias("a"), every.alias("b"))
-    right = dealt.select("pack", F.col("item").alias("related"), every.alias("a"), F.col("own").alias("b"))
-    return left.join(right, ["pack", "a", "b"]).filter("item <> related").groupBy("item", "related").agg(F.count(F.lit(1)).alias("n"))
+    counts, n = _counted(packs, block, pairs)
+    with tasks(packs.sparkSession, n):
+        return stored(counts, "pack-counts")
 
 
-def cold_start(packs: DataFrame, k: int) -> DataFrame:
+def cold_start(packs: DataFrame, k: int, block: int = BLOCK, pairs: int = PAIRS) -> DataFrame:
     """Items that share a pack with an item, most shared first."""
-    return recommended(pack_counts(packs), k)
+    counts, n = _counted(packs, block, pairs)
+    with tasks(packs.sparkSession, n):
+        return stored(recommended(counts, k), "cold-start")
 
 
 def with_fallback(seen: DataFrame, shared: DataFrame, views: DataFrame, k: int, *, least: int = 50) -> DataFrame:

@@ -207,7 +207,7 @@ SELECT *, row_number() OVER (PARTITION BY item ORDER BY n DESC, related)::INT AS
 
 
 def r4_cold_start(spark, sf_dir):
-    packs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pack"), F.col("l_suppkey").alias("item")).distinct()
+    packs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pack"), F.col("l_suppkey").alias("item"))
     return usage.cold_start(packs, 3)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tasks(spark: SparkSession, n: int) -> Iterator[None]:
+    """Shuffles of what is written within are dealt over n partitions."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """Changes with the name, size or time of any file below the paths."""
     conf = spark._jsc.hadoopConfiguration()

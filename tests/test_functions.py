@@ -1,6 +1,7 @@
 """Text functions, segments, citations, spans, state and streams on small cases of our own."""
 
 import datetime as dt
+from collections import Counter
 from datetime import date
 
 import pytest
@@ -85,6 +86,19 @@ def test_packs_of_any_size(spark):
     assert found.count() == 230 * 229 and found.filter("n = 2").count() == 46 * 45 and found.filter("n > 2").count() == 0
 
 
+def test_more_pairs_are_counted_by_more_tasks(spark):
+    rows = [(p, (p * i) % 40 if i else None) for p in range(30) for i in range(20)] + [(None, 1), (None, 2)]
+    packs = spark.createDataFrame(rows, "pack int, item int")
+    held = {p: {i for q, i in rows if q == p and i is not None} for p in range(30)}
+    counts = Counter((a, b) for own in held.values() for a in own for b in own if a != b)
+    found, n = usage._counted(packs, block=5, pairs=10)
+    assert n == -(-sum(len(x) * (len(x) - 1) // 2 for x in held.values()) // 10) > 100
+    assert {(r.item, r.related): r.n for r in found.collect()} == counts and found.count() == len(counts)
+    best = {(a, r + 1): b for a in range(40) for r, b in enumerate(sorted((b for x, b in counts if x == a), key=lambda b: (-counts[a, b], b))[:3])}
+    assert {(r.item, r.rank): r.related for r in usage.cold_start(packs, 3, pairs=10).collect()} == best
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
 def test_state(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
     new = spark.createDataFrame([("b", 9), ("c", 3)], "id string, v int")
