@@ -34,116 +34,117 @@ def _named(num: str) -> str:
     return "-".join(str(n) for x in re.split(r"[_:の]", unicodedata.normalize("NFKC", num)) if (n := kanji_value(x)) is not None)
 
 
-class Open:
-    """An element that is open: what its children need of it."""
-
-    __slots__ = ("tag", "kind", "row", "told", "bodies", "places", "heading", "titled", "begun")
-
-    def __init__(self, tag: str, kind: int, row: int | None, told: bool, bodies: tuple[list[str], ...]) -> None:
-        self.tag, self.kind, self.row, self.told, self.bodies = tag, kind, row, told, bodies  # row: its own, if told, or that of what is around
-        self.places: dict[str, int] | None = None
-        self.heading = self.titled = False  # whether a child has given them
-        self.begun = False  # whether a child has begun
-
-
-class Pulled:
-    """Numbered elements of an XML text as a pull parser meets them, no tree of it in memory."""
-
-    def __init__(self) -> None:
-        self.open: list[Open] = [Open("", _PLAIN, None, False, ())]
-        #: Of each element its tag, the row around it, its step, body, heading, title and whether it is told.
-        self.rows: list[list] = []
-        self.supplements = self.appendices = 0
-
-    def start(self, tag: str, attributes: dict[str, str]) -> None:
-        above = self.open[-1]
-        above.begun = True
-        kind = _KINDS.get(tag, _PLAIN)
+def _pulled(xml: str) -> list[list]:
+    """Numbered elements of an XML text as a pull parser meets them, no tree of it in memory: of each its tag, the row around it, its step, pieces of its body, heading, title, whether it is told, and whether a child has given heading and title."""
+    rows: list[list] = []
+    # an open element: kind, tag, row (its own, if told, or that of what is around), told, bodies that its text goes to, numbers of children by tag
+    opened: list[tuple] = [(_PLAIN, "", None, False, (), {})]
+    supplements = appendices = 0
+    fresh = False  # whether the element is a title no child of which has begun
+    kind_of = _KINDS.get
+
+    def start(tag: str, attributes: dict[str, str]) -> None:
+        nonlocal supplements, appendices, fresh
+        kind = kind_of(tag, _PLAIN)
+        fresh = kind == _TITLE
+        _, _, row, _, bodies, places = opened[-1]
         if kind == _PLAIN:
-            self.open.append(Open(tag, kind, above.row, False, above.bodies))
+            opened.append((kind, tag, row, False, bodies, {}))
         elif kind <= _TITLE:
-            self.open.append(Open(tag, kind, above.row, False, ()))
+            opened.append((kind, tag, row, False, (), {}))
         elif kind == _SUPPLEMENT:
-            self.supplements += 1
+            supplements += 1
             # the step of all below it; no row of its own
-            row = self._add(tag, None, f"suppl:{attributes.get('AmendLawNum') or self.supplements}", [], False)
-            self.open.append(Open(tag, kind, row, False, above.bodies))
+            rows.append([tag, None, f"suppl:{attributes.get('AmendLawNum') or supplements}", [], None, None, False, False, False])
+            opened.append((kind, tag, len(rows) - 1, False, bodies, {}))
         else:
             own: list[str] = []
             if kind == _APPENDIX:
-                self.appendices += 1
-                step, bodies = str(self.appendices), (own, *above.bodies)
+                appendices += 1
+                step, bodies = str(appendices), (own, *bodies)
             else:
-                if above.places is None:
-                    above.places = {}
-                above.places[tag] = place = above.places.get(tag, 0) + 1
+                places[tag] = place = places.get(tag, 0) + 1
                 step, bodies = None if tag in HEADINGS else LEVELS[tag] + (_named(attributes.get("Num") or "") or str(place)), (own,)
-            self.open.append(Open(tag, kind, self._add(tag, above.row, step, own, True), True, bodies))
+            opened.append((kind, tag, len(rows), True, bodies, {}))
+            rows.append([tag, row, step, own, None, None, True, False, False])
 
-    def _add(self, tag: str, above: int | None, step: str | None, body: list[str], told: bool) -> int:
-        self.rows.append([tag, above, step, body, None, None, told])
-        return len(self.rows) - 1
-
-    def data(self, text: str) -> None:
-        here = self.open[-1]
-        for body in here.bodies:
+    def data(text: str) -> None:
+        kind, tag, _, _, bodies, _ = opened[-1]
+        for body in bodies:
             body.append(text)
-        if here.kind == _TITLE and not here.begun:
-            above = self.open[-2]
-            if above.told:
-                row = self.rows[above.row]
-                if not above.heading:
+        if fresh:
+            _, _, row, told, _, _ = opened[-2]
+            if told:
+                row = rows[row]
+                if not row[7]:
                     row[4] = (row[4] or "") + text
-                if not above.titled and here.tag in TITLES:
+                if not row[8] and tag in TITLES:
                     row[5] = (row[5] or "") + text
 
-    def end(self, tag: str) -> None:
-        if self.open.pop().kind == _TITLE:
-            above = self.open[-1]
-            above.heading = True
-            above.titled |= tag in TITLES
-
-    def found(self) -> list[tuple]:
-        """Rows in document order, with their paths: an appendix's title is known by now."""
-        slugs: dict[str, int] = {}
-        paths: list[str] = []
-        numbers: list[int | None] = []
-        out = []
-        for tag, row, step, pieces, heading, title, told in self.rows:
-            path = paths[row] if row is not None else ""
-            if tag in APPENDICES:
-                step = f"appdx-{appendix_slug(tag.removeprefix(SUPPLEMENT), title or '') or step}"
-            if step:
-                path = f"{path}/{step}" if path else step
-            if tag in APPENDICES:
-                slugs[path] = n = slugs.get(path, 0) + 1
-                path += f"-{n}" if n > 1 else ""
-            paths.append(path)
-            numbers.append(len(out) + 1 if told else None)
+    def end(tag: str) -> None:
+        nonlocal fresh
+        if opened.pop()[0] == _TITLE:
+            fresh = False
+            _, _, row, told, _, _ = opened[-1]
             if told:
-                # the nearest around it with the path up to the last step
-                around = path.rpartition("/")[0]
-                while row is not None and around and (paths[row] != around or numbers[row] is None):
-                    row = self.rows[row][1]
-                parent = numbers[row] if around and row is not None else None
-                body = "".join(pieces).strip()
-                plain = body if body.isascii() else unicodedata.normalize("NFKC", body)
-                out.append((path, tag, heading, body, len(out) + 1, None, _SPACE.sub(" ", plain).strip(" "), parent))
-        return out
+                rows[row][7] = True
+                rows[row][8] |= tag in TITLES
+
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
+    parser.Parse(xml, True)
+    return rows
+
+
+def _spaced(body: str) -> str:
+    """A text after compatibility composition, with single spaces and none around it."""
+    if body.isascii():
+        return " ".join(body.split())
+    return _SPACE.sub(" ", unicodedata.normalize("NFKC", body)).strip(" ")
 
 
 def _segments(xml: str | None):
-    """A row for each numbered element of an XML text; one row with error if it can't be read."""
+    """A row for each numbered element of an XML text, in document order; one row with error if it can't be read."""
     if xml is None:
         return ()
-    own, parser = Pulled(), expat.ParserCreate(namespace_separator="}")
-    parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = own.start, own.end, own.data
     try:
-        parser.Parse(xml, True)
+        rows = _pulled(xml)
     except expat.ExpatError as broken:
         return [(None, None, None, None, 0, str(broken), "", None)]
-    return own.found()
+    # an appendix's title is known by now
+    slugs: dict[str, int] = {}
+    paths: list[str] = []
+    numbers: list[int | None] = []
+    out, n = [], 0
+    for tag, row, step, pieces, heading, title, told, _, _ in rows:
+        around = path = paths[row] if row is not None else ""
+        if _KINDS[tag] == _APPENDIX:
+            step = f"appdx-{appendix_slug(tag.removeprefix(SUPPLEMENT), title or '') or step}"
+            path = f"{path}/{step}" if path else step
+            slugs[path] = k = slugs.get(path, 0) + 1
+            path += f"-{k}" if k > 1 else ""
+        elif step:
+            path = f"{path}/{step}" if path else step
+        paths.append(path)
+        if not told:
+            numbers.append(None)
+            continue
+        n += 1
+        numbers.append(n)
+        parent = None
+        if row is not None and path:
+            # the nearest around it with the path up to the last step
+            last = path.rpartition("/")[0]
+            if last == around and last:
+                parent = numbers[row]
+            if parent is None and last:
+                while row is not None and (paths[row] != last or numbers[row] is None):
+                    row = rows[row][1]
+                parent = numbers[row] if row is not None else None
+        body = "".join(pieces).strip()
+        out.append((path, tag, heading, body, n, None, _spaced(body), parent))
+    return out
 
 
 def segmented(raw: DataFrame) -> DataFrame:
@@ -174,11 +175,20 @@ def checked(segments: DataFrame) -> DataFrame:
     return counts.select("code", "node", n).unionByName(none).groupBy("code", "node").agg(F.sum("n").alias("n"))
 
 
-def extraction(segments: DataFrame, raw: DataFrame) -> DataFrame:
-    """Share of each document's characters that segments hold; tags are not counted."""
-    total = raw.select("doc_id", F.length(F.regexp_replace(F.regexp_replace("xml", "<[^>]*>", ""), r"\s+", "")).alias("total"))
-    caught = segments.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace(F.concat_ws("", "heading", "body"), r"\s+", ""))).alias("captured"))
-    return total.join(caught, "doc_id", "left").withColumn("rate", F.when(F.col("total") > 0, F.coalesce("captured", F.lit(0)) / F.col("total")))
+def _captured(xml: str | None):
+    """One row: characters other than white space in headings and bodies of the segments of an XML text; null without segments, 0 if it can't be read."""
+    try:
+        told = [(row[4] or "") + "".join(row[3]).strip() for row in _pulled(xml) if row[6]] if xml is not None else []
+    except expat.ExpatError:
+        told = [""]
+    return [(sum(len(_SPACE.sub("", t)) for t in told) if told else None,)]
+
+
+def extraction(raw: DataFrame) -> DataFrame:
+    """doc_id, total, captured and rate: share of each document's characters that segments hold; tags are not counted. raw: doc_id, xml; each is read once."""
+    total = F.length(F.regexp_replace(F.regexp_replace("xml", "<[^>]*>", ""), r"\s+", "")).alias("total")
+    found = scan.scanned(raw.select("doc_id", "xml", total), ["xml"], ["doc_id", "total"], _captured, "captured long")
+    return found.withColumn("rate", F.when(F.col("total") > 0, F.coalesce("captured", F.lit(0)) / F.col("total")))
 
 
 def supplements(xml: Column) -> Column:

@@ -221,11 +221,11 @@ def _laws(spark, sf_dir):
     by_line = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(by_line).alias("i"), "l_partkey")
     paragraph = F.concat(F.lit('<Paragraph Num="'), F.col("i").cast("string"), F.lit('"><ParagraphNum>'), F.col("i").cast("string"), F.lit("</ParagraphNum><ParagraphSentence><Sentence>part "), F.col("l_partkey").cast("string"), F.lit("</Sentence></ParagraphSentence></Paragraph>"))
-    inside = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", paragraph.alias("x")))), lambda s: s.x), "").alias("paragraphs"))
+    inside = li.groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.struct("i", paragraph.alias("x"))))["x"], "").alias("paragraphs"))
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("a"))
     o = o.join(inside, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     article = F.concat(F.lit('<Article Num="'), F.col("a").cast("string"), F.lit('"><ArticleCaption>（order '), F.col("o_orderkey").cast("string"), F.lit("）</ArticleCaption>"), F.coalesce("paragraphs", F.lit("")), F.lit("</Article>"))
-    laws = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", article.alias("x")))), lambda s: s.x), "").alias("articles"))
+    laws = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.sort_array(F.collect_list(F.struct("a", article.alias("x"))))["x"], "").alias("articles"))
     end = "<AppdxTable><AppdxTableTitle>別表第二</AppdxTableTitle>rest</AppdxTable>"
     return laws.select("doc_id", F.concat(F.lit("<Law><MainProvision><Chapter><ChapterTitle>one</ChapterTitle>"), "articles", F.lit(f"</Chapter></MainProvision>{end}</Law>")).alias("xml"))
 
@@ -398,8 +398,7 @@ c AS (SELECT doc_id, sum(length('（order' || o_orderkey || '）')) AS n FROM a
 SELECT doc_id, (c.n + coalesce(b.n, 0) + 11)::BIGINT AS captured, (c.n + coalesce(b.n, 0) + 11 + coalesce(b.numbers, 0))::BIGINT AS total, (c.n + coalesce(b.n, 0) + 11) / (c.n + coalesce(b.n, 0) + 11 + coalesce(b.numbers, 0)) < 0.95 AS low FROM c LEFT JOIN b USING (doc_id)""")
 def v7_extraction(spark, sf_dir):
     """How much of each law's text is in segments, and where it is less than 95 per cent."""
-    raw = _laws(spark, sf_dir)
-    e = segments.extraction(segments.segmented(raw), raw)
+    e = segments.extraction(_laws(spark, sf_dir))
     return e.select("doc_id", F.col("captured").cast("long").alias("captured"), F.col("total").cast("long").alias("total"), (F.col("rate") < 0.95).alias("low"))
 
 
