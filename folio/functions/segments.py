@@ -181,7 +181,7 @@ def _captured(xml: str | None):
         told = [(row[4] or "") + "".join(row[3]).strip() for row in _pulled(xml) if row[6]] if xml is not None else []
     except expat.ExpatError:
         told = [""]
-    return [(sum(len(_SPACE.sub("", t)) for t in told) if told else None,)]
+    return [(sum(len(t) - sum(map(t.count, " \t\n\x0b\f\r")) for t in told) if told else None,)]
 
 
 def extraction(raw: DataFrame) -> DataFrame:

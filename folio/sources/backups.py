@@ -40,10 +40,14 @@ SECTIONS = (
 )
 
 
+def _is_object(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "struct<>").isNotNull()  # the schema would be made of all that is within
+
+
 def _items(v: Column, path: str) -> Column:
     """The objects of a list; nothing where there is none."""
     found = F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
-    return F.filter(found, lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
+    return F.filter(found, _is_object)
 
 
 def _text(v: Column, path: str) -> Column:
@@ -56,35 +60,35 @@ def _refs(v: Column, paths: tuple[str, ...]) -> Column:
     return F.array(*one) if one else F.array().cast("array<struct<law: string, number: string>>")
 
 
+def _by_section(values: dict[str, Column], rest: Column) -> Column:
+    out = rest
+    for name, value in values.items():
+        out = F.when(F.col("section") == name, value).otherwise(out)
+    return out
+
+
 def laid_out(envelopes: DataFrame) -> DataFrame:
     """envelope, section, place (its number in the section), parent (its parent's place, null for an outer item), says (the text that it needs), refs and item of each item of the envelopes (id, json).
 
-    An envelope that can't be read is one row of section envelope.
+    An envelope that can't be read is one row of section envelope. Items are rows before anything is read from them.
     """
     read = envelopes.select(F.col("id").alias("envelope"), F.try_parse_json("json").alias("v"))
-    parts = [part for s in SECTIONS for part in _rows(F.col("v"), s)]
-    broken = F.array(_row("envelope", F.lit(0), None, F.lit(None), _refs(F.col("v"), ()), F.col("v")))
-    whole = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
-    return read.select("envelope", F.inline(F.when(F.coalesce(whole, F.lit(False)), F.concat(*parts)).otherwise(broken)))
-
-
-def _row(section: str, place: Column, parent: Column | None, says: Column, refs: Column, item: Column) -> Column:
-    parent = F.lit(None) if parent is None else parent
-    return F.struct(F.lit(section).alias("section"), place.cast("int").alias("place"), parent.cast("int").alias("parent"), says.cast("string").alias("says"), refs.alias("refs"), item.alias("item"))
-
-
-def _rows(v: Column, s: Section) -> list[Column]:
-    """Arrays of the rows of a section and of those within."""
+    lists = F.array(*[F.struct(F.lit(s.name).alias("section"), _items(F.col("v"), s.path).alias("items")) for s in SECTIONS])
+    broken = F.array(F.struct(F.lit("envelope").alias("section"), F.array("v").alias("items")))
+    outer = read.select("envelope", F.inline(F.when(_is_object(F.col("v")), lists).otherwise(broken))).select("envelope", "section", F.posexplode("items").alias("place", "item"))
 
-    def outer(x: Column, i: Column) -> Column:
-        says = F.coalesce(*[_text(x, p) for p in s.needs]) if s.needs else F.lit(None)
-        return _row(s.name, i, None, says, _refs(x, s.refers), x)
+    def row(section: Column, place: Column, parent: Column, item: Column) -> Column:
+        return F.struct(section.alias("section"), place.cast("int").alias("place"), parent.cast("int").alias("parent"), item.alias("item"))
 
-    def inside(x: Column, i: Column) -> Column:
-        return F.transform(_items(x, s.inner_path), lambda y, j: _row(s.inner, j, i, F.lit(None), _refs(y, ("$",)), y))
+    def inside(s: Section) -> Column:
+        return F.transform(_items(F.col("item"), s.inner_path), lambda y, j: row(F.lit(s.inner), j, F.col("place"), y))
 
-    items = _items(v, s.path)
-    return [F.transform(items, outer), *([F.flatten(F.transform(items, inside))] if s.inner else [])]
+    own = F.array(row(F.col("section"), F.col("place"), F.lit(None), F.col("item")))
+    rows = outer.select("envelope", F.inline(_by_section({s.name: F.concat(own, inside(s)) for s in SECTIONS if s.inner}, own)))
+    item, none = F.col("item"), F.lit(None).cast("string")
+    says = _by_section({s.name: F.coalesce(*[_text(item, p) for p in s.needs]) for s in SECTIONS if s.needs}, none)
+    refs = _by_section({s.name: _refs(item, s.refers) for s in SECTIONS if s.refers} | {s.inner: _refs(item, ("$",)) for s in SECTIONS if s.inner}, _refs(item, ()))
+    return rows.select("envelope", "section", "place", "parent", says.alias("says"), refs.alias("refs"), "item")
 
 
 def references(items: DataFrame) -> DataFrame:
@@ -97,10 +101,16 @@ def judged(items: DataFrame, articles: DataFrame) -> DataFrame:
 
     articles: law and number (unique together) and target. Outcomes: imported, UNREADABLE, NO_PARENT, UNKNOWN_REFERENCE, MISSING_TEXT, UNKNOWN_VALUE and DUPLICATE.
     """
-    named = items.filter(F.size("refs") > 0).select("key", F.posexplode("refs").alias("nth", "ref")).select("key", "nth", "ref.law", "ref.number")
-    found = named.join(articles.select("law", "number", "target"), ["law", "number"], "left")
-    targets = found.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "target"))), lambda x: x["target"]).alias("targets"))
-    rows = items.join(targets, "key", "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
+    # an item names so many articles at most: each is looked up in its place, no list of them is put together again
+    rows, most = items, max(len(s.refers) for s in SECTIONS)
+    for i in range(most):
+        none = F.lit(None).cast(items.schema["key"].dataType)
+        known = articles.select(F.col("law").alias(f"_law{i}"), F.col("number").alias(f"_number{i}"), none.alias(f"_none{i}"), F.col("target").alias(f"_target{i}"))
+        ref = F.get("refs", F.lit(i))
+        # items that name nothing are dealt by their own keys
+        named = F.when(ref["law"].isNull(), F.col("key")).eqNullSafe(F.col(f"_none{i}"))
+        rows = rows.join(known, (ref["law"] == F.col(f"_law{i}")) & (ref["number"] == F.col(f"_number{i}")) & named, "left")
+    rows = rows.withColumn("targets", F.slice(F.array(*[F.col(f"_target{i}") for i in range(most)]), F.lit(1), F.size("refs")))
     names = {s.name: s for s in SECTIONS}
     needs, listed, unique = ([n for n, s in names.items() if getattr(s, k)] for k in ("needs", "one_of", "unique"))
     unique += [s.inner for s in SECTIONS if s.inner_unique]
@@ -120,8 +130,8 @@ def judged(items: DataFrame, articles: DataFrame) -> DataFrame:
     lost = rows.filter("outcome is not null").select("envelope", F.col("section").alias("above"), F.col("place").alias("parent"), F.lit(True).alias("lost")).filter(F.col("above").isin(*inner.values()))
     rows = rows.withColumn("above", above).join(lost, ["envelope", "above", "parent"], "left")
     rows = rows.withColumn("outcome", F.when(F.col("lost"), "NO_PARENT").otherwise(F.col("outcome")))
-    # of one key in one parent the first counts; the rows of one envelope
-    first = Window.partitionBy("envelope", "section", "parent", "targets", "says", F.col("outcome").isNull()).orderBy("place")
+    # of one key in one parent the first counts; the rows of one envelope, dealt as for the look at parents
+    first = Window.partitionBy("envelope", "above", "parent", "section", "targets", "says", F.col("outcome").isNull()).orderBy("place")
     again = F.col("section").isin(*unique) & F.col("outcome").isNull() & (F.row_number().over(first) > 1)
     return rows.withColumn("outcome", F.when(again, "DUPLICATE").otherwise(F.coalesce("outcome", F.lit("imported")))).select(*items.columns, "targets", "outcome")
 

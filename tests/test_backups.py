@@ -43,3 +43,15 @@ def test_sections_of_envelopes(spark):
     assert [(r.name, r.siteArea, r.floors) for r in projects] == [("p", 1.5, None)]
     assert [(r.targets, r.rangeStart) for r in backups.values(found, "highlights", {"rangeStart": "int"}).collect()] == [(["t1"], 4)]
     assert sorted(map(tuple, backups.references(items).collect())) == [("L", "1"), ("L", "2"), ("L", "9")]
+
+
+def test_references_are_looked_up_in_place(spark):
+    """No list of targets is put together again from its parts; items that name nothing, many of them, are not one key of the join."""
+    envelope = {"activities": [{"type": "view"}] * 300, "articleCooccurrences": [{"source": ref(number="2"), "related": ref()}, {"source": ref(number="8"), "related": ref()}], "tags": [ref(number="2", tagName="a")]}
+    items = stored(backups.laid_out(spark.createDataFrame([(1, json.dumps(envelope))], "id int, json string")).withColumn("key", F.monotonically_increasing_id()), "items")
+    articles = spark.createDataFrame([("L", "1", "t1"), ("L", "2", "t2")], "law string, number string, target string")
+    found = backups.judged(items, articles)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    told = {(r.section, r.place): (r.targets, r.outcome) for r in found.filter("section <> 'activities'").collect()}
+    assert told == {("articleCooccurrences", 0): (["t2", "t1"], "imported"), ("articleCooccurrences", 1): ([None, "t1"], "UNKNOWN_REFERENCE"), ("tags", 0): (["t2"], "imported")}
+    assert found.filter("section = 'activities' and outcome = 'imported' and size(targets) = 0").count() == 300
