@@ -601,8 +601,8 @@ def st4_first_deliveries(spark, sf_dir):
 @query("""WITH v AS (SELECT user_id, props->>'k' AS item, ts, lag(props->>'k') OVER w AS p, lag(ts) OVER w AS pt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
 SELECT p AS item, item AS related, count(*) AS n FROM v WHERE p <> item AND ts <= pt + INTERVAL 30 MINUTE GROUP BY 1, 2""")
 def st1_streamed_pairs(spark, sf_dir):
-    """What users look at within thirty minutes of something else, from a stream with each user's last view as its state."""
-    v = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.get_json_object("props", "$.k").alias("item"))
+    """What users look at within thirty minutes of something else, from a stream with users' last views as its state."""
+    v = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tie"), F.get_json_object("props", "$.k").alias("item"))
     return _run(spark, activity.consecutive_pairs(v), "pairs").groupBy("item", "related").agg(F.count(F.lit(1)).alias("n"))
 
 

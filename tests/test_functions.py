@@ -131,6 +131,19 @@ def test_streamed_pairs_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_streamed_pairs_of_many_rows(spark, tmp_path):
+    """A user whose views come in several frames, out of order and at equal times; views without an item, a time or a user."""
+    start, n = dt.datetime(2024, 1, 1), 25_000
+    rows = [(1, start + dt.timedelta(minutes=10 * (i // 2)), -i, str(i % 7) if i % 11 else None) for i in range(n)] + [(u, start, 0, "a") for u in (2, 3, None)] + [(2, None, 0, "b"), (3, start, 1, "c"), (None, start, 1, "c"), (3, start + dt.timedelta(minutes=31), 2, "d")]
+    df = spark.createDataFrame(rows, "user long, ts timestamp, tie long, item string").orderBy(F.hash("tie")).coalesce(1)
+    found = Counter(map(tuple, streamed(spark, tmp_path, df, activity.consecutive_pairs, "many").groupBy("user", "item", "related").count().collect()))
+    want = Counter()
+    for u in (1, 2, 3, None):
+        own = sorted((ts, tie, item) for user, ts, tie, item in rows if user == u and ts is not None)
+        want.update((u, a[2], b[2]) for a, b in zip(own, own[1:]) if a[2] and b[2] and a[2] != b[2] and b[0] - a[0] <= dt.timedelta(minutes=30))
+    assert found == Counter((*k, c) for k, c in want.items())
+
+
 def test_streamed_windows(spark, tmp_path):
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     found = streamed(spark, tmp_path, ev, lambda s: activity.counts(s), "hours", "complete")
