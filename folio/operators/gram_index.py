@@ -19,11 +19,23 @@ FOLDERS = 64
 _POSTINGS = "doc long, gram string, places array<int>"
 
 
-def _postings(batches):
-    """The grams of each text with their places, in code points from 0."""
+#: Postings after which a batch is given on; those of one text stay together.
+ROWS = 65_536
+
+
+def _postings(batches, limit: int = ROWS):
+    """The grams of each text with their places, in code points from 0. A task holds the postings of one text beyond limit at most, whatever the batches' size."""
+    docs, grams, places, sizes, n = [], [], [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(grams, pa.string()), lists], names=["doc", "gram", "places"])
+
     for b in batches:
-        docs, grams, places, sizes = [], [], [], []
-        for doc, text in zip(b.column("doc").to_pylist(), b.column("text").to_pylist()):
+        own_docs, own_texts = b.column("doc"), b.column("text")
+        for at in range(b.num_rows):
+            text = own_texts[at].as_py()
             if not text:
                 continue
             points = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
@@ -35,14 +47,16 @@ def _postings(batches):
             told = [pairs[i : i + 2] for i in range(0, len(pairs), 2)]
             for i in np.flatnonzero((own & 0x1FFFFF) == 0):
                 told[i] = told[i][0]
-            docs.append(np.full(len(own), doc, np.int64))
+            docs.append(np.full(len(own), own_docs[at].as_py(), np.int64))
             grams += told
             places.append(order.astype(np.int32))
             sizes.append(np.diff(np.append(edges, len(order))))
-        if docs:
-            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(places)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(grams, pa.string()), lists], names=["doc", "gram", "places"])
+            n += len(order)
+            if n >= limit:  # places, of which each posting has one at least
+                yield batch()
+                docs, grams, places, sizes, n = [], [], [], [], 0
+    if docs:
+        yield batch()
 
 
 def _folder(gram: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from folio.operators import gram_index
 
 SCHEMA = "id long, body string"
@@ -43,3 +44,14 @@ def test_a_search_reads_its_own_folders(spark, tmp_path):
     # a generation whose table of documents is missing is not seen
     spark.createDataFrame([(7, "nu", [0])], "doc long, gram string, places array<int>").write.parquet(f"{path}/postings/generation=1/folder=0")
     assert len(found(spark, path, "number")) == 50
+
+
+def test_postings_leave_in_small_batches():
+    """Whatever one batch of texts gives; batches of few texts are put together."""
+    texts = [None if i % 50 == 0 else f"text {i} " * (i % 30) for i in range(600)]
+    given = [pa.RecordBatch.from_pydict({"doc": list(range(a, a + 300)), "text": pa.array(texts[a : a + 300], pa.string())}) for a in (0, 300)]
+    batches = list(gram_index._postings(iter(given), limit=1000))
+    sizes = [len(b.column("places").flatten()) for b in batches]
+    assert max(sizes) < 1000 + max(len(t or "") for t in texts) and min(sizes[:-1]) >= 1000
+    found = {(r["doc"], p): r["gram"] for b in batches for r in b.to_pylist() for p in r["places"]}
+    assert found == {(d, i): t[i : i + 2] for d, t in enumerate(texts) if t for i in range(len(t))}
