@@ -418,7 +418,7 @@ SELECT doc_id, source_index::INT AS source_index, CASE level WHEN 'article' THEN
  sha256(content) AS content_checksum, sha256(body) AS body_checksum, CASE level WHEN 'article' THEN a WHEN 'paragraph' THEN i ELSE 1 END::INT AS sort_order, FALSE AS duplicate FROM r""")
 def n17_parsed_nodes(spark, sf_dir):
     """Nodes of laws: their place and their parent's, keys that last and keys with places, checksums of their content and of their body alone."""
-    found = nodes.parsed(_laws(spark, sf_dir))
+    found = nodes.parsed(_laws(spark, sf_dir), says=())
     return found.select("doc_id", "source_index", "parent_index", "level", "durable_key", "legacy_key", "content_checksum", "body_checksum", "sort_order", "duplicate")
 
 

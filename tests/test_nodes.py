@@ -1,6 +1,12 @@
 """Nodes of laws in XML: keys, occurrences, texts and errors."""
 
-from folio.functions import nodes
+import hashlib
+import json
+
+import pyarrow as pa
+import pytest
+from folio.functions import nodes, scan
+from test_batches import Rows
 
 LAW = """<Law Era="Showa" Year="25" PromulgateMonth="5" PromulgateDay="24"><LawBody><LawTitle>t</LawTitle><MainProvision>
 <Chapter Num="1"><ChapterTitle>第一章　総則</ChapterTitle>
@@ -46,3 +52,47 @@ def test_keys_stay_when_siblings_come_and_go(spark):
     a, b = keys([1, 2, 3]), keys([0, 1, 3])
     assert set(a) & set(b) == {f"main/article:{n}{p}" for n in (1, 3) for p in ("", "/paragraph:1")}
     assert all(a[k][:2] == b[k][:2] for k in set(a) & set(b)) and a["main/article:1"][2] != b["main/article:1"][2]
+
+
+def test_nodes_of_a_law_need_no_shuffle(spark):
+    """They stand together as the parser gives them: a shuffle of all they say was twenty times the input on disk."""
+    raw = spark.createDataFrame([("d", LAW)], "doc_id string, xml string")
+    plan = nodes.parsed(raw)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and plan.count("MapInArrow") == 2
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_groups_are_seen_whole_whatever_the_batches(spark, size):
+    rows = [(k, i) for k in range(9) for i in (range(k) if k else [None])] * 2
+    schema = spark.createDataFrame([], "k long, i int").schema
+    f = scan.together(Rows(schema), "i", ["k", "i"], ["k", "i"], lambda k, i: ([len(k)] * len(k), [set(k) == {k[0]}] * len(k)), "n int, one boolean")
+    given = [pa.RecordBatch.from_pylist([{"k": k, "i": i} for k, i in rows[at : at + size]], pa.schema([("k", pa.int64()), ("i", pa.int32())])) for at in range(0, len(rows), size)]
+    batches = list(f(iter([given[0].slice(0, 0), *given])))
+    found = [x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("k", "i", "n", "one")))]
+    assert found == [(k, i, k or 1, True) for k, i in rows]
+    assert max(b.num_rows for b in batches) <= size + 8
+
+
+def test_nodes_that_are_not_together_are_no_law():
+    with pytest.raises(ValueError, match="in order"):
+        nodes._keys([0, 2], [None, 0], ["main"] * 2, ["article"] * 2, ["article:1", "article:2"], ["a", "b"])
+
+
+def test_what_has_no_number_goes_by_what_it_says(spark):
+    """After compatibility composition and with single spaces; of equal siblings each has its occurrence, and those below them follow."""
+    table = "<Table><TableRow><TableColumn><Sentence>{}</Sentence></TableColumn></TableRow></Table>"
+    xml = '<Law><MainProvision><Chapter><ChapterTitle>Ａ　１</ChapterTitle></Chapter><Chapter><ChapterTitle>A 1</ChapterTitle></Chapter><Article Num="１"><ArticleCaption>x</ArticleCaption></Article>' + table.format("ｙ") + table.format("y") + "</MainProvision></Law>"
+    found = nodes.parsed(spark.createDataFrame([(1, xml)], "doc_id int, xml string")).orderBy("source_index").collect()
+
+    def print_of(**said):
+        return "fingerprint:" + hashlib.sha256(json.dumps(dict(caption="", num="", text="", title="") | said, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+    chapter, cells = print_of(level="chapter", text="A 1", title="A 1"), [print_of(level=f"table{x}") for x in ("", "_row")]
+    column = print_of(level="table_column", text="y")
+    tables = [f"main/table:{cells[0]}/occurrence:{n}" for n in (1, 2)]
+    assert [r.durable_key for r in found] == [
+        f"main/chapter:{chapter}/occurrence:1", f"main/chapter:{chapter}/occurrence:2", "main/article:1",
+        *[x for t in tables for x in (t, f"{t}/table_row:{cells[1]}", f"{t}/table_row:{cells[1]}/table_column:{column}")],
+    ]
+    assert [r.duplicate for r in found] == [True, True, False, True, False, False, True, False, False]
+    assert found[0].content_checksum != found[1].content_checksum and found[0].title == "Ａ　１"
